@@ -37,7 +37,8 @@ def col(c) -> Column:
 
 def from_marker(line) -> Column:
     """The line from its first ``RemoteAddress=`` on; ``''`` if absent."""
-    return F.regexp_extract(col(line), r"(?s)RemoteAddress=.*", 0)
+    at = F.instr(col(line), MARKER)
+    return F.when(at > 0, F.substr(col(line), at)).otherwise(F.lit(""))
 
 
 def tokens(line) -> Column:
@@ -97,3 +98,15 @@ def embedded_time(c) -> Column:
 def btrim_ws(c) -> Column:
     """Strip spaces, tabs, CR and LF at both ends (``str.strip`` on a line)."""
     return F.btrim(col(c), F.lit(" \t\r\n\f\x0b"))
+
+
+def compute_once(df, keep: list, exprs: dict):
+    """``df`` with ``keep`` columns plus ``exprs`` evaluated exactly once.
+
+    The expressions come out of a one-row ``inline`` generator.  A later
+    filter on them cannot be pushed below a generator, so Catalyst does not
+    copy an expensive expression (a tokenizer, six regex searches) into the
+    filter condition, where it would run again for every row.
+    """
+    packed = F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))
+    return df.select(*keep, F.inline(packed))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rampart.functions import text as X
 from rampart.functions import urls as U
 
 
@@ -12,15 +13,15 @@ def classify(df: DataFrame, url: str = "URL", status: str = "Status",
              with_map: bool = False) -> DataFrame:
     """Add ``attack_types`` and ``critical_alert`` (and the map).
 
-    The URL is decoded once and the six searches run once per row in a
-    first projection; the labels are derived from those booleans in a second
-    one.  Spark does not merge the two projections because that would repeat
-    the regex searches.  Null URL or status count as ``''``.
+    The URL is decoded once and the six searches run once per row (see
+    ``compute_once``: a later filter on the labels does not repeat them);
+    the labels are derived from those booleans.  Null URL or status count
+    as ``''``.
     """
     flag_cols = [f"_atk{i}" for i in range(len(U.ATTACK_NAMES))]
     decoded = U.percent_decode(F.coalesce(F.col(url), F.lit("")))
-    staged = df.select("*", decoded.alias("_decoded")).select(
-        "*", *[U.attack_flag(F.col("_decoded"), n).alias(c) for n, c in zip(U.ATTACK_NAMES, flag_cols)])
+    staged = X.compute_once(df.select("*", decoded.alias("_decoded")), df.columns,
+                            {c: U.attack_flag(F.col("_decoded"), n) for n, c in zip(U.ATTACK_NAMES, flag_cols)})
     flags = [F.col(c) for c in flag_cols]
     extra = [U.attack_types(flags).alias("attack_types"),
              U.critical_alert(flags, F.col(status)).alias("critical_alert")]

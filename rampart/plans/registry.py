@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rampart.operators import classify as C
+from rampart.functions import text as X
 from rampart.operators import dashboard as D
+from rampart.operators import merge as M
+from rampart.operators import parse as P
 from rampart.plans import oracle as O
 from rampart.sources import testdata as TD
 
@@ -239,3 +242,134 @@ def critical(spark, sf):
 SELECT id, URL, attack_types, critical_alert FROM classified""")
 def classify_access(spark, sf):
     return classified_access(spark, sf).select("id", "URL", "attack_types", "critical_alert")
+
+
+# --- parsing (P1–P19) ----------------------------------------------------------
+
+NORM_COLS_SQL = f"""id, RemoteAddress, RemoteUser, {O.ts_text('TimeLocal')} AS TimeLocal, Request, URL, Version,
+       Status, BodyBytesSent, Referer, UserAgent, token"""
+
+
+@register("parse_log", O.with_ctes(O.ACCESS) + f"""
+SELECT {NORM_COLS_SQL} FROM access WHERE token IS NOT NULL""")
+def parse_log(spark, sf):
+    return plain(P.normalize(TD.marker_lines(access(spark, sf))))
+
+
+@register("reject_counts", O.with_ctes(O.ACCESS) + """
+SELECT reason, count(*) AS count FROM (
+  SELECT CASE WHEN id % 10 = 0 THEN 'no_marker'
+              WHEN id % 10 = 1 THEN 'too_many'
+              WHEN id % 10 = 3 THEN 'too_few'
+              WHEN token IS NULL THEN 'too_few'
+              WHEN id % 10 = 2 THEN 'bad_time' END AS reason
+  FROM access) t
+WHERE reason IS NOT NULL GROUP BY 1""")
+def reject_counts(spark, sf):
+    return P.reject_counts(P.parse_marker(TD.damaged_marker_lines(access(spark, sf))))
+
+
+@register("parse_with_rejects", O.with_ctes(O.ACCESS) + """
+SELECT count(*) FILTER (WHERE token IS NOT NULL AND id % 10 NOT IN (0, 1, 2, 3)) AS good,
+       count(*) FILTER (WHERE NOT (token IS NOT NULL AND id % 10 NOT IN (0, 1, 2, 3))) AS rejected,
+       count(*) AS lines
+FROM access""")
+def parse_with_rejects(spark, sf):
+    parsed = P.parse_marker(TD.damaged_marker_lines(access(spark, sf)))
+    return parsed.agg(F.count_if(F.col("reason").isNull()).alias("good"),
+                      F.count_if(F.col("reason").isNotNull()).alias("rejected"),
+                      F.count(F.lit(1)).alias("lines"))
+
+
+@register("clean_text", """
+SELECT doc_id, CAST(length(c) AS BIGINT) AS n_clean, md5(c) AS md5_clean
+FROM (SELECT doc_id, regexp_replace(text, '[^\\x20-\\x7E\\n\\r\\t]', '', 'g') AS c FROM documents) t""")
+def clean_text(spark, sf):
+    c = X.ascii_clean(F.col("text"))
+    return (TD.table(spark, sf, "documents")
+            .select("doc_id", F.length(c).cast("bigint").alias("n_clean"), F.md5(c).alias("md5_clean")))
+
+
+@register("quote_wrap", """
+SELECT doc_id, CAST(length(w) AS BIGINT) AS n_wrapped, md5(w) AS md5_wrapped
+FROM (SELECT doc_id, '"' || replace(regexp_replace(text, '[^\\x20-\\x7E\\n\\r\\t]', '', 'g'), '"', '""') || '"' AS w
+      FROM documents) t""")
+def quote_wrap(spark, sf):
+    w = X.export_clean(F.col("text"))
+    return (TD.table(spark, sf, "documents")
+            .select("doc_id", F.length(w).cast("bigint").alias("n_wrapped"), F.md5(w).alias("md5_wrapped")))
+
+
+@register("tokenize", """
+SELECT doc_id, CAST(len(regexp_extract_all(text, '"(?:\\\\[^\\n]|[^\\\\"])*"|\\S+')) AS BIGINT) AS n_tokens
+FROM documents""")
+def tokenize(spark, sf):
+    return (TD.table(spark, sf, "documents")
+            .select("doc_id", F.size(X.tokens(F.col("text"))).cast("bigint").alias("n_tokens")))
+
+
+@register("combined_parse", O.with_ctes(O.ACCESS) + f"""
+SELECT id,
+       RemoteAddress AS remote_addr,
+       'u' || CAST(user_id AS VARCHAR) AS remote_user,
+       CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS time_local,
+       CASE WHEN event_type = 'error' THEN '' ELSE
+         CASE event_type WHEN 'purchase' THEN 'POST' WHEN 'signup' THEN 'PUT' ELSE 'GET' END END AS request_type,
+       CASE WHEN event_type = 'error' THEN '' ELSE
+         '/' || event_type || '?k=' || CAST(k AS VARCHAR) || CASE WHEN k % 10 = 0 THEN '&q=x22' ELSE '' END
+       END AS request_path,
+       CASE WHEN event_type = 'error' THEN '' ELSE 'HTTP/1.1' END AS request_protocol,
+       CAST(CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS BIGINT) AS status,
+       CAST(floor(value * 100) AS BIGINT) AS size,
+       '-' AS referer,
+       {O.q(TD.AGENT[1:-1])} AS user_agent
+FROM access WHERE k >= 5""")
+def combined_parse(spark, sf):
+    return plain(P.normalize_combined(TD.combined_lines(spark, sf)).drop("runtime"))
+
+
+@register("combined_rejects", O.with_ctes(O.ACCESS) + """
+SELECT 'bad_status' AS reason, count(*) AS count FROM access WHERE k < 5 HAVING count(*) > 0""")
+def combined_rejects(spark, sf):
+    return P.reject_counts(P.parse_combined(TD.combined_lines(spark, sf)))
+
+
+# --- merge (O1–O3, P18) -------------------------------------------------------
+
+def merge_sources(spark, sf):
+    """Two logs from ``events`` split by event id parity; hour-resolution
+    times make ties across the files; ``k < 5`` rows carry no time."""
+    a = access(spark, sf).withColumn("k", F.regexp_extract("URL", r"\?k=(\d+)", 1).cast("int"))
+    line = F.when(F.col("k") < 5, F.concat(F.lit("-- MARK -- event "), F.col("id").cast("string"))) \
+        .otherwise(F.concat(F.lit("["), F.date_format(F.date_trunc("hour", "TimeLocal"), "dd/MMM/yyyy:HH:mm:ss"),
+                            F.lit("] event "), F.col("id").cast("string")))
+    rows = a.select(F.col("id").alias("line_no"), line.alias("value"), (F.col("id") % 2).alias("_p"))
+    return [rows.where(F.col("_p") == 1).drop("_p"), rows.where(F.col("_p") == 0).drop("_p")]
+
+
+@register("merge_logs", O.with_ctes(O.ACCESS) + f"""
+SELECT CAST(row_number() OVER (ORDER BY ts, file_no, line_no) - 1 AS BIGINT) AS pos,
+       file_no, line_no, {O.ts_text('ts')} AS ts
+FROM (SELECT CASE WHEN id % 2 = 1 THEN 1 ELSE 2 END AS file_no, id AS line_no,
+             date_trunc('hour', TimeLocal) AS ts
+      FROM access WHERE k >= 5) t""")
+def merge_logs(spark, sf):
+    merged = M.merge_logs(merge_sources(spark, sf))
+    return plain(merged.select("pos", "file_no", "line_no", "ts"))
+
+
+# --- numbering of a written log (SRC1, SNK10, P7) -------------------------------
+
+@register("number_lines", """
+SELECT event_id + 1 AS id, 'event ' || CAST(event_id AS VARCHAR) AS value FROM events""")
+def number_lines_query(spark, sf):
+    """Write events as text lines in event order (several part files), read
+    them back and number them in file order."""
+    from rampart.session import shared_dir
+    from rampart.sinks import write_merged_text
+    from rampart.sources.files import read_lines
+    out = shared_dir(spark, "lines")
+    ev = TD.table(spark, sf, "events").select(
+        "event_id", F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("value"))
+    write_merged_text(ev.repartition(4), out, ["event_id"])
+    return read_lines(spark, out, numbered=True).select("id", "value")
