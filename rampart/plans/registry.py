@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rampart.operators import blocking as B
 from rampart.operators import classify as C
 from rampart.functions import text as X
 from rampart.operators import dashboard as D
@@ -373,3 +374,75 @@ def number_lines_query(spark, sf):
         "event_id", F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("value"))
     write_merged_text(ev.repartition(4), out, ["event_id"])
     return read_lines(spark, out, numbered=True).select("id", "value")
+
+
+# --- blocking (J1, J3, B1, B2) ------------------------------------------------
+
+# Whitelist used by the queries (a parameter, like the reference's setting).
+WHITELIST = ["10.0.0.0/26", "10.0.0.100", "10.0.1.0/28", "not-an-address"]
+
+
+def blocked_list(spark, sf):
+    """Existing block list: addresses that sent a request valued over 300."""
+    ev = TD.table(spark, sf, "events").where(F.col("value") > 300)
+    uid = F.col("user_id")
+    return ev.select(F.concat(F.lit("10.0."), F.floor(uid / 256).cast("string"), F.lit("."),
+                              F.pmod(uid, F.lit(256)).cast("string")).alias("RemoteAddress")).distinct()
+
+
+def whitelist_df(spark):
+    return spark.createDataFrame([(e,) for e in WHITELIST], "entry STRING")
+
+
+BLOCKED_SQL = "blocked AS (SELECT DISTINCT RemoteAddress FROM access WHERE value > 300)"
+WL_SQL = """wl AS (
+  SELECT RemoteAddress FROM access
+  WHERE RemoteAddress = '10.0.0.100'
+     OR (split_part(RemoteAddress, '.', 1) = '10' AND split_part(RemoteAddress, '.', 2) = '0'
+         AND ((split_part(RemoteAddress, '.', 3) = '0' AND CAST(split_part(RemoteAddress, '.', 4) AS INT) < 64)
+           OR (split_part(RemoteAddress, '.', 3) = '1' AND CAST(split_part(RemoteAddress, '.', 4) AS INT) < 16))))"""
+
+
+@register("new_blocked", O.with_ctes(O.ACCESS, CL_ACCESS, ERR, BLOCKED_SQL) + """
+SELECT DISTINCT RemoteAddress FROM errors
+WHERE RemoteAddress IS NOT NULL AND RemoteAddress NOT IN (SELECT RemoteAddress FROM blocked)""")
+def new_blocked(spark, sf):
+    return B.new_addresses(error_table(spark, sf), blocked_list(spark, sf))
+
+
+@register("whitelist_excl", O.with_ctes(O.ACCESS, WL_SQL) + """
+SELECT RemoteAddress, count(*) AS count FROM access
+WHERE RemoteAddress NOT IN (SELECT RemoteAddress FROM wl) GROUP BY 1""")
+def whitelist_excl(spark, sf):
+    kept = B.exclude_whitelisted(access(spark, sf), whitelist_df(spark))
+    return D.address_counts(kept)
+
+
+@register("block_refresh_critical", O.with_ctes(O.ACCESS, CL_ACCESS, BLOCKED_SQL, WL_SQL) + """
+SELECT DISTINCT RemoteAddress FROM classified
+WHERE critical_alert AND RemoteAddress IS NOT NULL
+  AND RemoteAddress NOT IN (SELECT RemoteAddress FROM blocked)
+  AND RemoteAddress NOT IN (SELECT RemoteAddress FROM wl)""")
+def block_refresh_critical(spark, sf):
+    return B.refresh_blocklist(classified_access(spark, sf), blocked_list(spark, sf),
+                               whitelist_df(spark), critical_only=True)
+
+
+RATE_SQL = """
+SELECT RemoteAddress, strftime(min(TimeLocal), '%Y-%m-%d %H:%M:%S') AS ban_time FROM (
+  SELECT RemoteAddress, TimeLocal,
+         count(*) OVER (PARTITION BY RemoteAddress ORDER BY epoch(TimeLocal)
+                        RANGE BETWEEN {findtime} PRECEDING AND CURRENT ROW) AS n
+  FROM access WHERE {cond}) t
+WHERE n >= {maxretry} GROUP BY 1"""
+
+
+@register("rate_ban", O.with_ctes(O.ACCESS) + RATE_SQL.format(
+    findtime=86400, maxretry=5, cond="regexp_matches(Status, '^[45]')"))
+def rate_ban(spark, sf):
+    return plain(B.rate_ban(access(spark, sf), B.failed_request(), findtime=86400, maxretry=5))
+
+
+@register("rate_limit", O.with_ctes(O.ACCESS) + RATE_SQL.format(findtime=86400, maxretry=5, cond="true"))
+def rate_limit(spark, sf):
+    return plain(B.rate_ban(access(spark, sf), None, findtime=86400, maxretry=5))
