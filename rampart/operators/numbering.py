@@ -65,23 +65,27 @@ def _bytes(s: str) -> int:
     return int(s)
 
 
-def index_sorted(df: DataFrame, order_cols: list, out: str = "pos", base: int = 0) -> DataFrame:
+def index_sorted(df: DataFrame, order_cols: list, out: str = "pos", base: int = 0,
+                 num_partitions: int | None = None) -> DataFrame:
     """Position of each row in the order of ``order_cols`` (a total order).
 
-    A range-partitioned sort puts the rows in order across partitions; the
-    per-partition counts become offsets.  The sorted exchange is shared by
-    both uses (Spark reuses identical exchanges), and because the order is
-    total, a recomputed partition yields the same positions.  The offsets
-    table has one row per sorted partition.
+    ``repartitionByRange`` with an explicit partition count puts the rows in
+    order across partitions, and ``sortWithinPartitions`` orders each one;
+    the per-partition counts become offsets.  The explicit count matters:
+    AQE never coalesces such a shuffle, so the counting branch and the
+    numbering branch read the very same partitions (they share one reused
+    exchange).  Because the order is total, a recomputed partition yields
+    the same positions.  The offsets table has one row per partition.
     """
-    tagged = (df.orderBy(*order_cols)
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tagged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     pieces = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select("_pid", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    side = F.broadcast(pieces) if n_parts <= MAX_BROADCAST_PIECES else pieces
+    side = F.broadcast(pieces) if n <= MAX_BROADCAST_PIECES else pieces
     return (tagged.join(side, on="_pid", how="inner")
             .withColumn(out, F.col("_off") + (F.col("_mid") - F.col("_m0")) + F.lit(base))
             .drop("_pid", "_mid", "_m0", "_off"))

@@ -18,8 +18,12 @@ from rampart.operators import blocking as B
 from rampart.operators import classify as C
 from rampart.functions import text as X
 from rampart.operators import dashboard as D
+from rampart.operators import features as FT
+from rampart.operators import forest as FR
+from rampart.operators import threshold as TH
 from rampart.operators import merge as M
 from rampart.operators import parse as P
+from rampart.plans import detect as DT
 from rampart.plans import oracle as O
 from rampart.sources import testdata as TD
 
@@ -446,3 +450,163 @@ def rate_ban(spark, sf):
 @register("rate_limit", O.with_ctes(O.ACCESS) + RATE_SQL.format(findtime=86400, maxretry=5, cond="true"))
 def rate_limit(spark, sf):
     return plain(B.rate_ban(access(spark, sf), None, findtime=86400, maxretry=5))
+
+
+# --- features (FT1–FT10, J2, O4, O5) -----------------------------------------
+
+CATS = ["URL", "RemoteAddress", "token"]
+
+
+def _pairs_sql(src: str) -> str:
+    return " UNION ".join(f"SELECT DISTINCT '{c}' AS \"column\", coalesce({c}, 'nan') AS label FROM {src}"
+                          for c in CATS)
+
+
+@register("lengths", O.with_ctes(O.ACCESS) + """
+SELECT id, CAST(coalesce(length(token), -1) AS BIGINT) AS lenToken,
+       CAST(coalesce(length(URL), 3) AS BIGINT) AS lenURL FROM access""")
+def lengths(spark, sf):
+    return plain(FT.add_lengths(access(spark, sf)).select("id", "lenToken", "lenURL"))
+
+
+@register("label_encode", O.with_ctes(O.ACCESS, f"pairs AS ({_pairs_sql('access')})") + """
+SELECT "column", label, CAST(dense_rank() OVER (PARTITION BY "column" ORDER BY label) - 1 AS BIGINT) AS code
+FROM pairs""")
+def label_encode(spark, sf):
+    return plain(FT.fit_labels(access(spark, sf), CATS))
+
+
+KNOWN_SRC = "(SELECT * FROM access WHERE event_type IN ('view', 'click'))"
+
+
+@register("label_update", O.with_ctes(
+    O.ACCESS,
+    f"known_pairs AS ({_pairs_sql(KNOWN_SRC)})",
+    f"all_pairs AS ({_pairs_sql('access')})",
+    """known AS (SELECT "column", label, dense_rank() OVER (PARTITION BY "column" ORDER BY label) - 1 AS code
+               FROM known_pairs)""",
+    """fresh AS (SELECT "column", label FROM all_pairs EXCEPT SELECT "column", label FROM known_pairs)""",
+    """start AS (SELECT "column", max(code) + 1 AS s FROM known GROUP BY 1)""") + """
+SELECT "column", label, CAST(code AS BIGINT) AS code FROM known
+UNION ALL
+SELECT f."column", f.label,
+       CAST(coalesce(s.s, 0) + dense_rank() OVER (PARTITION BY f."column" ORDER BY f.label) - 1 AS BIGINT) AS code
+FROM fresh f LEFT JOIN start s ON f."column" = s."column\"""")
+def label_update(spark, sf):
+    a = access(spark, sf)
+    known = FT.fit_labels(a.where(F.col("Request").isin("VIEW", "CLICK")), CATS)
+    return plain(FT.update_labels(known, a, CATS))
+
+
+@register("label_new", O.with_ctes(
+    O.ACCESS, f"known_pairs AS ({_pairs_sql(KNOWN_SRC)})", f"all_pairs AS ({_pairs_sql('access')})") + """
+SELECT "column", label FROM all_pairs EXCEPT SELECT "column", label FROM known_pairs""")
+def label_new(spark, sf):
+    a = access(spark, sf)
+    known = FT.fit_labels(a.where(F.col("Request").isin("VIEW", "CLICK")), CATS)
+    return FT.new_labels(known, a, CATS)
+
+
+@register("label_refit", O.with_ctes(O.ACCESS, f"pairs AS ({_pairs_sql('access')})") + """
+SELECT "column", label, CAST(dense_rank() OVER (PARTITION BY "column" ORDER BY label) - 1 AS BIGINT) AS code
+FROM pairs""")
+def label_refit(spark, sf):
+    a = access(spark, sf)
+    known = FT.fit_labels(a.where(F.col("Request").isin("VIEW", "CLICK")), CATS)
+    return plain(FT.update_labels(known, a, CATS, refit=True))
+
+
+@register("scale_stats", O.with_ctes(O.ACCESS) + """
+SELECT * FROM (
+  SELECT 'id' AS "column", round(avg(id), 6) AS mean, round(stddev_pop(id), 6) AS std FROM access
+  UNION ALL SELECT 'lenToken', round(avg(coalesce(length(token), -1)), 6),
+                   round(stddev_pop(coalesce(length(token), -1)), 6) FROM access
+  UNION ALL SELECT 'lenURL', round(avg(coalesce(length(URL), 3)), 6),
+                   round(stddev_pop(coalesce(length(URL), 3)), 6) FROM access) t""")
+def scale_stats(spark, sf):
+    st = FT.fit_scaler(FT.add_lengths(access(spark, sf)), ["id", "lenToken", "lenURL"])
+    return st.select("column", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+def _feature_sql() -> str:
+    codes = ",\n".join(
+        f"  dense_rank() OVER (ORDER BY coalesce({c}, 'nan')) - 1 AS {c}_code" for c in CATS)
+    raw = f"""raw AS (
+  SELECT id, CAST(coalesce(length(token), -1) AS DOUBLE) AS lenToken,
+         CAST(coalesce(length(URL), 3) AS DOUBLE) AS lenURL,
+{codes}
+  FROM access)"""
+    names = ["lenToken", "lenURL"] + [f"{c}_code" for c in CATS]
+    cols = ",\n".join(
+        f"  round((x{i} - avg(x{i}) OVER ()) / coalesce(nullif(stddev_pop(x{i}) OVER (), 0), 1), 6) AS f{i}"
+        for i in range(len(names)))
+    ren = ", ".join(f"CAST({n} AS DOUBLE) AS x{i}" for i, n in enumerate(names))
+    return O.with_ctes(O.ACCESS, raw, f"xs AS (SELECT id, {ren} FROM raw)") + f"\nSELECT id,\n{cols}\nFROM xs"
+
+
+@register("feature_matrix", _feature_sql())
+def feature_matrix(spark, sf):
+    frame, _, _ = DT.prepare(access(spark, sf), FT.SCORE_FEATURES)
+    return frame.select("id", *[F.round(f"f{i}", 6).alias(f"f{i}") for i in range(5)])
+
+
+# --- thresholds (A1–A3, M3, M5, M6) ----------------------------------------------
+
+@register("batch_stats", O.with_ctes(O.ACCESS) + """
+SELECT CAST(floor((id - 1) / 25) AS BIGINT) AS batch_id,
+       round(avg(-value / 1000), 9) AS score_mean, round(stddev_pop(-value / 1000), 9) AS score_std
+FROM access GROUP BY 1""")
+def batch_stats(spark, sf):
+    s = TH.with_batches(access_scores(spark, sf), 25)
+    st = TH.batch_stats(s, "score", "batch_id")
+    return st.select("batch_id", F.round("score_mean", 9).alias("score_mean"),
+                     F.round("score_std", 9).alias("score_std"))
+
+
+def access_scores(spark, sf):
+    """Stand-in scores in [-0.5, 0): lower is odder, like the forest's."""
+    ev = TD.table(spark, sf, "events")
+    return ev.select((F.col("event_id") + 1).alias("id"), (-F.col("value") / 1000).alias("score"))
+
+
+@register("adaptive_threshold", O.with_ctes(O.ACCESS) + """
+SELECT id, batch_id, round(score, 9) AS score FROM (
+  SELECT id, batch_id, score, avg(score) OVER (PARTITION BY batch_id) AS m,
+         stddev_pop(score) OVER (PARTITION BY batch_id) AS s
+  FROM (SELECT id, CAST(floor((id - 1) / 25) AS BIGINT) AS batch_id, -value / 1000 AS score FROM access) a) t
+WHERE score < m * (1 - 10 * s) AND score < 0.09""")
+def adaptive_threshold(spark, sf):
+    s = TH.with_batches(access_scores(spark, sf), 25)
+    kept = TH.adaptive_filter(s, "score", "batch_id")
+    return kept.select("id", "batch_id", F.round("score", 9).alias("score"))
+
+
+@register("contamination_cut", """
+SELECT event_id + 1 AS id, CAST(-1 AS BIGINT) AS anomaly,
+       round(value - (SELECT quantile_cont(value, 0.0007) FROM events), 9) AS anomaly_score
+FROM events WHERE value - (SELECT quantile_cont(value, 0.0007) FROM events) < 0""")
+def contamination_cut(spark, sf):
+    ev = TD.table(spark, sf, "events").select((F.col("event_id") + 1).alias("id"),
+                                              F.col("value").alias("raw_score"))
+    offset = FR.fit_offset(ev, 0.0007)
+    flagged = FR.anomalies(FR.decide(ev, offset))
+    return flagged.select("id", F.col("anomaly").cast("bigint").alias("anomaly"),
+                          F.round("anomaly_score", 9).alias("anomaly_score"))
+
+
+# --- isolation forest (M1–M6): no SQL oracle; see tests/test_forest.py ----------
+
+@register("forest_score")
+def forest_score(spark, sf):
+    """Train on the whole access log (100 trees, 150 samples, seed 42) and
+    score every row."""
+    _, scored = DT.train(spark, access(spark, sf))
+    return scored.select("id", F.round("anomaly_score", 9).alias("anomaly_score"),
+                         F.col("anomaly").cast("bigint").alias("anomaly"))
+
+
+@register("forest_anomalies")
+def forest_anomalies(spark, sf):
+    """M6: the training rows labelled -1 (contamination 0.0007)."""
+    _, scored = DT.train(spark, access(spark, sf))
+    return plain(FR.anomalies(scored).select("id", "RemoteAddress", "URL", "anomaly_score"))
