@@ -610,3 +610,50 @@ def forest_anomalies(spark, sf):
     """M6: the training rows labelled -1 (contamination 0.0007)."""
     _, scored = DT.train(spark, access(spark, sf))
     return plain(FR.anomalies(scored).select("id", "RemoteAddress", "URL", "anomaly_score"))
+
+
+# --- streaming (SRC2-style file stream, S3–S6, stateful B2) ----------------------
+
+def _write_log_files(spark, sf, n_files: int = 4) -> str:
+    """Marker lines of the access log as ``n_files`` text files, in time
+    order, under the shared folder."""
+    from rampart.session import shared_dir
+    from rampart.sinks import write_merged_text
+    out = shared_dir(spark, "log")
+    lines = TD.marker_lines(access(spark, sf))
+    write_merged_text(lines.repartition(n_files), out, ["id"])
+    return out
+
+
+@register("stream_classify", O.with_ctes(O.ACCESS, CL_ACCESS) + f"""
+SELECT RemoteAddress, {O.ts_text('TimeLocal')} AS TimeLocal, URL, attack_types, critical_alert
+FROM classified WHERE token IS NOT NULL""")
+def stream_classify(spark, sf):
+    """Log files → streaming parse (several micro-batches) → foreachBatch
+    classify → per-batch partitions; the result is read back whole."""
+    from rampart.session import shared_dir
+    from rampart.streaming.live import outputs_under, start_file_stream
+    logs = _write_log_files(spark, sf)
+    out, ckpt = shared_dir(spark, "live-out"), shared_dir(spark, "live-ckpt")
+    q = start_file_stream(spark, logs, out, ckpt, model=None, max_files=1)
+    q.awaitTermination()
+    res = spark.read.parquet(outputs_under(out).classified)
+    return plain(res.select("RemoteAddress", "TimeLocal", "URL", "attack_types", "critical_alert"))
+
+
+@register("stream_rate_ban", O.with_ctes(O.ACCESS, "parsed AS (SELECT * FROM access WHERE token IS NOT NULL)")
+          + RATE_SQL.format(findtime=86400, maxretry=5, cond="true").replace("FROM access", "FROM parsed"))
+def stream_rate_ban(spark, sf):
+    """Stateful streaming ban over the parsed log (one micro-batch, time
+    order within it), written by foreachBatch and read back."""
+    from rampart.session import shared_dir
+    from rampart.streaming.rateban import stream_rate_ban as srb
+    logs = _write_log_files(spark, sf)
+    out, ckpt = shared_dir(spark, "ban-out"), shared_dir(spark, "ban-ckpt")
+    lines = spark.readStream.schema("value STRING").text(logs)
+    good = P.normalize(lines.select(F.xxhash64("value").alias("id"), "value"))
+    bans = srb(good, None, findtime=86400, maxretry=5)
+    q = (bans.writeStream.outputMode("append").option("checkpointLocation", ckpt)
+         .format("parquet").option("path", out).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return plain(spark.read.parquet(out))
