@@ -51,5 +51,9 @@ FOREST_PARAMS = T.StructType([
     T.StructField("seed", L), T.StructField("features", T.ArrayType(S)),
     T.StructField("contamination", D)])
 
-# Names used on CSV export, as the reference's readers expect them.
+# ---------------------------------------------------------------------------
+# Names and labels of the reference's classified CSV, used on
+# export so that its readers find them.
 EXPORT_NAMES = {"attack_types": "Types d'attaque", "critical_alert": "Alerte Critique"}
+CRITICAL_YES, CRITICAL_NO = "Oui", "Non"
+# ---------------------------------------------------------------------------

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rampart.functions import text as X
-from rampart.schemas import EXPORT_NAMES
+from rampart.schemas import CRITICAL_NO, CRITICAL_YES, EXPORT_NAMES
+
+# Time layout of the CSV tables (what the readers parse back, FT3).
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
 def overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -65,9 +68,10 @@ def export_csv(df: DataFrame, path: str, wrap_strings: bool = False) -> None:
         if wrap_strings and isinstance(f.dataType, T.StringType):
             c = X.export_clean(c)
         elif isinstance(f.dataType, T.BooleanType) and f.name == "critical_alert":
-            c = F.when(c, F.lit("Oui")).otherwise(F.lit("Non"))
+            c = F.when(c, F.lit(CRITICAL_YES)).otherwise(F.lit(CRITICAL_NO))
         cols.append(c.alias(EXPORT_NAMES.get(f.name, f.name)))
     (df.select(*cols).write.mode("append").option("header", True).option("escape", '"')
+     .option("timestampNTZFormat", TIME_FORMAT).option("timestampFormat", TIME_FORMAT)
      .csv(path))
 
 
