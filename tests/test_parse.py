@@ -71,7 +71,9 @@ def test_random_lines_match_python(spark):
 
 def test_tokenizer_matches_python_findall(spark):
     rnd = random.Random(3)
-    chars = ['"', '\\', ' ', 'a', '\n', '　', '\x85', '\x1f', 'z', ' ']
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    assert len(spaces) == 29
+    chars = ['"', '\\', 'a', 'z', '\u180e', '\u200b', '\ufeff'] + spaces
     texts = ["".join(rnd.choice(chars) for _ in range(rnd.randint(0, 30))) for _ in range(2000)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
     got = {r["i"]: list(r["k"]) for r in df.select("i", X.tokens(F.col("t")).alias("k")).collect()}
