@@ -66,19 +66,23 @@ def train(spark: SparkSession, normalized: DataFrame, features: list[str] | None
     """Fit encoders, scaler and forest; return the model and the
     training rows scored (``anomaly``, ``anomaly_score``).
 
-    The prepared feature frame is checkpointed to the shared folder once:
-    the forest fit, the offset and the final scores all read it, and a lost
-    executor then recomputes from the checkpoint, not from the raw logs.
+    The prepared features are cached while the forest is fitted (a lost
+    block is recomputed from lineage), and the raw scores are checkpointed
+    to the shared folder: the offset and the final labels read that, so
+    the scoring UDF runs once per row.
     """
+    from rampart.session import ensure_checkpoint_dir
     features = features or FT.SCORE_FEATURES
     frame, labels, scaler = prepare(normalized, features)
-    from rampart.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    frame = frame.checkpoint(eager=True)
-    n = frame.count()
-    forest = FR.fit_forest(spark, frame, n_trees=n_trees, psi=psi, seed=seed, n_rows=n,
-                           feature_names=features)
-    raw = FR.score(frame, forest)
+    frame = frame.persist()
+    try:
+        n = frame.count()
+        forest = FR.fit_forest(spark, frame, n_trees=n_trees, psi=psi, seed=seed, n_rows=n,
+                               feature_names=features)
+        ensure_checkpoint_dir(spark)
+        raw = FR.score(frame, forest).checkpoint(eager=True)
+    finally:
+        frame.unpersist()
     offset = FR.fit_offset(raw, contamination)
     forest.offset, forest.contamination = float(offset), contamination
     scored = FR.decide(raw, offset)
