@@ -40,15 +40,6 @@ def c_factor(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + EULER_GAMMA) - 2.0 * (n - 1.0) / n
 
 
-def _c_vec(n: np.ndarray) -> np.ndarray:
-    n = n.astype(np.float64)
-    out = np.zeros_like(n)
-    out[n == 2] = 1.0
-    big = n > 2
-    out[big] = 2.0 * (np.log(n[big] - 1.0) + EULER_GAMMA) - 2.0 * (n[big] - 1.0) / n[big]
-    return out
-
-
 def _unit_hash(*cols: Column) -> Column:
     """A uniform number in [0, 1) from a 64-bit hash of the columns."""
     h = F.xxhash64(*cols)
@@ -56,18 +47,35 @@ def _unit_hash(*cols: Column) -> Column:
 
 
 def sample_trees(features: DataFrame, n_rows: int, n_trees: int, psi: int, seed: int,
-                 id_col: str = "id", oversample: float = 4.0) -> tuple[DataFrame, int]:
+                 id_col: str = "id", oversample: float = 4.0, pool_factor: int = 8,
+                 exact: bool = False) -> tuple[DataFrame, int]:
     """M1: rows of every tree's sample, as ``(tree, id, f0..fk)``.
 
+    Tree ``t`` takes the ``psi`` rows with the smallest ``h_t(id)``.  When
+    the input is much larger than the forest needs (``n > pool_factor * T *
+    psi``), rows are first thinned by one hash per row to a uniform pool of
+    about ``pool_factor * T * psi`` rows; each tree's bottom-``psi`` inside
+    that pool is still a uniform sample without replacement, and only pool
+    rows are multiplied by ``T``.  A hash cut then keeps a few times ``psi``
+    candidates per tree before the per-tree ranking.
+
+    ``exact`` skips both cuts (every row, every tree): the fallback when a
+    cut left some tree short, which the caller checks.
+
     Returns the sample frame and the effective ``psi = min(psi, n)``.
     """
     psi_eff = int(min(psi, n_rows))
-    tau = 1.0 if n_rows <= 16 * psi else min(1.0, oversample * psi / n_rows)
     fcols = [c for c in features.columns if c.startswith("f") and c[1:].isdigit()]
-    exploded = features.select(F.col(id_col).alias("id"), *fcols,
-                               F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-    u = _unit_hash(F.col("id"), F.col("tree"), F.lit(seed))
-    cands = exploded.withColumn("_u", u)
+    base = features.select(F.col(id_col).alias("id"), *fcols)
+    pool_n = n_rows
+    pool_target = pool_factor * n_trees * psi
+    if n_rows > pool_target and not exact:
+        keep = pool_target / n_rows
+        base = base.where(_unit_hash(F.col("id"), F.lit(seed), F.lit(-1)) < F.lit(keep))
+        pool_n = pool_target
+    tau = 1.0 if (exact or pool_n <= 16 * psi) else min(1.0, oversample * psi / pool_n)
+    exploded = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+    cands = exploded.withColumn("_u", _unit_hash(F.col("id"), F.col("tree"), F.lit(seed)))
     if tau < 1.0:
         cands = cands.where(F.col("_u") < tau)
     w = F.row_number().over(_tree_window())
@@ -190,10 +198,18 @@ def fit_forest(spark: SparkSession, features: DataFrame, n_trees: int = 100, psi
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         return _build_one(pdf, fcols, psi_eff, seed)
 
-    nodes = sample.groupBy("tree").applyInPandas(build, schema=schema).toPandas()
-    got = nodes["tree"].nunique()
-    if got != n_trees:
-        raise RuntimeError(f"forest has {got} trees, expected {n_trees}")
+    sample = sample.persist()          # T * psi rows at most
+    try:
+        sizes = {r["tree"]: r["count"] for r in sample.groupBy("tree").count().collect()}
+        if len(sizes) < n_trees or min(sizes.values()) < psi_eff:
+            sample.unpersist()
+            sample, psi_eff = sample_trees(features, n, n_trees, psi, seed, id_col, exact=True)
+            sample = sample.persist()
+        nodes = sample.groupBy("tree").applyInPandas(build, schema=schema).toPandas()
+    finally:
+        sample.unpersist()
+    if nodes["tree"].nunique() != n_trees:
+        raise RuntimeError(f"forest has {nodes['tree'].nunique()} trees, expected {n_trees}")
     return Forest.from_nodes(nodes, psi_eff, seed, feature_names or fcols)
 
 

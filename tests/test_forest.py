@@ -84,3 +84,13 @@ def test_adaptive_filter_matches_pandas(spark):
     want = sorted(map(tuple, p[(p.anomaly_score < m * (1 - 10 * s)) & (p.anomaly_score < 0.09)].values.tolist()))
     assert [(int(a), b) for a, b in want] == [(int(a), b) for a, b in got] or \
         all(abs(a[1] - b[1]) < 1e-12 for a, b in zip(want, got))
+
+
+def test_thinned_pool_for_large_input(spark):
+    df, _ = _frame(spark, n=3000)
+    # pool_factor 2 with T=5, psi=50 forces thinning: 3000 > 2*5*50
+    sample, psi = FR.sample_trees(df, 3000, 5, 50, 42, pool_factor=2)
+    counts = [r["count"] for r in sample.groupBy("tree").count().collect()]
+    assert psi == 50 and sorted(counts) == [50] * 5
+    ids = {r["id"] for r in sample.select("id").collect()}
+    assert len(ids) <= 2 * 5 * 50 * 2           # drawn from a small pool, not the whole input
