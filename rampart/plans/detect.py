@@ -119,3 +119,34 @@ def load_model(spark: SparkSession, path: str) -> Model:
     forest = FR.load_forest(spark, base)
     return Model(spark.read.parquet(base + "/labels"), spark.read.parquet(base + "/scaler"),
                  forest, list(forest.features))
+
+
+def load_or_create_labels(spark: SparkSession, path: str) -> DataFrame:
+    """SNK9: the saved label dictionary, or an empty one (first run)."""
+    from rampart.schemas import LABELS
+    from rampart.sources.files import path_exists
+    if path_exists(spark, path):
+        return spark.read.schema(LABELS).parquet(path)
+    return spark.createDataFrame([], LABELS)
+
+
+def load_or_create_scaler(spark: SparkSession, path: str) -> DataFrame | None:
+    """SNK9: the saved scaler statistics, or ``None`` (fit on first use)."""
+    from rampart.schemas import SCALER
+    from rampart.sources.files import path_exists
+    return spark.read.schema(SCALER).parquet(path) if path_exists(spark, path) else None
+
+
+def encode_with_store(spark: SparkSession, df: DataFrame, columns: list[str], path: str,
+                      refit: bool = False) -> DataFrame:
+    """FT5/FT6 with a saved dictionary: load or start empty, add the new
+    labels, save, and encode (the reference's encode-from-CSV step)."""
+    known = load_or_create_labels(spark, path)
+    labels = FT.update_labels(known, df, columns, refit=refit).cache()
+    labels.count()
+    tmp = path.rstrip("/") + ".next"
+    labels.write.mode("overwrite").parquet(tmp)
+    labels.unpersist()
+    saved = spark.read.parquet(tmp)
+    saved.write.mode("overwrite").parquet(path)
+    return FT.encode(df, spark.read.parquet(path), columns)

@@ -657,3 +657,29 @@ def stream_rate_ban(spark, sf):
          .format("parquet").option("path", out).trigger(availableNow=True).start())
     q.awaitTermination()
     return plain(spark.read.parquet(out))
+
+
+@register("forest_experiment")
+def forest_experiment(spark, sf):
+    """The experiment variant: features lenToken, lenURL, Request, URL;
+    default 256 samples per tree; contamination 0.0005; seed 42."""
+    _, scored = DT.train(spark, access(spark, sf), features=FT.EXPERIMENT_FEATURES, psi=256,
+                         contamination=DT.EXPERIMENT_CONTAMINATION, seed=42)
+    return scored.select("id", F.round("anomaly_score", 9).alias("anomaly_score"),
+                         F.col("anomaly").cast("bigint").alias("anomaly"))
+
+
+@register("stream_detect")
+def stream_detect(spark, sf):
+    """E1 end to end: a model trained on the access log, then the log files
+    streamed through parse → score → per-batch cut → classify."""
+    from rampart.session import shared_dir
+    from rampart.streaming.live import outputs_under, start_file_stream
+    model, _ = DT.train(spark, access(spark, sf))
+    logs = _write_log_files(spark, sf)
+    out, ckpt = shared_dir(spark, "detect-out"), shared_dir(spark, "detect-ckpt")
+    q = start_file_stream(spark, logs, out, ckpt, model=model, max_files=2)
+    q.awaitTermination()
+    res = spark.read.parquet(outputs_under(out).classified)
+    return plain(res.select("RemoteAddress", "TimeLocal", "URL", "anomaly_score", "attack_types",
+                            "critical_alert"))

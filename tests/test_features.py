@@ -44,3 +44,14 @@ def test_encode_unseen_and_scale(spark):
     assert abs(scaled[0] + 2 ** 0.5) < 1e-12
     const = spark.createDataFrame([(1.0,), (1.0,)], "v DOUBLE")
     assert [r["v"] for r in FT.scale(const, FT.fit_scaler(const, ["v"]), ["v"]).collect()] == [0.0, 0.0]
+
+
+def test_encode_with_store_grows_dictionary(spark, tmpdir_path):
+    from rampart.plans.detect import encode_with_store
+    df = _df(spark)
+    path = tmpdir_path + "/labels"
+    first = encode_with_store(spark, df.where(F.col("id") <= 2), ["URL"], path)
+    assert sorted(r["URL_code"] for r in first.collect()) == [0, 1]
+    second = encode_with_store(spark, df, ["URL"], path)
+    got = {r["id"]: r["URL_code"] for r in second.collect()}
+    assert got[2] == 0 and got[1] == 1 and got[3] == 1 and {got[4], got[5]} == {2, 3}
