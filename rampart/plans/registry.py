@@ -355,7 +355,7 @@ def merge_sources(spark, sf):
 @register("merge_logs", O.with_ctes(O.ACCESS) + f"""
 SELECT CAST(row_number() OVER (ORDER BY ts, file_no, line_no) - 1 AS BIGINT) AS pos,
        file_no, line_no, {O.ts_text('ts')} AS ts
-FROM (SELECT CASE WHEN id % 2 = 1 THEN 1 ELSE 2 END AS file_no, id AS line_no,
+FROM (SELECT CAST(CASE WHEN id % 2 = 1 THEN 1 ELSE 2 END AS BIGINT) AS file_no, id AS line_no,
              date_trunc('hour', TimeLocal) AS ts
       FROM access WHERE k >= 5) t""")
 def merge_logs(spark, sf):
