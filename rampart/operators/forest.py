@@ -166,6 +166,24 @@ class Forest:
     def nodes_frame(self) -> pd.DataFrame:
         return self.nodes
 
+    def broadcast(self, sc):
+        """A broadcast of this forest, created on first use."""
+        bc = self.__dict__.get("_bc")
+        if bc is None:
+            bc = sc.broadcast(self)
+            self.__dict__["_bc"] = bc
+        return bc
+
+    def __getstate__(self):
+        state = dict(self.__dict__)
+        state.pop("_bc", None)
+        state.pop("nodes", None)          # executors need only the arrays
+        return state
+
+    def __setstate__(self, state):
+        state.setdefault("nodes", pd.DataFrame())
+        self.__dict__.update(state)
+
     def raw_scores(self, X: np.ndarray) -> np.ndarray:
         """``-2 ** (-mean path / c(psi))`` for the rows of ``X``."""
         n = X.shape[0]
@@ -214,9 +232,12 @@ def fit_forest(spark: SparkSession, features: DataFrame, n_trees: int = 100, psi
 
 
 def score(df: DataFrame, forest: Forest, out: str = "raw_score") -> DataFrame:
-    """M4 (raw part): Arrow-batched scoring of ``f0..fk`` with all trees."""
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(forest)
+    """M4 (raw part): Arrow-batched scoring of ``f0..fk`` with all trees.
+
+    The forest is broadcast once and the handle reused, so a streaming query
+    that scores every micro-batch ships the model to each executor once.
+    """
+    bc = forest.broadcast(df.sparkSession.sparkContext)
     fcols = [f"f{i}" for i in range(len(forest.features))]
 
     @F.pandas_udf(T.DoubleType())
