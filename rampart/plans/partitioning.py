@@ -16,6 +16,18 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    if num_partitions(df) >= want:
         return df
     return df.repartition(want)
+
+
+def num_partitions(df: DataFrame) -> int:
+    """Partition count of a plan without running it.
+
+    A plain scan plan answers directly on the JVM side; an adaptive plan
+    would run its stages to answer, so it goes through ``df.rdd`` instead.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df.rdd.getNumPartitions()
+    return plan.execute().getNumPartitions()

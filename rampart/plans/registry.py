@@ -635,7 +635,7 @@ def stream_classify(spark, sf):
     from rampart.streaming.live import outputs_under, start_file_stream
     logs = _write_log_files(spark, sf)
     out, ckpt = shared_dir(spark, "live-out"), shared_dir(spark, "live-ckpt")
-    q = start_file_stream(spark, logs, out, ckpt, model=None, max_files=1)
+    q = start_file_stream(spark, logs, out, ckpt, model=None, max_files=2)
     q.awaitTermination()
     res = spark.read.parquet(outputs_under(out).classified)
     return plain(res.select("RemoteAddress", "TimeLocal", "URL", "attack_types", "critical_alert"))
