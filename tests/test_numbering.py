@@ -43,3 +43,19 @@ def test_utf16_batch_read(spark, tmpdir_path):
         f.write(("\n".join(lines) + "\n").encode("utf-16-le"))
     got = [r["value"] for r in read_lines(spark, p, encoding="UTF-16LE").collect()]
     assert got == lines
+
+
+def test_utf16_numbering_across_many_splits(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "u16.log")
+    lines = [f"line {i} é ਊ " + "x" * (i % 37) for i in range(3000)]
+    with open(p, "wb") as f:
+        f.write(("\n".join(lines) + "\n").encode("utf-16-le"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7001")      # odd: splits land mid-character
+    try:
+        df = read_lines(spark, p, encoding="UTF-16LE", numbered=True)
+        assert df.rdd.getNumPartitions() > 10
+        got = [r["value"] for r in df.orderBy("id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == lines
