@@ -84,9 +84,16 @@ def exclude_whitelisted(rows: DataFrame, whitelist: DataFrame, col: str = ADDR)
 
 def refresh_blocklist(classified: DataFrame, blocked: DataFrame, whitelist: DataFrame | None = None,
                       critical_only: bool = False, col: str = ADDR) -> DataFrame:
-    """B1: addresses to append to the block list this round."""
-    rows = classified if whitelist is None else exclude_whitelisted(classified, whitelist, col)
-    return new_addresses(rows, blocked, col, critical_only)
+    """B1: addresses to append to the block list this round.
+
+    The rows are reduced to their distinct addresses first; the whitelist
+    and the block list then only touch that small set.
+    """
+    rows = classified.where(F.col("critical_alert")) if critical_only else classified
+    cand = rows.select(col).where(F.col(col).isNotNull()).distinct()
+    if whitelist is not None:
+        cand = cand.join(whitelisted(cand, whitelist, col), on=col, how="left_anti")
+    return cand.join(blocked.select(col), on=col, how="left_anti")
 
 
 def rate_ban(rows: DataFrame, failure: Column | None = None, findtime: int = FINDTIME_SEC,

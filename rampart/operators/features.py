@@ -68,9 +68,21 @@ def _codes(pairs: DataFrame, start: DataFrame | None = None) -> DataFrame:
     return coded.select("column", "label", code.cast("int").alias("code"))
 
 
-def fit_labels(df: DataFrame, columns: list[str]) -> DataFrame:
+def _materialize(df: DataFrame) -> DataFrame:
+    """Write a fitted dictionary once to the shared checkpoint folder.
+
+    A dictionary is read several times (anti join, code offsets, lookups);
+    without this each read would redo the distinct, the sort and the
+    offsets.
+    """
+    from rampart.session import checkpoint
+    return checkpoint(df)
+
+
+def fit_labels(df: DataFrame, columns: list[str], materialize: bool = True) -> DataFrame:
     """FT5: label dictionary, codes 0..k-1 in sorted label order."""
-    return _codes(_label_pairs(df, columns))
+    out = _codes(_label_pairs(df, columns))
+    return _materialize(out) if materialize else out
 
 
 def new_labels(labels: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
@@ -78,7 +90,8 @@ def new_labels(labels: DataFrame, df: DataFrame, columns: list[str]) -> DataFram
     return _label_pairs(df, columns).join(labels.select("column", "label"), ["column", "label"], "left_anti")
 
 
-def update_labels(labels: DataFrame, df: DataFrame, columns: list[str], refit: bool = False) -> DataFrame:
+def update_labels(labels: DataFrame, df: DataFrame, columns: list[str], refit: bool = False,
+                  materialize: bool = True) -> DataFrame:
     """FT6 / O4: extend the dictionary with ``df``'s new labels.
 
     Default: known codes never move; new labels get codes after the
@@ -89,9 +102,11 @@ def update_labels(labels: DataFrame, df: DataFrame, columns: list[str], refit: b
     fresh = new_labels(labels, df, columns)
     if refit:
         union = labels.select("column", "label").unionByName(fresh).distinct()
-        return _codes(union)
-    start = labels.groupBy("column").agg((F.max("code") + 1).alias("_start"))
-    return labels.unionByName(_codes(fresh, start))
+        out = _codes(union)
+    else:
+        start = labels.groupBy("column").agg((F.max("code") + 1).alias("_start"))
+        out = labels.unionByName(_codes(fresh, start))
+    return _materialize(out) if materialize else out
 
 
 def encode(df: DataFrame, labels: DataFrame, columns: list[str], suffix: str = "_code") -> DataFrame:

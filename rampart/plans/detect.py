@@ -48,7 +48,7 @@ def prepare(df: DataFrame, features: list[str], labels: DataFrame | None = None,
     base = FT.add_lengths(df)
     cats = [c for c in features if c in FT.string_columns(base)]
     if labels is None:
-        labels = FT.fit_labels(base, cats).cache()
+        labels = FT.fit_labels(base, cats)
     enc = FT.encode(base, labels, cats)
     names = _encoded_names(base, features)
     if scaler is None:
@@ -71,7 +71,7 @@ def train(spark: SparkSession, normalized: DataFrame, features: list[str] | None
     to the shared folder: the offset and the final labels read that, so
     the scoring UDF runs once per row.
     """
-    from rampart.session import ensure_checkpoint_dir
+    from rampart.session import checkpoint
     features = features or FT.SCORE_FEATURES
     frame, labels, scaler = prepare(normalized, features)
     frame = frame.persist()
@@ -79,8 +79,7 @@ def train(spark: SparkSession, normalized: DataFrame, features: list[str] | None
         n = frame.count()
         forest = FR.fit_forest(spark, frame, n_trees=n_trees, psi=psi, seed=seed, n_rows=n,
                                feature_names=features)
-        ensure_checkpoint_dir(spark)
-        raw = FR.score(frame, forest).checkpoint(eager=True)
+        raw = checkpoint(FR.score(frame, forest))
     finally:
         frame.unpersist()
     offset = FR.fit_offset(raw, contamination)

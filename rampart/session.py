@@ -89,3 +89,14 @@ def local_path(uri: str) -> str:
         while uri.startswith("//"):
             uri = uri[1:]
     return os.path.abspath(uri)
+
+
+def checkpoint(df):
+    """Eager reliable checkpoint into the shared folder.
+
+    The result's lineage starts at the written files, so a lost executor
+    re-reads them instead of recomputing the plan.  (Spark writes an eager
+    checkpoint in a single job; no extra persist is needed.)
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
