@@ -92,8 +92,14 @@ def classify_job(spark: SparkSession, anomalies_table: str, out_path: str, csv:
 
 
 def classify_csv_job(spark: SparkSession, csv_path: str, out_path: str) -> tuple[DataFrame, DataFrame]:
-    """C12 over a positional CSV (SRC8): short rows go to the rejects."""
-    raw = SRC.read_positional_csv(spark, csv_path, SC.SCORED)
+    """C12 over a positional CSV (SRC8): short rows go to the rejects.
+
+    The parsed input is persisted: Spark answers a query on the corrupt
+    record column alone (the rejects) only from parsed rows, and the input,
+    an anomaly table, is a small fraction of the log.  The caller unpersists
+    the returned frames' source when done.
+    """
+    raw = SRC.read_positional_csv(spark, csv_path, SC.SCORED).persist()
     good, bad = C.split_short_rows(raw)
     sinks.export_csv(C.classify(good), out_path)
     return good, bad

@@ -71,3 +71,21 @@ def test_merge_and_legacy_jobs(spark, tmpdir_path):
     assert J.legacy_convert(spark, comb, d + "/legacy") is True
     assert J.legacy_convert(spark, comb, d + "/legacy") is False      # skipped when present
     assert spark.read.parquet(d + "/legacy").count() > 0
+
+
+def test_classify_csv_job_rejects_short_rows(spark, tmpdir_path):
+    d = tmpdir_path
+    header = ("id,RemoteAddress,RemoteUser,TimeLocal,Request,URL,Version,Status,BodyBytesSent,Referer,"
+              "UserAgent,token,lenToken,lenURL,anomaly,anomaly_score")
+    rows = ["1,1.1.1.1,-,2024-10-10 13:55:36,GET,/etc/passwd,HTTP/1.1,200,5,-,ua,t,1,11,-1,-0.1",
+            '2,1.1.1.2,-,2024-10-10 13:55:37,GET,"/a?q=1,2;x",HTTP/1.1,404,5,-,ua,t,1,8,-1,-0.2',
+            "3,1.1.1.3,-,2024-10-10"]
+    p = d + "/anomalies.csv"
+    with open(p, "w") as f:
+        f.write(header + "\n" + "\n".join(rows) + "\n")
+    good, bad = J.classify_csv_job(spark, p, d + "/out")
+    assert good.count() == 2 and bad.count() == 1
+    out = spark.read.option("header", True).option("escape", '"').csv(d + "/out")
+    got = {r["id"]: (r["Types d'attaque"], r["Alerte Critique"]) for r in out.collect()}
+    assert got["1"] == ("LFI", "Oui")
+    assert got["2"] == ("SQL Injection, Command Injection", "Non")
