@@ -88,14 +88,25 @@ def train(spark: SparkSession, normalized: DataFrame, features: list[str] | None
     return Model(labels, scaler, forest, features), scored
 
 
-def score(normalized: DataFrame, model: Model, refit_labels: bool = False) -> DataFrame:
+def score(normalized: DataFrame, model: Model, refit_labels: bool = False,
+          refit_scaler: bool = False) -> DataFrame:
     """E1 scoring step: features with the saved model → ``anomaly`` and
-    ``anomaly_score``; original columns kept, feature columns dropped."""
+    ``anomaly_score``; original columns kept, feature columns dropped.
+
+    The features saved with the model must all be present (a model fitted
+    on five features cannot score three).  ``refit_labels`` / ``refit_scaler``
+    reproduce the reference, which re-sorted its dictionary and refitted
+    the scaler on every scored batch.
+    """
+    have = set(FT.add_lengths(normalized).columns)
+    missing = [c for c in model.features if c not in have]
+    if missing:
+        raise ValueError(f"input lacks the model's features {missing}")
     labels = model.labels
     if refit_labels:
         cats = [c for c in model.features if c in FT.string_columns(normalized)]
         labels = FT.update_labels(labels, normalized, cats, refit=True)
-    frame, _, _ = prepare(normalized, model.features, labels, model.scaler)
+    frame, _, _ = prepare(normalized, model.features, labels, None if refit_scaler else model.scaler)
     raw = FR.score(frame, model.forest)
     out = FR.decide(raw, model.forest.offset)
     return out.drop(*[f"f{i}" for i in range(len(model.features))])

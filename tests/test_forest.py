@@ -94,3 +94,19 @@ def test_thinned_pool_for_large_input(spark):
     assert psi == 50 and sorted(counts) == [50] * 5
     ids = {r["id"] for r in sample.select("id").collect()}
     assert len(ids) <= 2 * 5 * 50 * 2           # drawn from a small pool, not the whole input
+
+
+def test_score_checks_features_and_refit_options(spark):
+    import pytest
+
+    from rampart.plans import detect as DT
+    rows = [(i, f"10.0.0.{i % 5}", f"/p{i % 7}", "t" * (i % 4 + 1)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id BIGINT, RemoteAddress STRING, URL STRING, token STRING")
+    model, scored = DT.train(spark, df, n_trees=10, psi=32)
+    assert scored.count() == 300
+    again = DT.score(df, model)
+    assert again.count() == 300
+    refit = DT.score(df, model, refit_labels=True, refit_scaler=True)
+    assert refit.count() == 300
+    with pytest.raises(ValueError):
+        DT.score(df.drop("token", "URL"), model)
