@@ -57,10 +57,13 @@ def strip_prefix(c, prefix: str) -> Column:
 def parse_local_time(c) -> Column:
     """``d/Mon/yyyy:H:M:S`` → ``TIMESTAMP_NTZ``; null when it does not parse.
 
-    Relies on the session zone being UTC (see ``rampart.session``), so the
-    zoned intermediate never shifts the wall clock.
+    ``try_to_timestamp`` only validates; the value comes from
+    ``to_timestamp_ntz``, which never involves a zone, so the wall clock is
+    kept in any session zone (also inside a DST gap).  The CASE guard keeps
+    ANSI mode from raising on text that does not parse.
     """
-    return F.try_to_timestamp(col(c), F.lit(LOCAL_TIME_FORMAT)).cast("timestamp_ntz")
+    fmt = F.lit(LOCAL_TIME_FORMAT)
+    return F.when(F.try_to_timestamp(col(c), fmt).isNotNull(), F.to_timestamp_ntz(col(c), fmt))
 
 
 def parse_zoned_epoch(c) -> Column:

@@ -122,3 +122,15 @@ def test_combined_parse(spark):
     assert rows[4].request_path == "/ax22b?x=1"
     assert rows[5].time_local == rows[1].time_local          # two zones, one instant
     assert rows[6].reason == "malformed"
+
+
+def test_local_time_independent_of_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Paris")
+    try:
+        df = spark.createDataFrame([("31/Mar/2024:02:30:00",), ("99/Mar/2024:02:30:00",)], "s STRING")
+        got = [r[0] for r in df.select(X.parse_local_time("s")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    from datetime import datetime
+    assert got == [datetime(2024, 3, 31, 2, 30), None]     # a DST-gap wall time is kept
