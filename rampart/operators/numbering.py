@@ -18,16 +18,18 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_PIECES = 2_000_000
 
 
-def number_lines(lines: DataFrame, out: str = "id", base: int = 1) -> DataFrame:
+def number_lines(lines: DataFrame, out: str = "id", base: int = 1,
+                 pieces_bound: int | None = None) -> DataFrame:
     """Number text lines in file order, counting every line.
 
     ``lines`` must come from a file scan with ``file_path`` and
-    ``block_start`` columns (see ``sources.files.read_lines``).  Files are
+    ``block_start`` columns (see ``sources.files.read_lines``); rows of a
+    split must come in file order within their partition.  Files are
     ordered by path, splits by start offset, lines by position in the split.
     """
     tagged = lines.withColumn("_mid", F.monotonically_increasing_id())
     keys = ["file_path", "block_start"]
-    pieces_bound = _split_bound(lines)
+    pieces_bound = pieces_bound if pieces_bound is not None else _split_bound(lines)
     pieces = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select(*keys, "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

@@ -28,26 +28,25 @@ def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "utf-
                numbered: bool = False) -> DataFrame:
     """SRC1 / SRC3 / SRC4: one row per line, with its file and split.
 
-    UTF-8 goes through the text source.  Other encodings (the live log is
-    UTF-16LE) go through the CSV source, which transcodes, with a one-column
-    layout: no quoting, a separator that a log line does not carry.  With
-    ``numbered`` the lines get 1-based ``id`` in file order (P7).
+    UTF-8 goes through Spark's text source.  Other encodings (the live log
+    is UTF-16LE) go through the ``logfiles`` source, which reads aligned
+    byte ranges of each file on the executors and decodes whole lines.
+    With ``numbered`` the lines get 1-based ``id`` in file order (P7).
     """
     paths = path if isinstance(path, list) else [path]
-    if encoding.lower().replace("-", "") in ("utf8",):
-        df = spark.read.text(paths)
+    if encoding.lower().replace("-", "").replace("_", "") == "utf8":
+        df = spark.read.text(paths).select(
+            F.col("value"), F.col("_metadata.file_path").alias("file_path"),
+            F.col("_metadata.file_block_start").alias("block_start"))
+        bound = None
     else:
-        df = (spark.read.schema("value STRING")
-              .option("encoding", encoding).option("lineSep", "\n")
-              .option("sep", "\u0001").option("quote", "").option("escape", "")
-              .option("header", False).option("mode", "PERMISSIVE")
-              .csv(paths))
-        df = df.withColumn("value", F.regexp_replace("value", "\r$", ""))
-    df = df.select(F.coalesce("value", F.lit("")).alias("value"),
-                   F.col("_metadata.file_path").alias("file_path"),
-                   F.col("_metadata.file_block_start").alias("block_start"))
+        from rampart.operators.numbering import _bytes
+        from rampart.sources.tail import chunk_count, read_files
+        chunk = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+        df = read_files(spark, paths, encoding, chunk).select("value", "file_path", "block_start")
+        bound = chunk_count(paths, chunk) if numbered else None
     if numbered:
-        df = number_lines(df)
+        df = number_lines(df, pieces_bound=bound)
     return df
 
 

@@ -1,7 +1,8 @@
-"""``logtail``: a streaming source that follows one growing log file.
+"""``logtail``: line sources over byte ranges of log files, any encoding.
 
-The file-based stream source only notices *new files*; a web server appends
-to one file.  This Python data source keeps a byte offset instead:
+Streaming — following one growing file.  Spark's file stream source only
+notices *new files*; a web server appends to one file.  This source keeps a
+byte offset instead:
 
 * the offset is ``{"epoch": e, "pos": p}``: ``p`` is the byte after the last
   complete line delivered; ``e`` counts restarts after truncation/rotation
@@ -14,23 +15,32 @@ to one file.  This Python data source keeps a byte offset instead:
 * ``startingPosition`` is ``latest`` (skip what is there, as a live tail
   does) or ``earliest``.
 
-Options: ``path``, ``encoding`` (``utf-8`` or ``utf-16le``),
-``startingPosition``, ``maxBytesPerPartition``.
+Batch — whole files in ``encoding`` (the live log is UTF-16LE), split into
+byte ranges per file; rows carry ``file_path`` and ``block_start`` so that
+``numbering.number_lines`` can number them in file order.  Newlines are
+matched at code-unit boundaries, so a two-byte newline is never found
+astride two characters, and no separator or quote character can cut a line.
+
+Files are opened through ``pyarrow.fs``: local paths, or shared storage
+(HDFS, S3, ...) that every executor can reach.
+
+Options: ``path`` (batch: several paths joined by newlines; folders are
+listed), ``encoding`` (``utf-8`` or ``utf-16le``), ``startingPosition``,
+``maxBytesPerPartition``.
 """
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-SCHEMA = StructType([StructField("value", StringType()), StructField("epoch", LongType()),
-                     StructField("offset", LongType())])
-
+STREAM_SCHEMA = StructType([StructField("value", StringType()), StructField("epoch", LongType()),
+                            StructField("offset", LongType())])
+BATCH_SCHEMA = StructType([StructField("value", StringType()), StructField("file_path", StringType()),
+                           StructField("block_start", LongType()), StructField("offset", LongType())])
+SCHEMA = STREAM_SCHEMA
 
-def _newline(encoding: str) -> bytes:
-    return "\n".encode(_codec(encoding))
+DEFAULT_CHUNK = 128 << 20
 
 
 def _codec(encoding: str) -> str:
@@ -38,29 +48,124 @@ def _codec(encoding: str) -> str:
     return "utf-16-le" if e in ("utf-16le", "utf-16-le", "utf16le") else e
 
 
+def _newline(encoding: str) -> bytes:
+    return "\n".encode(_codec(encoding))
+
+
+def _fs(path: str):
+    from pyarrow import fs
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
+def _size(path: str) -> int:
+    from pyarrow import fs
+    filesystem, p = _fs(path)
+    info = filesystem.get_file_info(p)
+    return info.size if info.type == fs.FileType.File else 0
+
+
+def _open(path: str):
+    filesystem, p = _fs(path)
+    return filesystem.open_input_file(p)
+
+
+def _find(buf: bytes, nl: bytes, width: int) -> int:
+    """First newline at an index aligned to the code unit width."""
+    i = buf.find(nl)
+    while i >= 0 and i % width:
+        i = buf.find(nl, i + 1)
+    return i
+
+
 def _last_line_end(path: str, size: int, nl: bytes, floor: int) -> int:
-    """Byte just after the last newline at or before ``size`` (≥ ``floor``)."""
+    """Byte just after the last newline before ``size`` (at least ``floor``)."""
     step = 1 << 16
-    with open(path, "rb") as f:
+    width = len(nl)
+    with _open(path) as f:
         end = size
         while end > floor:
             start = max(floor, end - step)
-            start -= (start - floor) % len(nl)
+            start -= (start - floor) % width
             f.seek(start)
             buf = f.read(end - start)
-            i = len(buf) - len(nl)
+            i = len(buf) - width
+            i -= i % width
             while i >= 0:
-                if buf[i:i + len(nl)] == nl and (start + i - floor) % len(nl) == 0:
-                    return start + i + len(nl)
-                i -= 1
+                if buf[i:i + width] == nl:
+                    return start + i + width
+                i -= width
             end = start
     return floor
 
 
+def read_range(path: str, start: int, end: int, first: bool, encoding: str, final: bool):
+    """Yield ``(line, line_start)`` for the lines that start in
+    ``[start, end)``.  Unless ``first``, the line already running at
+    ``start`` belongs to the previous range; with ``final`` an unterminated
+    last line is emitted too."""
+    nl = _newline(encoding)
+    codec = _codec(encoding)
+    width = len(nl)
+    with _open(path) as f:
+        pos = start
+        if not first:
+            f.seek(pos - width)
+            buf, base = b"", pos - width
+            while True:
+                piece = f.read(1 << 16)
+                if not piece:
+                    return
+                buf += piece
+                i = _find(buf, nl, width)
+                if i >= 0:
+                    pos = base + i + width
+                    break
+        f.seek(pos)
+        pending = b""
+        line_start = pos
+        eof = False
+        while line_start < end and not eof:
+            piece = f.read(1 << 20)
+            if not piece:
+                eof = True
+            pending += piece
+            while line_start < end:
+                i = _find(pending, nl, width)
+                if i < 0:
+                    if eof and final and pending:
+                        yield _decode(pending, codec), line_start
+                        line_start += len(pending)
+                    break
+                yield _decode(pending[:i], codec), line_start
+                line_start += i + width
+                pending = pending[i + width:]
+
+
+def _decode(raw: bytes, codec: str) -> str:
+    text = raw.decode(codec, errors="replace")
+    return text[:-1] if text.endswith("\r") else text
+
+
 class _Range(InputPartition):
-    def __init__(self, path, epoch, start, end, first, encoding):
+    def __init__(self, path, epoch, start, end, first, encoding, final=False):
         self.path, self.epoch, self.start, self.end = path, epoch, start, end
-        self.first, self.encoding = first, encoding
+        self.first, self.encoding, self.final = first, encoding, final
+
+
+def _chunks(path: str, s: int, e: int, chunk: int, width: int, epoch: int, encoding: str,
+            final: bool) -> list:
+    out = []
+    pos = s
+    while pos < e:
+        nxt = min(e, pos + chunk)
+        nxt -= (nxt - s) % width
+        if nxt <= pos:
+            nxt = e
+        out.append(_Range(path, epoch, pos, nxt, pos == s, encoding, final and nxt == e))
+        pos = nxt
+    return out
 
 
 class LogTailStreamReader(DataSourceStreamReader):
@@ -72,16 +177,13 @@ class LogTailStreamReader(DataSourceStreamReader):
         self.chunk = int(options.get("maxBytesPerPartition", 64 << 20))
         self._last = None
 
-    def _size(self) -> int:
-        return os.path.getsize(self.path) if os.path.exists(self.path) else 0
-
     def initialOffset(self) -> dict:
         if self.starting == "earliest":
             return {"epoch": 0, "pos": 0}
-        return {"epoch": 0, "pos": _last_line_end(self.path, self._size(), self.nl, 0)}
+        return {"epoch": 0, "pos": _last_line_end(self.path, _size(self.path), self.nl, 0)}
 
     def latestOffset(self) -> dict:
-        size = self._size()
+        size = _size(self.path)
         last = self._last or {"epoch": 0, "pos": 0}
         epoch, floor = last["epoch"], last["pos"]
         if size < floor:             # truncated or rotated: start over
@@ -91,69 +193,54 @@ class LogTailStreamReader(DataSourceStreamReader):
         return self._last
 
     def partitions(self, start: dict, end: dict):
-        s = 0 if end["epoch"] != start["epoch"] else start["pos"]
-        e = end["pos"]
-        out = []
-        width = len(self.nl)
-        pos = s
-        while pos < e:
-            nxt = min(e, pos + self.chunk)
-            nxt -= (nxt - s) % width
-            if nxt <= pos:
-                nxt = e
-            out.append(_Range(self.path, end["epoch"], pos, nxt, pos == s, self.encoding))
-            pos = nxt
-        return out
+        restarted = end["epoch"] > start["epoch"]
+        s = 0 if restarted else start["pos"]
+        return _chunks(self.path, s, end["pos"], self.chunk, len(self.nl), end["epoch"],
+                       self.encoding, final=False)
 
     def read(self, part: _Range):
-        nl = _newline(part.encoding)
-        codec = _codec(part.encoding)
-        width = len(nl)
-        with open(part.path, "rb") as f:
-            pos = part.start
-            if not part.first:
-                # The line that started before this chunk belongs to the previous one.
-                f.seek(pos - width)
-                buf = b""
-                while True:
-                    piece = f.read(1 << 16)
-                    if not piece:
-                        return
-                    buf += piece
-                    i = _find(buf, nl, width)
-                    if i >= 0:
-                        pos = pos - width + i + width
-                        break
-            f.seek(pos)
-            pending = b""
-            line_start = pos
-            while line_start < part.end:
-                piece = f.read(1 << 20)
-                if not piece:
-                    break
-                pending += piece
-                while True:
-                    i = _find(pending, nl, width)
-                    if i < 0 or line_start >= part.end:
-                        break
-                    raw = pending[:i]
-                    text = raw.decode(codec, errors="replace")
-                    if text.endswith("\r"):
-                        text = text[:-1]
-                    yield (text, part.epoch, line_start)
-                    line_start += i + width
-                    pending = pending[i + width:]
+        for text, at in read_range(part.path, part.start, part.end, part.first, part.encoding, False):
+            yield (text, part.epoch, at)
 
     def commit(self, end: dict) -> None:
         pass
 
 
-def _find(buf: bytes, nl: bytes, width: int) -> int:
-    """First newline at an index aligned to the code unit width."""
-    i = buf.find(nl)
-    while i >= 0 and i % width:
-        i = buf.find(nl, i + 1)
-    return i
+def _list_files(paths: list[str]) -> list[str]:
+    from pyarrow import fs
+    out = []
+    for path in paths:
+        filesystem, p = _fs(path)
+        info = filesystem.get_file_info(p)
+        if info.type == fs.FileType.Directory:
+            sel = fs.FileSelector(p, recursive=True)
+            for f in filesystem.get_file_info(sel):
+                name = f.base_name
+                if f.type == fs.FileType.File and not name.startswith((".", "_")):
+                    out.append(path.rstrip("/") + f.path[len(p.rstrip("/")):] if "://" in path else f.path)
+        elif info.type == fs.FileType.File:
+            out.append(path)
+    return sorted(out)
+
+
+class LogFileBatchReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.paths = [p for p in options["path"].split("\n") if p]
+        self.encoding = options.get("encoding", "utf-8")
+        self.chunk = int(options.get("maxBytesPerPartition", DEFAULT_CHUNK))
+
+    def partitions(self):
+        width = len(_newline(self.encoding))
+        out = []
+        for path in _list_files(self.paths):
+            out += _chunks(path, 0, _size(path), self.chunk, width, 0, self.encoding, final=True)
+        return out or [_Range("", 0, 0, 0, True, self.encoding, True)]
+
+    def read(self, part: _Range):
+        if not part.path:
+            return
+        for text, at in read_range(part.path, part.start, part.end, part.first, part.encoding, part.final):
+            yield (text, part.path, part.start, at)
 
 
 class LogTailDataSource(DataSource):
@@ -162,14 +249,27 @@ class LogTailDataSource(DataSource):
         return "logtail"
 
     def schema(self):
-        return SCHEMA
+        return STREAM_SCHEMA
 
     def streamReader(self, schema):
         return LogTailStreamReader(self.options)
 
 
+class LogFilesDataSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "logfiles"
+
+    def schema(self):
+        return BATCH_SCHEMA
+
+    def reader(self, schema):
+        return LogFileBatchReader(self.options)
+
+
 def register(spark) -> None:
     spark.dataSource.register(LogTailDataSource)
+    spark.dataSource.register(LogFilesDataSource)
 
 
 def tail(spark, path: str, encoding: str = "utf-8", starting: str = "latest"):
@@ -177,3 +277,18 @@ def tail(spark, path: str, encoding: str = "utf-8", starting: str = "latest"):
     register(spark)
     return (spark.readStream.format("logtail").option("path", path).option("encoding", encoding)
             .option("startingPosition", starting).load())
+
+
+def read_files(spark, paths: list[str], encoding: str, chunk_bytes: int | None = None):
+    """Batch lines of whole files in any encoding, with file and block."""
+    register(spark)
+    r = spark.read.format("logfiles").option("path", "\n".join(paths)).option("encoding", encoding)
+    if chunk_bytes:
+        r = r.option("maxBytesPerPartition", str(chunk_bytes))
+    return r.load()
+
+
+def chunk_count(paths: list[str], chunk_bytes: int) -> int:
+    """Number of byte ranges ``read_files`` will produce (a driver-side
+    listing, used to bound the line-numbering offsets table)."""
+    return sum(max(1, -(-_size(p) // chunk_bytes)) for p in _list_files(paths))

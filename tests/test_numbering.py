@@ -38,10 +38,11 @@ def test_index_sorted_is_partition_invariant(spark):
 
 def test_utf16_batch_read(spark, tmpdir_path):
     p = os.path.join(tmpdir_path, "live.log")
-    lines = ["première ligne", "second \"line\", with comma", "tab\there"]
+    lines = ["première ligne", "second \"line\", with comma", "tab\there", "soh \x01 and nul \x00 kept",
+             "no newline at the end"]
     with open(p, "wb") as f:
-        f.write(("\n".join(lines) + "\n").encode("utf-16-le"))
-    got = [r["value"] for r in read_lines(spark, p, encoding="UTF-16LE").collect()]
+        f.write("\n".join(lines).encode("utf-16-le"))
+    got = [r["value"] for r in read_lines(spark, p, encoding="UTF-16LE", numbered=True).orderBy("id").collect()]
     assert got == lines
 
 
