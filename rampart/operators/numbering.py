@@ -78,11 +78,19 @@ def index_sorted(df: DataFrame, order_cols: list, out: str = "pos", base: int =
     numbering branch read the very same partitions (they share one reused
     exchange).  Because the order is total, a recomputed partition yields
     the same positions.  The offsets table has one row per partition.
+
+    Both branches must see one partitioning.  With exchange reuse (Spark's
+    default) they share one exchange whose range bounds are fixed once, also
+    when a lost partition is recomputed; with reuse switched off, the sorted
+    rows are checkpointed first and both branches read those files.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-              .withColumn("_pid", F.spark_partition_id())
+    ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        from rampart.session import checkpoint
+        ordered = checkpoint(ordered)
+    tagged = (ordered.withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     pieces = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -60,3 +60,13 @@ def test_utf16_numbering_across_many_splits(spark, tmpdir_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == lines
+
+
+def test_index_sorted_without_exchange_reuse(spark):
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.range(0, 3000).select((F.col("id") * 7919 % 3000).alias("k"), F.col("id"))
+        got = index_sorted(df.repartition(5), ["k", "id"], num_partitions=4).select("k", "pos").collect()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+    assert sorted((r["pos"], r["k"]) for r in got) == [(i, i) for i in range(3000)]
