@@ -193,9 +193,18 @@ class LogTailStreamReader(DataSourceStreamReader):
         return self._last
 
     def partitions(self, start: dict, end: dict):
-        restarted = end["epoch"] > start["epoch"]
-        s = 0 if restarted else start["pos"]
-        return _chunks(self.path, s, end["pos"], self.chunk, len(self.nl), end["epoch"],
+        # A rotation shows as an end before the committed start.  Deciding by
+        # position (not by the epoch counter) also works after a restart,
+        # when this reader's counter began again at 0 while ``start`` comes
+        # from the checkpoint; the epoch used in ids is resynchronised here.
+        rotated = end["pos"] < start["pos"]
+        epoch = max(start["epoch"], end["epoch"])
+        if rotated and end["epoch"] <= start["epoch"]:
+            epoch += 1
+        if self._last is not None and self._last["epoch"] < epoch:
+            self._last = {"epoch": epoch, "pos": self._last["pos"]}
+        s = 0 if rotated else start["pos"]
+        return _chunks(self.path, s, end["pos"], self.chunk, len(self.nl), epoch,
                        self.encoding, final=False)
 
     def read(self, part: _Range):

@@ -107,3 +107,22 @@ def test_watermarked_buckets_equal_batch(spark, tmpdir_path):
     want = {(r[0], r[1]) for r in D.logs_over_time(df).collect()}
     # the last bucket stays open (no later event moves the watermark past it)
     assert got <= want and len(want - got) <= 1
+
+
+def test_tail_reader_restart_after_rotation(tmpdir_path):
+    p = os.path.join(tmpdir_path, "r.log")
+    _append(p, ["a1", "a2", "a3"])
+    r = LogTailStreamReader({"path": p, "encoding": "utf-16le", "startingPosition": "earliest"})
+    start = r.initialOffset()
+    end = r.latestOffset()
+    assert [x[0] for part in r.partitions(start, end) for x in r.read(part)] == ["a1", "a2", "a3"]
+    with open(p, "wb") as f:                          # rotated while the query was down
+        f.write("b1\n".encode("utf-16-le"))
+    fresh = LogTailStreamReader({"path": p, "encoding": "utf-16le"})   # restart: counter at 0
+    end2 = fresh.latestOffset()
+    rows = [x for part in fresh.partitions(end, end2) for x in fresh.read(part)]
+    assert [x[0] for x in rows] == ["b1"] and rows[0][1] == end["epoch"] + 1
+    _append(p, ["b2"])
+    end3 = fresh.latestOffset()
+    rows = [x for part in fresh.partitions(end2, end3) for x in fresh.read(part)]
+    assert [x[0] for x in rows] == ["b2"] and rows[0][1] == end["epoch"] + 1
