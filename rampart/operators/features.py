@@ -21,7 +21,6 @@ NUMERIC = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.ShortType, T.
 # Feature lists: scoring/training, and the experiment's variant.
 SCORE_FEATURES = ["lenToken", "lenURL", "URL", "RemoteAddress", "token"]
 EXPERIMENT_FEATURES = ["lenToken", "lenURL", "Request", "URL"]
-FALLBACK_FEATURES = ["lenToken", "lenURL", "URL"]
 
 
 def add_lengths(df: DataFrame) -> DataFrame:
@@ -152,19 +151,3 @@ def scale(df: DataFrame, scaler: DataFrame, columns: list[str] | None = None,
         mean = 0.0 if mean is None else mean
         out = out.withColumn(c + suffix, (F.col(f"`{c}`").cast("double") - F.lit(mean)) / F.lit(std))
     return out
-
-
-def feature_frame(df: DataFrame, labels: DataFrame, scaler: DataFrame | None,
-                  features: list[str], id_col: str = "id", keep: list[str] | None = None) -> DataFrame:
-    """FT8 / FT9: the model's feature columns ``f0..fk`` (doubles) beside
-    the original columns: strings become codes, then all are scaled."""
-    base = df if all(c in df.columns for c in ("lenToken", "lenURL")) else add_lengths(df)
-    cats = [c for c in features if isinstance(base.schema[c].dataType, T.StringType)]
-    enc = encode(base, labels, cats)
-    named = {c: (c + "_code" if c in cats else c) for c in features}
-    if scaler is not None:
-        enc = scale(enc, scaler, [named[c] for c in features], suffix="_s")
-        named = {c: named[c] + "_s" for c in features}
-    kept = keep if keep is not None else base.columns
-    return enc.select(*[F.col(f"`{c}`") for c in kept],
-                      *[F.col(f"`{named[c]}`").cast("double").alias(f"f{i}") for i, c in enumerate(features)])

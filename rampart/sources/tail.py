@@ -38,7 +38,6 @@ STREAM_SCHEMA = StructType([StructField("value", StringType()), StructField("epo
                             StructField("offset", LongType())])
 BATCH_SCHEMA = StructType([StructField("value", StringType()), StructField("file_path", StringType()),
                            StructField("block_start", LongType()), StructField("offset", LongType())])
-SCHEMA = STREAM_SCHEMA
 
 DEFAULT_CHUNK = 128 << 20
 
