@@ -5,22 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan that has fewer partitions than the cluster has cores.
+# Inputs above this size are never reshuffled just to add parallelism.
+SPREAD_MAX_BYTES = 1 << 30
+
+
+def spread(df: DataFrame, min_partitions: int | None = None, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
+    """Spread a small scan that has fewer partitions than the cluster has cores.
 
     A small file with one row group is one scan task, so every per-row
     operator after it (regex parsing, classification, forest scoring) would
-    run on one core.  Below ``min_partitions`` (default: the default
-    parallelism) rows are dealt round-robin; a large input already has
-    more splits than cores and is returned untouched, with no shuffle.
+    run on one core.  Such an input (below ``max_bytes``) is dealt
+    round-robin over ``min_partitions`` (default: the default parallelism).
+    A large input is returned untouched: its splits already keep the
+    cluster busy, and a full shuffle would cost more than it gains.
     """
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
-    if num_partitions(df) >= want:
+    if num_partitions(df) >= want or plan_bytes(df) > max_bytes:
         return df
     return df.repartition(want)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (file sizes for a scan)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - unknown size: treat as large
+        return 1 << 62
+
+
 def num_partitions(df: DataFrame) -> int:
     """Partition count of a plan without running it.
 
