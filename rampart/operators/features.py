@@ -124,14 +124,15 @@ def encode(df: DataFrame, labels: DataFrame, columns: list[str], suffix: str = "
 
 
 def fit_scaler(df: DataFrame, columns: list[str]) -> DataFrame:
-    """FT7 fit: ``(column, mean, std)`` with population std, in one pass."""
-    aggs = []
-    for c in columns:
+    """FT7 fit: ``(column, mean, std, n)`` with population std, in one pass
+    (``n`` is the number of rows fitted on)."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(columns):
         x = F.col(f"`{c}`").cast("double")
-        aggs += [F.avg(x).alias(f"m{len(aggs)}"), F.stddev_pop(x).alias(f"s{len(aggs) + 1}")]
+        aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
     row = df.agg(*aggs)
-    parts = [F.struct(F.lit(c).alias("column"), F.col(f"m{2 * i}").alias("mean"),
-                      F.col(f"s{2 * i + 1}").alias("std")) for i, c in enumerate(columns)]
+    parts = [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("mean"),
+                      F.col(f"s{i}").alias("std"), F.col("n").alias("n")) for i, c in enumerate(columns)]
     return row.select(F.inline(F.array(*parts)))
 
 

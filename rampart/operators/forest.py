@@ -248,9 +248,10 @@ def score(df: DataFrame, forest: Forest, out: str = "raw_score") -> DataFrame:
     return df.withColumn(out, _score(*[F.col(c) for c in fcols]))
 
 
-def fit_offset(scored: DataFrame, contamination: float, col: str = "raw_score") -> float:
+def fit_offset(scored: DataFrame, contamination: float, col: str = "raw_score",
+               n: int | None = None) -> float:
     """M3: the ``contamination`` percentile of the training scores."""
-    return exact_quantile(scored, col, contamination)
+    return exact_quantile(scored, col, contamination, n)
 
 
 def decide(scored: DataFrame, offset: float, raw: str = "raw_score") -> DataFrame:

@@ -43,17 +43,19 @@ def with_batches(df: DataFrame, size: int, id_col: str = "id", out: str = "batch
     return df.withColumn(out, F.floor((F.col(id_col) - 1) / size).cast("bigint"))
 
 
-def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
+def exact_quantile(df: DataFrame, col: str, q: float, n: int | None = None) -> float | None:
     """The ``q`` quantile with linear interpolation (NumPy's default).
 
     Small inputs use Spark's exact ``percentile``.  Large inputs never
     gather the column: an approximate percentile brackets the two ranks
     needed, two counts verify the bracket, and only the rows inside it are
-    sorted (a distributed sort) to read the exact values.
+    sorted (a distributed sort) to read the exact values.  ``n``, when the
+    caller knows it, is the number of non-null values (saves a count).
     """
     x = F.col(col).cast("double")
     base = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
-    n = base.count()
+    if n is None:
+        n = base.count()
     if n == 0:
         return None
     if n <= EXACT_BUFFER_LIMIT:

@@ -74,15 +74,15 @@ def train(spark: SparkSession, normalized: DataFrame, features: list[str] | None
     from rampart.session import checkpoint
     features = features or FT.SCORE_FEATURES
     frame, labels, scaler = prepare(normalized, features)
+    n = scaler.first()["n"]              # counted by the scaler's pass (cached)
     frame = frame.persist()
     try:
-        n = frame.count()
         forest = FR.fit_forest(spark, frame, n_trees=n_trees, psi=psi, seed=seed, n_rows=n,
                                feature_names=features)
         raw = checkpoint(FR.score(frame, forest))
     finally:
         frame.unpersist()
-    offset = FR.fit_offset(raw, contamination)
+    offset = FR.fit_offset(raw, contamination, n=n)
     forest.offset, forest.contamination = float(offset), contamination
     scored = FR.decide(raw, offset)
     return Model(labels, scaler, forest, features), scored

@@ -41,7 +41,7 @@ WHITELIST = _struct(("entry", S))
 
 LABELS = _struct(("column", S), ("label", S), ("code", I))
 
-SCALER = _struct(("column", S), ("mean", D), ("std", D))
+SCALER = _struct(("column", S), ("mean", D), ("std", D), ("n", L))
 
 FOREST_NODES = _struct(("tree", I), ("node", I), ("feat", I), ("thr", D), ("l", I), ("r", I),
                        ("path", D))
