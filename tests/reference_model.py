@@ -56,3 +56,35 @@ def clean(s: str) -> str:
 
 def wrap(s: str) -> str:
     return '"' + s.replace('"', '""') + '"'
+
+
+# Our combined-log rules (not the reference's, which rejected standard lines).
+COMBINED_RE = re.compile(r'^(\S+) (\S+) (\S+) \[([^\]]*)\] "((?:[^"\\]|\\.)*+)" (\S+) (\S+)'
+                         r' "((?:[^"\\]|\\.)*+)" "((?:[^"\\]|\\.)*+)"', re.S)
+METHODS = {"GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"}
+
+
+def parse_combined(line: str):
+    m = COMBINED_RE.match(line)
+    if not m:
+        return "malformed"
+    g = m.groups()
+    try:
+        status = int(g[5])
+    except ValueError:
+        return "bad_status"
+    try:
+        size = int(g[6])
+    except ValueError:
+        return "bad_size"
+    try:
+        t = datetime.strptime(g[3], "%d/%b/%Y:%H:%M:%S %z")
+    except ValueError:
+        return "bad_time"
+    parts = g[4].split(" ")
+    known = parts[0] in METHODS
+    path = re.sub(r"\\(.)", r"\1", parts[1] if len(parts) > 1 else "") if known else ""
+    return {"remote_addr": g[0], "remote_user": g[2], "time_local": int(t.timestamp()),
+            "request_type": parts[0] if known else "", "request_path": path,
+            "request_protocol": (parts[2] if len(parts) > 2 else "") if known else "",
+            "status": status, "size": size, "referer": g[7], "user_agent": g[8]}

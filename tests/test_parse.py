@@ -134,3 +134,36 @@ def test_local_time_independent_of_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
     from datetime import datetime
     assert got == [datetime(2024, 3, 31, 2, 30), None]     # a DST-gap wall time is kept
+
+
+def test_combined_random_lines_match_python(spark):
+    rnd = random.Random(21)
+    words = ["a", "$1", "\\\\", '\\"', "[x]", "é", "中", "-", "GET", "POST", "BREW", "/p?q=1&r=2", "$", "%"]
+
+    def field():
+        return "".join(rnd.choice(words) for _ in range(rnd.randint(0, 4)))
+
+    lines = []
+    for _ in range(1500):
+        method = rnd.choice(["GET", "POST", "DELETE", "BREW", "get"])
+        req = " ".join([method, "/" + field().replace(" ", "")] + (["HTTP/1.1"] if rnd.random() < 0.8 else []))
+        zone = rnd.choice(["+0000", "+0200", "-0530", "bad"])
+        day = rnd.choice(["10", "1", "99"])
+        status = rnd.choice(["200", "404", "-", "2x"])
+        size = rnd.choice(["10", "0", "-"])
+        line = (f'1.2.3.{rnd.randint(0, 9)} - u{rnd.randint(0, 5)} [{day}/Oct/2024:13:55:36 {zone}] '
+                f'"{req}" {status} {size} "{field()}" "{field()}"')
+        if rnd.random() < 0.05:
+            line = line[: rnd.randrange(len(line))]
+        lines.append(line)
+    df = spark.createDataFrame([(i + 1, s) for i, s in enumerate(lines)], "id BIGINT, value STRING")
+    got = {r["id"]: r for r in P.parse_combined(df).collect()}
+    for i, line in enumerate(lines):
+        want = RM.parse_combined(line)
+        row = got[i + 1]
+        if isinstance(want, str):
+            assert row["reason"] == want, (line, row["reason"], want)
+        else:
+            assert row["reason"] is None, (line, row["reason"])
+            for k, v in want.items():
+                assert row[k] == v, (line, k, row[k], v)
