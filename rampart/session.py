@@ -44,6 +44,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
               "spark.sql.execution.arrow.pyspark.enabled"):
         spark.conf.set(k, conf[k])
+    ship_package(spark)
     return spark
 
 
@@ -100,3 +101,33 @@ def checkpoint(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``rampart`` importable in Python workers (pandas UDFs, grouped
+    maps, data sources), once per context.
+
+    The package is zipped and handed to ``addPyFile``, which distributes it
+    through Spark's own file server and puts it on every worker's path; the
+    zip on the driver is only the source of that copy.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="rampart-pkg-"), "rampart.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
