@@ -683,3 +683,23 @@ def stream_detect(spark, sf):
     res = spark.read.parquet(outputs_under(out).classified)
     return plain(res.select("RemoteAddress", "TimeLocal", "URL", "anomaly_score", "attack_types",
                             "critical_alert"))
+
+
+# --- UTF-16LE logs (SRC3 through the byte-range reader, P7, P1–P8) -------------
+
+@register("utf16_parse", O.with_ctes(O.ACCESS) + f"""
+SELECT {NORM_COLS_SQL.replace('id, ', 'id AS line_no, ', 1)}
+FROM access WHERE token IS NOT NULL""")
+def utf16_parse(spark, sf):
+    """Marker lines written as UTF-16LE files (several parts, time order),
+    read back by the byte-range reader, numbered in file order, parsed."""
+    from rampart.session import shared_dir
+    from rampart.sources.files import read_lines
+    out = shared_dir(spark, "utf16")
+    lines = TD.marker_lines(access(spark, sf))
+    (lines.repartitionByRange(4, "id").sortWithinPartitions("id").select("value").write
+     .option("encoding", "UTF-16LE").option("lineSep", "\n").option("sep", "\u0001")
+     .option("quote", "\u0000").option("escapeQuotes", False).option("quoteAll", False)
+     .csv(out))
+    parsed = P.normalize(read_lines(spark, out, encoding="UTF-16LE", numbered=True))
+    return plain(parsed.withColumnRenamed("id", "line_no"))

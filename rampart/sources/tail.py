@@ -52,7 +52,13 @@ def _newline(encoding: str) -> bytes:
 
 
 def _fs(path: str):
+    """Filesystem and path for a plain path or a URI (``file:`` included)."""
     from pyarrow import fs
+    if path.startswith("file:"):
+        p = path[5:]
+        while p.startswith("//"):
+            p = p[1:]
+        return fs.LocalFileSystem(), p
     if "://" in path:
         return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), path
