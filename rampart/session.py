@@ -19,6 +19,8 @@ CORE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of data no longer referenced are removed by Spark
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
