@@ -77,9 +77,22 @@ def whitelisted(addresses: DataFrame, whitelist: DataFrame, col: str = ADDR,
     return exact.unionByName(by_net).distinct()
 
 
+def _distinct_addresses(rows: DataFrame, col: str) -> DataFrame:
+    """Distinct non-null addresses, written once to the shared folder.
+
+    The set is read three times (exact match, CIDR match, anti join); each
+    branch gets different pushed-down filters, so Spark would not share one
+    exchange and would run the rows' whole pipeline once per branch.
+    """
+    from rampart.session import checkpoint
+    return checkpoint(rows.select(col).where(F.col(col).isNotNull()).distinct())
+
+
 def exclude_whitelisted(rows: DataFrame, whitelist: DataFrame, col: str = ADDR) -> DataFrame:
-    """Drop rows whose address is whitelisted."""
-    return rows.join(whitelisted(rows, whitelist, col), on=col, how="left_anti")
+    """Drop rows whose address is whitelisted (two passes over the rows:
+    their distinct addresses, then the anti join)."""
+    hits = whitelisted(_distinct_addresses(rows, col), whitelist, col)
+    return rows.join(hits, on=col, how="left_anti")
 
 
 def refresh_blocklist(classified: DataFrame, blocked: DataFrame, whitelist: DataFrame | None = None,
@@ -90,7 +103,7 @@ def refresh_blocklist(classified: DataFrame, blocked: DataFrame, whitelist: Data
     and the block list then only touch that small set.
     """
     rows = classified.where(F.col("critical_alert")) if critical_only else classified
-    cand = rows.select(col).where(F.col(col).isNotNull()).distinct()
+    cand = _distinct_addresses(rows, col)
     if whitelist is not None:
         cand = cand.join(whitelisted(cand, whitelist, col), on=col, how="left_anti")
     return cand.join(blocked.select(col), on=col, how="left_anti")
