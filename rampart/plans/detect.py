@@ -39,24 +39,31 @@ def _encoded_names(df: DataFrame, features: list[str]) -> list[str]:
     return [c + "_code" if isinstance(df.schema[c].dataType, T.StringType) else c for c in features]
 
 
+def _encoded(df: DataFrame, features: list[str], labels: DataFrame | None):
+    """Lengths and label codes; returns ``(encoded, labels, names)``."""
+    base = FT.add_lengths(df)
+    cats = [c for c in features if c in FT.string_columns(base)]
+    if labels is None:
+        labels = FT.fit_labels(base, cats)
+    return FT.encode(base, labels, cats), labels, _encoded_names(base, features), base.columns
+
+
+def _scaled(enc: DataFrame, scaler: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
+    scaled = FT.scale(enc, scaler, names, suffix="_s")
+    return scaled.select(*[F.col(f"`{c}`") for c in keep],
+                         *[F.col(f"`{n}_s`").alias(f"f{i}") for i, n in enumerate(names)])
+
+
 def prepare(df: DataFrame, features: list[str], labels: DataFrame | None = None,
             scaler: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """FT1–FT9: lengths, codes and scaled ``f0..fk`` beside the originals.
 
     Returns ``(frame, labels, scaler)``, fitting what is not given.
     """
-    base = FT.add_lengths(df)
-    cats = [c for c in features if c in FT.string_columns(base)]
-    if labels is None:
-        labels = FT.fit_labels(base, cats)
-    enc = FT.encode(base, labels, cats)
-    names = _encoded_names(base, features)
+    enc, labels, names, keep = _encoded(df, features, labels)
     if scaler is None:
         scaler = FT.fit_scaler(enc, names).cache()
-    scaled = FT.scale(enc, scaler, names, suffix="_s")
-    out = scaled.select(*[F.col(f"`{c}`") for c in base.columns],
-                        *[F.col(f"`{n}_s`").alias(f"f{i}") for i, n in enumerate(names)])
-    return out, labels, scaler
+    return _scaled(enc, scaler, names, keep), labels, scaler
 
 
 def train(spark: SparkSession, normalized: DataFrame, features: list[str] | None = None,
@@ -66,22 +73,24 @@ def train(spark: SparkSession, normalized: DataFrame, features: list[str] | None
     """Fit encoders, scaler and forest; return the model and the
     training rows scored (``anomaly``, ``anomaly_score``).
 
-    The prepared features are cached while the forest is fitted (a lost
-    block is recomputed from lineage), and the raw scores are checkpointed
-    to the shared folder: the offset and the final labels read that, so
-    the scoring UDF runs once per row.
+    The encoded rows are cached while the scaler and the forest are fitted
+    (a lost block is recomputed from lineage), and the raw scores are
+    checkpointed to the shared folder: the offset and the final labels read
+    that, so the log is encoded once and the scoring UDF runs once per row.
     """
     from rampart.session import checkpoint
     features = features or FT.SCORE_FEATURES
-    frame, labels, scaler = prepare(normalized, features)
-    n = scaler.first()["n"]              # counted by the scaler's pass (cached)
-    frame = frame.persist()
+    enc, labels, names, keep = _encoded(normalized, features, None)
+    enc = enc.persist()                  # read by the scaler fit, the forest fit and the scoring
     try:
+        scaler = FT.fit_scaler(enc, names).cache()
+        n = scaler.first()["n"]
+        frame = _scaled(enc, scaler, names, keep)
         forest = FR.fit_forest(spark, frame, n_trees=n_trees, psi=psi, seed=seed, n_rows=n,
                                feature_names=features)
         raw = checkpoint(FR.score(frame, forest))
     finally:
-        frame.unpersist()
+        enc.unpersist()
     offset = FR.fit_offset(raw, contamination, n=n)
     forest.offset, forest.contamination = float(offset), contamination
     scored = FR.decide(raw, offset)
