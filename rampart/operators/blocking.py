@@ -126,10 +126,12 @@ def rate_ban(rows: DataFrame, failure: Column | None = None, findtime: int = FIN
     per_sec = (f.where(F.col(col).isNotNull() & F.col(ts).isNotNull())
                .groupBy(col, sec.alias("sec")).agg(F.count(F.lit(1)).alias("n")))
     b = F.floor(F.col("sec") / findtime)
-    own = per_sec.select(col, "sec", "n", b.alias("b"), F.lit(True).alias("own"))
-    ctx = per_sec.select(col, "sec", "n", (b + 1).alias("b"), F.lit(False).alias("own"))
+    # each per-second row goes to its own bucket and, as context, to the next
+    copies = F.array(F.struct(b.alias("b"), F.lit(True).alias("own")),
+                     F.struct((b + 1).alias("b"), F.lit(False).alias("own")))
+    both = per_sec.select(col, "sec", "n", F.inline(copies))
     w = Window.partitionBy(col, "b").orderBy("sec").rangeBetween(-findtime, 0)
-    counted = own.unionByName(ctx).withColumn("cnt", F.sum("n").over(w))
+    counted = both.withColumn("cnt", F.sum("n").over(w))
     return (counted.where(F.col("own") & (F.col("cnt") >= maxretry))
             .groupBy(col).agg(F.min("sec").alias("ban_sec"))
             .select(col, F.timestamp_seconds("ban_sec").cast("timestamp_ntz").alias("ban_time")))
