@@ -78,7 +78,20 @@ def main() -> None:
            "Generated by `tools/plans.py` on local[8] from the sf0.1 `events` table written as a "
            "normalized parquet table (plus its raw marker lines as text). AQE plans are shown before "
            "execution (`isFinalPlan=false`): at run time small build sides become broadcasts and "
-           "skewed partitions are split.", ""]
+           "skewed partitions are split.", "",
+           "What to look for:", "",
+           "* every `FileScan` lists only the columns its branch needs (`ReadSchema`), and prefix /",
+           "  null / equality filters appear in `DataFilters` and `PushedFilters`;",
+           "* parsing and classification have no `Exchange`: one stage per input split, the",
+           "  tokenizer and the six `RLIKE`s under a `Generate`, evaluated once per line;",
+           "* grouped counts are `HashAggregate` pairs (partial before the exchange, final after);",
+           "  top-k is `TakeOrderedAndProject`;",
+           "* no `Window` partitioned by address: the group-size filter is a count table and a",
+           "  semi join; the rate ban's window is keyed by (address, bucket) over per-second counts;",
+           "* the block refresh reads the checkpointed candidate set (`LogicalRDD`/`Scan`), not the",
+           "  classification three times;",
+           "* global positions use `Exchange rangepartitioning(..., n)` with an explicit count,",
+           "  `spark_partition_id`, `monotonically_increasing_id` and a broadcast offsets table.", ""]
     for title, df in cases:
         out += [f"## {title}", "", "```", plan(df).strip(), "```", ""]
     with open(os.path.join(ROOT, "PLANS.md"), "w") as f:
