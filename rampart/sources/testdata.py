@@ -82,7 +82,7 @@ def marker_lines(access: DataFrame) -> DataFrame:
         "id",
         F.concat_ws(
             " ",
-            F.date_format(t, "MMM d HH:mm:ss"), F.lit("web01"), F.lit("nginx:"),
+            F.date_format(t, "MMM d HH:mm:ss"), F.lit("web01"), F.lit("httpd:"),
             F.concat(F.lit("RemoteAddress="), F.col("RemoteAddress")), F.col("RemoteUser"),
             F.concat(F.lit("TimeLocal="), F.date_format(t, "dd/MMM/yyyy:HH:mm:ss")),
             F.lit("+0000"), F.col("Request"), F.col("URL"), F.col("Version"), F.col("Status"),
