@@ -90,8 +90,11 @@ def _distinct_addresses(rows: DataFrame, col: str) -> DataFrame:
 
 def exclude_whitelisted(rows: DataFrame, whitelist: DataFrame, col: str = ADDR) -> DataFrame:
     """Drop rows whose address is whitelisted (two passes over the rows:
-    their distinct addresses, then the anti join)."""
-    hits = whitelisted(_distinct_addresses(rows, col), whitelist, col)
+    their distinct addresses, then the anti join).  The whitelisted set is
+    checkpointed so that the join sees a plain shuffle on both sides and AQE
+    can split a hot address's rows, or broadcast the set."""
+    from rampart.session import checkpoint
+    hits = checkpoint(whitelisted(_distinct_addresses(rows, col), whitelist, col))
     return rows.join(hits, on=col, how="left_anti")
 
 
