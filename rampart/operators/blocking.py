@@ -84,8 +84,8 @@ def _distinct_addresses(rows: DataFrame, col: str) -> DataFrame:
     branch gets different pushed-down filters, so Spark would not share one
     exchange and would run the rows' whole pipeline once per branch.
     """
-    from rampart.session import checkpoint
-    return checkpoint(rows.select(col).where(F.col(col).isNotNull()).distinct())
+    from rampart.session import write_table
+    return write_table(rows.select(col).where(F.col(col).isNotNull()).distinct(), "addresses")
 
 
 def exclude_whitelisted(rows: DataFrame, whitelist: DataFrame, col: str = ADDR) -> DataFrame:
@@ -93,8 +93,8 @@ def exclude_whitelisted(rows: DataFrame, whitelist: DataFrame, col: str = ADDR)
     their distinct addresses, then the anti join).  The whitelisted set is
     checkpointed so that the join sees a plain shuffle on both sides and AQE
     can split a hot address's rows, or broadcast the set."""
-    from rampart.session import checkpoint
-    hits = checkpoint(whitelisted(_distinct_addresses(rows, col), whitelist, col))
+    from rampart.session import write_table
+    hits = write_table(whitelisted(_distinct_addresses(rows, col), whitelist, col), "whitelisted")
     return rows.join(hits, on=col, how="left_anti")
 
 

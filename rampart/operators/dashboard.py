@@ -36,18 +36,19 @@ def group_size_filter(df: DataFrame, min_rows: int | None = 0, max_rows: int | N
     Bounds are inclusive, ``None`` means unbounded, null addresses drop.
     Counted with a partial aggregate and applied by a semi join rather than
     a window, which would put every row of a hot address into one task.
-    The qualifying addresses (one row each) are checkpointed first: AQE
+    The qualifying addresses (one row each) are written to the shared folder
+    first: AQE
     then sees a plain shuffle on both sides of the join, so it can split a
     hot address's partition of the rows (its skew-join rule does not look
     through an aggregate), or broadcast the table when it is small.
     """
-    from rampart.session import checkpoint
+    from rampart.session import write_table
     counts = address_counts(df, col, "_n")
     if min_rows is not None:
         counts = counts.where(F.col("_n") >= min_rows)
     if max_rows is not None:
         counts = counts.where(F.col("_n") <= max_rows)
-    return df.join(checkpoint(counts.select(col)), on=col, how="left_semi")
+    return df.join(write_table(counts.select(col), "group-sizes"), on=col, how="left_semi")
 
 
 def attack_counts(df: DataFrame, exploded: bool = False) -> DataFrame:

@@ -39,13 +39,14 @@ def _encoded_names(df: DataFrame, features: list[str]) -> list[str]:
     return [c + "_code" if isinstance(df.schema[c].dataType, T.StringType) else c for c in features]
 
 
-def _encoded(df: DataFrame, features: list[str], labels: DataFrame | None):
-    """Lengths and label codes; returns ``(encoded, labels, names)``."""
+def _encoded(df: DataFrame, features: list[str], labels: DataFrame | None, small_input: bool = False):
+    """Lengths and label codes; returns ``(encoded, labels, names, columns)``."""
     base = FT.add_lengths(df)
     cats = [c for c in features if c in FT.string_columns(base)]
     if labels is None:
         labels = FT.fit_labels(base, cats)
-    return FT.encode(base, labels, cats), labels, _encoded_names(base, features), base.columns
+    enc = FT.encode(base, labels, cats, small_input=small_input)
+    return enc, labels, _encoded_names(base, features), base.columns
 
 
 def _scaled(enc: DataFrame, scaler: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
@@ -55,12 +56,13 @@ def _scaled(enc: DataFrame, scaler: DataFrame, names: list[str], keep: list[str]
 
 
 def prepare(df: DataFrame, features: list[str], labels: DataFrame | None = None,
-            scaler: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+            scaler: DataFrame | None = None, small_input: bool = False
+            ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """FT1–FT9: lengths, codes and scaled ``f0..fk`` beside the originals.
 
     Returns ``(frame, labels, scaler)``, fitting what is not given.
     """
-    enc, labels, names, keep = _encoded(df, features, labels)
+    enc, labels, names, keep = _encoded(df, features, labels, small_input)
     if scaler is None:
         scaler = FT.fit_scaler(enc, names).cache()
     return _scaled(enc, scaler, names, keep), labels, scaler
@@ -78,7 +80,7 @@ def train(spark: SparkSession, normalized: DataFrame, features: list[str] | None
     checkpointed to the shared folder: the offset and the final labels read
     that, so the log is encoded once and the scoring UDF runs once per row.
     """
-    from rampart.session import checkpoint
+    from rampart.session import write_table
     features = features or FT.SCORE_FEATURES
     enc, labels, names, keep = _encoded(normalized, features, None)
     enc = enc.persist()                  # read by the scaler fit, the forest fit and the scoring
@@ -88,7 +90,7 @@ def train(spark: SparkSession, normalized: DataFrame, features: list[str] | None
         frame = _scaled(enc, scaler, names, keep)
         forest = FR.fit_forest(spark, frame, n_trees=n_trees, psi=psi, seed=seed, n_rows=n,
                                feature_names=features)
-        raw = checkpoint(FR.score(frame, forest))
+        raw = write_table(FR.score(frame, forest), "raw-scores")
     finally:
         enc.unpersist()
     offset = FR.fit_offset(raw, contamination, n=n)
@@ -98,14 +100,15 @@ def train(spark: SparkSession, normalized: DataFrame, features: list[str] | None
 
 
 def score(normalized: DataFrame, model: Model, refit_labels: bool = False,
-          refit_scaler: bool = False) -> DataFrame:
+          refit_scaler: bool = False, small_input: bool = False) -> DataFrame:
     """E1 scoring step: features with the saved model → ``anomaly`` and
     ``anomaly_score``; original columns kept, feature columns dropped.
 
     The features saved with the model must all be present (a model fitted
     on five features cannot score three).  ``refit_labels`` / ``refit_scaler``
     reproduce the reference, which re-sorted its dictionary and refitted
-    the scaler on every scored batch.
+    the scaler on every scored batch.  ``small_input`` marks a micro-batch
+    (see ``features.encode``).
     """
     have = set(FT.add_lengths(normalized).columns)
     missing = [c for c in model.features if c not in have]
@@ -115,7 +118,8 @@ def score(normalized: DataFrame, model: Model, refit_labels: bool = False,
     if refit_labels:
         cats = [c for c in model.features if c in FT.string_columns(normalized)]
         labels = FT.update_labels(labels, normalized, cats, refit=True)
-    frame, _, _ = prepare(normalized, model.features, labels, None if refit_scaler else model.scaler)
+    frame, _, _ = prepare(normalized, model.features, labels, None if refit_scaler else model.scaler,
+                          small_input=small_input)
     raw = FR.score(frame, model.forest)
     out = FR.decide(raw, model.forest.offset)
     return out.drop(*[f"f{i}" for i in range(len(model.features))])

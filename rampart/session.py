@@ -133,3 +133,16 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
     _SHIPPED.add(key)
+
+
+def write_table(df, name: str = "table"):
+    """Materialize ``df`` as parquet in the shared folder and read it back.
+
+    Like ``checkpoint`` it cuts lineage onto reliable storage, and the
+    re-read table has its true file size as statistics, so AQE and size
+    checks see the real size (a checkpoint keeps the estimate of the plan
+    it came from).  Use ``checkpoint`` where partition order must survive.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

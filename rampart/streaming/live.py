@@ -59,7 +59,7 @@ def process_batch(batch: DataFrame, batch_id: int, model: DT.Model | None, out:
                 .withColumn("anomaly_score", F.lit(None).cast("double"))
             sinks.write_batch(C.classify(flagged), out.classified, batch_id)
             return
-        scored = DT.score(good, model).withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
+        scored = DT.score(good, model, small_input=True).withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
         scored = scored.persist()
         try:
             sinks.write_batch(scored.drop("batch_id"), out.scores, batch_id)

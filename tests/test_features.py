@@ -55,3 +55,11 @@ def test_encode_with_store_grows_dictionary(spark, tmpdir_path):
     second = encode_with_store(spark, df, ["URL"], path)
     got = {r["id"]: r["URL_code"] for r in second.collect()}
     assert got[2] == 0 and got[1] == 1 and got[3] == 1 and {got[4], got[5]} == {2, 3}
+
+
+def test_encode_small_input_equals_plain(spark):
+    df = _df(spark)
+    labels = FT.fit_labels(df.where(F.col("id") <= 3), ["URL", "token"])
+    a = sorted(tuple(r) for r in FT.encode(df, labels, ["URL", "token"]).collect())
+    b = sorted(tuple(r) for r in FT.encode(df, labels, ["URL", "token"], small_input=True).collect())
+    assert a == b
