@@ -8,6 +8,16 @@ from pyspark.sql import DataFrame
 # Inputs above this size are never reshuffled just to add parallelism.
 SPREAD_MAX_BYTES = 1 << 30
 
+# Inputs above this size get per-key tables materialized before they are
+# joined back to the rows, so that AQE can split a hot key: its skew-join
+# rule needs a plain shuffle on both sides.  Below it the table is
+# broadcast at run time and no key can hold up a join.
+SKEW_SAFE_BYTES = 1 << 30
+
+
+def is_large(df: DataFrame) -> bool:
+    return plan_bytes(df) > SKEW_SAFE_BYTES
+
 
 def spread(df: DataFrame, min_partitions: int | None = None, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
     """Spread a small scan that has fewer partitions than the cluster has cores.

@@ -28,10 +28,10 @@ def test_prefix_filter_and_pruning_reach_the_scan(spark, tmpdir_path):
     p = plan(D.address_counts(D.prefix_filter(df, "10.0.0.1")))
     assert "StringStartsWith(RemoteAddress,10.0.0.1)" in p
     assert "ReadSchema: struct<RemoteAddress:string>" in p
-    # the rows' scan keeps the prefix; the counts come from a written table
+    # the prefix reaches the scans of both the rows and their counts
     p2 = plan(D.group_size_filter(D.prefix_filter(df, "10.0.0.1"), 0, 1000))
-    assert "StringStartsWith(RemoteAddress,10.0.0.1)" in p2
-    assert p2.count("FileScan parquet") == 2 and "Window" not in p2
+    assert p2.count("StringStartsWith(RemoteAddress,10.0.0.1)") >= 2
+    assert "Window" not in p2
 
 
 def test_top_k_is_take_ordered(spark, tmpdir_path):
