@@ -63,9 +63,12 @@ def process_batch(batch: DataFrame, batch_id: int, model: DT.Model | None, out:
         scored = scored.persist()
         try:
             sinks.write_batch(scored.drop("batch_id"), out.scores, batch_id)
-            cut = TH.adaptive_filter(scored, "anomaly_score", "batch_id").drop("batch_id")
-            sinks.write_batch(cut, out.anomalies, batch_id)
-            sinks.write_batch(C.classify(cut), out.classified, batch_id)
+            cut = TH.adaptive_filter(scored, "anomaly_score", "batch_id").drop("batch_id").persist()
+            try:
+                sinks.write_batch(cut, out.anomalies, batch_id)
+                sinks.write_batch(C.classify(cut), out.classified, batch_id)
+            finally:
+                cut.unpersist()
         finally:
             scored.unpersist()
     finally:
