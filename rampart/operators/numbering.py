@@ -49,7 +49,7 @@ def _split_bound(df: DataFrame) -> int:
     """
     spark = df.sparkSession
     try:
-        n_files = len(df.inputFiles())
+        n_files = len(df._jdf.inputFiles())      # length asked on the JVM; names stay there
         total = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         max_bytes = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
         return n_files + total // max(1, max_bytes) + 1
