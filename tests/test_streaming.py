@@ -126,3 +126,15 @@ def test_tail_reader_restart_after_rotation(tmpdir_path):
     end3 = fresh.latestOffset()
     rows = [x for part in fresh.partitions(end2, end3) for x in fresh.read(part)]
     assert [x[0] for x in rows] == ["b2"] and rows[0][1] == end["epoch"] + 1
+
+
+def test_tail_reader_utf8_chunks(tmpdir_path):
+    p = os.path.join(tmpdir_path, "u8.log")
+    lines = [f"ligne {i} é中 " + "x" * (i % 9) for i in range(200)]
+    with open(p, "wb") as f:
+        f.write(("\n".join(lines) + "\npartial").encode("utf-8"))
+    r = LogTailStreamReader({"path": p, "encoding": "utf-8", "startingPosition": "earliest",
+                             "maxBytesPerPartition": "7"})
+    start, end = r.initialOffset(), r.latestOffset()
+    got = [x[0] for part in r.partitions(start, end) for x in r.read(part)]
+    assert got == lines
