@@ -150,14 +150,20 @@ def fit_scaler(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.inline(F.array(*parts)))
 
 
-def scale(df: DataFrame, scaler: DataFrame, columns: list[str] | None = None,
+def scaler_stats(scaler: DataFrame) -> dict:
+    """The scaler rows as ``{column: (mean, std)}`` (one row per column)."""
+    return {r["column"]: (r["mean"], r["std"]) for r in scaler.collect()}
+
+
+def scale(df: DataFrame, scaler, columns: list[str] | None = None,
           suffix: str = "") -> DataFrame:
     """FT7 apply: ``(x - mean) / std`` with a zero std treated as 1.
 
     The scaler has one row per column (a bound fixed by the schema), so it
-    is read once and inlined as literals.
+    is read once and inlined as literals; ``scaler`` may also be those rows
+    already read, as ``{column: (mean, std)}``.
     """
-    stats = {r["column"]: (r["mean"], r["std"]) for r in scaler.collect()}
+    stats = scaler if isinstance(scaler, dict) else scaler_stats(scaler)
     cols = columns or list(stats)
     out = df
     for c in cols:

@@ -118,8 +118,13 @@ def score(normalized: DataFrame, model: Model, refit_labels: bool = False,
     if refit_labels:
         cats = [c for c in model.features if c in FT.string_columns(normalized)]
         labels = FT.update_labels(labels, normalized, cats, refit=True)
-    frame, _, _ = prepare(normalized, model.features, labels, None if refit_scaler else model.scaler,
-                          small_input=small_input)
+    if refit_scaler:
+        scaler = None
+    else:                                # read once per model, not once per micro-batch
+        if "_stats" not in model.__dict__:
+            model.__dict__["_stats"] = FT.scaler_stats(model.scaler)
+        scaler = model.__dict__["_stats"]
+    frame, _, _ = prepare(normalized, model.features, labels, scaler, small_input=small_input)
     raw = FR.score(frame, model.forest)
     out = FR.decide(raw, model.forest.offset)
     return out.drop(*[f"f{i}" for i in range(len(model.features))])
