@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rampart.llm import bpe, tokenstore
+from rampart.llm import bpe, tokenstore, topk
 from rampart.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +38,24 @@ def op10_token_files(spark, sf_dir):
     """All documents written as token files and read back (see ``tokenstore``)."""
     folder, index = tokenstore.write_tokens(table(spark, sf_dir, "documents"))
     return tokenstore.read_tokens(folder, index)
+
+
+OP8_SQL = """
+WITH c AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS code
+  FROM (SELECT vec_id, min(embedding) AS embedding FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        GROUP BY vec_id) t),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.code, c.code), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM c AS q, c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@register("op8_tiled_topk", OP8_SQL)
+def op8_tiled_topk(spark, sf_dir):
+    """Top 5 of every vector whose id is divisible by 50, against all rows."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(50)) == 0)
