@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampart.llm import bpe, tokenstore, topk
+from rampart.llm import bpe, langid, quality, tokenstore, topk
 from rampart.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,18 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 def op8_tiled_topk(spark, sf_dir):
     """Top 5 of every vector whose id is divisible by 50, against all rows."""
     return topk.search(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(50)) == 0)
+
+
+@register("op5_language_codes")
+def op5_language_codes(spark, sf_dir):
+    """Language of all documents by error-correcting output codes (see ``langid``)."""
+    docs = table(spark, sf_dir, "documents")
+    return (langid.identify(docs).withColumn("held_out", langid.held_out())
+            .select("doc_id", "held_out", "lang_pred", "score", "lang_next", "ambiguous"))
+
+
+@register("op6_quality_network")
+def op6_quality_network(spark, sf_dir):
+    """Quality score of all documents (see ``quality``)."""
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("held_out", quality.held_out()).select("doc_id", "held_out", "score", "predicted")
