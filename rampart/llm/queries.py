@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampart.llm import bpe, langid, quality, tokenstore, topk
+from rampart.llm import bpe, jaccard, langid, quality, tokenstore, topk
 from rampart.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,9 @@ def op6_quality_network(spark, sf_dir):
     """Quality score of all documents (see ``quality``)."""
     scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.withColumn("held_out", quality.held_out()).select("doc_id", "held_out", "score", "predicted")
+
+
+@register("op7_jaccard_regions")
+def op7_jaccard_regions(spark, sf_dir):
+    """Documents linked at a Jaccard similarity of 0.85 over 4-word shingles (see ``jaccard``)."""
+    return jaccard.join(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
