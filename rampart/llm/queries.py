@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampart.llm import bpe, jaccard, langid, quality, tokenstore, topk
+from rampart.llm import bpe, jaccard, langid, minhash, quality, tokenstore, topk
 from rampart.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,9 @@ def op6_quality_network(spark, sf_dir):
 def op7_jaccard_regions(spark, sf_dir):
     """Documents linked at a Jaccard similarity of 0.85 over 4-word shingles (see ``jaccard``)."""
     return jaccard.join(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
+@register("op3_minhash_fingerprints")
+def op3_minhash_fingerprints(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts (see ``minhash``)."""
+    return minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
