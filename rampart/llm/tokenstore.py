@@ -18,6 +18,7 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from rampart.llm.common import SPACE, byte_classes, partitions, range_buckets, r
 from rampart.session import shared_dir, write_table
 
 END_ID = 2
-MEMO_PIECES = 1 << 17
+MEMO_PIECES = 1 << 19         # encoded pieces a worker remembers between chunks
 MAGIC = b"RTOKEF01"
 SAMPLE = 512                    # one select sample for so many values
 
@@ -170,12 +171,14 @@ class Encoder:
         self.tok.no_padding()
         self.special = [a["content"] for a in json.loads(spec)["added_tokens"]]
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}
 
-    def pieces(self, found: list[str]) -> list[list[int]]:
+    def pieces(self, found: list[str]) -> list[bytes]:
+        """Ids of each piece as unsigned 32-bit integers."""
         memo = self.memo
         new = [p for p in found if p not in memo]
-        got = dict(zip(new, (e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)))) if new else {}
+        got = ({p: array("I", e.ids).tobytes() for p, e in
+                zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False))} if new else {})
         out = [got[p] if p in got else memo[p] for p in found]
         if len(memo) + len(got) > MEMO_PIECES:
             memo.clear()
@@ -198,8 +201,8 @@ class Encoder:
         enc = strings(np.r_[starts, len(data)], data).dictionary_encode()
         number = enc.indices.to_numpy(zero_copy_only=False)
         lists = self.pieces(enc.dictionary.to_pylist())
-        size = np.array([len(x) for x in lists], np.int64)
-        pool = np.array([x for y in lists for x in y], np.uint32)
+        size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        pool = np.frombuffer(b"".join(lists), np.uint32)
         per = size[number]
         ids = pool[expand((np.cumsum(size) - size)[number], per)]
         at = np.r_[0, np.cumsum(per)][np.searchsorted(starts, off)]
