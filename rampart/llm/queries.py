@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampart.llm import bpe, jaccard, langid, minhash, quality, tokenstore, topk
+from rampart.llm import bpe, jaccard, langid, licenses, minhash, mixing, preference, quality, tokenstore, topk
 from rampart.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,106 @@ def op7_jaccard_regions(spark, sf_dir):
 def op3_minhash_fingerprints(spark, sf_dir):
     """Fingerprints of all documents and of their edited texts (see ``minhash``)."""
     return minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+# --- op9 ----------------------------------------------------------------------------
+
+def _quote(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def licence_sql() -> str:
+    num, den = licenses.DICE
+    sets = ", ".join(f"({_quote(n)}, [{', '.join(map(_quote, s))}])" for n, s in licenses.template_sets())
+    return f"""
+WITH t(license, s) AS (VALUES {sets}),
+l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x,
+             generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents),
+w AS (SELECT doc_id, line, string_split(trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM l),
+b AS (SELECT doc_id, line, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
+                                ELSE w END AS b FROM w),
+m AS (SELECT doc_id, line, license, 2 * len(list_intersect(b, s)) AS twice, len(b) + len(s) AS total
+      FROM b, t WHERE {den} * 2 * len(list_intersect(b, s)) >= {num} * (len(b) + len(s))),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY twice / total DESC, line, license) AS k,
+             row_number() OVER (PARTITION BY doc_id, line ORDER BY license) AS j FROM m),
+n AS (SELECT doc_id, count(*) FILTER (WHERE j = 1) AS n FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_notices, r.license, coalesce(r.twice / r.total, 0.0) AS dice,
+       CAST(r.line AS BIGINT) AS line
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.doc_id = d.doc_id AND r.k = 1"""
+
+
+@register("op9_licence_dice", licence_sql())
+def op9_licence_dice(spark, sf_dir):
+    """Licence notices of all documents (see ``licenses``)."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+# --- op4 ----------------------------------------------------------------------------
+
+def preference_sql() -> str:
+    def render(ts):
+        return (f"array_to_string(list_transform({ts}, lambda t: '{preference.START}' || t.role || chr(10) || t.text || "
+                f"'{preference.END}' || chr(10)), '')")
+
+    # a pair's sides differ in their last turn at most, so a completion is that one reply
+    head = len(preference.START) + 1 + len(preference.TRAINED)
+    return f"""
+WITH c AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS turns
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+p AS (SELECT conv_id, turns, list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = '{preference.TRAINED}')) AS k FROM c),
+q AS (SELECT conv_id, turns[1:k] AS chosen, turns[k].text AS reply FROM p WHERE k IS NOT NULL),
+n AS (SELECT *, coalesce(lead(reply) OVER (ORDER BY conv_id), first(reply) OVER (ORDER BY conv_id)) AS next_reply FROM q),
+s AS (SELECT *, reply = next_reply AS same FROM n)
+SELECT conv_id AS pair_id, CAST(len(chosen) - CASE WHEN same THEN 0 ELSE 1 END AS INTEGER) AS n_prefix,
+       {render('chosen[1:len(chosen) - CASE WHEN same THEN 0 ELSE 1 END]')} AS prompt,
+       CASE WHEN same THEN '' ELSE '{preference.START}{preference.TRAINED}' || chr(10) || reply || '{preference.END}' || chr(10) END AS chosen,
+       CASE WHEN same THEN '' ELSE '{head}-' || CAST({head + len(preference.END)} + length(reply) AS VARCHAR) END AS chosen_mask,
+       CASE WHEN same THEN '' ELSE '{preference.START}{preference.TRAINED}' || chr(10) || next_reply || '{preference.END}' || chr(10) END AS rejected,
+       CASE WHEN same THEN '' ELSE '{head}-' || CAST({head + len(preference.END)} + length(next_reply) AS VARCHAR) END AS rejected_mask
+FROM s"""
+
+
+@register("op4_preference_pairs", preference_sql())
+def op4_preference_pairs(spark, sf_dir):
+    """All conversations as chosen, each against the next one's reply (see ``preference``)."""
+    pairs = preference.swapped_replies(table(spark, sf_dir, "conversations"))
+    done = preference.format_pairs(pairs)
+    return done.select("pair_id", "n_prefix", "prompt", "chosen", preference.mask_text(F.col("chosen_mask")).alias("chosen_mask"),
+                       "rejected", preference.mask_text(F.col("rejected_mask")).alias("rejected_mask"))
+
+
+# --- op1 ----------------------------------------------------------------------------
+
+def mixing_sql() -> str:
+    steps, last = [], "c0"
+    for r in range(mixing.ROUNDS):
+        for d in mixing.DIMS:
+            name = f"r{r}_{d}"
+            steps.append(f"{name} AS (SELECT * REPLACE (least(CAST(tokens AS DOUBLE), CASE WHEN sum(m) OVER (PARTITION BY {d}) > 0 "
+                         f"THEN m * t_{d} / sum(m) OVER (PARTITION BY {d}) ELSE 0 END) AS m) FROM {last})")
+            last = name
+    raised = ", ".join(f"pow(CAST(sum(tokens) OVER (PARTITION BY {d}) AS DOUBLE), {mixing.TEMPER}) AS p_{d}" for d in mixing.DIMS)
+    # a value's power counts once, however many cells it has
+    target = ", ".join(f"p_{d} / sum(p_{d} / n_{d}) OVER () * {mixing.SHARE} * sum(tokens) OVER () AS t_{d}" for d in mixing.DIMS)
+    number = ", ".join(f"count(*) OVER (PARTITION BY {d}) AS n_{d}" for d in mixing.DIMS)
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+         CASE WHEN contains(text, ' | ') THEN 'table'
+              WHEN contains(text, 'icense') OR contains(text, 'ights reserved') THEN 'notice'
+              WHEN contains(text, '@') THEN 'contact' ELSE 'prose' END AS topic,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL),
+p AS (SELECT *, {raised}, {number} FROM c),
+c0 AS (SELECT source, lang, topic, tokens, {target}, tokens * {mixing.SHARE} AS m FROM p),
+{', '.join(steps)},
+rates AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN m / tokens ELSE 0 END AS rate FROM {last})
+SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(rate, 6) AS rate,
+       CAST('0x' || substr(md5('mix:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < rate AS sampled
+FROM d JOIN rates USING (source, lang, topic)"""
+
+
+@register("op1_raked_mixture", mixing_sql())
+def op1_raked_mixture(spark, sf_dir):
+    """Sampling decisions of all documents by raked token weights (see ``mixing``)."""
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 6))
