@@ -91,14 +91,10 @@ def _distinct_addresses(rows: DataFrame, col: str) -> DataFrame:
 def exclude_whitelisted(rows: DataFrame, whitelist: DataFrame, col: str = ADDR) -> DataFrame:
     """Drop rows whose address is whitelisted (two passes over the rows:
     their distinct addresses, then the anti join).  The whitelisted set is
-    written out for a large input so that the join sees a plain shuffle on
-    both sides and AQE can split a hot address's rows (see
-    ``partitioning.is_large``)."""
-    from rampart.plans.partitioning import is_large
+    written out so that the join sees a plain shuffle on both sides and AQE
+    can split a hot address's rows, or broadcast the set."""
     from rampart.session import write_table
-    hits = whitelisted(_distinct_addresses(rows, col), whitelist, col)
-    if is_large(rows):
-        hits = write_table(hits, "whitelisted")
+    hits = write_table(whitelisted(_distinct_addresses(rows, col), whitelist, col), "whitelisted")
     return rows.join(hits, on=col, how="left_anti")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rampart.functions import text as X
@@ -35,11 +35,21 @@ def decoded_urls(df: DataFrame, url: str = "URL") -> DataFrame:
     return df.withColumn("decoded", U.percent_decode(F.col(url)))
 
 
-def split_short_rows(df: DataFrame, corrupt_col: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
-    """C11's reject branch for positional CSV input: rows the CSV reader
-    could not fit to the schema (too few fields) go to the rejects."""
+# Fields of a positional row that classification needs: URL (6th), Status (8th).
+MIN_FIELDS = 8
+
+
+def field_count(line: Column) -> Column:
+    """Number of CSV fields of a raw line (quoted fields may hold commas)."""
+    return F.size(F.split(F.regexp_replace(line, '"(?:[^"]|"")*"', ""), ","))
+
+
+def split_short_rows(df: DataFrame, corrupt_col: str = "_corrupt_record",
+                     min_fields: int = MIN_FIELDS) -> tuple[DataFrame, DataFrame]:
+    """C11's reject branch for positional CSV input: rows of fewer than
+    ``min_fields`` fields are rejected; a row that is only shorter or longer
+    than the schema keeps the fields it has."""
     if corrupt_col not in df.columns:
         return df, df.where(F.lit(False))
-    bad = df.where(F.col(corrupt_col).isNotNull())
-    good = df.where(F.col(corrupt_col).isNull()).drop(corrupt_col)
-    return good, bad
+    short = F.col(corrupt_col).isNotNull() & (field_count(F.col(corrupt_col)) < min_fields)
+    return df.where(~short).drop(corrupt_col), df.where(short)

@@ -1,7 +1,8 @@
 """Dashboard queries: filters, grouped counts, top-k, time buckets, drill-down.
 
-Each function returns a lazy ``DataFrame``; only the small grouped result is
-meant to reach the caller.  Grouped counts use ``groupBy`` so that Spark
+Each function returns a lazy ``DataFrame`` (``group_size_filter`` alone writes
+a table while it builds its plan); only the small grouped result is meant to
+reach the caller.  Grouped counts use ``groupBy`` so that Spark
 pre-aggregates map-side: a single address holding a third of all rows costs
 one partial count per task, never one giant group.
 """
@@ -29,7 +30,7 @@ def address_counts(df: DataFrame, col: str = ADDR, name: str = "count") -> DataF
     return df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias(name))
 
 
-def group_size_filter(df: DataFrame, min_rows: int | None = 0, max_rows: int | None = 1000,
+def group_size_filter(df: DataFrame, min_rows: int | None = None, max_rows: int | None = None,
                       col: str = ADDR) -> DataFrame:
     """Keep the rows whose address has ``min_rows``..``max_rows`` rows.
 
@@ -68,19 +69,38 @@ def drill_down(df: DataFrame, ip: str, col: str = ADDR) -> DataFrame:
     return df.where(F.col(col) == ip)
 
 
-def error_page(df: DataFrame, ip_prefix: str | None = None, min_rows: int | None = 0,
-               max_rows: int | None = 1000) -> dict[str, DataFrame]:
-    """The error page's three answers over the classified table."""
-    f = group_size_filter(prefix_filter(df, ip_prefix), min_rows, max_rows)
-    return {"by_address": address_counts(f), "by_attack": attack_counts(f),
-            "total": total_count(f)}
+def _in_bounds(n, min_rows: int | None, max_rows: int | None):
+    ok = F.lit(True)
+    if min_rows is not None:
+        ok = ok & (n >= min_rows)
+    if max_rows is not None:
+        ok = ok & (n <= max_rows)
+    return ok
 
 
-def access_page(df: DataFrame, ip_prefix: str | None = None, min_rows: int | None = 0,
-                max_rows: int | None = 1000) -> dict[str, DataFrame]:
-    """The access page's two answers over the normalized table."""
-    f = group_size_filter(prefix_filter(df, ip_prefix), min_rows, max_rows)
-    return {"by_address": address_counts(f), "total": total_count(f)}
+def error_page(df: DataFrame, ip_prefix: str | None = None, min_rows: int | None = None,
+               max_rows: int | None = None, col: str = ADDR) -> dict[str, DataFrame]:
+    """The error page's three answers over the classified table.
+
+    All three come from one count per (address, attack types); an address's
+    total is a window sum over its few rows of that table (at most one per
+    set of attack classes), so the rows themselves are scanned once.
+    """
+    per = (prefix_filter(df, ip_prefix).where(F.col(col).isNotNull())
+           .groupBy(col, "attack_types").agg(F.count(F.lit(1)).alias("count")))
+    per = per.withColumn("_n", F.sum("count").over(Window.partitionBy(col)))
+    per = per.where(_in_bounds(F.col("_n"), min_rows, max_rows))
+    return {"by_address": per.groupBy(col).agg(F.sum("count").alias("count")),
+            "by_attack": per.groupBy("attack_types").agg(F.sum("count").alias("count")),
+            "total": per.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))}
+
+
+def access_page(df: DataFrame, ip_prefix: str | None = None, min_rows: int | None = None,
+                max_rows: int | None = None, col: str = ADDR) -> dict[str, DataFrame]:
+    """The access page's two answers over the normalized table, both from
+    the counts per address."""
+    per = address_counts(prefix_filter(df, ip_prefix), col).where(_in_bounds(F.col("count"), min_rows, max_rows))
+    return {"by_address": per, "total": per.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))}
 
 
 def records_json(df: DataFrame) -> DataFrame:

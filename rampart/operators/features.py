@@ -16,7 +16,6 @@ from rampart.operators.numbering import index_sorted
 
 NULL_LABEL = "nan"   # what a missing value turns into when cast to text
 UNSEEN_CODE = -1     # code for a label the dictionary does not hold
-DICT_BROADCAST_BYTES = 64 << 20   # dictionaries up to this plan size are broadcast to micro-batches
 NUMERIC = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.ShortType, T.ByteType)
 
 # Feature lists: scoring/training, and the experiment's variant.
@@ -115,20 +114,14 @@ def encode(df: DataFrame, labels: DataFrame, columns: list[str], suffix: str = "
 
     One left join per column; AQE broadcasts the small dictionaries and
     shuffles the large ones (a URL dictionary can be as long as the log).
-    With ``small_input`` (a micro-batch) the dictionary is broadcast when
-    its plan size is below ``DICT_BROADCAST_BYTES``; above that it is first
-    cut to the input's own labels by a semi join, which only scans it (the
-    input's distinct labels are the small side), so no micro-batch shuffles
-    the whole dictionary.
+    With ``small_input`` (a micro-batch) the dictionary is first cut to the
+    input's own labels by a semi join, whose small side AQE broadcasts, so no
+    micro-batch shuffles the whole dictionary.
     """
-    from rampart.plans.partitioning import plan_bytes
     out = df
-    small_dict = small_input and plan_bytes(labels) <= DICT_BROADCAST_BYTES
     for c in columns:
         d = labels.where(F.col("column") == c).select(F.col("label").alias("_lbl"), F.col("code").alias("_code"))
-        if small_dict:
-            d = F.broadcast(d)
-        elif small_input:
+        if small_input:
             wanted = df.select(as_label(c).alias("_lbl")).distinct()
             d = d.join(wanted, "_lbl", "left_semi")
         out = (out.join(d, as_label(c) == F.col("_lbl"), "left")

@@ -4,7 +4,7 @@
   ``xxhash64(id, t, seed)``, a uniform sample without replacement that does
   not depend on how the data is partitioned.  A hash threshold keeps only a
   few times ``psi`` candidates per tree before the per-tree ranking, so
-  only ``T * ~4 * psi`` rows are shuffled.
+  only ``T * ~4 * psi`` rows are shuffled, whatever the input's size.
 * M2 build: ``groupBy(tree).applyInPandas``; each group holds ``psi`` rows.
 * The model is a node table of at most ``T * (2 * psi - 1)`` rows: bounded
   by the parameters, not by the data, so it is collected and broadcast.
@@ -47,37 +47,23 @@ def _unit_hash(*cols: Column) -> Column:
 
 
 def sample_trees(features: DataFrame, n_rows: int, n_trees: int, psi: int, seed: int,
-                 id_col: str = "id", oversample: float = 4.0, pool_factor: int = 8,
-                 exact: bool = False) -> tuple[DataFrame, int]:
+                 id_col: str = "id", oversample: float = 4.0) -> tuple[DataFrame, int]:
     """M1: rows of every tree's sample, as ``(tree, id, f0..fk)``.
 
-    Tree ``t`` takes the ``psi`` rows with the smallest ``h_t(id)``.  When
-    the input is much larger than the forest needs (``n > pool_factor * T *
-    psi``), rows are first thinned by one hash per row to a uniform pool of
-    about ``pool_factor * T * psi`` rows; each tree's bottom-``psi`` inside
-    that pool is still a uniform sample without replacement, and only pool
-    rows are multiplied by ``T``.  A hash cut then keeps a few times ``psi``
-    candidates per tree before the per-tree ranking.
-
-    ``exact`` skips both cuts (every row, every tree): the fallback when a
-    cut left some tree short, which the caller checks.
+    Tree ``t`` takes the ``psi`` rows with the smallest ``h_t(id)``, whatever
+    the input's size.  A row is a candidate of the trees whose hash of it is
+    below ``oversample * psi / n``, so about ``oversample * psi`` rows a tree
+    leave the scan.  A tree left short (the caller checks) asks for a larger
+    ``oversample``; at ``n / psi`` every row is a candidate.
 
     Returns the sample frame and the effective ``psi = min(psi, n)``.
     """
     psi_eff = int(min(psi, n_rows))
     fcols = [c for c in features.columns if c.startswith("f") and c[1:].isdigit()]
-    base = features.select(F.col(id_col).alias("id"), *fcols)
-    pool_n = n_rows
-    pool_target = pool_factor * n_trees * psi
-    if n_rows > pool_target and not exact:
-        keep = pool_target / n_rows
-        base = base.where(_unit_hash(F.col("id"), F.lit(seed), F.lit(-1)) < F.lit(keep))
-        pool_n = pool_target
-    tau = 1.0 if (exact or pool_n <= 16 * psi) else min(1.0, oversample * psi / pool_n)
-    exploded = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-    cands = exploded.withColumn("_u", _unit_hash(F.col("id"), F.col("tree"), F.lit(seed)))
-    if tau < 1.0:
-        cands = cands.where(F.col("_u") < tau)
+    tau = oversample * psi / max(n_rows, 1)
+    hits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.struct(
+        t.alias("tree"), _unit_hash(F.col("id"), t, F.lit(seed)).alias("_u"))), lambda x: x["_u"] < tau)
+    cands = features.select(F.col(id_col).alias("id"), *fcols).select("id", *fcols, F.inline(hits))
     w = F.row_number().over(_tree_window())
     ranked = cands.withColumn("_rn", w).where(F.col("_rn") <= psi_eff).drop("_rn")
     return ranked, psi_eff
@@ -210,19 +196,21 @@ def fit_forest(spark: SparkSession, features: DataFrame, n_trees: int = 100, psi
     n = n_rows if n_rows is not None else features.count()
     if n == 0:
         raise ValueError("cannot fit a forest on no rows")
-    sample, psi_eff = sample_trees(features, n, n_trees, psi, seed, id_col)
     schema = T.StructType([f for f in FOREST_NODES.fields])
+    oversample = 4.0
+    while True:
+        sample, psi_eff = sample_trees(features, n, n_trees, psi, seed, id_col, oversample)
+        sample = sample.persist()          # T * psi rows at most
+        sizes = {r["tree"]: r["count"] for r in sample.groupBy("tree").count().collect()}
+        if len(sizes) == n_trees and min(sizes.values()) >= psi_eff or oversample * psi >= n:
+            break
+        sample.unpersist()
+        oversample *= 4
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         return _build_one(pdf, fcols, psi_eff, seed)
 
-    sample = sample.persist()          # T * psi rows at most
     try:
-        sizes = {r["tree"]: r["count"] for r in sample.groupBy("tree").count().collect()}
-        if len(sizes) < n_trees or min(sizes.values()) < psi_eff:
-            sample.unpersist()
-            sample, psi_eff = sample_trees(features, n, n_trees, psi, seed, id_col, exact=True)
-            sample = sample.persist()
         nodes = sample.groupBy("tree").applyInPandas(build, schema=schema).toPandas()
     finally:
         sample.unpersist()

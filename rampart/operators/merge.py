@@ -9,21 +9,26 @@ from rampart.functions import text as X
 from rampart.operators.numbering import index_sorted
 
 
-def merge_logs(sources: list[DataFrame], value: str = "value", line_no: str = "line_no") -> DataFrame:
-    """Merge line sources by their first embedded timestamp.
+# O3: stable order of the merged lines.
+ORDER = ["ts", "file_no", "line_no"]
+
 
-    O1 bag union (source ``i`` gets ``file_no = i + 1``), O2 lines without a
-    timestamp drop, O3 stable order by ``(ts, file_no, line_no)``: ties keep
-    the file order, then the line order.  ``pos`` is the 0-based position in
-    the merged output, computed by a distributed sort, never in one task.
-    """
+def timed_lines(sources: list[DataFrame], value: str = "value", line_no: str = "line_no") -> DataFrame:
+    """O1 bag union (source ``i`` gets ``file_no = i + 1``) with each line's
+    first embedded timestamp; O2 lines without one drop."""
     parts = [s.select(F.lit(i + 1).alias("file_no"), F.col(line_no).alias("line_no"), F.col(value).alias("value"))
              for i, s in enumerate(sources)]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
     u = u.withColumn("ts", X.embedded_time(F.col("value"))).where(F.col("ts").isNotNull())
-    return index_sorted(u, ["ts", "file_no", "line_no"], out="pos")
+    return u
+
+
+def merge_logs(sources: list[DataFrame], value: str = "value", line_no: str = "line_no") -> DataFrame:
+    """``timed_lines`` with ``pos``, the 0-based position in the merged order
+    (ties keep the file order, then the line order), by a distributed sort."""
+    return index_sorted(timed_lines(sources, value, line_no), ORDER, out="pos")
 
 
 def merge_files(sources: list[DataFrame], by_file: bool = False) -> DataFrame:

@@ -1,12 +1,9 @@
 """Global row numbers without funnelling rows through one task.
 
-Both helpers tag each row with ``monotonically_increasing_id`` (partition
-index in the high bits, position in the partition in the low bits), count the
-rows of each piece with a partial aggregate, turn the counts into offsets
-with a window over that small table, and join the offsets back.  The table
-has one row per input split (or per sorted partition), so its size is bounded
-by the split count, not by the data; it is broadcast only below a checked row
-bound.
+Rows are tagged with their piece (an input split, or a sorted partition) and
+``monotonically_increasing_id``; a partial aggregate counts each piece, the
+counts become offsets, and the offsets are joined back.  The offsets table
+has one row per piece; how it is joined is left to the planner.
 """
 
 from __future__ import annotations
@@ -14,56 +11,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Above this many pieces the offsets table is joined by shuffle instead.
-MAX_BROADCAST_PIECES = 2_000_000
 
-
-def number_lines(lines: DataFrame, out: str = "id", base: int = 1,
-                 pieces_bound: int | None = None) -> DataFrame:
+def number_lines(lines: DataFrame, out: str = "id", base: int = 1) -> DataFrame:
     """Number text lines in file order, counting every line.
 
     ``lines`` must come from a file scan with ``file_path`` and
     ``block_start`` columns (see ``sources.files.read_lines``); rows of a
     split must come in file order within their partition.  Files are
     ordered by path, splits by start offset, lines by position in the split.
+    Offsets are summed within each file and over files, and joined by a
+    64-bit key of the split.
     """
-    tagged = lines.withColumn("_mid", F.monotonically_increasing_id())
-    keys = ["file_path", "block_start"]
-    pieces_bound = pieces_bound if pieces_bound is not None else _split_bound(lines)
-    pieces = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.select(*keys, "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    side = F.broadcast(pieces) if pieces_bound <= MAX_BROADCAST_PIECES else pieces
-    return (tagged.join(side, on=keys, how="inner")
+    piece = F.xxhash64("file_path", "block_start")
+    tagged = lines.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_piece", piece)
+    pieces = tagged.groupBy("file_path", "block_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    files = pieces.groupBy("file_path").agg(F.sum("_n").alias("_lines"))
+    over_files = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("file_path", F.coalesce(F.sum("_lines").over(over_files), F.lit(0)).alias("_before"))
+    in_file = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.join(files, "file_path").select(
+        piece.alias("_piece"), "_m0", (F.col("_before") + F.coalesce(F.sum("_n").over(in_file), F.lit(0))).alias("_off"))
+    return (tagged.join(offsets, on="_piece", how="inner")
             .withColumn(out, F.col("_off") + (F.col("_mid") - F.col("_m0")) + F.lit(base))
-            .drop("_mid", "_m0", "_off"))
-
-
-def _split_bound(df: DataFrame) -> int:
-    """Upper bound on the number of splits of a file scan.
-
-    A file of ``size`` bytes yields at most ``size / maxPartitionBytes + 1``
-    splits, so the count is at most ``files + total / maxPartitionBytes``.
-    The total comes from the plan's size statistic (the listing Spark has
-    already done), not from a driver-side walk over the files.
-    """
-    spark = df.sparkSession
-    try:
-        n_files = len(df._jdf.inputFiles())      # length asked on the JVM; names stay there
-        total = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        max_bytes = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-        return n_files + total // max(1, max_bytes) + 1
-    except Exception:  # noqa: BLE001 - unknown: treat as large
-        return MAX_BROADCAST_PIECES + 1
+            .drop("_mid", "_m0", "_off", "_piece"))
 
 
-def _bytes(s: str) -> int:
+def parse_bytes(s: str) -> int:
+    """A byte size as Spark's settings spell it (``128m``, ``1g``, ``4096``)."""
     s = s.strip().lower()
     mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
     for suf in ("kb", "mb", "gb", "tb", "b", "k", "m", "g", "t"):
         if s.endswith(suf):
-            num = s[: -len(suf)]
-            return int(float(num) * mult.get(suf[0], 1))
+            return int(float(s[: -len(suf)]) * mult.get(suf[0], 1))
     return int(s)
 
 
@@ -71,31 +50,20 @@ def index_sorted(df: DataFrame, order_cols: list, out: str = "pos", base: int =
                  num_partitions: int | None = None) -> DataFrame:
     """Position of each row in the order of ``order_cols`` (a total order).
 
-    ``repartitionByRange`` with an explicit partition count puts the rows in
-    order across partitions, and ``sortWithinPartitions`` orders each one;
-    the per-partition counts become offsets.  The explicit count matters:
-    AQE never coalesces such a shuffle, so the counting branch and the
-    numbering branch read the very same partitions (they share one reused
-    exchange).  Because the order is total, a recomputed partition yields
-    the same positions.  The offsets table has one row per partition.
-
-    Both branches must see one partitioning.  With exchange reuse (Spark's
-    default) they share one exchange whose range bounds are fixed once, also
-    when a lost partition is recomputed; with reuse switched off, the sorted
-    rows are checkpointed first and both branches read those files.
+    The rows are range-partitioned, sorted within partitions, tagged with
+    partition and place, and written to the shared folder; counting and
+    numbering both read those tags from the written rows.  They must: two
+    plans of the same sort that keep different columns sample different
+    range bounds, so partitions of one say nothing about the other.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    from rampart.session import write_table
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
-        from rampart.session import checkpoint
-        ordered = checkpoint(ordered)
-    tagged = (ordered.withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
+    tagged = write_table(ordered.withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()), "sorted")
     pieces = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select("_pid", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    side = F.broadcast(pieces) if n <= MAX_BROADCAST_PIECES else pieces
-    return (tagged.join(side, on="_pid", how="inner")
+    return (tagged.join(pieces, on="_pid", how="inner")
             .withColumn(out, F.col("_off") + (F.col("_mid") - F.col("_m0")) + F.lit(base))
             .drop("_pid", "_mid", "_m0", "_off"))

@@ -18,19 +18,20 @@ from rampart.schemas import LEGACY, NORMALIZED_COLUMNS
 MIN_TOKENS, MAX_TOKENS = 17, 18
 
 
-def parse_marker(lines: DataFrame, id_col: str = "id", value_col: str = "value") -> DataFrame:
-    """Normalized columns plus ``reason`` (null = good row).
+def parse_marker(lines: DataFrame, id_col: str = "id", value_col: str = "value", keep: tuple = ()) -> DataFrame:
+    """Normalized columns plus ``reason`` (null = good row); the
+    columns of ``keep`` pass through.
 
     Reasons, checked in this order: ``no_marker`` (no ``RemoteAddress=``),
     ``too_many`` (more than 18 tokens), ``too_few`` (fewer than 17),
     ``bad_time`` (time token does not parse).
     """
-    base = lines.select(F.col(id_col).cast("bigint").alias("id"), F.col(value_col).alias("value"))
-    staged = X.compute_once(base, ["id", "value"], {"_t": X.tokens(X.from_marker(F.col("value")))})
+    base = lines.select(F.col(id_col).cast("bigint").alias("id"), F.col(value_col).alias("value"), *keep)
+    staged = X.compute_once(base, ["id", "value", *keep], {"_t": X.tokens(X.from_marker(F.col("value")))})
     t = F.col("_t")
     n = F.size(t)
     time_local = X.parse_local_time(X.strip_prefix(X.token_at(t, 2), "TimeLocal="))
-    staged = staged.select("id", "value", "_t", time_local.alias("TimeLocal"))
+    staged = staged.select("id", "value", "_t", *keep, time_local.alias("TimeLocal"))
     reason = (F.when(n == 0, F.lit("no_marker"))
               .when(n > MAX_TOKENS, F.lit("too_many"))
               .when(n < MIN_TOKENS, F.lit("too_few"))
@@ -48,6 +49,7 @@ def parse_marker(lines: DataFrame, id_col: str = "id", value_col: str = "value")
         X.token_at(t, 9).alias("Referer"),
         X.token_at(t, 10).alias("UserAgent"),
         X.token_at(t, 16).alias("token"),
+        *keep,
         "value",
         reason.alias("reason"),
     )

@@ -14,10 +14,6 @@ from rampart.operators.numbering import index_sorted
 STD_FACTOR = 10.0
 SCORE_CAP = 0.09
 
-# Up to this many values an exact percentile gathers them in one buffer
-# (bounded: 8 MB); above it the rank is found with a distributed sort.
-EXACT_BUFFER_LIMIT = 1_000_000
-
 
 def batch_stats(df: DataFrame, score: str = "anomaly_score", batch: str = "batch_id") -> DataFrame:
     """A1 / A2: mean and population std of the score per batch."""
@@ -46,10 +42,9 @@ def with_batches(df: DataFrame, size: int, id_col: str = "id", out: str = "batch
 def exact_quantile(df: DataFrame, col: str, q: float, n: int | None = None) -> float | None:
     """The ``q`` quantile with linear interpolation (NumPy's default).
 
-    Small inputs use Spark's exact ``percentile``.  Large inputs never
-    gather the column: an approximate percentile brackets the two ranks
-    needed, two counts verify the bracket, and only the rows inside it are
-    sorted (a distributed sort) to read the exact values.  ``n``, when the
+    The column is never gathered: an approximate percentile brackets the two
+    ranks needed, two counts verify the bracket, and only the rows inside it
+    are sorted (a distributed sort) to read the exact values.  ``n``, when the
     caller knows it, is the number of non-null values (saves a count).
     """
     x = F.col(col).cast("double")
@@ -58,8 +53,6 @@ def exact_quantile(df: DataFrame, col: str, q: float, n: int | None = None) -> f
         n = base.count()
     if n == 0:
         return None
-    if n <= EXACT_BUFFER_LIMIT:
-        return base.agg(F.percentile("_x", F.lit(q)).alias("p")).collect()[0]["p"]
     k = q * (n - 1)
     lo, hi = int(math.floor(k)), int(math.ceil(k))
     accuracy = 10_000

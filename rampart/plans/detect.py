@@ -169,12 +169,20 @@ def encode_with_store(spark: SparkSession, df: DataFrame, columns: list[str], pa
                       refit: bool = False) -> DataFrame:
     """FT5/FT6 with a saved dictionary: load or start empty, add the new
     labels, save, and encode (the reference's encode-from-CSV step)."""
-    known = load_or_create_labels(spark, path)
-    labels = FT.update_labels(known, df, columns, refit=refit).cache()
-    labels.count()
-    tmp = path.rstrip("/") + ".next"
-    labels.write.mode("overwrite").parquet(tmp)
-    labels.unpersist()
-    saved = spark.read.parquet(tmp)
-    saved.write.mode("overwrite").parquet(path)
-    return FT.encode(df, spark.read.parquet(path), columns)
+    base = path.rstrip("/")
+    n = latest_version(spark, base)
+    known = load_or_create_labels(spark, f"{base}/v{n}") if n else load_or_create_labels(spark, base + "/none")
+    # a new version is a new folder, complete once its writer has committed;
+    # until then readers and the next run still see the one before
+    here = f"{base}/v{n + 1}"
+    FT.update_labels(known, df, columns, refit=refit, materialize=False).write.mode("overwrite").parquet(here)
+    return FT.encode(df, load_or_create_labels(spark, here), columns)
+
+
+def latest_version(spark: SparkSession, base: str) -> int:
+    """Number of the newest complete version folder, 0 if there is none."""
+    from rampart.sources.files import path_exists
+    n = 0
+    while path_exists(spark, f"{base}/v{n + 1}/_SUCCESS"):
+        n += 1
+    return n

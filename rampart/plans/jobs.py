@@ -19,6 +19,7 @@ from rampart.operators import merge as M
 from rampart.operators import parse as P
 from rampart.operators import threshold as TH
 from rampart.plans import detect as DT
+from rampart.session import write_table
 from rampart.sources import files as SRC
 
 
@@ -66,19 +67,22 @@ def train_job(spark: SparkSession, normalized_table: str, model_path: str, score
 
 
 def score_job(spark: SparkSession, normalized_table: str, model_path: str, scores_path: str,
-              anomalies_path: str, batch_col: str = "batch_id") -> None:
+              anomalies_path: str, batch_col: str = "batch_id", batch_size: int | None = None) -> None:
     """E1 in batch: score with the saved model, cut per batch (A1–A3), and
-    write all scores and the suspicious rows (SNK3)."""
+    write all scores and the suspicious rows (SNK3).
+
+    The cut depends on the batches: a table without ``batch_col`` needs
+    ``batch_size``, and its batches are runs of that many lines by ``id``.
+    """
     model = DT.load_model(spark, model_path)
     df = spark.read.parquet(normalized_table)
     if batch_col not in df.columns:
-        df = df.withColumn(batch_col, F.lit(0).cast("bigint"))
-    scored = DT.score(df, model).persist()
-    try:
-        sinks.append(scored, scores_path)
-        sinks.append(TH.adaptive_filter(scored, "anomaly_score", batch_col), anomalies_path)
-    finally:
-        scored.unpersist()
+        if not batch_size:
+            raise ValueError(f"the table has no {batch_col}; give batch_size")
+        df = TH.with_batches(df, batch_size, out=batch_col)
+    scored = write_table(DT.score(df, model), "scores")
+    sinks.append(scored, scores_path)
+    sinks.append(TH.adaptive_filter(scored, "anomaly_score", batch_col), anomalies_path)
 
 
 def classify_job(spark: SparkSession, anomalies_table: str, out_path: str, csv: bool = False) -> DataFrame:
@@ -91,15 +95,14 @@ def classify_job(spark: SparkSession, anomalies_table: str, out_path: str, csv:
     return cls
 
 
-def classify_csv_job(spark: SparkSession, csv_path: str, out_path: str) -> tuple[DataFrame, DataFrame]:
-    """C12 over a positional CSV (SRC8): short rows go to the rejects.
+def classify_csv_job(spark: SparkSession, csv_path: str, out_path: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """C12 over a positional CSV (SRC8): rows of fewer than eight fields go
+    to the rejects; longer and shorter rows are classified by position.
 
-    The parsed input is persisted: Spark answers a query on the corrupt
-    record column alone (the rejects) only from parsed rows, and the input,
-    an anomaly table, is a small fraction of the log.  The caller unpersists
-    the returned frames' source when done.
+    The parsed rows are written to the shared folder once, since both
+    results read them.
     """
-    raw = SRC.read_positional_csv(spark, csv_path, SC.SCORED).persist()
+    raw = write_table(SRC.read_positional_csv(spark, csv_path, SC.SCORED, header), "positional")
     good, bad = C.split_short_rows(raw)
     sinks.export_csv(C.classify(good), out_path)
     return good, bad
@@ -126,20 +129,21 @@ def block_job(spark: SparkSession, classified_table: str, blocklist_path: str,
 def merge_job(spark: SparkSession, paths: list[str], out_path: str) -> None:
     """O1–O3 → SNK10: line-level, time-ordered merge of several logs."""
     sources = [SRC.read_lines(spark, p, numbered=True).withColumnRenamed("id", "line_no") for p in paths]
-    merged = M.merge_logs(sources)
-    sinks.write_merged_text(merged, out_path, ["pos"])
+    # one sort: the written order is the merged order, no position is needed
+    sinks.write_merged_text(M.timed_lines(sources), out_path, M.ORDER)
 
 
 def load_dashboard(spark: SparkSession, error_csv: str, access_csv: str) -> tuple[DataFrame, DataFrame]:
-    """Both dashboard tables, each empty when its file is missing."""
-    err = SRC.read_normalized_csv(spark, error_csv, tolerant=True)
+    """Both dashboard tables, each empty when its file is missing; the
+    error table has the classified columns under their own names."""
+    err = SRC.read_classified_csv(spark, error_csv, tolerant=True)
     acc = SRC.read_normalized_csv(spark, access_csv, tolerant=True)
     return err, acc
 
 
 def dashboard(error: DataFrame, access: DataFrame, ip_prefix: str | None = None,
-              min_rows: int | None = 0, max_rows: int | None = 1000, top_k: int = 10) -> dict:
-    """D8, D9 and V1–V7 as lazy frames."""
+              min_rows: int | None = None, max_rows: int | None = None, top_k: int = 10) -> dict:
+    """D8, D9 and V1–V7 as lazy frames; the page's row bounds are off unless given."""
     tagged = D.with_kind(access, error)
     out = {"error": D.error_page(error, ip_prefix, min_rows, max_rows),
            "access": D.access_page(access, ip_prefix, min_rows, max_rows),

@@ -5,43 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-# Inputs above this size are never reshuffled just to add parallelism.
-SPREAD_MAX_BYTES = 1 << 30
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Deal a scan with fewer partitions than the cluster has cores over them.
 
-# Inputs above this size get per-key tables materialized before they are
-# joined back to the rows, so that AQE can split a hot key: its skew-join
-# rule needs a plain shuffle on both sides.  Below it the table is
-# broadcast at run time and no key can hold up a join.
-SKEW_SAFE_BYTES = 1 << 30
-
-
-def is_large(df: DataFrame) -> bool:
-    return plan_bytes(df) > SKEW_SAFE_BYTES
-
-
-def spread(df: DataFrame, min_partitions: int | None = None, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
-    """Spread a small scan that has fewer partitions than the cluster has cores.
-
-    A small file with one row group is one scan task, so every per-row
-    operator after it (regex parsing, classification, forest scoring) would
-    run on one core.  Such an input (below ``max_bytes``) is dealt
-    round-robin over ``min_partitions`` (default: the default parallelism).
-    A large input is returned untouched: its splits already keep the
-    cluster busy, and a full shuffle would cost more than it gains.
+    A file with one row group is one scan task, so every per-row operator
+    after it would run on one core.  An input that already has at least
+    ``min_partitions`` (default: the default parallelism) keeps its splits.
     """
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if num_partitions(df) >= want or plan_bytes(df) > max_bytes:
-        return df
-    return df.repartition(want)
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (file sizes for a scan)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - unknown size: treat as large
-        return 1 << 62
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df if num_partitions(df) >= want else df.repartition(want)
 
 
 def num_partitions(df: DataFrame) -> int:

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from rampart.operators import blocking as B
 from rampart.operators import classify as C
 from rampart.functions import text as X
+from rampart.functions import urls as U
+from rampart import schemas as SC
 from rampart.operators import dashboard as D
 from rampart.operators import features as FT
 from rampart.operators import forest as FR
@@ -65,7 +67,7 @@ def classified_access(spark, sf):
 
 def error_table(spark, sf):
     """Stand-in for the classified anomaly table: rows with some attack."""
-    return classified_access(spark, sf).where(F.col("attack_types") != "Aucune")
+    return classified_access(spark, sf).where(F.col("attack_types") != U.NO_ATTACK)
 
 
 CL_ACCESS = O.classified_cte("access", "classified")
@@ -77,13 +79,10 @@ TAGGED = ("tagged AS (SELECT id, RemoteAddress, TimeLocal, 'access' AS kind FROM
 # --- slice 0: busiest addresses (D1 → D2 → D3) --------------------------------
 
 @register("busiest_addresses", O.with_ctes(O.ACCESS, """
-counts AS (SELECT RemoteAddress, count(*) AS n FROM access WHERE RemoteAddress IS NOT NULL GROUP BY 1)
-""") + """
-SELECT RemoteAddress, count(*) AS count
-FROM access a WHERE RemoteAddress IN (SELECT RemoteAddress FROM counts WHERE n BETWEEN 0 AND 1000)
-GROUP BY RemoteAddress""")
+counts AS (SELECT RemoteAddress, count(*) AS count FROM access WHERE RemoteAddress IS NOT NULL GROUP BY 1)
+""") + " SELECT RemoteAddress, count FROM counts")
 def busiest_addresses(spark, sf):
-    page = D.access_page(access(spark, sf), None, 0, 1000)
+    page = D.access_page(access(spark, sf))
     return page["by_address"]
 
 
@@ -354,13 +353,14 @@ def merge_sources(spark, sf):
 
 @register("merge_logs", O.with_ctes(O.ACCESS) + f"""
 SELECT CAST(row_number() OVER (ORDER BY ts, file_no, line_no) - 1 AS BIGINT) AS pos,
-       file_no, line_no, {O.ts_text('ts')} AS ts
+       file_no, line_no, {O.ts_text('ts')} AS ts,
+       '[' || strftime(ts, '%d/%b/%Y:%H:%M:%S') || '] event ' || CAST(line_no AS VARCHAR) AS value
 FROM (SELECT CAST(CASE WHEN id % 2 = 1 THEN 1 ELSE 2 END AS BIGINT) AS file_no, id AS line_no,
              date_trunc('hour', TimeLocal) AS ts
       FROM access WHERE k >= 5) t""")
 def merge_logs(spark, sf):
     merged = M.merge_logs(merge_sources(spark, sf))
-    return plain(merged.select("pos", "file_no", "line_no", "ts"))
+    return plain(merged.select("pos", "file_no", "line_no", "ts", "value"))
 
 
 # --- numbering of a written log (SRC1, SNK10, P7) -------------------------------
@@ -614,15 +614,22 @@ def forest_anomalies(spark, sf):
 
 # --- streaming (SRC2-style file stream, S3–S6, stateful B2) ----------------------
 
-def _write_log_files(spark, sf, n_files: int = 4) -> str:
-    """Marker lines of the access log as ``n_files`` text files, in time
-    order, under the shared folder."""
+def _write_log_files(spark, sf, n_files: int = 4, shuffled: bool = False) -> str:
+    """Marker lines of the access log as ``n_files`` text files under the
+    shared folder, written one after the other (so the file stream takes them
+    in this order): in id order, or each with rows from all times."""
     from rampart.session import shared_dir
-    from rampart.sinks import write_merged_text
     out = shared_dir(spark, "log")
-    lines = TD.marker_lines(access(spark, sf))
-    write_merged_text(lines.repartition(n_files), out, ["id"])
-    return out
+    a = access(spark, sf)
+    top = a.agg(F.max("id")).first()[0] or 1
+    for i in range(n_files):
+        if shuffled:
+            part = a.where(F.pmod(F.xxhash64("id"), F.lit(n_files)) == i)
+        else:
+            lo, hi = (top * k // n_files for k in (i, i + 1))
+            part = a.where((F.col("id") > lo) & (F.col("id") <= hi))
+        TD.marker_lines(part).coalesce(1).sortWithinPartitions("id").select("value").write.text(f"{out}/{i:04d}")
+    return out + "/*"
 
 
 @register("stream_classify", O.with_ctes(O.ACCESS, CL_ACCESS) + f"""
@@ -635,8 +642,7 @@ def stream_classify(spark, sf):
     from rampart.streaming.live import outputs_under, start_file_stream
     logs = _write_log_files(spark, sf)
     out, ckpt = shared_dir(spark, "live-out"), shared_dir(spark, "live-ckpt")
-    q = start_file_stream(spark, logs, out, ckpt, model=None, max_files=2)
-    q.awaitTermination()
+    start_file_stream(spark, logs, out, ckpt, model=None, max_files=2)
     res = spark.read.parquet(outputs_under(out).classified)
     return plain(res.select("RemoteAddress", "TimeLocal", "URL", "attack_types", "critical_alert"))
 
@@ -644,19 +650,21 @@ def stream_classify(spark, sf):
 @register("stream_rate_ban", O.with_ctes(O.ACCESS, "parsed AS (SELECT * FROM access WHERE token IS NOT NULL)")
           + RATE_SQL.format(findtime=86400, maxretry=5, cond="true").replace("FROM access", "FROM parsed"))
 def stream_rate_ban(spark, sf):
-    """Stateful streaming ban over the parsed log (one micro-batch, time
-    order within it), written by foreachBatch and read back."""
+    """Stateful streaming ban over shuffled log files, one file a
+    micro-batch; the emitted events are written by foreachBatch, read back
+    and reduced to one ban an address."""
     from rampart.session import shared_dir
-    from rampart.streaming.rateban import stream_rate_ban as srb
-    logs = _write_log_files(spark, sf)
+    from rampart.sinks import write_batch
+    from rampart.streaming.rateban import ban_times, stream_rate_ban as srb
+    logs = _write_log_files(spark, sf, shuffled=True)
     out, ckpt = shared_dir(spark, "ban-out"), shared_dir(spark, "ban-ckpt")
-    lines = spark.readStream.schema("value STRING").text(logs)
+    lines = spark.readStream.schema("value STRING").option("maxFilesPerTrigger", 1).text(logs)
     good = P.normalize(lines.select(F.xxhash64("value").alias("id"), "value"))
-    bans = srb(good, None, findtime=86400, maxretry=5)
-    q = (bans.writeStream.outputMode("append").option("checkpointLocation", ckpt)
-         .format("parquet").option("path", out).trigger(availableNow=True).start())
+    events = srb(good, None, findtime=86400, maxretry=5, lateness="3650 days")
+    q = (events.writeStream.outputMode("update").option("checkpointLocation", ckpt)
+         .foreachBatch(lambda df, i: write_batch(df, out, i)).trigger(availableNow=True).start())
     q.awaitTermination()
-    return plain(spark.read.parquet(out))
+    return plain(ban_times(spark.read.parquet(out)))
 
 
 @register("forest_experiment")
@@ -678,8 +686,7 @@ def stream_detect(spark, sf):
     model, _ = DT.train(spark, access(spark, sf))
     logs = _write_log_files(spark, sf)
     out, ckpt = shared_dir(spark, "detect-out"), shared_dir(spark, "detect-ckpt")
-    q = start_file_stream(spark, logs, out, ckpt, model=model, max_files=2)
-    q.awaitTermination()
+    start_file_stream(spark, logs, out, ckpt, model=model, max_files=2)
     res = spark.read.parquet(outputs_under(out).classified)
     return plain(res.select("RemoteAddress", "TimeLocal", "URL", "anomaly_score", "attack_types",
                             "critical_alert"))
@@ -703,3 +710,222 @@ def utf16_parse(spark, sf):
      .csv(out))
     parsed = P.normalize(read_lines(spark, out, encoding="UTF-16LE", numbered=True))
     return plain(parsed.withColumnRenamed("id", "line_no"))
+
+
+# --- isolation forest against SQL (M1, M2, M4–M6, FT9) ----------------------------
+
+# A small literal forest: (tree, node, feature, threshold, left, right, path).
+WALK_NODES = [(0, 0, 0, 50.0, 1, 2, None), (0, 1, -1, 0.0, -1, -1, 2.5), (0, 2, 1, 40.0, 3, 4, None),
+              (0, 3, -1, 0.0, -1, -1, 3.75), (0, 4, -1, 0.0, -1, -1, 1.0),
+              (1, 0, 1, 20.0, 1, 2, None), (1, 1, -1, 0.0, -1, -1, 4.0), (1, 2, -1, 0.0, -1, -1, 2.0)]
+WALK_PSI, WALK_OFFSET = 150, -0.75
+
+
+@register("forest_walk", f"""
+SELECT id, user_id, round(value, 9) AS value, round(raw - ({WALK_OFFSET}), 9) AS anomaly_score,
+       CAST(CASE WHEN raw - ({WALK_OFFSET}) < 0 THEN -1 ELSE 1 END AS BIGINT) AS anomaly
+FROM (SELECT event_id + 1 AS id, user_id, value, -pow(2, -((
+        CASE WHEN value <= 50 THEN 2.5 WHEN user_id <= 40 THEN 3.75 ELSE 1.0 END
+        + CASE WHEN user_id <= 20 THEN 4.0 ELSE 2.0 END) / 2) / {FR.c_factor(WALK_PSI)!r}) AS raw FROM events) t""")
+def forest_walk(spark, sf):
+    """M4 / M5 / FT9: a literal forest scores events beside their own columns."""
+    import pandas as pd
+    nodes = pd.DataFrame(WALK_NODES, columns=["tree", "node", "feat", "thr", "l", "r", "path"])
+    forest = FR.Forest.from_nodes(nodes, WALK_PSI, 0, ["value", "user_id"])
+    ev = TD.table(spark, sf, "events").select((F.col("event_id") + 1).alias("id"), "user_id", "value",
+                                              F.col("value").alias("f0"), F.col("user_id").cast("double").alias("f1"))
+    out = FR.decide(FR.score(ev, forest), WALK_OFFSET)
+    return out.select("id", "user_id", F.round("value", 9).alias("value"), F.round("anomaly_score", 9).alias("anomaly_score"),
+                      F.col("anomaly").cast("bigint").alias("anomaly"))
+
+
+@register("forest_trees", f"""
+SELECT CAST(range AS BIGINT) AS tree, least({DT.TRAIN_MAX_SAMPLES}, (SELECT count(*) FROM events)) AS n_rows,
+       true AS binary, true AS within_depth FROM range({DT.N_TREES})""")
+def forest_trees(spark, sf):
+    """M1 / M2: rows of each tree's sample, and the shape of the tree grown
+    on it (leaves = inner nodes + 1, no path longer than the depth bound)."""
+    import math
+    frame, _, _ = DT.prepare(access(spark, sf), FT.SCORE_FEATURES)
+    n = frame.count()
+    sample, psi = FR.sample_trees(frame, n, DT.N_TREES, DT.TRAIN_MAX_SAMPLES, DT.DEFAULT_SEED)
+    forest = FR.fit_forest(spark, frame, psi=DT.TRAIN_MAX_SAMPLES, n_rows=n)
+    nodes = spark.createDataFrame(forest.nodes_frame(), SC.FOREST_NODES)
+    deepest = math.ceil(math.log2(max(psi, 2))) + FR.c_factor(psi)
+    shape = nodes.groupBy("tree").agg(
+        (F.count_if(F.col("feat") < 0) == F.count_if(F.col("feat") >= 0) + 1).alias("binary"),
+        (F.max(F.when(F.col("feat") < 0, F.col("path"))) <= deepest).alias("within_depth"))
+    rows = sample.groupBy("tree").agg(F.count(F.lit(1)).alias("n_rows"))
+    return rows.join(shape, "tree").select(F.col("tree").cast("bigint").alias("tree"), "n_rows", "binary", "within_depth")
+
+
+@register("forest_planted", O.with_ctes(O.ACCESS) + """
+SELECT id, RemoteAddress, CAST(-1 AS BIGINT) AS anomaly FROM access WHERE id % 50 = 0""")
+def forest_planted(spark, sf):
+    """M1–M6 with outliers planted in the log (very long URL and token): the
+    contamination that is their share flags exactly them, beside the rows'
+    own columns."""
+    odd = F.col("id") % 50 == 0
+    rows = access(spark, sf).withColumn("URL", F.when(odd, F.concat(F.lit("~"), F.repeat(F.lit("z"), 4000))).otherwise(F.col("URL"))) \
+        .withColumn("token", F.when(odd, F.concat(F.lit("~"), F.repeat(F.lit("z"), 2000))).otherwise(F.col("token")))
+    c = rows.agg(F.count_if(odd).alias("k"), F.count(F.lit(1)).alias("n")).first()
+    _, scored = DT.train(spark, rows, features=["lenToken", "lenURL", "Request"], contamination=c["k"] / max(c["n"], 1))
+    return FR.anomalies(scored).select("id", "RemoteAddress", F.col("anomaly").cast("bigint").alias("anomaly"))
+
+
+@register("stream_detect_twin", """SELECT CAST(0 AS BIGINT) AS only_stream, CAST(0 AS BIGINT) AS only_batch""")
+def stream_detect_twin(spark, sf):
+    """E1 on a stream against the same model in batch: the rows that only one
+    of them flags, with the cut on the same batches of lines (S3)."""
+    from rampart.session import shared_dir
+    from rampart.sources.files import read_lines
+    from rampart.streaming.live import LINE_BATCH, outputs_under, start_file_stream
+    model, _ = DT.train(spark, access(spark, sf))
+    logs = _write_log_files(spark, sf, n_files=5)
+    out = shared_dir(spark, "twin-out")
+    start_file_stream(spark, logs, out, shared_dir(spark, "twin-ckpt"), model=model, max_files=2)
+    cols = ["id", "RemoteAddress", "URL", F.round("anomaly_score", 9).alias("anomaly_score")]
+    stream = spark.read.parquet(outputs_under(out).anomalies).select(*cols)
+    lines = TD.marker_lines(access(spark, sf))
+    good = TH.with_batches(P.normalize(lines), LINE_BATCH)
+    batch = TH.adaptive_filter(DT.score(good, model), "anomaly_score", "batch_id").select(*cols)
+    return stream.exceptAll(batch).agg(F.count(F.lit(1)).alias("only_stream")).join(
+        batch.exceptAll(stream).agg(F.count(F.lit(1)).alias("only_batch")))
+
+
+# --- files written and read back (SRC6–SRC11, SNK1–SNK9, C8, D10) -------------------
+
+def classified_export(spark, sf):
+    """Classified rows with all columns of the classified table."""
+    rows = FT.add_lengths(access(spark, sf)).withColumn("anomaly", F.lit(-1)).withColumn("anomaly_score", F.lit(-0.25))
+    return C.classify(rows).select(*SC.CLASSIFIED.names)
+
+
+@register("dashboard_files", O.with_ctes(O.ACCESS, CL_ACCESS, ERR, """
+f AS (SELECT * FROM errors WHERE starts_with(RemoteAddress, '10.0.0.'))""") + """
+SELECT 'address' AS part, RemoteAddress AS key, count(*) AS count FROM f GROUP BY 2
+UNION ALL SELECT 'attack', attack_types, count(*) FROM f GROUP BY 2
+UNION ALL SELECT 'critical', CAST(critical_alert AS VARCHAR), count(*) FROM f GROUP BY 2
+UNION ALL SELECT 'error total', '', count(*) FROM f
+UNION ALL SELECT 'access total', '', count(*) FROM access WHERE starts_with(RemoteAddress, '10.0.0.')""")
+def dashboard_files(spark, sf):
+    """D10 → D8 / D9: both tables exported as CSV, loaded by the dashboard and
+    asked its pages' questions."""
+    from rampart import sinks
+    from rampart.plans import jobs
+    from rampart.session import shared_dir
+    err, acc = shared_dir(spark, "err-csv"), shared_dir(spark, "acc-csv")
+    rows = classified_export(spark, sf)
+    sinks.export_csv(rows.where(F.col("attack_types") != U.NO_ATTACK), err)
+    sinks.export_csv(rows.select(*SC.NORMALIZED.names), acc)
+    error, acc = jobs.load_dashboard(spark, err, acc)
+    pages = jobs.dashboard(error, acc, ip_prefix="10.0.0.")
+
+    def part(name, df, key):
+        return df.select(F.lit(name).alias("part"), key.cast("string").alias("key"), F.col(df.columns[-1]).alias("count"))
+
+    flags = D.prefix_filter(error, "10.0.0.").groupBy("critical_alert").agg(F.count(F.lit(1)).alias("count"))
+    parts = [part("address", pages["error"]["by_address"], F.col("RemoteAddress")),
+             part("attack", pages["error"]["by_attack"], F.col("attack_types")),
+             part("critical", flags, F.col("critical_alert")),
+             part("error total", pages["error"]["total"], F.lit("")),
+             part("access total", pages["access"]["total"], F.lit(""))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("positional_classify", O.with_ctes(O.ACCESS, CL_ACCESS) + """
+SELECT id, CASE WHEN id % 4 = 0 THEN 'rejected' ELSE attack_types END AS attack_types,
+       CASE WHEN id % 4 <> 0 THEN critical_alert END AS critical_alert FROM classified""")
+def positional_classify(spark, sf):
+    """SRC8 → C11 / C12 over a CSV whose rows have 4, 8, 16 and 18 fields:
+    only the shortest are rejected."""
+    from rampart.plans import jobs
+    from rampart.session import shared_dir
+    path, out = shared_dir(spark, "wide-csv"), shared_dir(spark, "wide-out")
+    time = F.date_format("TimeLocal", "yyyy-MM-dd HH:mm:ss")
+    fields = [F.col("id").cast("string"), F.col("RemoteAddress"), F.col("RemoteUser"), time, F.col("Request"), F.col("URL"),
+              F.col("Version"), F.col("Status"), F.col("BodyBytesSent"), F.lit("-"), F.lit("a"), F.lit("t"),
+              F.lit("1"), F.lit("2"), F.lit("-1"), F.lit("-0.5"), F.lit("x"), F.lit("y")]
+    m = F.pmod(F.col("id"), F.lit(4))
+    lines = access(spark, sf).select(F.when(m == 0, F.concat_ws(",", *fields[:4])).when(m == 1, F.concat_ws(",", *fields[:8]))
+                                     .when(m == 2, F.concat_ws(",", *fields[:16])).otherwise(F.concat_ws(",", *fields)).alias("value"))
+    lines.write.option("header", False).text(path)
+    good, bad = jobs.classify_csv_job(spark, path, out, header=False)
+    return C.classify(good).select("id", "attack_types", "critical_alert").unionByName(
+        bad.select("id", F.lit("rejected").alias("attack_types"), F.lit(None).cast("boolean").alias("critical_alert")))
+
+
+@register("csv_round_trip", O.with_ctes(O.ACCESS) + f"SELECT {NORM_COLS_SQL} FROM access")
+def csv_round_trip(spark, sf):
+    """SRC6 / FT3: the normalized table through its CSV form."""
+    from rampart import sinks
+    from rampart.session import shared_dir
+    from rampart.sources.files import read_normalized_csv
+    path = shared_dir(spark, "norm-csv")
+    sinks.export_csv(access(spark, sf), path)
+    return plain(read_normalized_csv(spark, path).select(*SC.NORMALIZED.names))
+
+
+@register("block_files", O.with_ctes(O.ACCESS, CL_ACCESS, ERR, BLOCKED_SQL, WL_SQL) + """
+SELECT RemoteAddress FROM blocked UNION
+SELECT RemoteAddress FROM errors WHERE RemoteAddress NOT IN (SELECT RemoteAddress FROM wl)""")
+def block_files(spark, sf):
+    """E4 over files: SRC10, SRC11, SRC9 / J1 / J3, SNK6; the block list read back."""
+    from rampart import sinks
+    from rampart.plans import jobs
+    from rampart.session import shared_dir
+    from rampart.sources.files import read_blocklist
+    lst, wl, cls = (shared_dir(spark, x) for x in ("blocklist", "whitelist", "classified"))
+    blocked_list(spark, sf).write.text(lst)
+    whitelist_df(spark).write.text(wl)
+    sinks.overwrite(error_table(spark, sf), cls)
+    jobs.block_job(spark, cls, lst, wl)
+    return read_blocklist(spark, lst)
+
+
+@register("parse_files", O.with_ctes(O.ACCESS) + f"SELECT {NORM_COLS_SQL} FROM access WHERE token IS NOT NULL")
+def parse_files(spark, sf):
+    """SRC1 → P1–P8 → SNK2 / SNK5: log files through the parser job, its table read back."""
+    from rampart.plans import jobs
+    from rampart.session import shared_dir
+    logs = _write_log_files(spark, sf)
+    return plain(jobs.normalize_log(spark, logs, shared_dir(spark, "normalized"), shared_dir(spark, "rejects")))
+
+
+@register("merge_files_written", O.with_ctes(O.ACCESS) + """
+SELECT CAST(row_number() OVER (ORDER BY ts, file_no, id) AS BIGINT) AS id, 'event ' || CAST(id AS VARCHAR) AS event FROM (
+  SELECT id, CASE WHEN id % 2 = 1 THEN 1 ELSE 2 END AS file_no, date_trunc('hour', TimeLocal) AS ts FROM access WHERE k >= 5) t""")
+def merge_files_written(spark, sf):
+    """O1–O3 → SNK10: two logs merged into files, read back in file order."""
+    from rampart import sinks
+    from rampart.session import shared_dir
+    from rampart.sources.files import read_lines
+    out = shared_dir(spark, "merged")
+    sinks.write_merged_text(M.timed_lines(merge_sources(spark, sf)), out, M.ORDER)
+    return read_lines(spark, out, numbered=True).select("id", F.regexp_extract("value", r"(event \d+)$", 1).alias("event"))
+
+
+@register("model_store", O.with_ctes(O.ACCESS) + """
+SELECT id, CAST(dense_rank() OVER (ORDER BY URL) - 1 AS BIGINT) AS code FROM access""")
+def model_store(spark, sf):
+    """SNK8 / SNK9: a dictionary grown in a store from one half of the log,
+    then refitted with the other, encodes like one fitted on all of it."""
+    from rampart.session import shared_dir
+    path = shared_dir(spark, "label-store")
+    a = access(spark, sf)
+    DT.encode_with_store(spark, a.where(F.col("id") % 2 == 0), ["URL"], path)
+    out = DT.encode_with_store(spark, a, ["URL"], path, refit=True)
+    return out.select("id", F.col("URL_code").cast("bigint").alias("code"))
+
+
+@register("attack_map", O.with_ctes(O.ATTACK_URLS) + f"""
+SELECT id, concat_ws('', {', '.join(f"CASE WHEN {f} THEN '1' ELSE '0' END" for f in O.flags_sql("url_decode(coalesce(URL, ''))"))}) AS bits
+FROM attack_urls""")
+def attack_map(spark, sf):
+    """The map of attack flags, in class order."""
+    rows = C.classify(TD.attack_urls(spark, sf), with_map=True)
+    bits = [F.when(F.element_at("attacks", F.lit(n)), "1").otherwise("0") for n in U.ATTACK_NAMES]
+    return rows.select("id", F.concat(*bits).alias("bits"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from rampart import schemas as SC
 from rampart.functions import text as X
-from rampart.operators.numbering import number_lines
+from rampart.operators.numbering import number_lines, parse_bytes
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -38,16 +38,11 @@ def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "utf-
         df = spark.read.text(paths).select(
             F.col("value"), F.col("_metadata.file_path").alias("file_path"),
             F.col("_metadata.file_block_start").alias("block_start"))
-        bound = None
     else:
-        from rampart.operators.numbering import _bytes
-        from rampart.sources.tail import chunk_count, read_files
-        chunk = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+        from rampart.sources.tail import read_files
+        chunk = parse_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
         df = read_files(spark, paths, encoding, chunk).select("value", "file_path", "block_start")
-        bound = chunk_count(paths, chunk) if numbered else None
-    if numbered:
-        df = number_lines(df, pieces_bound=bound)
-    return df
+    return number_lines(df) if numbered else df
 
 
 def read_normalized_csv(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
@@ -55,22 +50,40 @@ def read_normalized_csv(spark: SparkSession, path: str, tolerant: bool = False)
 
     ``TimeLocal`` is read as text and parsed with ``yyyy-MM-dd HH:mm:ss``
     (FT3).  Doubled quotes inside quoted fields are unescaped.  With
-    ``tolerant`` a missing path gives an empty frame with the schema.
+    ``tolerant`` a missing path gives an empty frame with the schema, and a
+    time that does not parse becomes null instead of an error.
     """
-    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "TimeLocal" else f.dataType)
-                           for f in SC.NORMALIZED.fields])
+    return _read_csv(spark, path, SC.NORMALIZED, tolerant)
+
+
+def read_classified_csv(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
+    """SRC7: the exported classified table; its critical flag is read back
+    from the export's words (anything else is null)."""
+    df = _read_csv(spark, path, SC.CLASSIFIED, tolerant, texts=("critical_alert",))
+    if isinstance(df.schema["critical_alert"].dataType, T.BooleanType):
+        return df
+    flag = F.col("critical_alert")
+    return df.withColumn("critical_alert", F.when(flag == SC.CRITICAL_YES, True).when(flag == SC.CRITICAL_NO, False))
+
+
+def _read_csv(spark: SparkSession, path: str, want: T.StructType, tolerant: bool, texts: tuple = ()) -> DataFrame:
+    plain = {"TimeLocal", *texts}
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in plain else f.dataType)
+                           for f in want.fields])
     if tolerant and not path_exists(spark, path):
-        return empty(spark, SC.NORMALIZED)
-    df = (spark.read.schema(schema).option("header", True).option("escape", '"')
+        return empty(spark, want)
+    df = (spark.read.schema(schema).option("header", True).option("escape", '"').option("enforceSchema", True)
           .option("mode", "PERMISSIVE").csv(path))
-    return df.withColumn("TimeLocal", F.to_timestamp_ntz("TimeLocal", F.lit("yyyy-MM-dd HH:mm:ss")))
+    fmt = F.lit("yyyy-MM-dd HH:mm:ss")
+    time = F.try_to_timestamp("TimeLocal", fmt).cast("timestamp_ntz") if tolerant else F.to_timestamp_ntz("TimeLocal", fmt)
+    return df.withColumn("TimeLocal", time)
 
 
-def read_positional_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """SRC8: header CSV whose rows are read by position into ``schema``;
-    rows that do not fit land in ``_corrupt_record``."""
+def read_positional_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
+    """SRC8: CSV whose rows are read by position into ``schema``; rows that do
+    not fit keep the fields they have, and the raw row in ``_corrupt_record``."""
     full = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
-    return (spark.read.schema(full).option("header", True).option("escape", '"')
+    return (spark.read.schema(full).option("header", header).option("escape", '"')
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
             .option("enforceSchema", True).csv(path))
 

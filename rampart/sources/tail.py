@@ -4,9 +4,12 @@ Streaming — following one growing file.  Spark's file stream source only
 notices *new files*; a web server appends to one file.  This source keeps a
 byte offset instead:
 
-* the offset is ``{"epoch": e, "pos": p}``: ``p`` is the byte after the last
-  complete line delivered; ``e`` counts restarts after truncation/rotation
-  (file smaller than ``p``), when reading resumes at byte 0;
+* the offset is ``{"epoch": e, "pos": p, "head": h, "crc": c}``: ``p`` is the
+  byte after the last complete line delivered; ``c`` is the checksum of the
+  file's first ``h`` bytes, which tells a replaced file from a grown one; ``e``
+  counts replacements, after which the rest of the old file is read from
+  ``rotatedPath`` (default: the path with ``.1``) if it is there, and the new
+  file from byte 0;
 * ``latestOffset`` ends at the last complete line, so a line the writer is
   still writing waits for the next micro-batch;
 * ``partitions`` cuts the new byte range into chunks that executors read;
@@ -26,11 +29,15 @@ Files are opened through ``pyarrow.fs``: local paths, or shared storage
 
 Options: ``path`` (batch: several paths joined by newlines; folders are
 listed), ``encoding`` (``utf-8`` or ``utf-16le``), ``startingPosition``,
-``maxBytesPerPartition``.
+``maxBytesPerPartition``, ``rotatedPath``.
 """
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -40,6 +47,7 @@ BATCH_SCHEMA = StructType([StructField("value", StringType()), StructField("file
                            StructField("block_start", LongType()), StructField("offset", LongType())])
 
 DEFAULT_CHUNK = 128 << 20
+HEAD_BYTES = 1024               # bytes that identify a file
 
 
 def _codec(encoding: str) -> str:
@@ -76,14 +84,6 @@ def _open(path: str):
     return filesystem.open_input_file(p)
 
 
-def _find(buf: bytes, nl: bytes, width: int) -> int:
-    """First newline at an index aligned to the code unit width."""
-    i = buf.find(nl)
-    while i >= 0 and i % width:
-        i = buf.find(nl, i + 1)
-    return i
-
-
 def _last_line_end(path: str, size: int, nl: bytes, floor: int) -> int:
     """Byte just after the last newline before ``size`` (at least ``floor``)."""
     step = 1 << 16
@@ -105,52 +105,62 @@ def _last_line_end(path: str, size: int, nl: bytes, floor: int) -> int:
     return floor
 
 
+BLOCK = 8 << 20
+
+
+def _newlines(buf: bytes, width: int) -> np.ndarray:
+    """Byte positions of the newlines of an aligned buffer."""
+    n = len(buf) - len(buf) % width
+    units = np.frombuffer(buf[:n], np.uint8 if width == 1 else "<u2")
+    return np.flatnonzero(units == 10) * width
+
+
+def _decode_lines(buf: bytes, ends: np.ndarray, width: int, codec: str) -> list[str]:
+    """Lines of ``buf`` that end at the given newlines, decoded in one go."""
+    text = buf[:int(ends[-1])].decode(codec, errors="replace").split("\n")
+    if len(text) != len(ends):               # damaged bytes swallowed a newline: line by line
+        starts = np.r_[0, ends[:-1] + width]
+        text = [buf[i:j].decode(codec, errors="replace") for i, j in zip(starts, ends)]
+    return [t[:-1] if t.endswith("\r") else t for t in text]
+
+
 def read_range(path: str, start: int, end: int, first: bool, encoding: str, final: bool):
-    """Yield ``(line, line_start)`` for the lines that start in
-    ``[start, end)``.  Unless ``first``, the line already running at
-    ``start`` belongs to the previous range; with ``final`` an unterminated
-    last line is emitted too."""
-    nl = _newline(encoding)
+    """Yield ``(lines, line starts)`` for the lines that start in
+    ``[start, end)``, a block at a time.  Unless ``first``, the line already
+    running at ``start`` belongs to the previous range; with ``final`` an
+    unterminated last line is emitted too."""
+    width = len(_newline(encoding))
     codec = _codec(encoding)
-    width = len(nl)
+    skip = not first
+    pos = start - width if skip else start    # the newline just before the range may end that line
     with _open(path) as f:
-        pos = start
-        if not first:
-            f.seek(pos - width)
-            buf, base = b"", pos - width
-            while True:
-                piece = f.read(1 << 16)
-                if not piece:
-                    return
-                buf += piece
-                i = _find(buf, nl, width)
-                if i >= 0:
-                    pos = base + i + width
-                    break
         f.seek(pos)
-        pending = b""
-        line_start = pos
-        eof = False
-        while line_start < end and not eof:
-            piece = f.read(1 << 20)
+        parts: list[bytes] = []               # an unfinished line, gathered without copying it again
+        while pos < end or parts:
+            piece = f.read(BLOCK)
             if not piece:
-                eof = True
-            pending += piece
-            while line_start < end:
-                i = _find(pending, nl, width)
-                if i < 0:
-                    if eof and final and pending:
-                        yield _decode(pending, codec), line_start
-                        line_start += len(pending)
-                    break
-                yield _decode(pending[:i], codec), line_start
-                line_start += i + width
-                pending = pending[i + width:]
-
-
-def _decode(raw: bytes, codec: str) -> str:
-    text = raw.decode(codec, errors="replace")
-    return text[:-1] if text.endswith("\r") else text
+                tail = b"".join(parts)
+                if final and tail and not skip and pos < end:
+                    yield _decode_lines(tail, np.array([len(tail)]), width, codec), np.array([pos])
+                return
+            parts.append(piece)
+            if not len(_newlines(piece, width)):
+                continue
+            buf = b"".join(parts)
+            ends = _newlines(buf, width)
+            if skip:
+                cut = int(ends[0]) + width
+                buf, pos, ends, skip = buf[cut:], pos + cut, ends[1:] - cut, False
+            if len(ends):
+                starts = np.r_[0, ends[:-1] + width] + pos
+                own = int(np.searchsorted(starts, end))
+                if own:
+                    yield _decode_lines(buf, ends[:own], width, codec), starts[:own]
+                done = int(ends[-1]) + width
+                buf, pos = buf[done:], pos + done
+            if pos >= end:
+                return
+            parts = [buf] if buf else []
 
 
 class _Range(InputPartition):
@@ -179,42 +189,70 @@ class LogTailStreamReader(DataSourceStreamReader):
         self.encoding = options.get("encoding", "utf-8")
         self.nl = _newline(self.encoding)
         self.starting = options.get("startingPosition", "latest").lower()
+        self.rotated = options.get("rotatedPath", self.path + ".1")
         self.chunk = int(options.get("maxBytesPerPartition", 64 << 20))
         self._last = None
 
+    def _mark(self, path: str, upto: int) -> dict:
+        """Identity of a file: length and checksum of its first bytes."""
+        size = min(upto, HEAD_BYTES)
+        if not size:
+            return {"head": 0, "crc": 0}
+        with _open(path) as f:
+            return {"head": size, "crc": zlib.crc32(f.read(size))}
+
+    def _same_file(self, path: str, size: int, mark: dict) -> bool:
+        """Whether ``path`` still begins with the bytes already delivered."""
+        if size < mark.get("pos", 0):
+            return False
+        head = mark.get("head", 0)
+        return not head or self._mark(path, head)["crc"] == mark["crc"]
+
     def initialOffset(self) -> dict:
-        if self.starting == "earliest":
-            return {"epoch": 0, "pos": 0}
-        return {"epoch": 0, "pos": _last_line_end(self.path, _size(self.path), self.nl, 0)}
+        pos = 0 if self.starting == "earliest" else _last_line_end(self.path, _size(self.path), self.nl, 0)
+        return {"epoch": 0, "pos": pos, **self._mark(self.path, pos)}
 
     def latestOffset(self) -> dict:
         size = _size(self.path)
-        last = self._last or {"epoch": 0, "pos": 0}
+        last = self._last or {"epoch": 0, "pos": 0, "head": 0, "crc": 0}
         epoch, floor = last["epoch"], last["pos"]
-        if size < floor:             # truncated or rotated: start over
+        if not self._same_file(self.path, size, last):       # truncated or replaced: start over
             epoch, floor = epoch + 1, 0
-        pos = _last_line_end(self.path, size, self.nl, floor)
-        self._last = {"epoch": epoch, "pos": max(pos, floor)}
+        pos = max(_last_line_end(self.path, size, self.nl, floor), floor)
+        self._last = {"epoch": epoch, "pos": pos, **self._mark(self.path, pos)}
         return self._last
 
     def partitions(self, start: dict, end: dict):
-        # A rotation shows as an end before the committed start.  Deciding by
-        # position (not by the epoch counter) also works after a restart,
-        # when this reader's counter began again at 0 while ``start`` comes
-        # from the checkpoint; the epoch used in ids is resynchronised here.
-        rotated = end["pos"] < start["pos"]
+        # The file is another one if its first bytes are not those of the
+        # committed start, or it ends before it.  Comparing bytes (not the
+        # epoch counter) also works after a restart, when this reader's
+        # counter began again while ``start`` comes from the checkpoint; the
+        # epoch used beside the ids is resynchronised here.
+        rotated = end["pos"] < start["pos"] or not self._same_file(self.path, max(end["pos"], start["pos"]), start)
         epoch = max(start["epoch"], end["epoch"])
         if rotated and end["epoch"] <= start["epoch"]:
             epoch += 1
         if self._last is not None and self._last["epoch"] < epoch:
-            self._last = {"epoch": epoch, "pos": self._last["pos"]}
-        s = 0 if rotated else start["pos"]
-        return _chunks(self.path, s, end["pos"], self.chunk, len(self.nl), epoch,
-                       self.encoding, final=False)
+            self._last = {**self._last, "epoch": epoch}
+        width = len(self.nl)
+        if not rotated:
+            return _chunks(self.path, start["pos"], end["pos"], self.chunk, width, epoch, self.encoding, final=False)
+        return (self._rest_of_old(start, width)
+                + _chunks(self.path, 0, end["pos"], self.chunk, width, epoch, self.encoding, final=False))
+
+    def _rest_of_old(self, start: dict, width: int) -> list:
+        """What the rotated file still holds after the committed start, if it
+        is found under ``rotatedPath``; its last line is complete."""
+        size = _size(self.rotated)
+        if size <= start["pos"] or not start.get("head") or not self._same_file(self.rotated, size, start):
+            return []
+        return _chunks(self.rotated, start["pos"], size, self.chunk, width, start["epoch"], self.encoding, final=True)
 
     def read(self, part: _Range):
-        for text, at in read_range(part.path, part.start, part.end, part.first, part.encoding, False):
-            yield (text, part.epoch, at)
+        for lines, at in read_range(part.path, part.start, part.end, part.first, part.encoding, part.final):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lines, pa.string()), pa.array(np.full(len(at), part.epoch, np.int64)), pa.array(at, pa.int64())],
+                ["value", "epoch", "offset"])
 
     def commit(self, end: dict) -> None:
         pass
@@ -253,8 +291,12 @@ class LogFileBatchReader(DataSourceReader):
     def read(self, part: _Range):
         if not part.path:
             return
-        for text, at in read_range(part.path, part.start, part.end, part.first, part.encoding, part.final):
-            yield (text, part.path, part.start, at)
+        for lines, at in read_range(part.path, part.start, part.end, part.first, part.encoding, part.final):
+            n = len(at)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lines, pa.string()), pa.array([part.path] * n, pa.string()),
+                 pa.array(np.full(n, part.start, np.int64)), pa.array(at, pa.int64())],
+                ["value", "file_path", "block_start", "offset"])
 
 
 class LogTailDataSource(DataSource):
@@ -300,9 +342,3 @@ def read_files(spark, paths: list[str], encoding: str, chunk_bytes: int | None =
     if chunk_bytes:
         r = r.option("maxBytesPerPartition", str(chunk_bytes))
     return r.load()
-
-
-def chunk_count(paths: list[str], chunk_bytes: int) -> int:
-    """Number of byte ranges ``read_files`` will produce (a driver-side
-    listing, used to bound the line-numbering offsets table)."""
-    return sum(max(1, -(-_size(p) // chunk_bytes)) for p in _list_files(paths))

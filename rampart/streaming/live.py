@@ -19,9 +19,16 @@ from rampart import sinks
 from rampart.operators import classify as C
 from rampart.operators import parse as P
 from rampart.operators import threshold as TH
+from rampart.operators.numbering import number_lines
 from rampart.plans import detect as DT
+from rampart.schemas import NORMALIZED_COLUMNS
+from rampart.session import write_table
+from rampart.sources.files import path_exists
 from rampart.sources.tail import tail
 
+# Lines of one batch of the adaptive cut (the reference's buffer).
+LINE_BATCH = 5
+
 
 @dataclass
 class LiveOutputs:
@@ -40,18 +47,25 @@ def outputs_under(base: str) -> LiveOutputs:
 def parsed_stream(lines: DataFrame) -> DataFrame:
     """P1–P8 on a stream of ``(value, epoch, offset)`` lines.
 
-    ``id`` is unique and ordered: file epoch in the high bits, byte offset
-    of the line below (a line counter cannot survive restarts; this can).
+    ``id`` is the byte offset of the line in its file plus one (a line
+    counter cannot survive restarts; this can); with the file's ``epoch``,
+    kept beside it, it is unique and ordered.
     """
-    with_id = lines.select((F.col("epoch") * F.lit(1 << 40) + F.col("offset") + 1).alias("id"), "value")
-    return P.parse_marker(with_id)
+    with_id = lines.select((F.col("offset") + 1).alias("id"), "value", "epoch")
+    return P.parse_marker(with_id, keep=("epoch",))
+
 
+def process_batch(batch: DataFrame, batch_id: int, model: DT.Model | None, out: LiveOutputs,
+                  line_batch: str | None = None) -> None:
+    """One micro-batch through score → cut → classify → writes.
 
-def process_batch(batch: DataFrame, batch_id: int, model: DT.Model | None, out: LiveOutputs) -> None:
-    """One micro-batch through score → cut → classify → writes."""
+    The adaptive cut runs per engine micro-batch, or per value of the column
+    ``line_batch`` (batches by line number) if the rows carry one.
+    """
+    keep = [c for c in ("epoch", line_batch) if c and c in batch.columns]
     batch = batch.persist()
     try:
-        good, bad = P.split(batch)
+        good, bad = P.split(batch, [*NORMALIZED_COLUMNS, *keep])
         sinks.write_batch(bad, out.rejects, batch_id)
         sinks.write_batch(good, out.normalized, batch_id)
         if model is None:
@@ -59,22 +73,64 @@ def process_batch(batch: DataFrame, batch_id: int, model: DT.Model | None, out:
                 .withColumn("anomaly_score", F.lit(None).cast("double"))
             sinks.write_batch(C.classify(flagged), out.classified, batch_id)
             return
-        scored = DT.score(good, model, small_input=True).withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
-        scored = scored.persist()
+        sinks.write_batch(DT.score(good, model, small_input=True), out.scores, batch_id)
+        # the batch's scores, read back from what was just written; without
+        # a good row there is nothing to cut
+        written = f"{out.scores}/batch_id={int(batch_id)}"
+        if not path_exists(good.sparkSession, written):
+            return
+        scored = good.sparkSession.read.parquet(written)
+        by = line_batch or "_all"
+        cut = TH.adaptive_filter(scored.withColumn("_all", F.lit(0)), "anomaly_score", by).drop("_all").persist()
         try:
-            sinks.write_batch(scored.drop("batch_id"), out.scores, batch_id)
-            cut = TH.adaptive_filter(scored, "anomaly_score", "batch_id").drop("batch_id").persist()
-            try:
-                sinks.write_batch(cut, out.anomalies, batch_id)
-                sinks.write_batch(C.classify(cut), out.classified, batch_id)
-            finally:
-                cut.unpersist()
+            sinks.write_batch(cut, out.anomalies, batch_id)
+            sinks.write_batch(C.classify(cut), out.classified, batch_id)
         finally:
-            scored.unpersist()
+            cut.unpersist()
     finally:
         batch.unpersist()
 
 
+class LineBatches:
+    """S3 on a stream of files: batches of ``size`` lines, however the engine
+    cuts micro-batches.
+
+    Lines are numbered on from the lines before; those of an unfinished batch
+    wait in a table for the next micro-batch.  The count and the waiting
+    lines of micro-batch b are written under b and read by b + 1, so a
+    replayed micro-batch starts from the same state.  ``flush`` takes the
+    last, shorter batch.
+    """
+
+    def __init__(self, spark: SparkSession, size: int, state: str):
+        self.spark, self.size, self.state = spark, size, state.rstrip("/")
+
+    def _before(self, batch_id: int) -> tuple[DataFrame | None, int]:
+        path = f"{self.state}/{batch_id - 1}"
+        if not path_exists(self.spark, path + "/count"):
+            return None, 0
+        return self.spark.read.parquet(path + "/lines"), self.spark.read.parquet(path + "/count").first()["n"]
+
+    def take(self, lines: DataFrame, batch_id: int) -> DataFrame:
+        """Whole batches of (id, value, line_batch) from the waiting and the new lines."""
+        waiting, done = self._before(batch_id)
+        new = write_table(number_lines(lines, base=done + 1).select("id", "value"), "stream-lines")
+        every = new if waiting is None else waiting.unionByName(new)
+        total = done + new.count()
+        every = every.withColumn("line_batch", F.floor((F.col("id") - 1) / self.size).cast("bigint"))
+        whole = F.col("line_batch") < total // self.size
+        here = f"{self.state}/{batch_id}"
+        every.where(~whole).drop("line_batch").write.mode("overwrite").parquet(here + "/lines")
+        self.spark.createDataFrame([(total,)], "n bigint").write.mode("overwrite").parquet(here + "/count")
+        return every.where(whole)
+
+    def flush(self, last_batch: int) -> DataFrame | None:
+        waiting, _ = self._before(last_batch + 1)
+        if waiting is None:
+            return None
+        return waiting.withColumn("line_batch", F.floor((F.col("id") - 1) / self.size).cast("bigint"))
+
+
 def start_live(spark: SparkSession, log_path: str, out_dir: str, checkpoint: str,
                model_path: str | None = None, encoding: str = "utf-16le",
                starting: str = "latest", trigger_seconds: float = 1.0, available_now: bool = False):
@@ -94,17 +150,34 @@ def start_live(spark: SparkSession, log_path: str, out_dir: str, checkpoint: str
 
 
 def start_file_stream(spark: SparkSession, lines_dir: str, out_dir: str, checkpoint: str,
-                      model: DT.Model | None = None, max_files: int | None = None):
+                      model: DT.Model | None = None, max_files: int | None = None, batch_lines: int = LINE_BATCH):
     """The same pipeline over a folder of rotated log files (each new file is
-    new data), with Spark's own file source, run to completion.  ``id`` is a
-    fingerprint of the line here: rotated files carry no line counter.
+    new data), with Spark's own file source, run to completion.
+
+    Files come in the order they were written.  ``id`` is the line's number
+    over all files, and the adaptive cut runs on batches of ``batch_lines``
+    lines (S3), so results do not depend on files or micro-batches.
     """
     reader = spark.readStream.schema("value STRING")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    lines = reader.text(lines_dir)
-    parsed = P.parse_marker(lines.select(F.xxhash64("value").alias("id"), "value"))
+    lines = reader.text(lines_dir).select("value", F.col("_metadata.file_path").alias("file_path"),
+                                          F.col("_metadata.file_block_start").alias("block_start"))
     out = outputs_under(out_dir)
-    return (parsed.writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda df, bid: process_batch(df, bid, model, out))
-            .trigger(availableNow=True).start())
+    batches = LineBatches(spark, batch_lines, out_dir.rstrip("/") + "/lines")
+    last = [-1]
+
+    def run(rows: DataFrame | None, batch_id: int) -> None:
+        if rows is not None:
+            process_batch(P.parse_marker(rows, keep=("line_batch",)), batch_id, model, out, "line_batch")
+
+    def one(df: DataFrame, batch_id: int) -> None:
+        run(batches.take(df, batch_id), batch_id)
+        last[0] = batch_id
+
+    q = (lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(one)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if last[0] >= 0:
+        run(batches.flush(last[0]), last[0] + 1)
+    return q

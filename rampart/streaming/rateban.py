@@ -1,15 +1,20 @@
-"""B2 on a stream: exact rate ban with bounded per-address state.
+"""B2 on a stream: the batch rate ban's answer, whatever order rows come in.
 
-State per address is the times of its last ``maxretry - 1`` failures and
-whether it is banned, so it never grows with traffic.  Within a micro-batch
-an address's failures are taken in time order; a failure that arrives after
-a later one has been processed is counted at its arrival.
+As in batch, a failure belongs to its (address, findtime bucket) and, as
+context, to the next bucket, so a group's state is the failure counts per
+second of two buckets at most, and a hot address is dealt over its buckets.
+A second is banned if the failures in ``[t - findtime, t]`` reach
+``maxretry``; later seconds never count for an earlier one.  A group emits its
+first banned second, and again if a late row makes that earlier; the ban of an
+address is the least emitted second.  Rows later than ``lateness`` are
+dropped, and a group's state goes once no row can reach it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,40 +22,58 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rampart.operators.blocking import FINDTIME_SEC, MAXRETRY
 
-OUTPUT_SCHEMA = "RemoteAddress STRING, ban_sec BIGINT"
-STATE_SCHEMA = "recent ARRAY<BIGINT>, banned BOOLEAN"
+OUTPUT_SCHEMA = "RemoteAddress STRING, bucket BIGINT, ban_sec BIGINT"
+STATE_SCHEMA = "secs ARRAY<BIGINT>, counts ARRAY<BIGINT>, ban BIGINT"
+
+
+def first_ban(secs: np.ndarray, counts: np.ndarray, start: int, findtime: int, maxretry: int) -> int | None:
+    """First second from ``start`` on whose window ``[t - findtime, t]`` holds
+    ``maxretry`` failures; ``secs`` ascend."""
+    total = np.r_[0, np.cumsum(counts)]
+    low = np.searchsorted(secs, secs - findtime, side="left")
+    hit = np.flatnonzero((total[1:] - total[low] >= maxretry) & (secs >= start))
+    return int(secs[hit[0]]) if len(hit) else None
 
 
 def _ban_fn(findtime: int, maxretry: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (addr,) = key
+        addr, bucket = key
+        if state.hasTimedOut:
+            state.remove()
+            return
+        secs, counts, ban = np.zeros(0, np.int64), np.zeros(0, np.int64), None
         if state.exists:
-            recent, banned = state.get
-            recent = list(recent or [])
-        else:
-            recent, banned = [], False
-        out = []
-        secs = sorted(int(s) for pdf in pdfs for s in pdf["sec"].tolist())
-        for s in secs:
-            if banned:
-                break
-            recent.append(s)
-            recent = [t for t in recent if t >= s - findtime][-maxretry:]
-            if len(recent) >= maxretry:
-                banned = True
-                out.append(s)
-        state.update((recent[-(maxretry - 1):] if maxretry > 1 else [], banned))
-        if out:
-            yield pd.DataFrame({"RemoteAddress": [addr] * len(out), "ban_sec": out})
+            s, c, ban = state.get
+            secs, counts = np.array(s, np.int64), np.array(c, np.int64)
+        for pdf in pdfs:                      # one Arrow chunk at a time, reduced at once
+            s, c = np.unique(pdf["sec"].to_numpy(np.int64), return_counts=True)
+            secs, at = np.unique(np.r_[secs, s], return_inverse=True)
+            counts = np.bincount(at, weights=np.r_[counts, c]).astype(np.int64)
+        found = first_ban(secs, counts, bucket * findtime, findtime, maxretry)
+        earlier = found is not None and (ban is None or found < ban)
+        state.update((secs.tolist(), counts.tolist(), found if earlier else ban))
+        end = int(bucket + 1) * findtime * 1000
+        if end > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(end)
+        if earlier:
+            yield pd.DataFrame({"RemoteAddress": [addr], "bucket": [bucket], "ban_sec": [found]})
     return fn
 
 
 def stream_rate_ban(rows: DataFrame, failure=None, findtime: int = FINDTIME_SEC, maxretry: int = MAXRETRY,
-                    ts: str = "TimeLocal", col: str = "RemoteAddress") -> DataFrame:
-    """Ban events ``(RemoteAddress, ban_time)`` from a stream of requests."""
+                    ts: str = "TimeLocal", col: str = "RemoteAddress", lateness: str = "1 hour") -> DataFrame:
+    """Ban events ``(RemoteAddress, bucket, ban_sec)`` of a stream of requests
+    (update mode); ``ban_times`` reduces them to one ban an address."""
     f = rows if failure is None else rows.where(failure)
-    sec = F.unix_timestamp(F.col(ts).cast("timestamp"))
-    keyed = f.where(F.col(col).isNotNull() & F.col(ts).isNotNull()).select(F.col(col), sec.alias("sec"))
-    bans = keyed.groupBy(col).applyInPandasWithState(
-        _ban_fn(findtime, maxretry), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    return bans.select(col, F.timestamp_seconds("ban_sec").cast("timestamp_ntz").alias("ban_time"))
+    f = f.where(F.col(col).isNotNull() & F.col(ts).isNotNull())
+    timed = f.select(F.col(col), F.col(ts).cast("timestamp").alias("_evt")).withWatermark("_evt", lateness)
+    sec = F.unix_timestamp("_evt")
+    b = F.floor(sec / findtime)
+    keyed = timed.select(col, "_evt", sec.alias("sec"), F.explode(F.array(b, b + 1)).alias("bucket"))
+    return keyed.groupBy(col, "bucket").applyInPandasWithState(
+        _ban_fn(findtime, maxretry), OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def ban_times(events: DataFrame, col: str = "RemoteAddress") -> DataFrame:
+    """``(RemoteAddress, ban_time)``: the least emitted second of each address."""
+    return events.groupBy(col).agg(F.timestamp_seconds(F.min("ban_sec")).cast("timestamp_ntz").alias("ban_time"))

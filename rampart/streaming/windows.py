@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rampart.functions.urls import NO_ATTACK
 from rampart.operators import dashboard as D
 
 
@@ -42,5 +43,5 @@ def tag_stream(stream: DataFrame, kind_of) -> DataFrame:
 
 def access_or_error(classified: DataFrame) -> DataFrame:
     """``error`` for rows with an attack class, else ``access``."""
-    return tag_stream(classified, F.when(F.col("attack_types") != "Aucune", F.lit("error"))
+    return tag_stream(classified, F.when(F.col("attack_types") != NO_ATTACK, F.lit("error"))
                       .otherwise(F.lit("access")))

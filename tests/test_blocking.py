@@ -63,19 +63,40 @@ def test_new_addresses_once_and_not_blocked(spark):
     assert sorted(r[0] for r in B.new_addresses(rows, blocked, critical_only=True).collect()) == ["a"]
 
 
-def test_stream_rate_ban_equals_batch(spark, tmpdir_path):
-    from rampart.streaming.rateban import stream_rate_ban
+def _stream_bans(spark, schema, path, where, findtime=600, maxretry=5):
+    from rampart.sinks import write_batch
+    from rampart.streaming.rateban import ban_times, stream_rate_ban
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    q = (stream_rate_ban(stream, None, findtime, maxretry, lateness="10 days").writeStream.outputMode("update")
+         .option("checkpointLocation", where + "/ck").trigger(availableNow=True)
+         .foreachBatch(lambda df, i: write_batch(df, where + "/out", i)).start())
+    q.awaitTermination()
+    return {r[0]: r[1] for r in ban_times(spark.read.parquet(where + "/out")).collect()}
+
+
+def test_stream_rate_ban_equals_batch_over_shuffled_files(spark, tmpdir_path):
     rnd = random.Random(9)
     t0 = datetime(2024, 1, 1)
     rows = [(f"ip{rnd.randint(0, 5)}", t0 + timedelta(seconds=rnd.randint(0, 4000))) for _ in range(400)]
     df = spark.createDataFrame(rows, "RemoteAddress STRING, TimeLocal TIMESTAMP_NTZ")
     path = tmpdir_path + "/in"
-    df.write.parquet(path)
-    stream = spark.readStream.schema(df.schema).parquet(path)
-    q = (stream_rate_ban(stream, None, 600, 5).writeStream.format("memory").queryName("bans_t")
-         .option("checkpointLocation", tmpdir_path + "/ck").outputMode("append").start())
-    q.processAllAvailable()
-    q.stop()
-    got = {r[0]: r[1] for r in spark.sql("SELECT * FROM bans_t").collect()}
-    want = {r[0]: r[1] for r in B.rate_ban(df, None, 600, 5).collect()}
-    assert got == want
+    df.repartition(4).write.parquet(path)
+    got = _stream_bans(spark, df.schema, path, tmpdir_path)
+    assert got == {r[0]: r[1] for r in B.rate_ban(df, None, 600, 5).collect()}
+
+
+def test_stream_rate_ban_counts_only_its_window(spark, tmpdir_path):
+    """A row from long before later failures bans nobody; one that completes
+    an earlier window moves the ban back."""
+    t0 = datetime(2024, 1, 1)
+    first = [("a", t0 + timedelta(seconds=100000 + i)) for i in range(4)]
+    first += [("b", t0 + timedelta(seconds=s)) for s in (1000, 1001, 1002, 1003, 1300)]
+    late = [("a", t0), ("b", t0 + timedelta(seconds=1002))]
+    schema = "RemoteAddress STRING, TimeLocal TIMESTAMP_NTZ"
+    path = tmpdir_path + "/in"
+    for rows in (first, late):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    df = spark.read.parquet(path)
+    got = _stream_bans(spark, df.schema, path, tmpdir_path)
+    assert got == {"b": t0 + timedelta(seconds=1003)}
+    assert got == {r[0]: r[1] for r in B.rate_ban(df, None, 600, 5).collect()}

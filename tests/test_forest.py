@@ -57,19 +57,12 @@ def test_planted_outliers_rank_first_and_contamination(spark):
     assert 4 <= flagged <= 8
 
 
-def test_exact_quantile_both_paths(spark):
+def test_exact_quantile_matches_numpy(spark):
     vals = np.random.default_rng(0).normal(size=20000)
     df = spark.createDataFrame([(float(v),) for v in vals], "x DOUBLE")
     for q in (0.0007, 0.5, 0.99):
-        small = TH.exact_quantile(df, "x", q)
-        old = TH.EXACT_BUFFER_LIMIT
-        TH.EXACT_BUFFER_LIMIT = 10
-        try:
-            big = TH.exact_quantile(df, "x", q)
-        finally:
-            TH.EXACT_BUFFER_LIMIT = old
-        want = float(np.percentile(vals, q * 100))
-        assert abs(small - want) < 1e-12 and abs(big - want) < 1e-12
+        got = TH.exact_quantile(df, "x", q)
+        assert abs(got - float(np.percentile(vals, q * 100))) < 1e-12
 
 
 def test_adaptive_filter_matches_pandas(spark):
@@ -86,14 +79,14 @@ def test_adaptive_filter_matches_pandas(spark):
         all(abs(a[1] - b[1]) < 1e-12 for a, b in zip(want, got))
 
 
-def test_thinned_pool_for_large_input(spark):
+def test_sample_is_each_trees_smallest_hashes(spark):
+    """The hash cut only saves work: the sample is the bottom psi of all rows."""
     df, _ = _frame(spark, n=3000)
-    # pool_factor 2 with T=5, psi=50 forces thinning: 3000 > 2*5*50
-    sample, psi = FR.sample_trees(df, 3000, 5, 50, 42, pool_factor=2)
-    counts = [r["count"] for r in sample.groupBy("tree").count().collect()]
-    assert psi == 50 and sorted(counts) == [50] * 5
-    ids = {r["id"] for r in sample.select("id").collect()}
-    assert len(ids) <= 2 * 5 * 50 * 2           # drawn from a small pool, not the whole input
+    cut, psi = FR.sample_trees(df, 3000, 5, 50, 42)
+    full, _ = FR.sample_trees(df, 3000, 5, 50, 42, oversample=60.0)
+    got = sorted((r["tree"], r["id"]) for r in cut.collect())
+    assert psi == 50 and len(got) == 250
+    assert got == sorted((r["tree"], r["id"]) for r in full.collect())
 
 
 def test_score_checks_features_and_refit_options(spark):

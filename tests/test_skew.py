@@ -18,8 +18,6 @@ def test_group_size_filter_with_hot_address(spark):
     old = {k: spark.conf.get(k, None) for k in SKEW_CONF}
     for k, v in SKEW_CONF.items():
         spark.conf.set(k, v)
-    from rampart.plans import partitioning as PT
-    old_limit, PT.SKEW_SAFE_BYTES = PT.SKEW_SAFE_BYTES, 0    # treat the input as large
     try:
         n = 30000
         df = spark.range(0, n).select(
@@ -32,7 +30,6 @@ def test_group_size_filter_with_hot_address(spark):
         got = len(rows)
         hot = sum(1 for r in rows if r["RemoteAddress"] == "6.6.6.6")
     finally:
-        PT.SKEW_SAFE_BYTES = old_limit
         for k, v in old.items():
             if v is None:
                 spark.conf.unset(k)

@@ -21,6 +21,11 @@ def _append(path, lines, partial=""):
         f.write(("".join(s + "\n" for s in lines) + partial).encode("utf-16-le"))
 
 
+def _rows(reader, start, end):
+    """(value, epoch, offset) of what the reader delivers between two offsets."""
+    return [tuple(r.values()) for part in reader.partitions(start, end) for b in reader.read(part) for r in b.to_pylist()]
+
+
 def test_tail_reader_holds_partial_line_and_splits_chunks(tmpdir_path):
     p = os.path.join(tmpdir_path, "a.log")
     _append(p, ["old 1", "old 2"])
@@ -29,16 +34,16 @@ def test_tail_reader_holds_partial_line_and_splits_chunks(tmpdir_path):
     start = r.initialOffset()
     _append(p, ["new 1", "new 2 longer line", "new 3"], partial="half")
     end = r.latestOffset()
-    lines = [row[0] for part in r.partitions(start, end) for row in r.read(part)]
+    lines = [row[0] for row in _rows(r, start, end)]
     assert lines == ["new 1", "new 2 longer line", "new 3"]
     _append(p, [], partial=" done\n")
     end2 = r.latestOffset()
-    assert [row[0] for part in r.partitions(end, end2) for row in r.read(part)] == ["half done"]
+    assert [row[0] for row in _rows(r, end, end2)] == ["half done"]
     with open(p, "wb") as f:                         # rotation: file starts over
         f.write("fresh\n".encode("utf-16-le"))
     end3 = r.latestOffset()
     assert end3["epoch"] == end2["epoch"] + 1
-    assert [row[0] for part in r.partitions(end2, end3) for row in r.read(part)] == ["fresh"]
+    assert [row[0] for row in _rows(r, end2, end3)] == ["fresh"]
 
 
 def test_tail_stream_in_spark(spark, tmpdir_path):
@@ -115,16 +120,16 @@ def test_tail_reader_restart_after_rotation(tmpdir_path):
     r = LogTailStreamReader({"path": p, "encoding": "utf-16le", "startingPosition": "earliest"})
     start = r.initialOffset()
     end = r.latestOffset()
-    assert [x[0] for part in r.partitions(start, end) for x in r.read(part)] == ["a1", "a2", "a3"]
+    assert [x[0] for x in _rows(r, start, end)] == ["a1", "a2", "a3"]
     with open(p, "wb") as f:                          # rotated while the query was down
         f.write("b1\n".encode("utf-16-le"))
     fresh = LogTailStreamReader({"path": p, "encoding": "utf-16le"})   # restart: counter at 0
     end2 = fresh.latestOffset()
-    rows = [x for part in fresh.partitions(end, end2) for x in fresh.read(part)]
+    rows = _rows(fresh, end, end2)
     assert [x[0] for x in rows] == ["b1"] and rows[0][1] == end["epoch"] + 1
     _append(p, ["b2"])
     end3 = fresh.latestOffset()
-    rows = [x for part in fresh.partitions(end2, end3) for x in fresh.read(part)]
+    rows = _rows(fresh, end2, end3)
     assert [x[0] for x in rows] == ["b2"] and rows[0][1] == end["epoch"] + 1
 
 
@@ -136,5 +141,50 @@ def test_tail_reader_utf8_chunks(tmpdir_path):
     r = LogTailStreamReader({"path": p, "encoding": "utf-8", "startingPosition": "earliest",
                              "maxBytesPerPartition": "7"})
     start, end = r.initialOffset(), r.latestOffset()
-    got = [x[0] for part in r.partitions(start, end) for x in r.read(part)]
+    got = [x[0] for x in _rows(r, start, end)]
     assert got == lines
+
+
+def test_tail_rotation_to_a_longer_file(spark, tmpdir_path):
+    """A log replaced by one that is already longer: the old file's rest and
+    the whole new file are delivered."""
+    import os
+
+    from rampart.sources.tail import LogTailStreamReader
+
+    log = os.path.join(tmpdir_path, "access.log")
+
+    def write(path, lines, mode="w"):
+        with open(path, mode) as f:
+            f.write("".join(x + "\n" for x in lines))
+
+    def read(reader, a, b):
+        return [x[0] for x in _rows(reader, a, b)]
+
+    r = LogTailStreamReader({"path": log, "startingPosition": "earliest"})
+    write(log, ["a1", "a2"])
+    start = r.latestOffset()
+    write(log, ["a3"], "a")
+    os.rename(log, log + ".1")
+    write(log, ["b1", "b2", "b3", "b4"])
+    end = r.latestOffset()
+    assert read(r, start, end) == ["a3", "b1", "b2", "b3", "b4"]
+    write(log, ["b5"], "a")
+    assert read(r, end, r.latestOffset()) == ["b5"]
+
+
+def test_line_batches_do_not_depend_on_files(spark, tmpdir_path):
+    """The adaptive cut sees the same batches of lines for 1 and 6 files."""
+    from conftest import SF_SMALL
+    from rampart.plans import detect as DT
+    from rampart.plans.registry import _write_log_files, access
+    from rampart.streaming.live import outputs_under, start_file_stream
+    model, _ = DT.train(spark, access(spark, SF_SMALL), n_trees=20, psi=64)
+    got = []
+    for n in (1, 6):
+        logs = _write_log_files(spark, SF_SMALL, n_files=n)
+        out = f"{tmpdir_path}/out{n}"
+        start_file_stream(spark, logs, out, f"{tmpdir_path}/ck{n}", model=model, max_files=2, batch_lines=7)
+        got.append(sorted((r["id"], round(r["anomaly_score"], 9), r["line_batch"])
+                          for r in spark.read.parquet(outputs_under(out).anomalies).collect()))
+    assert got[0] and got[0] == got[1]
