@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rampart.llm.common import NUMBER, SPACE, byte_classes, run_starts, strings, text_chunks, utf8
+from rampart.session import write_table
 
 LEXICON_WORDS = 1 << 16        # words compiled into the automaton
 MEMO_WORDS = 1 << 18           # merged words a worker remembers between chunks
@@ -280,11 +281,25 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, spec: str, text: str = "text", words: int = LEXICON_WORDS) -> str:
-    """Compile the ``words`` most frequent words of all documents (ties: in
-    word order) and ship the file to the executors; returns its name there."""
-    top = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    """Compile the most frequent words of all documents, at most ``words``, and
+    ship the file to the executors; returns its name there.
+
+    Words come in by whole steps of frequency, so that equal counts are
+    treated alike.
+    """
+    counts = write_table(word_counts(docs, text), "words")
+    # steps of 1/32 of a doubling: at most about 2,000 rows, whatever the corpus
+    step = F.floor(F.log2("n") * 32).cast("int")
+    steps = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect()
+    total, least = 0, None
+    for r in steps:
+        total += r["words"]
+        if total > words:
+            break
+        least = r["step"]
+    top = counts.where(step >= least).select("word").collect() if least is not None else []
     bpe = WordBPE(spec)
-    forms = [r["word"].encode() for r in top]
+    forms = sorted(r["word"].encode() for r in top)
     name = f"lexicon-{uuid.uuid4().hex}.fst"
     path = os.path.join(tempfile.mkdtemp(prefix="rampart-lexicon-"), name)
     write_lexicon(path, forms, [bpe.merge(w) for w in forms])
