@@ -173,7 +173,9 @@ def predict(docs: DataFrame, model: dict | None, keep: tuple = ("doc_id",)) -> D
             if m is not None:
                 names = np.array(m["langs"], object)
                 for lo, x, seen in ngram_features(b.column("text")):
-                    p = decode(x @ m["w"] + m["b"], m["code"], m["weight"])
+                    # rounded, since a matrix product's last bits depend on its other rows
+                    f = np.round(x.astype(float) @ m["w"] + m["b"], 8)
+                    p = decode(f, m["code"], m["weight"])
                     order = np.argsort(-p, axis=1, kind="stable")
                     rows = np.arange(len(p))
                     at = lo + rows[seen]

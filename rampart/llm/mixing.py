@@ -41,8 +41,8 @@ def tempered_targets(cells: DataFrame, dim: str, total: Column, temper: float) -
     """(dim, t_<dim>): token share to the power ``temper``, scaled to sum to ``total``."""
     by = cells.groupBy(dim).agg(F.sum("tokens").alias("own"))
     raised = by.select(dim, F.pow(F.col("own").cast("double"), F.lit(temper)).alias("r"))
-    whole = raised.agg(F.sum("r").alias("all"))
-    return raised.join(F.broadcast(whole)).select(dim, (F.col("r") / F.col("all") * total).alias(f"t_{dim}"))
+    whole = raised.agg(F.sum("r")).first()[0] or 1.0
+    return raised.select(dim, (F.col("r") / F.lit(whole) * total).alias(f"t_{dim}"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], share: float, rounds: int = ROUNDS) -> DataFrame:

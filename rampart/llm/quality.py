@@ -217,7 +217,8 @@ def predict(docs: DataFrame, model: dict | None, keep: tuple = ("doc_id",), thre
             score = np.full(b.num_rows, 0.5)
             if m is not None:
                 x = pool(*units(b.column("text")), m)
-                z = logits((x - m["mean"]) / m["sd"], m["net"]) / m["heat"]
+                # rounded, since a matrix product's last bits depend on its other rows
+                z = np.round(logits((x - m["mean"]) / m["sd"], m["net"]) / m["heat"], 8)
                 score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in keep), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
