@@ -24,7 +24,7 @@ TOKEN_PATTERN = r'(?U)"(?:\\[^\n]|[^\\"])*+"|[^\s\x1c-\x1f]+'
 LOCAL_TIME_FORMAT = "d/MMM/yyyy:H:m:s"
 ZONED_TIME_FORMAT = "d/MMM/yyyy:H:m:s Z"
 
-# First "dd/Mon/yyyy:HH:MM:SS" in a line (merge key).
+# Fixed value: first "dd/Mon/yyyy:HH:MM:SS" in a line (merge key).
 EMBEDDED_TIME_PATTERN = r"\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}"
 
 PRINTABLE_PATTERN = r"[^\x20-\x7E\n\r\t]"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 ADDR = "RemoteAddress"
 
-# Rate-ban defaults (values of the reference's ban configuration).
+# Rate-ban defaults of the ban configuration.
 FINDTIME_SEC = 600
 MAXRETRY = 5
 

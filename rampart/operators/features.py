@@ -18,7 +18,7 @@ NULL_LABEL = "nan"   # what a missing value turns into when cast to text
 UNSEEN_CODE = -1     # code for a label the dictionary does not hold
 NUMERIC = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.ShortType, T.ByteType)
 
-# Feature lists: scoring/training, and the experiment's variant.
+# Feature lists of scoring and training, and the experiment's variant.
 SCORE_FEATURES = ["lenToken", "lenURL", "URL", "RemoteAddress", "token"]
 EXPERIMENT_FEATURES = ["lenToken", "lenURL", "Request", "URL"]
 

@@ -81,7 +81,7 @@ def reject_counts(parsed: DataFrame) -> DataFrame:
 COMBINED_PATTERN = (r'^(\S+) (\S+) (\S+) \[([^\]]*)\] "((?:[^"\\]|\\.)*+)" (\S+) (\S+)'
                     r' "((?:[^"\\]|\\.)*+)" "((?:[^"\\]|\\.)*+)"')
 
-# Request methods the legacy parser keeps; any other blanks the request.
+# Request methods the legacy parser keeps; any other blanks the request.
 METHODS = ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"]
 
 

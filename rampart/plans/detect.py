@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from rampart.operators import features as FT
 from rampart.operators import forest as FR
 from rampart.operators import threshold as TH
+from rampart.session import write_table
 
 # Fixed values of the reference's training run: contamination and sample
 # size per tree; the experiment used contamination 0.0005 with seed 42.
@@ -64,7 +65,7 @@ def prepare(df: DataFrame, features: list[str], labels: DataFrame | None = None,
     """
     enc, labels, names, keep = _encoded(df, features, labels, small_input)
     if scaler is None:
-        scaler = FT.fit_scaler(enc, names).cache()
+        scaler = write_table(FT.fit_scaler(enc, names), "scaler")
     return _scaled(enc, scaler, names, keep), labels, scaler
 
 
@@ -75,24 +76,23 @@ def train(spark: SparkSession, normalized: DataFrame, features: list[str] | None
     """Fit encoders, scaler and forest; return the model and the
     training rows scored (``anomaly``, ``anomaly_score``).
 
-    The encoded rows are cached while the scaler and the forest are fitted
-    (a lost block is recomputed from lineage), and the raw scores are
-    checkpointed to the shared folder: the offset and the final labels read
-    that, so the log is encoded once and the scoring UDF runs once per row.
+    Only ids and features are cached while the scaler and the forest are
+    fitted (a lost block is recomputed from lineage); the rows with all their
+    columns are scored straight from the input.  The raw scores are written
+    to the shared folder: the offset and the final labels read that, so the
+    scoring UDF runs once per row.
     """
-    from rampart.session import write_table
     features = features or FT.SCORE_FEATURES
     enc, labels, names, keep = _encoded(normalized, features, None)
-    enc = enc.persist()                  # read by the scaler fit, the forest fit and the scoring
+    narrow = enc.select("id", *[F.col(f"`{c}`") for c in names]).persist()
     try:
-        scaler = FT.fit_scaler(enc, names).cache()
+        scaler = write_table(FT.fit_scaler(narrow, names), "scaler")
         n = scaler.first()["n"]
-        frame = _scaled(enc, scaler, names, keep)
-        forest = FR.fit_forest(spark, frame, n_trees=n_trees, psi=psi, seed=seed, n_rows=n,
-                               feature_names=features)
-        raw = write_table(FR.score(frame, forest), "raw-scores")
+        forest = FR.fit_forest(spark, _scaled(narrow, scaler, names, ["id"]), n_trees=n_trees, psi=psi, seed=seed,
+                               n_rows=n, feature_names=features)
     finally:
-        enc.unpersist()
+        narrow.unpersist()
+    raw = write_table(FR.score(_scaled(enc, scaler, names, keep), forest), "raw-scores")
     offset = FR.fit_offset(raw, contamination, n=n)
     forest.offset, forest.contamination = float(offset), contamination
     scored = FR.decide(raw, offset)

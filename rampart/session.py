@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -73,8 +74,31 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
         base = sc.getCheckpointDir() or base
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
-    sub = f"{name or 'work'}-{uuid.uuid4().hex[:12]}"
-    return base.rstrip("/") + "/" + sub
+    root = f"{base.rstrip('/')}/rampart-{sc.applicationId}"
+    if root not in _SCRATCH:
+        _SCRATCH.add(root)
+        atexit.register(drop_scratch, spark)
+    return f"{root}/{name or 'work'}-{uuid.uuid4().hex[:12]}"
+
+
+_SCRATCH: set = set()
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables and folders that this application's operators wrote
+    under the shared folder; frames that still read them end here.
+
+    Called when the driver's Python ends, and by a long-running application
+    between jobs.  A driver that is killed leaves its ``rampart-<application
+    id>`` folder behind, which names what to delete.
+    """
+    sc = spark.sparkContext
+    if sc._jsc is None:                  # the context has stopped
+        return
+    for root in list(_SCRATCH):
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _SCRATCH.discard(root)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -60,3 +60,20 @@ def test_rate_ban_windows_by_address_and_bucket(spark, tmpdir_path):
     text = plan(B.rate_ban(df, B.failed_request(), 600, 5))
     assert "HashAggregate" in text and "Window" in text
     assert "partial_count" in text           # per-second counts are pre-aggregated
+
+
+def test_dashboard_pages_scan_once_and_run_no_job(spark):
+    """D8 / D9 come from one count per address: one scan each, nothing runs
+    while the plan is built."""
+    from rampart.operators import dashboard as D
+    from rampart.plans.registry import access, error_table
+    acc, err = access(spark, SF_SMALL), error_table(spark, SF_SMALL)
+    spark.sparkContext.setJobGroup("pages", "building the pages")
+    try:
+        pages = [*D.error_page(err, "10.0.0.", 0, 1000).values(), *D.access_page(acc, "10.0.0.", 0, 1000).values()]
+    finally:
+        ran = spark.sparkContext.statusTracker().getJobIdsForGroup("pages")
+        spark.sparkContext.setJobGroup("tests", "tests")
+    assert not ran
+    for p in pages:
+        assert p._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
