@@ -2,7 +2,6 @@ import ipaddress
 import random
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
 
 from rampart.operators import blocking as B
 

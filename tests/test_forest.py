@@ -1,5 +1,4 @@
 import numpy as np
-from pyspark.sql import functions as F
 
 from rampart.operators import forest as FR
 from rampart.operators import threshold as TH
