@@ -17,12 +17,17 @@ from rampart.session import write_table
 MAX_ROUNDS = 64
 
 
+def _mark(edges: DataFrame):
+    """Number and hash sum of the edges."""
+    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of an edge; the component is its
     smallest node.  Self edges are ignored, repeated edges are harmless."""
     now = write_table(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
                       .where("a <> b").distinct(), "edges")
-    mark = None
+    mark = _mark(now)
     for _ in range(MAX_ROUNDS):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -33,7 +38,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).union(tied.select("a", F.col("m").alias("b")))
         now = write_table(small.where("a <> b").distinct(), "edges")
         # a star forest maps to itself, so an unchanged edge set is the end
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = _mark(now)
         if seen == mark:
             break
         mark = seen

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rampart.llm.common import MULT, bounded_broadcast, mix64, slice_hashes, text_chunks, utf8
+from rampart.llm.common import MULT, bounded_broadcast, mix64, partitions, slice_hashes, text_chunks, utf8
 from rampart.llm.components import connected_components
 from rampart.session import write_table
 
@@ -193,23 +193,24 @@ def distance():
     return 1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
 
 
-def cell_pairs(cell: pd.DataFrame, other: pd.DataFrame | None, num: int, den: int) -> pd.DataFrame:
-    """Pairs of a cell (or between two of its blocks) that still need a test.
+def cell_pairs(cell: pd.DataFrame, other: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Pairs of a node of ``cell`` outside the pivot's component with a node
+    of ``other`` that still need a test.
 
-    Members are sorted by distance to the pivot, so a member's window is one
-    run of rows; windows are cut by size, by what others share, and by component.
+    ``other`` is sorted by distance to the pivot, so a node's window is one
+    run of rows; windows are cut by size, by what others share, and by
+    component.  Pairs inside the pivot's component need no test, so these
+    are all.
     """
     t = 1 - num / den + 1e-9
-    b = (cell if other is None else other).sort_values(["d", "node"], ignore_index=True)
+    b = other.sort_values(["d", "node"], ignore_index=True)
     out = []
     d, n, own, comp, node = (b[c].to_numpy() for c in ("d", "n", "own", "component", "node"))
-    for r in cell.itertuples(index=False):
+    for r in cell[cell["component"] != cell["pivot_component"]].itertuples(index=False):
         lo, hi = np.searchsorted(d, [r.d - t, r.d + t], side="left")
-        hi = max(hi, lo)
         m = n[lo:hi]
         need = num * (r.n + m)                                     # times 1 / (num + den)
-        ok = ((np.minimum(r.n - r.own, m - own[lo:hi]) * (num + den) >= need) & (comp[lo:hi] != r.component)
-              & (node[lo:hi] > r.node if other is None else node[lo:hi] != r.node))
+        ok = (np.minimum(r.n - r.own, m - own[lo:hi]) * (num + den) >= need) & (comp[lo:hi] != r.component)
         pick = np.flatnonzero(ok) + lo
         if len(pick):
             out.append(np.stack([np.minimum(node[pick], r.node), np.maximum(node[pick], r.node)], 1))
@@ -229,9 +230,12 @@ def pairs_in_cells(cells: DataFrame, num: int, den: int, cell: int) -> DataFrame
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         u, v = pdf["u"].iat[0], pdf["v"].iat[0]
         if u == v:
-            return cell_pairs(pdf, None, num, den)
-        return cell_pairs(pdf[pdf["block"] == u], pdf[pdf["block"] == v], num, den)
+            return cell_pairs(pdf, pdf, num, den)
+        a, b = pdf[pdf["block"] == u], pdf[pdf["block"] == v]
+        return pd.concat([cell_pairs(a, b, num, den), cell_pairs(b, a, num, den)])
 
+    # an explicit number of partitions, which AQE does not merge into few
+    meets = meets.repartition(partitions(cells.sparkSession), "pivot", "u", "v")
     return meets.groupBy("pivot", "u", "v").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
@@ -247,8 +251,7 @@ def split_cells(cells: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[
     fresh = (cells.where("component <> pivot_component").groupBy("pivot", lane.alias("lane"))
              .agg(F.min(priority()).alias("p")).select("pivot", F.col("p.node").alias("b")))
     pairs = cells.withColumnRenamed("node", "a").drop("d").join(fresh, "pivot")
-    got = write_table(distances(pairs, sets).groupBy("pivot", "a", "b").agg(
-        *(F.max(c).alias(c) for c in ("n", "own", "component", "na", "nb", "inter"))), "regions")
+    got = write_table(distances(pairs, sets), "regions")
     links = got.where(linked(num, den) & (F.col("a") != F.col("b"))).select("a", "b")
     near = Window.partitionBy("pivot", "a")
     regions = (got.withColumn("d", distance()).withColumn("home", F.min("d").over(near))
@@ -278,8 +281,7 @@ def links(sets: DataFrame, num: int, den: int, cell: int = CELL) -> DataFrame:
     pivots = keys.groupBy("h").agg(F.min(priority()).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1")
     members = (keys.join(pivots.select("h", F.col("p.node").alias("b")), "h").where("node <> b")
                .select(F.col("node").alias("a"), "b", "n", "own").distinct())
-    tested = write_table(distances(members, sets).groupBy("a", "b").agg(
-        *(F.max(c).alias(c) for c in ("n", "own", "na", "nb", "inter"))), "cells")
+    tested = write_table(distances(members, sets), "cells")
     found = tested.where(linked(num, den)).select("a", "b")
     cells = tested.select(F.col("b").alias("pivot"), F.col("a").alias("node"), "n", "own", distance().alias("d"))
     size = None
@@ -312,7 +314,7 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, cell: i
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sigs = write_table(signatures(docs, words, num, den), "signatures")
     alive = write_table(survivors(sigs, num, den), "survivors")
-    sets = write_table(full_sets(docs.join(bounded_broadcast(alive), "doc_id"), words), "sets")
+    sets = write_table(full_sets(docs.join(bounded_broadcast(alive), "doc_id"), words).dropDuplicates(["node"]), "sets")
     comps = connected_components(links(sets, num, den, cell))
     plain = sigs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     group = plain.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
