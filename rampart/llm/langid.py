@@ -144,9 +144,10 @@ def fit(docs: DataFrame, may_learn, sample_docs: int = SAMPLE_DOCS) -> dict | No
     if got.num_rows == 0:
         return None
     x = np.zeros((got.num_rows, BUCKETS), np.float32)
-    for i, (at, v) in enumerate(zip(got["at"].to_pylist(), got["value"].to_pylist())):
-        x[i, np.frombuffer(at, "<u2")] = np.frombuffer(v, "<f2")
+    for i, (at, v) in enumerate(zip(got["at"], got["value"])):
+        x[i, np.frombuffer(at.as_py(), "<u2")] = np.frombuffer(v.as_py(), "<f2")
     y = np.searchsorted(langs, got["lang"].to_pylist())
+    del got
     code = codewords(len(langs))
     return {"langs": langs, "code": code, **train_bits(x, y, code)}
 

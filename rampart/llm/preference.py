@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rampart.llm.minhash import let, with_next
+from rampart.llm.minhash import with_next
 
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED = "assistant"

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rampart.llm.common import LETTER, MULT, NUMBER, OTHER, SPACE, byte_classes, run_starts, slice_hashes, text_chunks, utf8
+from rampart.llm.common import LETTER, MULT, OTHER, SPACE, byte_classes, run_starts, slice_hashes, text_chunks, utf8
 
 SAMPLE_DOCS = 6000          # expected labelled training documents
 WORDS = 1 << 14             # hashed words
@@ -87,7 +87,7 @@ def context_vectors(number: np.ndarray, doc: np.ndarray, n: int, seed: int) -> n
         a, b = number[:-step][ok], number[step:][ok]
         for own, other in ((a, b), (b, a)):
             for k in range(SPARSE):
-                c += np.bincount(own * WIDTH + place[other, k], weights=sign[other, k], minlength=len(c))
+                c += np.bincount(own.astype(np.int64) * WIDTH + place[other, k], weights=sign[other, k], minlength=len(c))
     c = c.reshape(n, WIDTH)
     return (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
@@ -186,19 +186,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> d
     if got.num_rows == 0:
         return None
     got = got.sort_by([("doc_id", "ascending"), ("word", "ascending")])
-    seq = {k: [np.frombuffer(v, "<u2").astype(np.int64) for v in got[k].to_pylist()] for k in ("word", "shape")}
-    size = np.array([len(s) for s in seq["word"]])
+    # the sequences stay 16 bits wide; only the pieces at work are widened
+    size = np.array([len(v.as_py()) // 2 for v in got["word"]])
+    flat = {k: np.concatenate([np.frombuffer(v.as_py(), "<u2") for v in got[k]]) for k in ("word", "shape")}
+    y = np.array(got["quality"].to_pylist(), float)
+    del got
     begin = np.r_[0, np.cumsum(size)]
-    doc = np.repeat(np.arange(len(size)), size)
+    doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
     model: dict = {}
-    flat = {k: np.concatenate(v) for k, v in seq.items()}
     for k, n, seed in (("word", WORDS, 1), ("shape", SHAPES, 2)):
         c = context_vectors(flat[k], doc, n, seed) if len(doc) else np.zeros((n, WIDTH), np.float32)
         share = np.bincount(flat[k], minlength=n) / max(len(doc), 1)
         damp = 1e-3 / (1e-3 + share) if k == "word" else np.ones(n)
         model[k] = (c * damp[:, None]).astype(np.float32)
     x = pool(flat["word"], flat["shape"], begin, model)
-    return {**model, **train_network(x, np.array(got["quality"].to_pylist(), float))}
+    return {**model, **train_network(x, y)}
 
 
 def predict(docs: DataFrame, model: dict | None, keep: tuple = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
