@@ -52,7 +52,7 @@ def main() -> None:
          P.split(P.parse_marker(lines))[0]),
         ("Classification (C1–C11) with a filter on the result: six RLIKEs, once each",
          cls.where(F.col("attack_types") != "Aucune").select("id", "attack_types", "critical_alert")),
-        ("Access page (D1 → D2 → D3): prefix pushed into the scan, count table + semi join, no window",
+        ("Access page (D1 → D2 → D3): prefix pushed into the scan, one count per address, filtered",
          D.access_page(norm, "10.0.1", 0, 1000)["by_address"]),
         ("Top addresses (V3): TakeOrderedAndProject over a partial aggregate",
          D.top_addresses(norm, 10)),
@@ -63,9 +63,9 @@ def main() -> None:
         ("Block refresh (B1, J1, J3): distinct candidates, whitelist and block list as anti joins",
          B.refresh_blocklist(cls, norm.select("RemoteAddress").where(F.col("Status") == "500").distinct(),
                              spark.createDataFrame([("10.0.0.0/26",)], "entry STRING"), critical_only=True)),
-        ("Label dictionary (FT5): distinct, range-partitioned sort, per-partition offsets (broadcast)",
+        ("Label dictionary (FT5): distinct, sort written once, per-partition offsets",
          FT.fit_labels(norm, ["URL", "RemoteAddress"], materialize=False)),
-        ("Merge (O1–O3): union, explicit range partitioning, offsets",
+        ("Merge (O1–O3): union, sort written once, per-partition offsets",
          M.merge_logs([lines.withColumnRenamed("id", "line_no"), lines.withColumnRenamed("id", "line_no")])),
         ("Adaptive cut (A1–A3): grouped statistics joined back, no window",
          TH.adaptive_filter(TH.with_batches(norm.withColumn("anomaly_score", -F.col("id") / 1e6), 25))),
