@@ -1,17 +1,22 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents' tokens are summed in cells of source, language and topic.  Raking
-scales the cells' weights to one target marginal after the other until all
-hold; a cell never weighs more than its tokens.  A document is then sampled
-with its cell's calibrated probability (weight by tokens), decided by a hash
-of its id.  Only the cell table goes through the rounds; its size is the
-number of distinct combinations, not of documents.
-
-Everything here is Spark column functions.
+scales the cells' weights to one target marginal after the other until they
+settle: all marginals hold, or as far as the caps let them, for a cell never
+weighs more than its tokens.  A document is then sampled with its cell's
+calibrated probability (weight by tokens), decided by a hash of its id.  Only
+the cell table goes through the rounds; its size is the number of distinct
+combinations, not of documents.
+
+Everything on documents is Spark column functions.  Rounds until the weights
+settle may be hundreds, so a cell table of bounded size goes through them on
+the driver, a larger one as Spark tables by the same rule.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +24,9 @@ from rampart.llm.common import bounded_broadcast
 from rampart.session import write_table
 
 DIMS = ("source", "lang", "topic")
-ROUNDS = 8
+ROUNDS = 100_000    # rounds after which weights that still move are an error
+SETTLED = 1e-9      # settled: no cell's rate moves by more than this in a round
+LOCAL_CELLS = 200_000       # cells that go through the rounds on the driver
 TEMPER = 0.7        # a value's target is its token share to this power
 SHARE = 0.5         # tokens to sample, of all tokens
 
@@ -45,23 +52,63 @@ def tempered_targets(cells: DataFrame, dim: str, total: Column, temper: float) -
     return raised.select(dim, (F.col("r") / F.lit(whole) * total).alias(f"t_{dim}"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], share: float, rounds: int = ROUNDS) -> DataFrame:
+def spark_round(cells: DataFrame, dims: tuple) -> DataFrame:
+    """Cells after one round, as a written table."""
+    for dim in dims:
+        sums = cells.groupBy(dim).agg(F.sum("m").alias("s"))
+        scaled = F.when(F.col("s") > 0, F.col("m") * F.col(f"t_{dim}") / F.col("s")).otherwise(F.lit(0.0))
+        cells = cells.join(sums, dim).withColumn(
+            "m", F.least(F.col("tokens").cast("double"), scaled)).drop("s")
+    return write_table(cells, "cells")
+
+
+def settle_local(cells: DataFrame, dims: tuple) -> DataFrame:
+    """Cells with settled weights; the rounds run on the gathered table."""
+    got = cells.toArrow()
+    tokens, m = (got[c].to_numpy().astype(np.float64) for c in ("tokens", "m"))
+    index = [got[d].combine_chunks().dictionary_encode().indices.to_numpy() for d in dims]
+    goals = [got[f"t_{d}"].to_numpy() for d in dims]
+    for _ in range(ROUNDS):
+        before = m
+        for at, goal in zip(index, goals):
+            s = np.bincount(at, m)[at]
+            m = np.minimum(tokens, np.divide(m * goal, s, out=np.zeros_like(m), where=s > 0))
+        if not len(m) or np.max(np.abs(m - before) / np.maximum(tokens, 1)) <= SETTLED:
+            done = got.set_column(got.column_names.index("m"), "m", pa.array(m))
+            return write_table(cells.sparkSession.createDataFrame(done, cells.schema), "cells")
+    raise RuntimeError(f"weights still move after {ROUNDS} rounds")
+
+
+def settle_spark(cells: DataFrame, dims: tuple) -> DataFrame:
+    """Cells with settled weights; each round is a Spark table."""
+    for _ in range(ROUNDS):
+        cells = spark_round(cells.withColumn("before", F.col("m")), dims)
+        moved = F.abs(F.col("m") - F.col("before")) / F.greatest(F.col("tokens"), F.lit(1))
+        most = cells.agg(F.max(moved)).first()[0]
+        cells = cells.drop("before")
+        if (most or 0.0) <= SETTLED:
+            return cells
+    raise RuntimeError(f"weights still move after {ROUNDS} rounds")
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], share: float, rounds: int | None = None,
+         local_cells: int = LOCAL_CELLS) -> DataFrame:
     """Cells with weight ``m``: tokens scaled to the target marginals in turn.
 
     ``targets[dim]`` has dim and t_<dim>; a value that a target lacks gets
     nothing.  A weight stops at its cell's tokens, so targets that the data
-    cannot fill are filled as far as they go.
+    cannot fill are filled as far as they go.  Rounds are repeated until no
+    cell's rate (weight by tokens) moves by more than ``SETTLED``, or exactly
+    ``rounds`` times if that is given.
     """
+    dims = tuple(targets)
     for dim, t in targets.items():
         cells = cells.join(t, dim, "left").withColumn(f"t_{dim}", F.coalesce(f"t_{dim}", F.lit(0.0)))
     cells = write_table(cells.withColumn("m", F.col("tokens") * F.lit(share)), "cells")
+    if rounds is None:
+        return (settle_local if cells.count() <= local_cells else settle_spark)(cells, dims)
     for _ in range(rounds):
-        for dim in targets:
-            sums = cells.groupBy(dim).agg(F.sum("m").alias("s"))
-            scaled = F.when(F.col("s") > 0, F.col("m") * F.col(f"t_{dim}") / F.col("s")).otherwise(F.lit(0.0))
-            cells = cells.join(sums, dim).withColumn(
-                "m", F.least(F.col("tokens").cast("double"), scaled)).drop("s")
-        cells = write_table(cells, "cells")
+        cells = spark_round(cells, dims)
     return cells
 
 
@@ -72,11 +119,11 @@ def unit_hash(doc_id: Column) -> Column:
 
 
 def mix(docs: DataFrame, topic: Column | None = None, dims: tuple = DIMS, targets: dict[str, DataFrame] | None = None,
-        temper: float = TEMPER, share: float = SHARE, rounds: int = ROUNDS, keep: tuple = ("doc_id",)) -> DataFrame:
+        temper: float = TEMPER, share: float = SHARE, rounds: int | None = None, keep: tuple = ("doc_id",)) -> DataFrame:
     """Sampling probabilities and decisions of all documents.
 
     ``topic`` is an expression over ``docs`` (default: the form of the text);
-    targets default to tempered token shares.  Returns the columns of
+    targets default to tempered token shares; ``rounds`` as in ``rake``.  Returns the columns of
     ``keep`` with the dims, n_tokens, rate (the cell's probability) and
     sampled.  Null sources, languages and topics are the category ''; a
     document without words weighs nothing and is sampled at its cell's rate,

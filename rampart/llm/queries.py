@@ -156,9 +156,13 @@ def op4_preference_pairs(spark, sf_dir):
 
 # --- op1 ----------------------------------------------------------------------------
 
+# The SQL states this many rounds, with no test of the marginals; the query does the same.
+SQL_ROUNDS = 8
+
+
 def mixing_sql() -> str:
     steps, last = [], "c0"
-    for r in range(mixing.ROUNDS):
+    for r in range(SQL_ROUNDS):
         for d in mixing.DIMS:
             name = f"r{r}_{d}"
             steps.append(f"{name} AS (SELECT * REPLACE (least(CAST(tokens AS DOUBLE), CASE WHEN sum(m) OVER (PARTITION BY {d}) > 0 "
@@ -187,5 +191,5 @@ FROM d JOIN rates USING (source, lang, topic)"""
 
 @register("op1_raked_mixture", mixing_sql())
 def op1_raked_mixture(spark, sf_dir):
-    """Sampling decisions of all documents by raked token weights (see ``mixing``)."""
-    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 6))
+    """Sampling decisions of all documents by token weights after the SQL's rounds of raking (see ``mixing``)."""
+    return mixing.mix(table(spark, sf_dir, "documents"), rounds=SQL_ROUNDS).withColumn("rate", F.round("rate", 6))
