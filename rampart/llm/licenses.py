@@ -1,10 +1,12 @@
-"""Licence scans: lines of text against licence notices by Dice coefficient.
+"""Licence scans: windows of text against licence notices by Dice coefficient.
 
-A line is normalised (lower case, runs of anything but letters and digits to
-one blank), turned into its set of word bigrams, and compared with the
-templates' sets: 2 |A and B| / (|A| + |B|).  Two sets can only reach the
-threshold if their sizes are close, so each line is compared only with the
-templates whose size bounds admit it; most lines meet none.
+A text is normalised as a whole (lower case, runs of anything but letters and
+digits, line breaks too, to one blank); windows of its words are turned into
+sets of word bigrams and compared with the templates' sets: 2 |A and B| /
+(|A| + |B|).  A window can only reach the threshold if it holds a least number
+of a template's bigrams, so a text is compared only with the templates of
+which it has that many; most texts have none, and most of those lack even the
+few words of which every match needs one.
 
 Everything here is Spark column functions; the templates are literals.
 """
@@ -41,6 +43,54 @@ TEMPLATES = {
                      "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "Proprietary": ["All rights reserved."],
 }
+# File headers and licence bodies, by their paragraphs.
+BODIES = {
+    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+            "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+            "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+            "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+                   "compliance with the License. You may obtain a copy of the License at "
+                   "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+                   "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
+                   "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
+                   "permissions and limitations under the License."],
+    "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+                     "that the following conditions are met: 1. Redistributions of source code must retain the above "
+                     "copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary "
+                     "form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+                     "in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED "
+                     "BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\""],
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+                     "that the following conditions are met: 1. Redistributions of source code must retain the above "
+                     "copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary "
+                     "form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+                     "in the documentation and/or other materials provided with the distribution. 3. Neither the name of "
+                     "the copyright holder nor the names of its contributors may be used to endorse or promote products "
+                     "derived from this software without specific prior written permission."],
+    "GPL-2.0": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+                "option) any later version."],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                 "General Public License as published by the Free Software Foundation; either version 2.1 of the License, "
+                 "or (at your option) any later version."],
+    "LGPL-3.0": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                 "General Public License as published by the Free Software Foundation, either version 3 of the License, "
+                 "or (at your option) any later version."],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+                 "General Public License as published by the Free Software Foundation, either version 3 of the License, "
+                 "or (at your option) any later version."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+                "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+                  "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+                  "binary, for any purpose, commercial or non-commercial, and by any means."],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+    "Zlib": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+             "alter it and redistribute it freely, subject to the following restrictions:"],
+}
 DICE = (8, 10)              # least coefficient, as a fraction
 
 
@@ -67,55 +117,112 @@ def normal_words(line: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(line), "[^a-z0-9]+", " ")), " ")
 
 
-def bigrams(words: Column) -> Column:
-    """Distinct word bigrams; a single word stands for itself."""
-    n = F.size(words)
-    return F.array_distinct(F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(
-        " ", F.element_at(words, i), F.element_at(words, i + 1)))).otherwise(words))
+def joined_bigrams(words: Column) -> Column:
+    """Word bigrams by position, repeated ones too; none of fewer than two words."""
+    return let(words, lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(
+        " ", F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<string>")))
+
+
+def key_words(bigram_set: list[str], need: int) -> set[str]:
+    """Words, long ones first, of which every text with ``need`` of the bigrams has one."""
+    left, out = set(bigram_set), set()
+    for w in sorted({w for b in left for w in b.split()}, key=lambda w: (-len(w), w)):
+        if len(left) < need:
+            break
+        out.add(w)
+        left = {b for b in left if w not in b.split()}
+    return out
+
+
+def literal(values) -> Column:
+    """A constant array of strings, folded when planned."""
+    return F.split(F.lit("|".join(values)), "\\|")
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, dice: tuple[int, int] = DICE,
          text: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
     """Licence notices in the whole text of every document.
 
-    Returns the columns of ``keep``, ``n_notices`` (matching lines),
-    ``license`` (of the best match: highest coefficient, then earliest line,
-    then licence name; null if there is none), ``dice`` (its coefficient, 0
-    if none) and ``line`` (its number from 1, null if none).  Null and empty
-    texts have no notice; a line belongs to one licence, its best; equal rows
-    give equal rows; an empty table gives an empty result.
+    A window starts and ends with a bigram of the template and is at most as
+    many times longer than the template as its set may be larger.  Windows
+    that share words are one notice: taken from the left, the one with the
+    higher coefficient stays (of two templates, the one that shares more
+    bigrams with its window).
+
+    Returns the columns of ``keep``, ``n_notices``, ``license`` (of the best
+    notice: highest coefficient, then earliest, then licence name; null if
+    there is none), ``dice`` (its coefficient, 0 if none) and ``line`` (number
+    from 1 of the line where it starts, null if none).  Null and empty texts
+    have no notice; equal rows give equal rows; an empty table gives an empty
+    result.
     """
     num, den = dice
+    if templates is None:
+        templates = {n: TEMPLATES.get(n, []) + BODIES.get(n, []) for n in [*TEMPLATES, *BODIES]}
     sets = template_sets(templates)
-    lows, highs = zip(*(bounds(len(s), num, den) for _, s in sets))
-    least, most = min(lows), max(highs)
-
-    def match(b: Column) -> Column:
-        """Best (2 * overlap, total size, licence) of a bigram set over the admitted templates."""
-        def hit(size: int, name: str):
-            total = F.size(b) + size
-            return lambda k: F.when(2 * den * k >= num * total,
-                                    F.struct((-(2 * k / total)).alias("minus"), F.lit(name).alias("license")))
-
-        tests = []
-        for (name, s), low, high in zip(sets, lows, highs):
-            inter = F.size(F.array_intersect(b, F.array(*[F.lit(x) for x in s])))
-            tests.append(F.when(F.size(b).between(low, high), let(inter, hit(len(s), name))))
-        return F.array_min(F.filter(F.array(*tests), lambda x: x.isNotNull()))
-
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("t"), (i + 1).alias("line")))
-    words = F.transform(numbered, lambda e: F.struct(normal_words(e["t"]).alias("w"), e["line"].alias("line")))
-    # n words have at most n - 1 bigrams: shorter lines end here
-    sized = F.filter(words, lambda e: F.greatest(F.lit(1), F.size(e["w"]) - 1) >= least)
-    sets_of = F.filter(F.transform(sized, lambda e: F.struct(bigrams(e["w"]).alias("b"), e["line"].alias("line"))),
-                       lambda e: F.size(e["b"]).between(least, most))
-    found = F.filter(F.transform(sets_of, lambda e: F.struct(match(e["b"]).alias("m"), e["line"].alias("line"))),
-                     lambda e: e["m"].isNotNull())
-    ranked = F.transform(found, lambda e: F.struct(
-        e["m"]["minus"].alias("minus"), e["line"].alias("line"), e["m"]["license"].alias("license")))
-    best = docs.select(*keep, ranked.alias("_found")).select(
-        *keep, F.size("_found").cast("bigint").alias("n_notices"), F.array_min("_found").alias("_best"))
-    return best.select(*keep, "n_notices", F.col("_best.license").alias("license"),
-                       F.coalesce(-F.col("_best.minus"), F.lit(0.0)).alias("dice"),
-                       F.col("_best.line").cast("bigint").alias("line"))
+    lengths = [len(normal.split()) - 1 for ts in templates.values() for t in ts
+               for normal in [re.sub("[^a-z0-9]+", " ", t.lower())]]
+    keys = sorted(set().union(*(key_words(s, bounds(len(s), num, den)[0]) for _, s in sets)))
+    every = literal(sorted({b for _, s in sets for b in s}))
+    kind = "array<struct<start:int,end:int,minus:double,less:int,license:string,template:int>>"
+
+    def windows(b: Column, k: int, name: str, s: list[str], length: int) -> Column:
+        """Windows of bigrams ``b`` that reach the threshold with template ``k``."""
+        size, (need, _) = len(s), bounds(len(s), num, den)
+        most = bounds(max(size, length), num, den)[1]
+        own = literal(s)
+
+        def hit(start: Column, end: Column) -> Column:
+            part = F.slice(b, start, end - start + 1)
+            return let(F.struct(F.size(F.array_intersect(part, own)).alias("k"), F.size(F.array_distinct(part)).alias("n")),
+                       lambda x: F.when(2 * den * x["k"] >= num * (x["n"] + size), F.struct(
+                           start.alias("start"), end.alias("end"), (-(2 * x["k"] / (x["n"] + size))).alias("minus"),
+                           (-x["k"]).alias("less"), F.lit(name).alias("license"), F.lit(k).alias("template"))))
+
+        def starting(p: Column, i: Column) -> Column:
+            start = F.element_at(p, i)
+            ends = F.filter(F.slice(p, i + (need - 1), max(1, most - need + 1)), lambda e: e - start < most)
+            return F.filter(F.transform(ends, lambda e: hit(start, e)), lambda x: x.isNotNull())
+
+        places = F.filter(F.sequence(F.lit(1), F.size(b)), lambda i: F.array_contains(own, F.element_at(b, i)))
+        return let(places, lambda p: F.when(F.size(p) >= need, F.flatten(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(p) - (need - 1))), lambda i: starting(p, i))))).cast(kind)
+
+    def better(w: Column, now: Column) -> Column:
+        return F.when(w["template"] == now["template"], w["minus"] < now["minus"]).otherwise(
+            F.struct(w["less"], w["minus"], w["license"]) < F.struct(now["less"], now["minus"], now["license"]))
+
+    def rank(w: Column) -> Column:
+        return F.struct(w["minus"].alias("minus"), w["start"].alias("start"), w["license"].alias("license"))
+
+    def step(acc: Column, w: Column) -> Column:
+        now = acc["now"]
+        apart = now.isNull() | (w["start"] > now["end"] + 1)      # the last word of ``now`` is end + 1
+        return F.struct(
+            F.when(apart, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
+            F.when(apart & now.isNotNull(), F.least(acc["best"], rank(now))).otherwise(acc["best"]).alias("best"),
+            F.when(apart | better(w, now), w).otherwise(now).alias("now"))
+
+    zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast("struct<minus:double,start:int,license:string>").alias("best"),
+                    F.lit(None).cast(kind[6:-1]).alias("now"))
+    done = "struct<n:int,best:struct<minus:double,start:int,license:string>>"
+    whole = F.coalesce(F.col(text), F.lit(""))
+    maybe = docs.select(*keep, F.when(F.arrays_overlap(normal_words(whole), literal(keys)), F.transform(
+        F.split(whole, "\n"), lambda x: F.array_remove(normal_words(x), ""))).alias("_lines"))
+    b = maybe.select(*keep, "_lines", F.when(F.col("_lines").isNotNull(), joined_bigrams(F.flatten("_lines"))).alias("_b"))
+    hits = b.select(*keep, "_lines", "_b", F.array_intersect("_b", every).alias("_hits"))
+    none = F.array().cast(kind)
+    tests = [F.when(F.size(F.array_intersect("_hits", literal(s))) >= bounds(len(s), num, den)[0],
+                    F.coalesce(windows(F.col("_b"), k, name, s, length), none)).otherwise(none)
+             for k, ((name, s), length) in enumerate(zip(sets, lengths))]
+    found = hits.select(*keep, "_lines", F.when(F.size("_hits") > 0, F.array_sort(F.flatten(F.array(*tests)))).alias("_found"))
+    folded = found.select(*keep, "_lines", F.aggregate("_found", zero, step, lambda acc: F.struct(
+        acc["n"].alias("n"), F.when(acc["now"].isNotNull(), F.least(acc["best"], rank(acc["now"]))).alias("best"))).cast(done).alias("_r"))
+    # the line of word ``start``: the first one up to whose end there are that many words
+    ends = F.aggregate("_lines", F.struct(F.lit(0).alias("words"), F.lit(0).alias("line")), lambda acc, x: F.when(
+        acc["words"] >= F.col("_r.best.start"), acc).otherwise(F.struct(
+            (acc["words"] + F.size(x)).alias("words"), (acc["line"] + 1).alias("line"))), lambda acc: acc["line"])
+    return folded.select(*keep, F.coalesce(F.col("_r.n"), F.lit(0)).cast("bigint").alias("n_notices"),
+                         F.col("_r.best.license").alias("license"),
+                         F.coalesce(-F.col("_r.best.minus"), F.lit(0.0)).alias("dice"),
+                         F.when(F.col("_r.best").isNotNull(), ends).cast("bigint").alias("line"))
