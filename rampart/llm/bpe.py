@@ -13,6 +13,7 @@ words the lexicon has.
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 import tempfile
@@ -27,11 +28,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rampart.llm.common import NUMBER, SPACE, byte_classes, run_starts, strings, text_chunks, utf8
+from rampart.llm.common import NUMBER, SPACE, byte_classes, hold, run_starts, strings, text_chunks, utf8
 from rampart.session import write_table
 
 LEXICON_WORDS = 1 << 16        # words compiled into the automaton
-MEMO_WORDS = 1 << 18           # merged words a worker remembers between chunks
+MEMO_WORDS = 1 << 16           # merged words a worker remembers between chunks
+MEMO_BYTES = 64                # longer words are not remembered
+LONG_WORD = 64                 # symbols from which a word is merged through a heap
 
 
 def default_path() -> str:
@@ -71,6 +74,8 @@ class WordBPE:
         """Ids of one word: the best-ranked neighbouring pair merges until none is left."""
         parts = [self.symbols[b] for b in word]
         parts[-1] += self.suffix
+        if len(parts) >= LONG_WORD:
+            return [self.vocab[p] for p in self.merge_long(parts)]
         ranks = self.ranks
         while len(parts) > 1:
             best, pair = None, None
@@ -91,6 +96,28 @@ class WordBPE:
             parts = out
         return [self.vocab[p] for p in parts]
 
+    def merge_long(self, parts: list[str]) -> list[str]:
+        """The same merges in n log n steps: a heap of (rank, place) over a linked list."""
+        ranks, n = self.ranks, len(parts)
+        parts = list(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(ranks[p], i, *p) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] != a or j >= n or parts[j] != b:        # one of the two has merged since
+                continue
+            parts[i], parts[j] = a + b, None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                m = after[k] if k >= 0 else n
+                if k >= 0 and m < n and (parts[k], parts[m]) in ranks:
+                    heapq.heappush(heap, (ranks[parts[k], parts[m]], k, parts[k], parts[m]))
+        return [p for p in parts if p is not None]
+
 
 # --- words of a chunk -------------------------------------------------------------
 
@@ -307,14 +334,8 @@ def build_lexicon(docs: DataFrame, spec: str, text: str = "text", words: int = L
     return name
 
 
-_LOADED: dict = {}
-
-
 def _worker(spec: str, name: str) -> tuple[WordBPE, Lexicon, dict]:
-    if _LOADED.get("name") != name:
-        _LOADED.clear()
-        _LOADED.update(name=name, got=(WordBPE(spec), Lexicon(SparkFiles.get(name)), {}))
-    return _LOADED["got"]
+    return hold(("bpe", name), lambda: (WordBPE(spec), Lexicon(SparkFiles.get(name)), {}))
 
 
 def expand(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -335,7 +356,10 @@ def encode_chunk(texts: pa.Array, bpe: WordBPE, lexicon: Lexicon, memo: dict) ->
         if ids is None:
             if len(memo) >= MEMO_WORDS:
                 memo.clear()
-            ids = memo[w] = bpe.merge(w.encode())
+            raw = w.encode()
+            ids = bpe.merge(raw)
+            if len(raw) <= MEMO_BYTES:
+                memo[w] = ids
         merged.append(ids)
     known = found >= 0
     size = np.zeros(len(words), np.int64)

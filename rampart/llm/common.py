@@ -8,6 +8,8 @@ operation over its bytes.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import unicodedata
 from collections.abc import Iterator
 
@@ -80,6 +82,32 @@ def range_buckets(df: DataFrame, col: str, n: int, out: str = "bucket") -> tuple
     return df.withColumn(out, bucket.cast("int")), cuts
 
 
+# --- worker memory ----------------------------------------------------------------
+
+# What one operator keeps in a reused Python worker: its key and its value.
+_HELD: dict = {}
+
+
+def hold(key, build):
+    """``build()`` once a worker for ``key``; what another key left there goes."""
+    if _HELD.get("key") != key:
+        release()
+        _HELD.update(key=key, value=build())
+    return _HELD["value"]
+
+
+def release() -> None:
+    """Drop what earlier operators keep in this worker and give free memory back."""
+    _HELD.clear()
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):            # not every C library has it
+        pass
+
+
 # --- Arrow chunks ---------------------------------------------------------------
 
 def text_chunks(batches: Iterator[pa.RecordBatch], col: str = "text",
@@ -156,6 +184,16 @@ def byte_classes(data: np.ndarray) -> np.ndarray:
     return cls
 
 
+def block_classes(data: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """``byte_classes`` of ``data[lo:hi]``, which may cut characters."""
+    first, last = lo, hi
+    while first > 0 and data[first] & 0xC0 == 0x80:
+        first -= 1
+    while last < len(data) and data[last] & 0xC0 == 0x80:
+        last += 1
+    return byte_classes(data[first:last])[lo - first:hi - first]
+
+
 def run_starts(cls: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Mask (one longer than ``cls``) of the first bytes of class runs and documents."""
     m = np.ones(len(cls) + 1, bool)
@@ -182,10 +220,10 @@ _POWERS: list[np.ndarray] = []
 _BASE = 0x5851F42D4C957F2D                   # odd, so invertible modulo 2**64
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + (1 << 16))
+        size = max(1 << 16, 1 << n.bit_length())
         out = []
         for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(size, np.uint64(b))
@@ -195,10 +233,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def long_hash(data: np.ndarray, block: int) -> np.uint64:
+    """The hash ``slice_hashes`` gives the whole of ``data``, block by block."""
+    up, _ = powers(block)
+    total = 0
+    for lo in range(0, len(data), block):
+        part = data[lo:lo + block].astype(np.uint64) + np.uint64(1)
+        total += int((part * up[:len(part)]).sum()) * pow(_BASE, lo, 1 << 64)
+    length = np.array([len(data)], np.uint64)
+    return mix64(np.array([total % (1 << 64)], np.uint64) ^ (length * MULT))[0]
+
+
 def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte slice, whatever its place: a polynomial over
     the slice's bytes from prefix sums, mixed with its length."""
-    up, down = _powers(len(data))
+    up, down = powers(len(data))
     pre = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=pre[1:])
     h = (pre[end] - pre[start]) * down[start]

@@ -42,6 +42,7 @@ from rampart.session import write_table
 
 CELL = 4096           # nodes of a cell that are joined in one task
 SPLIT = 16            # pivots of one split
+CHUNK = 1 << 20       # bytes of text shingled at once, about 40 times that in memory
 SPARE = 20            # one extra prefix shingle for so many in the set
 
 
@@ -113,7 +114,7 @@ def signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(doc_id, n, node, keys): set size, set id, and the prefix in hash order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_chunks(batches):
+        for b in text_chunks(batches, limit=CHUNK):
             hashes, at = shingle_sets(b.column("text"), words)
             n = np.diff(at)
             size = np.minimum(n, may_miss(n, num, den) + spare(n))
@@ -128,7 +129,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     """(node, n, items) of documents, items in ascending hash order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_chunks(batches):
+        for b in text_chunks(batches, limit=CHUNK):
             hashes, at = shingle_sets(b.column("text"), words)
             n = np.diff(at)
             yield pa.RecordBatch.from_arrays(

@@ -17,13 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rampart.llm.common import LETTER, MULT, byte_classes, text_chunks, utf8
+from rampart.llm.common import LETTER, MULT, block_classes, release, text_chunks, utf8
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 4096          # expected training documents, shared evenly by the languages
 BUCKETS = 1 << 13           # hashed n-grams
 ORDERS = (1, 2, 3)
 ROWS = 128                  # documents whose dense counts are held at once
+BLOCK = 1 << 18             # bytes whose n-grams are hashed at once
 AMBIGUOUS = 0.2             # a lead in probability below this is ambiguous
 
 
@@ -31,32 +32,42 @@ def ngram_features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarra
     """(first document, features, has a letter) for blocks of whole texts.
 
     Letters are lower-cased, everything else is a blank; a feature is the
-    square root of an n-gram's count, scaled to unit length.
+    square root of an n-gram's count, scaled to unit length.  Counts are
+    gathered over blocks of ``BLOCK`` bytes, so that a text of any length
+    takes little more memory than its bytes.
     """
     off, data = utf8(pc.utf8_lower(pc.fill_null(texts, "")))
-    letter = byte_classes(data) == LETTER
-    b = np.where(letter, data, 0x20).astype(np.uint64)
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    seen = np.bincount(doc[letter], minlength=len(off) - 1) > 0
-    hashes, owners = [], []
+    for lo in range(0, len(off) - 1, ROWS):
+        hi = min(lo + ROWS, len(off) - 1)
+        x = np.zeros((hi - lo) * BUCKETS)
+        seen = np.zeros(hi - lo, bool)
+        for at in range(int(off[lo]), int(off[hi]), BLOCK):
+            cells, letters = block_ngrams(data, off[lo:hi + 1], at, min(at + BLOCK, int(off[hi])))
+            x += np.bincount(cells, minlength=len(x))
+            seen[letters] = True
+        x = np.sqrt(x, out=x).reshape(hi - lo, BUCKETS)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        yield lo, x.astype(np.float32), seen
+
+
+def block_ngrams(data: np.ndarray, off: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document * BUCKETS + hash of each n-gram that starts in ``data[lo:hi]``,
+    documents with a letter there); an n-gram may end behind the block."""
+    end = min(hi + max(ORDERS) - 1, int(off[-1]))
+    letter = block_classes(data, lo, end) == LETTER
+    b = np.where(letter, data[lo:end], 0x20).astype(np.uint64)
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(np.clip(off, lo, end)))
+    cells = []
     h = np.zeros(len(b), np.uint64)
     for n in range(1, max(ORDERS) + 1):
         m = max(len(b) - n + 1, 0)
         h = h[:m] * np.uint64(257) + b[n - 1:] + np.uint64(1)
         if n not in ORDERS:
             continue
-        ok = (doc[:m] == doc[n - 1:]) & (letter[:m] | letter[n - 1:])
-        hashes.append(((h[ok] + np.uint64(n)) * MULT >> np.uint64(64 - 13)).astype(np.int64))
-        owners.append(doc[:m][ok])
-    for lo in range(0, len(off) - 1, ROWS):
-        hi = min(lo + ROWS, len(off) - 1)
-        x = np.zeros((hi - lo) * BUCKETS)
-        for hh, own in zip(hashes, owners):
-            i, j = np.searchsorted(own, [lo, hi])
-            x += np.bincount((own[i:j] - lo) * BUCKETS + hh[i:j], minlength=len(x))
-        x = np.sqrt(x).reshape(hi - lo, BUCKETS)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        yield lo, x.astype(np.float32), seen[lo:hi]
+        own = min(m, hi - lo)
+        ok = (doc[:own] == doc[n - 1:n - 1 + own]) & (letter[:own] | letter[n - 1:n - 1 + own])
+        cells.append(doc[:own][ok] * BUCKETS + ((h[:own][ok] + np.uint64(n)) * MULT >> np.uint64(64 - 13)).astype(np.int64))
+    return np.concatenate(cells), np.unique(doc[:hi - lo][letter[:hi - lo]])
 
 
 def codewords(n: int) -> np.ndarray:
@@ -165,6 +176,7 @@ def predict(docs: DataFrame, model: dict | None, keep: tuple = ("doc_id",)) -> D
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = shared.value
         for b in text_chunks(batches):
             n = b.num_rows

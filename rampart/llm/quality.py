@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rampart.llm.common import LETTER, MULT, OTHER, SPACE, byte_classes, run_starts, slice_hashes, text_chunks, utf8
+from rampart.llm.common import LETTER, MULT, OTHER, SPACE, block_classes, long_hash, release, slice_hashes, text_chunks, utf8
 
 SAMPLE_DOCS = 6000          # expected labelled training documents
 WORDS = 1 << 14             # hashed words
@@ -30,45 +30,115 @@ SPARSE = 4                  # non-zero entries of an index vector
 WINDOW = 2                  # neighbours on each side
 HIDDEN = 32
 THRESHOLD = 0.7
-ROWS = 256                  # documents pooled at once
+BLOCK = 1 << 18             # bytes cut into units at once
+GATHER = 1 << 14            # units pooled at once
+GRAIN = 2.0 ** -20          # step of the values in the tables
 
 
 def units(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word number, shape number, units before each document) of whole texts."""
+    """(word number, shape number, units before each document) of whole texts.
+
+    The bytes are read in blocks that end where a unit does, so that memory
+    beyond the texts and the 4 bytes a unit stays the same whatever a text's
+    length; one unit longer than a block is hashed piece by piece.
+    """
     off, data = utf8(texts)
-    if not len(data):
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(len(off), np.int64)
-    cls = byte_classes(data)
-    start = np.flatnonzero(run_starts(cls, off)[:-1])
-    end = np.r_[start[1:], len(data)]
+    words, shapes = [], []
+    count = np.zeros(len(off) - 1, np.int64)
+    last = np.zeros(0, np.uint64), np.zeros(0, np.int64)       # the last two letter runs: hash, document
+    at = 0
+    while at < len(data):
+        end = min(at + BLOCK, len(data))
+        got, nxt = block_units(data, off, at, end)
+        if nxt == at:                                          # one run fills the block
+            got, nxt = long_unit(data, off, at)
+        h, kind, size, case, doc = got
+        letters = kind == LETTER
+        rep = np.zeros(len(h), np.int64)
+        every = np.r_[last[0], h[letters]], np.r_[last[1], doc[letters]]
+        new = np.flatnonzero(letters)
+        for back, mark in ((2, 2), (1, 1)):
+            place = np.arange(len(last[0]), len(every[0]))
+            ok = place >= back
+            p = place[ok]
+            same = (every[0][p] == every[0][p - back]) & (every[1][p] == every[1][p - back])
+            rep[new[ok][same]] = mark
+        last = every[0][-2:], every[1][-2:]
+        sign = np.where(kind == OTHER, (h >> np.uint64(40)).astype(np.int64) % 64, 0)
+        code = (((kind * 16 + np.minimum(size, 15)) * 4 + case) * 3 + rep) * 64 + sign
+        words.append((h >> np.uint64(50)).astype(np.uint16))
+        shapes.append((code.astype(np.uint64) * MULT >> np.uint64(54)).astype(np.uint16))
+        if len(doc):
+            count[doc[0]:doc[-1] + 1] += np.bincount(doc - doc[0])
+        at = nxt
+    none = np.zeros(0, np.uint16)
+    return np.concatenate([none, *words]), np.concatenate([none, *shapes]), np.r_[0, np.cumsum(count)]
+
+
+def _case(size, big, first):
+    """0 no capital, 1 the first letter only, 2 all of several, 3 otherwise."""
+    return np.where(big == 0, 0, np.where((big == size) & (size > 1), 2, np.where(first & (big == 1), 1, 3)))
+
+
+def _capitals(data: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """A-Z, and the two-byte Latin-1 capitals, of ``data[lo:hi]``."""
+    d = data[lo:hi]
+    cap = (d >= 0x41) & (d <= 0x5A)
+    nxt = data[lo + 1:hi + 1]
+    cap[:len(nxt)] |= (d[:len(nxt)] == 0xC3) & (nxt >= 0x80) & (nxt <= 0x9E)
+    return cap
+
+
+def block_units(data: np.ndarray, off: np.ndarray, lo: int, hi: int):
+    """((hash, kind, characters, case, document) of the units that end in
+    ``data[lo:hi]``, place of the run that does not); ``lo`` starts a run."""
+    cls = block_classes(data, lo, hi)
+    edge = np.ones(hi - lo + 1, bool)
+    edge[1:-1] = cls[1:] != cls[:-1]
+    inside = off[np.searchsorted(off, lo):np.searchsorted(off, hi, "right")]
+    edge[inside - lo] = True
+    edge[-1] = hi == len(data)
+    at = np.flatnonzero(edge)
+    start, end = at[:-1], at[1:]
+    stop = lo + int(at[-1])
+    if not len(start):
+        return None, stop
     kind = cls[start]
-    breaks = np.r_[0, np.cumsum(data == 0x0A)]
+    breaks = np.r_[0, np.cumsum(data[lo:hi] == 0x0A, dtype=np.int32)]
     keep = (kind != SPACE) | (breaks[end] > breaks[start])
     start, end, kind = start[keep], end[keep], kind[keep].astype(np.int64)
-    h = slice_hashes(data, start, end)
+    h = slice_hashes(data[lo:hi], start, end)
     h[kind == SPACE] = np.uint64(7)
-    # capitals: A-Z, and the two-byte Latin-1 ones
-    cap = (data >= 0x41) & (data <= 0x5A)
-    cap[:-1] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
-    lead = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
-    caps = np.r_[0, np.cumsum(cap)]
-    size = lead[end] - lead[start]
-    big = caps[end] - caps[start]
-    case = np.where(big == 0, 0, np.where((big == size) & (size > 1), 2, np.where(cap[start] & (big == 1), 1, 3)))
-    begin = np.searchsorted(start, off)
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(begin))
-    # repetition among the letter runs of one document
-    rep = np.zeros(len(h), np.int64)
-    w = np.flatnonzero(kind == LETTER)
-    for back, mark in ((2, 2), (1, 1)):
-        if len(w) > back:
-            same = (h[w[back:]] == h[w[:-back]]) & (doc[w[back:]] == doc[w[:-back]])
-            rep[w[back:][same]] = mark
-    sign = np.where(kind == OTHER, (h >> np.uint64(40)).astype(np.int64) % 64, 0)
-    code = (((kind * 16 + np.minimum(size, 15)) * 4 + case) * 3 + rep) * 64 + sign
-    shape = (code.astype(np.uint64) * MULT >> np.uint64(54)).astype(np.int64)
-    return (h >> np.uint64(50)).astype(np.int64), shape, begin
+    cap = _capitals(data, lo, hi)
+    lead = np.r_[0, np.cumsum((data[lo:hi] & 0xC0) != 0x80, dtype=np.int32)]
+    caps = np.r_[0, np.cumsum(cap, dtype=np.int32)]
+    size = (lead[end] - lead[start]).astype(np.int64)
+    case = _case(size, caps[end] - caps[start], cap[start])
+    return (h, kind, size, case, np.searchsorted(off, start + lo, "right") - 1), stop
+
+
+def long_unit(data: np.ndarray, off: np.ndarray, lo: int):
+    """The one unit that starts at ``lo`` and fills more than a block."""
+    kind = int(block_classes(data, lo, lo + 1)[0])
+    doc = int(np.searchsorted(off, lo, "right")) - 1
+    stop, size, big, broken = lo, 0, 0, False
+    while stop < off[doc + 1]:
+        hi = min(stop + BLOCK, int(off[doc + 1]))
+        other = np.flatnonzero(block_classes(data, stop, hi) != kind)
+        cut = stop + int(other[0]) if len(other) else hi
+        part = data[stop:cut]
+        size += int(np.count_nonzero((part & 0xC0) != 0x80))
+        big += int(np.count_nonzero(_capitals(data, stop, cut)))
+        broken |= bool((part == 0x0A).any())
+        stop = cut
+        if len(other):
+            break
+    one = [np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64)]
+    if kind != SPACE or broken:
+        h = np.uint64(7) if kind == SPACE else long_hash(data[lo:stop], BLOCK)
+        case = int(_case(size, big, _capitals(data, lo, lo + 2)[0]))
+        one = [np.array([v], a.dtype) for v, a in zip((h, kind, size, case, doc), one)]
+    return tuple(one), stop
 
 
 def index_vectors(n: int, seed: int) -> np.ndarray:
@@ -93,18 +163,23 @@ def context_vectors(number: np.ndarray, doc: np.ndarray, n: int, seed: int) -> n
 
 
 def pool(word: np.ndarray, shape: np.ndarray, begin: np.ndarray, model: dict) -> np.ndarray:
-    """Document vectors: damped means over words and over shapes, and the log length."""
-    out = np.zeros((len(begin) - 1, 2 * WIDTH + 1), np.float32)
+    """Document vectors: damped means over words and over shapes, and the log length.
+
+    The tables hold multiples of ``GRAIN``, so their sums are exact in any
+    order and the units can be taken ``GATHER`` at a time.
+    """
+    out = np.zeros((len(begin) - 1, 2 * WIDTH + 1))
     size = np.diff(begin)
     full = np.flatnonzero(size > 0)
     out[:, -1] = np.log1p(size)
-    for number, key, col in ((word, "word", 0), (shape, "shape", WIDTH)):
-        table = model[key]
-        for i in range(0, len(full), ROWS):
-            docs = full[i:i + ROWS]
-            lo, hi = begin[docs[0]], begin[docs[-1] + 1]
-            v = np.add.reduceat(table[number[lo:hi]], begin[docs] - lo, axis=0)
-            out[docs, col:col + WIDTH] = v / size[docs, None]
+    starts = begin[full]
+    for lo in range(0, len(word), GATHER):
+        hi = min(lo + GATHER, len(word))
+        i, j = np.searchsorted(starts, lo, "right") - 1, np.searchsorted(starts, hi)
+        at = np.maximum(starts[i:j], lo) - lo
+        for number, key, col in ((word, "word", 0), (shape, "shape", WIDTH)):
+            out[full[i:j], col:col + WIDTH] += np.add.reduceat(model[key][number[lo:hi]], at, axis=0)
+    out[:, :-1] /= np.maximum(size, 1)[:, None]
     return out
 
 
@@ -198,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> d
         c = context_vectors(flat[k], doc, n, seed) if len(doc) else np.zeros((n, WIDTH), np.float32)
         share = np.bincount(flat[k], minlength=n) / max(len(doc), 1)
         damp = 1e-3 / (1e-3 + share) if k == "word" else np.ones(n)
-        model[k] = (c * damp[:, None]).astype(np.float32)
+        model[k] = np.round(c * damp[:, None] / GRAIN) * GRAIN
     x = pool(flat["word"], flat["shape"], begin, model)
     return {**model, **train_network(x, y)}
 
@@ -214,6 +289,7 @@ def predict(docs: DataFrame, model: dict | None, keep: tuple = ("doc_id",), thre
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = shared.value
         for b in text_chunks(batches):
             score = np.full(b.num_rows, 0.5)
