@@ -82,6 +82,12 @@ def range_buckets(df: DataFrame, col: str, n: int, out: str = "bucket") -> tuple
     return df.withColumn(out, bucket.cast("int")), cuts
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a written table whose successor is written; frames on it end here."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 # --- worker memory ----------------------------------------------------------------
 
 # What one operator keeps in a reused Python worker: its key and its value.

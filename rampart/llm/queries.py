@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rampart.llm import bpe, jaccard, langid, licenses, minhash, mixing, preference, quality, tokenstore, topk
+from rampart.llm import (ballcodes, bpe, centroids, jaccard, langid, licenses, minhash, mixing, preference, quality, tokenstore,
+                         topk, warc)
 from rampart.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +194,88 @@ FROM d JOIN rates USING (source, lang, topic)"""
 def op1_raked_mixture(spark, sf_dir):
     """Sampling decisions of all documents by token weights after the SQL's rounds of raking (see ``mixing``)."""
     return mixing.mix(table(spark, sf_dir, "documents"), rounds=SQL_ROUNDS).withColumn("rate", F.round("rate", 6))
+
+
+# --- op11, op13: rounds of assigning and moving, spelled out -----------------------------
+
+def _codes_sql(scale: int, also: str) -> str:
+    return (f"list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {scale}) AS BIGINT)) AS x FROM embeddings "
+            f"WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND {also}")
+
+
+_GAP = "CAST(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+
+
+def _rounds_sql(rounds: int) -> str:
+    """a0 .. a<rounds> assign the rows of p (id, part, x) to the entries of b<r> (part, entry, x)."""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT p.id, p.part, any_value(p.x) AS x, min({{'d': {_GAP}, 'e': b.entry}}) AS m "
+                   f"FROM p JOIN b{r} AS b ON p.part = b.part GROUP BY p.id, p.part)")
+        if r < rounds:
+            out.append(f"s{r} AS (SELECT part, m.e AS entry, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{r})")
+            out.append(f"t{r} AS (SELECT part, entry, i, CAST(sum(v) AS BIGINT) AS v, count(*) AS n FROM s{r} GROUP BY ALL)")
+            out.append(f"n{r} AS (SELECT part, entry, list((v - ((v % n) + n) % n) // n ORDER BY i) AS x FROM t{r} GROUP BY ALL)")
+            out.append(f"b{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(n.x, b.x) AS x "
+                       f"FROM b{r} AS b LEFT JOIN n{r} AS n ON b.part = n.part AND b.entry = n.entry)")
+    return ",\n".join(out)
+
+
+def ball_sql() -> str:
+    parts, r = ballcodes.PARTS, ballcodes.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, x) AS id, * FROM (
+  SELECT vec_id, label, {_codes_sql(ballcodes.SCALE, "len(embedding) > 0")}) t),
+p AS MATERIALIZED (SELECT id, part, x[part * len(x) // {parts} + 1:(part + 1) * len(x) // {parts}] AS x FROM v, range({parts}) AS r(part)),
+b0 AS (SELECT part, CAST(id - 1 AS INTEGER) AS entry, x FROM p WHERE id <= {ballcodes.ENTRIES}),
+{_rounds_sql(r)},
+c AS (SELECT id, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{r} GROUP BY id),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS h FROM b{r})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM c JOIN v USING (id), h"""
+
+
+@register("op11_ball_codes", ball_sql())
+def op11_ball_codes(spark, sf_dir):
+    """Codes of all vectors in product codebooks trained by Ball k-means (see ``ballcodes``)."""
+    return ballcodes.digest(*ballcodes.compress(table(spark, sf_dir, "embeddings")))
+
+
+def centroid_sql() -> str:
+    r = centroids.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || CAST(vec_id AS VARCHAR)), x) AS id, * FROM (
+  SELECT vec_id, {_codes_sql(centroids.SCALE, f"len(embedding) = {centroids.WIDTH}")}) t),
+p AS MATERIALIZED (SELECT id, 0 AS part, x FROM v),
+b0 AS (SELECT part, CAST(id - 1 AS INTEGER) AS entry, x FROM p WHERE id <= {centroids.CENTROIDS}),
+{_rounds_sql(r)},
+h AS (SELECT entry, sha256(array_to_string(x, ',')) AS centroid_sha256 FROM b{r})
+SELECT v.vec_id, a.m.e AS cluster, a.m.d AS distance, CAST(sum(a.m.d) OVER (PARTITION BY a.m.e) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.m.d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{r} AS a JOIN v USING (id) JOIN h ON h.entry = a.m.e"""
+
+
+@register("op13_threshold_centroids", centroid_sql())
+def op13_threshold_centroids(spark, sf_dir):
+    """Clusters of all vectors, centroids found by the threshold algorithm (see ``centroids``)."""
+    return centroids.summary(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+# --- op12 ----------------------------------------------------------------------------
+
+WARC_SQL = """
+WITH d AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper FROM d)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((CAST('0x' || substr(h, CAST(5 * i // 4 + 1 AS BIGINT), 2) AS INTEGER) >> CAST(3 - (5 * i) % 4 AS INTEGER)) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
+FROM k"""
+
+
+@register("op12_warc_archives", WARC_SQL)
+def op12_warc_archives(spark, sf_dir):
+    """All pages written as WARC records and read back (see ``warc``)."""
+    folder, index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(folder, index).drop("url")
