@@ -29,16 +29,44 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Percent-encoded bytes that are no well-formed UTF-8, one maximal part at a
+# time (Unicode's table of well-formed byte sequences): what precedes it in
+# group 1 is anything well-formed, then comes the longest beginning of a
+# sequence that breaks off, or a byte that cannot begin one.  Possessive
+# groups, so that no length of URL overflows the stack.
+def _bytes(*ranges: str) -> str:
+    """A percent-encoded byte whose two hex digits match one of the patterns."""
+    return "(?:%(?:" + "|".join(ranges) + "))"
+
+
+_TAIL = _bytes("[89AB][0-9A-F]")
+_STARTS = [                                       # first byte, second byte, further bytes
+    (_bytes("C[2-9A-F]", "D[0-9A-F]"), _TAIL, 0),
+    (_bytes("E0"), _bytes("[AB][0-9A-F]"), 1),
+    (_bytes("E[1-9A-CEF]"), _TAIL, 1),
+    (_bytes("ED"), _bytes("[89][0-9A-F]"), 1),
+    (_bytes("F0"), _bytes("[9AB][0-9A-F]"), 2),
+    (_bytes("F[1-3]"), _TAIL, 2),
+    (_bytes("F4"), _bytes("8[0-9A-F]"), 2),
+]
+_WHOLE = "|".join(a + b + _TAIL * n for a, b, n in _STARTS)
+_BROKEN = "|".join([*(a + b + _TAIL + "{0,%d}" % (n - 1) for a, b, n in _STARTS if n), _bytes("[89A-F][0-9A-F]")])
+ILL_FORMED = rf"(?i)\G((?:[^%]++|%(?![89A-F][0-9A-F])|{_WHOLE})*+)(?:{_BROKEN})"
+REPLACEMENT = "%EF%BF%BD"                          # U+FFFD
+
+
 def percent_decode(url) -> Column:
     """One pass of ``%XX`` decoding as ``urllib.parse.unquote`` does it.
 
     ``+`` stays ``+`` and a ``%`` not followed by two hex digits stays as it
     is; both are escaped first because Java's decoder treats them otherwise.
-    Bytes that are not UTF-8 decode to U+FFFD.
+    Of bytes that are not UTF-8, every maximal part that breaks off becomes
+    one U+FFFD.
     """
     u = _c(url)
     esc = F.regexp_replace(F.regexp_replace(u, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
-    return F.try_url_decode(esc)
+    high = esc.rlike("%[89A-Fa-f][0-9A-Fa-f]")      # few URLs have such bytes
+    return F.try_url_decode(F.when(high, F.regexp_replace(esc, ILL_FORMED, "$1" + REPLACEMENT)).otherwise(esc))
 
 
 def attack_flag(decoded, name: str) -> Column:

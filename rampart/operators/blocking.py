@@ -98,6 +98,19 @@ def exclude_whitelisted(rows: DataFrame, whitelist: DataFrame, col: str = ADDR)
     return rows.join(hits, on=col, how="left_anti")
 
 
+def outside_whitelist(rows: DataFrame, whitelist: DataFrame, col: str = ADDR, entry_col: str = "entry") -> DataFrame:
+    """J3 row by row, for streams: an anti join with the exact entries and one
+    with the networks of each prefix length in use (at most 33, collected)."""
+    nets = whitelist_networks(whitelist, entry_col)
+    lengths = sorted(r[0] for r in nets.where(F.col("plen").isNotNull()).select("plen").distinct().collect())
+    out = rows.join(nets.select(F.col("entry").alias(col)).distinct(), on=col, how="left_anti")
+    for n in lengths:
+        own = F.shiftrightunsigned(ipv4_to_long(F.col(col)), 32 - n)
+        of_length = nets.where(F.col("plen") == n).select(F.col("net").alias("_net")).distinct()
+        out = out.withColumn("_net", own).join(of_length, on="_net", how="left_anti").drop("_net")
+    return out
+
+
 def refresh_blocklist(classified: DataFrame, blocked: DataFrame, whitelist: DataFrame | None = None,
                       critical_only: bool = False, col: str = ADDR) -> DataFrame:
     """B1: addresses to append to the block list this round.
@@ -124,10 +137,21 @@ def rate_ban(rows: DataFrame, failure: Column | None = None, findtime: int = FIN
     bucket's rows copied in as context: no window partition spans more than
     two buckets, however long a hot address stays active.
     """
+    bans = first_bans(failures_per_second(rows, failure, ts, col), findtime, maxretry, col)
+    return bans.select(col, F.timestamp_seconds("ban_sec").cast("timestamp_ntz").alias("ban_time"))
+
+
+def failures_per_second(rows: DataFrame, failure: Column | None, ts: str = "TimeLocal", col: str = ADDR) -> DataFrame:
+    """``(address, sec, n)``: failures of each address in each second."""
     f = rows if failure is None else rows.where(failure)
     sec = F.unix_timestamp(F.col(ts).cast("timestamp"))
-    per_sec = (f.where(F.col(col).isNotNull() & F.col(ts).isNotNull())
-               .groupBy(col, sec.alias("sec")).agg(F.count(F.lit(1)).alias("n")))
+    return (f.where(F.col(col).isNotNull() & F.col(ts).isNotNull())
+            .groupBy(col, sec.alias("sec")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def first_bans(per_sec: DataFrame, findtime: int, maxretry: int, col: str = ADDR) -> DataFrame:
+    """``(address, ban_sec)``: the first second whose window of ``findtime``
+    holds ``maxretry`` of the counted failures."""
     b = F.floor(F.col("sec") / findtime)
     # each per-second row goes to its own bucket and, as context, to the next
     copies = F.array(F.struct(b.alias("b"), F.lit(True).alias("own")),
@@ -135,9 +159,12 @@ def rate_ban(rows: DataFrame, failure: Column | None = None, findtime: int = FIN
     both = per_sec.select(col, "sec", "n", F.inline(copies))
     w = Window.partitionBy(col, "b").orderBy("sec").rangeBetween(-findtime, 0)
     counted = both.withColumn("cnt", F.sum("n").over(w))
-    return (counted.where(F.col("own") & (F.col("cnt") >= maxretry))
-            .groupBy(col).agg(F.min("sec").alias("ban_sec"))
-            .select(col, F.timestamp_seconds("ban_sec").cast("timestamp_ntz").alias("ban_time")))
+    return counted.where(F.col("own") & (F.col("cnt") >= maxretry)).groupBy(col).agg(F.min("sec").alias("ban_sec"))
+
+
+def ban_times(bans: DataFrame, col: str = ADDR) -> DataFrame:
+    """``(address, ban_time)``: the least ``ban_sec`` of each address."""
+    return bans.groupBy(col).agg(F.timestamp_seconds(F.min("ban_sec")).cast("timestamp_ntz").alias("ban_time"))
 
 
 def failed_request(status: str = "Status") -> Column:

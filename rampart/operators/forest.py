@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rampart.operators.threshold import exact_quantile
+from rampart.operators.threshold import exact_quantile, sketch_quantile
 from rampart.schemas import FOREST_NODES, FOREST_PARAMS
 
 EULER_GAMMA = 0.5772156649015329
@@ -237,8 +237,11 @@ def score(df: DataFrame, forest: Forest, out: str = "raw_score") -> DataFrame:
 
 
 def fit_offset(scored: DataFrame, contamination: float, col: str = "raw_score",
-               n: int | None = None) -> float:
-    """M3: the ``contamination`` percentile of the training scores."""
+               n: int | None = None, error: float | None = None) -> float:
+    """M3: the ``contamination`` percentile of the training scores: exact, or
+    in one pass with a rank off by at most ``error`` of the rows."""
+    if error is not None:
+        return sketch_quantile(scored, col, contamination, error)
     return exact_quantile(scored, col, contamination, n)
 
 

@@ -19,11 +19,12 @@ def number_lines(lines: DataFrame, out: str = "id", base: int = 1) -> DataFrame:
     ``block_start`` columns (see ``sources.files.read_lines``); rows of a
     split must come in file order within their partition.  Files are
     ordered by path, splits by start offset, lines by position in the split.
-    Offsets are summed within each file and over files, and joined by a
-    64-bit key of the split.
+    Offsets are summed within each file and over files (one row a file, so
+    that last sum is in one task), and joined by a 64-bit key of the split.
+    Lines that were written with their ``_mid`` (see ``mark_lines``) keep it.
     """
     piece = F.xxhash64("file_path", "block_start")
-    tagged = lines.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_piece", piece)
+    tagged = (lines if "_mid" in lines.columns else mark_lines(lines)).withColumn("_piece", piece)
     pieces = tagged.groupBy("file_path", "block_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     files = pieces.groupBy("file_path").agg(F.sum("_n").alias("_lines"))
     over_files = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
@@ -36,6 +37,11 @@ def number_lines(lines: DataFrame, out: str = "id", base: int = 1) -> DataFrame:
             .drop("_mid", "_m0", "_off", "_piece"))
 
 
+def mark_lines(lines: DataFrame) -> DataFrame:
+    """Lines with ``_mid``, their place within the split that a task reads."""
+    return lines.withColumn("_mid", F.monotonically_increasing_id())
+
+
 def parse_bytes(s: str) -> int:
     """A byte size as Spark's settings spell it (``128m``, ``1g``, ``4096``)."""
     s = s.strip().lower()

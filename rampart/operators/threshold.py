@@ -39,6 +39,17 @@ def with_batches(df: DataFrame, size: int, id_col: str = "id", out: str = "batch
     return df.withColumn(out, F.floor((F.col(id_col) - 1) / size).cast("bigint"))
 
 
+def sketch_quantile(df: DataFrame, col: str, q: float, error: float) -> float | None:
+    """A value whose rank is off ``q`` by at most ``error`` of the rows, null ones aside.
+
+    One pass: each task keeps a mergeable summary of about 1 / error values
+    (Spark's approximate percentile); ``exact_quantile`` takes three and a sort.
+    """
+    x = F.col(col).cast("double")
+    got = df.where(x.isNotNull()).agg(F.percentile_approx(x, q, math.ceil(1 / error)).alias("v")).first()
+    return got["v"]
+
+
 def exact_quantile(df: DataFrame, col: str, q: float, n: int | None = None) -> float | None:
     """The ``q`` quantile with linear interpolation (NumPy's default).
 

@@ -71,8 +71,8 @@ def prepare(df: DataFrame, features: list[str], labels: DataFrame | None = None,
 
 def train(spark: SparkSession, normalized: DataFrame, features: list[str] | None = None,
           n_trees: int = N_TREES, psi: int = TRAIN_MAX_SAMPLES,
-          contamination: float = TRAIN_CONTAMINATION, seed: int = DEFAULT_SEED
-          ) -> tuple[Model, DataFrame]:
+          contamination: float = TRAIN_CONTAMINATION, seed: int = DEFAULT_SEED,
+          offset_error: float | None = None) -> tuple[Model, DataFrame]:
     """Fit encoders, scaler and forest; return the model and the
     training rows scored (``anomaly``, ``anomaly_score``).
 
@@ -80,7 +80,8 @@ def train(spark: SparkSession, normalized: DataFrame, features: list[str] | None
     fitted (a lost block is recomputed from lineage); the rows with all their
     columns are scored straight from the input.  The raw scores are written
     to the shared folder: the offset and the final labels read that, so the
-    scoring UDF runs once per row.
+    scoring UDF runs once per row.  With ``offset_error`` the offset comes from
+    one pass, its rank off by at most that share of the rows.
     """
     features = features or FT.SCORE_FEATURES
     enc, labels, names, keep = _encoded(normalized, features, None)
@@ -93,7 +94,7 @@ def train(spark: SparkSession, normalized: DataFrame, features: list[str] | None
     finally:
         narrow.unpersist()
     raw = write_table(FR.score(_scaled(enc, scaler, names, keep), forest), "raw-scores")
-    offset = FR.fit_offset(raw, contamination, n=n)
+    offset = FR.fit_offset(raw, contamination, n=n, error=offset_error)
     forest.offset, forest.contamination = float(offset), contamination
     scored = FR.decide(raw, offset)
     return Model(labels, scaler, forest, features), scored

@@ -108,15 +108,19 @@ def classify_csv_job(spark: SparkSession, csv_path: str, out_path: str, header:
     return good, bad
 
 
-def block_job(spark: SparkSession, classified_table: str, blocklist_path: str,
-              whitelist_path: str | None = None, critical_only: bool = False) -> DataFrame:
+def block_job(spark: SparkSession, classified: str, blocklist_path: str, whitelist_path: str | None = None,
+              critical_only: bool = False, csv: bool = False) -> DataFrame:
     """SRC10 → SRC9 → J1 (+ J3) → SNK6, one line per new address.
 
-    The block list is a folder of text files (one address per line); each
+    ``classified`` is a Parquet table or, with ``csv``, exported header CSV
+    files, whose columns are found by name.  The block list is a folder of text files (one address per line); each
     run appends one more part file with the addresses it adds.
     """
     blocked = SRC.read_blocklist(spark, blocklist_path)
-    rows = spark.read.parquet(classified_table)
+    if not csv:
+        rows = spark.read.parquet(classified)
+    else:
+        rows = SRC.read_classified_csv(spark, classified) if critical_only else SRC.read_addresses_csv(spark, classified)
     wl = SRC.read_whitelist(spark, whitelist_path) if whitelist_path else None
     new = B.refresh_blocklist(rows, blocked, wl, critical_only).persist()
     try:

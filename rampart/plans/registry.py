@@ -8,7 +8,9 @@ doubles are rounded, so that both engines print identical values.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from rampart.operators import dashboard as D
 from rampart.operators import features as FT
 from rampart.operators import forest as FR
 from rampart.operators import threshold as TH
+from rampart.operators.numbering import index_sorted
 from rampart.operators import merge as M
 from rampart.operators import parse as P
 from rampart.plans import detect as DT
@@ -230,6 +233,22 @@ def url_decode(spark, sf):
     return C.decoded_urls(TD.attack_urls(spark, sf)).select("id", "URL", "decoded")
 
 
+# Ends of URLs with percent-encoded bytes that are no UTF-8, by page id; the
+# expected text is the standard library's.
+HOSTILE = ["%ED%A0%80", "%C3", "%C3%A9%FF", "%E0%80%AF", "%F0%9F%98", "%F0%9F%98%80", "%F4%90%80%80", "%C0%AE%C0%AE/",
+           "%E6%BC+%A2", "%80%BF%", "%f1%80%80%41"]
+
+
+@register("url_decode_bytes", O.with_ctes(O.ATTACK_URLS) + f"""
+SELECT page_id AS id, regexp_replace(url, '^[a-z]+://[^/]+', '') || {O.pick([unquote(x) for x in HOSTILE], 'page_id')} AS decoded
+FROM pages WHERE NOT contains(url, '%')""")
+def url_decode_bytes(spark, sf):
+    """C1 on byte sequences that are no UTF-8: one U+FFFD for each maximal part."""
+    pg = TD.table(spark, sf, "pages").where(~F.col("url").contains("%"))
+    url = F.concat(F.regexp_replace("url", r"^[a-z]+://[^/]+", ""), TD._pick(HOSTILE, F.col("page_id")))
+    return pg.select(F.col("page_id").alias("id"), U.percent_decode(url).alias("decoded"))
+
+
 @register("attack_types", O.with_ctes(O.ATTACK_URLS, O.classified_cte("attack_urls")) + """
 SELECT id, attack_types FROM classified""")
 def attack_types(spark, sf):
@@ -594,6 +613,22 @@ def contamination_cut(spark, sf):
                           F.round("anomaly_score", 9).alias("anomaly_score"))
 
 
+SKETCH_ERROR = 1e-3
+
+
+@register("contamination_sketch", f"""
+SELECT CAST(count(*) AS BIGINT) AS n, true AS below_holds, true AS upto_holds FROM events WHERE value IS NOT NULL""")
+def contamination_sketch(spark, sf):
+    """M3 in one pass: the rows below and up to the approximate offset leave
+    its rank within the stated error of the exact one."""
+    ev = TD.table(spark, sf, "events").where(F.col("value").isNotNull()).select(F.col("value").alias("raw_score"))
+    offset = F.lit(FR.fit_offset(ev, 0.0007, error=SKETCH_ERROR)).cast("double")
+    c = ev.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("raw_score") < offset).alias("below"),
+               F.count_if(F.col("raw_score") <= offset).alias("upto"))
+    return c.select("n", (F.col("below") <= F.col("n") * (0.0007 + SKETCH_ERROR) + 1).alias("below_holds"),
+                    (F.col("upto") >= F.col("n") * (0.0007 - SKETCH_ERROR) - 1).alias("upto_holds"))
+
+
 # --- isolation forest (M1–M6): no SQL oracle; see tests/test_forest.py ----------
 
 @register("forest_score")
@@ -614,22 +649,29 @@ def forest_anomalies(spark, sf):
 
 # --- streaming (SRC2-style file stream, S3–S6, stateful B2) ----------------------
 
-def _write_log_files(spark, sf, n_files: int = 4, shuffled: bool = False) -> str:
-    """Marker lines of the access log as ``n_files`` text files under the
-    shared folder, written one after the other (so the file stream takes them
-    in this order): in id order, or each with rows from all times."""
-    from rampart.session import shared_dir
-    out = shared_dir(spark, "log")
-    a = access(spark, sf)
-    top = a.agg(F.max("id")).first()[0] or 1
-    for i in range(n_files):
-        if shuffled:
-            part = a.where(F.pmod(F.xxhash64("id"), F.lit(n_files)) == i)
-        else:
-            lo, hi = (top * k // n_files for k in (i, i + 1))
-            part = a.where((F.col("id") > lo) & (F.col("id") <= hi))
-        TD.marker_lines(part).coalesce(1).sortWithinPartitions("id").select("value").write.text(f"{out}/{i:04d}")
-    return out + "/*"
+ROWS_PER_FILE = 4_000_000
+
+
+def _write_log_files(spark, sf, n_files: int = 4, shuffled: bool = False, rows: DataFrame | None = None,
+                     out: str | None = None) -> tuple[str, int]:
+    """Marker lines of the access log (or of ``rows``) as at least ``n_files``
+    text files under the shared folder; returns their folder and number.
+
+    Files hold ranges of ids in name order, or rows from all times each, and
+    are dated in name order, so that a file stream takes them one after the other.
+    """
+    from rampart.session import file_names, shared_dir
+    out = out or shared_dir(spark, "log")
+    a = access(spark, sf) if rows is None else rows
+    n = max(n_files, -(-a.count() // ROWS_PER_FILE))
+    dealt = a.repartition(n, "id") if shuffled else a.repartitionByRange(n, "id").sortWithinPartitions("id")
+    TD.marker_lines(dealt).select("value").write.mode("append").text(out)
+    names = file_names(spark, out)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    now = int(time.time()) * 1000
+    for i, name in enumerate(names):
+        fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(name), now - 1000 * (len(names) - i), -1)
+    return out, len(names)
 
 
 @register("stream_classify", O.with_ctes(O.ACCESS, CL_ACCESS) + f"""
@@ -640,33 +682,80 @@ def stream_classify(spark, sf):
     classify → per-batch partitions; the result is read back whole."""
     from rampart.session import shared_dir
     from rampart.streaming.live import outputs_under, start_file_stream
-    logs = _write_log_files(spark, sf)
+    logs, n = _write_log_files(spark, sf)
     out, ckpt = shared_dir(spark, "live-out"), shared_dir(spark, "live-ckpt")
-    start_file_stream(spark, logs, out, ckpt, model=None, max_files=2)
+    start_file_stream(spark, logs, out, ckpt, model=None, max_files=-(-n // 2))
     res = spark.read.parquet(outputs_under(out).classified)
     return plain(res.select("RemoteAddress", "TimeLocal", "URL", "attack_types", "critical_alert"))
 
 
+@register("tail_batches", O.with_ctes(O.ACCESS, CL_ACCESS) + f"""
+SELECT n AS id, RemoteAddress, {O.ts_text('TimeLocal')} AS TimeLocal, URL, attack_types, (n - 1) // 5 AS line_batch
+FROM (SELECT *, row_number() OVER (ORDER BY id) AS n, count(*) OVER () AS lines FROM classified) t
+WHERE token IS NOT NULL AND n <= lines // 5 * 5""")
+def tail_batches(spark, sf):
+    """SRC2 / S1–S6: the tailed log in batches of five lines with running
+    line numbers, over rotations and restarts.
+
+    The log is written as files of consecutive lines; each becomes the tailed
+    file in turn (the one before it is rotated away), and the stream is
+    started anew for it from its checkpoint.
+    """
+    from rampart.session import delete_path, file_names, rename_path, shared_dir
+    from rampart.streaming.live import outputs_under, start_tail
+    parts, _ = _write_log_files(spark, sf)
+    folder, out = shared_dir(spark, "tailed"), shared_dir(spark, "tail-out")
+    log, ckpt = folder + "/access.log", shared_dir(spark, "tail-ckpt")
+    spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(
+        spark._jvm.org.apache.hadoop.fs.Path(folder))
+    for part in file_names(spark, parts):
+        delete_path(spark, log + ".1")
+        rename_path(spark, log, log + ".1")
+        rename_path(spark, part, log)
+        start_tail(spark, log, out, ckpt, encoding="utf-8", starting="earliest", available_now=True).awaitTermination()
+    rows = spark.read.parquet(outputs_under(out).classified)
+    return plain(rows.select("id", "RemoteAddress", "TimeLocal", "URL", "attack_types", "line_batch"))
+
+
 @register("stream_rate_ban", O.with_ctes(O.ACCESS, "parsed AS (SELECT * FROM access WHERE token IS NOT NULL)")
           + RATE_SQL.format(findtime=86400, maxretry=5, cond="true").replace("FROM access", "FROM parsed"))
 def stream_rate_ban(spark, sf):
-    """Stateful streaming ban over shuffled log files, one file a
-    micro-batch; the emitted events are written by foreachBatch, read back
-    and reduced to one ban an address."""
+    """Streaming ban over shuffled log files in four micro-batches; the
+    emitted bans are read back and reduced to one an address."""
     from rampart.session import shared_dir
-    from rampart.sinks import write_batch
-    from rampart.streaming.rateban import ban_times, stream_rate_ban as srb
-    logs = _write_log_files(spark, sf, shuffled=True)
-    out, ckpt = shared_dir(spark, "ban-out"), shared_dir(spark, "ban-ckpt")
-    lines = spark.readStream.schema("value STRING").option("maxFilesPerTrigger", 1).text(logs)
+    from rampart.streaming.rateban import ban_times, start_rate_ban
+    logs, n = _write_log_files(spark, sf, shuffled=True)
+    out = shared_dir(spark, "ban-out")
+    lines = spark.readStream.schema("value STRING").option("maxFilesPerTrigger", -(-n // 4)).text(logs)
     good = P.normalize(lines.select(F.xxhash64("value").alias("id"), "value"))
-    events = srb(good, None, findtime=86400, maxretry=5, lateness="3650 days")
-    q = (events.writeStream.outputMode("update").option("checkpointLocation", ckpt)
-         .foreachBatch(lambda df, i: write_batch(df, out, i)).trigger(availableNow=True).start())
-    q.awaitTermination()
+    start_rate_ban(good, out, shared_dir(spark, "ban-state"), shared_dir(spark, "ban-ckpt"), None, findtime=86400, maxretry=5,
+                   lateness=3650 * 86400, available_now=True).awaitTermination()
     return plain(ban_times(spark.read.parquet(out)))
 
 
+@register("stream_block", O.with_ctes(O.ACCESS, CL_ACCESS, ERR, BLOCKED_SQL, WL_SQL) + """
+SELECT RemoteAddress, CAST(1 AS BIGINT) AS lines FROM (
+  SELECT RemoteAddress FROM blocked UNION
+  SELECT RemoteAddress FROM errors WHERE token IS NOT NULL AND RemoteAddress NOT IN (SELECT RemoteAddress FROM wl)) t""")
+def stream_block(spark, sf):
+    """J1 / J3 / B1 on a stream: log files classified as they come, new
+    addresses appended to the block list, over several micro-batches and a
+    restart; how often each address stands in the list."""
+    from rampart.session import shared_dir
+    from rampart.streaming.blocking import start_block_stream
+    lst, logs, ckpt = (shared_dir(spark, x) for x in ("blocklist", "log", "block-ckpt"))
+    blocked_list(spark, sf).write.text(lst)
+    half = access(spark, sf)
+    for i in range(2):
+        _, n = _write_log_files(spark, sf, 2, rows=half.where(F.col("id") % 2 == i), out=logs)
+        lines = spark.readStream.schema("value STRING").option("maxFilesPerTrigger", -(-n // 4)).text(logs)
+        rows = C.classify(P.normalize(lines.select(F.xxhash64("value").alias("id"), "value")))
+        start_block_stream(rows.where(F.col("attack_types") != U.NO_ATTACK), lst, ckpt, whitelist_df(spark),
+                           available_now=True).awaitTermination()
+    lines = spark.read.option("recursiveFileLookup", True).text(lst)
+    return lines.groupBy(F.col("value").alias("RemoteAddress")).agg(F.count(F.lit(1)).alias("lines"))
+
+
 @register("forest_experiment")
 def forest_experiment(spark, sf):
     """The experiment variant: features lenToken, lenURL, Request, URL;
@@ -684,9 +773,9 @@ def stream_detect(spark, sf):
     from rampart.session import shared_dir
     from rampart.streaming.live import outputs_under, start_file_stream
     model, _ = DT.train(spark, access(spark, sf))
-    logs = _write_log_files(spark, sf)
+    logs, n = _write_log_files(spark, sf)
     out, ckpt = shared_dir(spark, "detect-out"), shared_dir(spark, "detect-ckpt")
-    start_file_stream(spark, logs, out, ckpt, model=model, max_files=2)
+    start_file_stream(spark, logs, out, ckpt, model=model, max_files=-(-n // 2))
     res = spark.read.parquet(outputs_under(out).classified)
     return plain(res.select("RemoteAddress", "TimeLocal", "URL", "anomaly_score", "attack_types",
                             "critical_alert"))
@@ -773,24 +862,29 @@ def forest_planted(spark, sf):
     return FR.anomalies(scored).select("id", "RemoteAddress", F.col("anomaly").cast("bigint").alias("anomaly"))
 
 
-@register("stream_detect_twin", """SELECT CAST(0 AS BIGINT) AS only_stream, CAST(0 AS BIGINT) AS only_batch""")
+@register("stream_detect_twin", """SELECT CAST(0 AS BIGINT) AS only_stream, CAST(0 AS BIGINT) AS only_batch, true AS some_flagged""")
 def stream_detect_twin(spark, sf):
     """E1 on a stream against the same model in batch: the rows that only one
-    of them flags, with the cut on the same batches of lines (S3)."""
+    of them flags, with the cut on the same batches of lines (S3), and
+    whether there are rows that both flag."""
     from rampart.session import shared_dir
     from rampart.sources.files import read_lines
     from rampart.streaming.live import LINE_BATCH, outputs_under, start_file_stream
     model, _ = DT.train(spark, access(spark, sf))
-    logs = _write_log_files(spark, sf, n_files=5)
+    logs, n = _write_log_files(spark, sf, n_files=5)
     out = shared_dir(spark, "twin-out")
-    start_file_stream(spark, logs, out, shared_dir(spark, "twin-ckpt"), model=model, max_files=2)
+    start_file_stream(spark, logs, out, shared_dir(spark, "twin-ckpt"), model=model, max_files=-(-n // 3))
     cols = ["id", "RemoteAddress", "URL", F.round("anomaly_score", 9).alias("anomaly_score")]
     stream = spark.read.parquet(outputs_under(out).anomalies).select(*cols)
     lines = TD.marker_lines(access(spark, sf))
     good = TH.with_batches(P.normalize(lines), LINE_BATCH)
     batch = TH.adaptive_filter(DT.score(good, model), "anomaly_score", "batch_id").select(*cols)
-    return stream.exceptAll(batch).agg(F.count(F.lit(1)).alias("only_stream")).join(
-        batch.exceptAll(stream).agg(F.count(F.lit(1)).alias("only_batch")))
+    sides = stream.withColumn("s", F.lit(1)).unionByName(batch.withColumn("s", F.lit(-1)))
+    rows = sides.groupBy(*stream.columns).agg(F.sum("s").alias("more"), F.count(F.lit(1)).alias("n"))
+    zero = F.lit(0).cast("bigint")
+    return rows.agg(F.coalesce(F.sum(F.greatest("more", zero)), zero).alias("only_stream"),
+                    F.coalesce(F.sum(F.greatest(-F.col("more"), zero)), zero).alias("only_batch"),
+                    (F.coalesce(F.sum(F.col("n") - F.abs("more")), zero) > 0).alias("some_flagged"))
 
 
 # --- files written and read back (SRC6–SRC11, SNK1–SNK9, C8, D10) -------------------
@@ -886,12 +980,54 @@ def block_files(spark, sf):
     return read_blocklist(spark, lst)
 
 
+def _write_layouts(rows: DataFrame, layouts: list[list[str]], path: str) -> None:
+    """Export row group ``id mod n`` with the columns of layout n, all into one folder."""
+    from rampart import sinks
+    for i, cols in enumerate(layouts):
+        sinks.export_csv(rows.where(F.pmod(F.col("id"), F.lit(len(layouts))) == i).select(*cols), path)
+
+
+@register("csv_by_name", O.with_ctes(O.ACCESS) + f"""
+SELECT {NORM_COLS_SQL} FROM (SELECT * REPLACE (
+  CASE WHEN id % 3 <> 2 THEN token END AS token, CASE WHEN id % 3 <> 2 THEN Referer END AS Referer,
+  CASE WHEN id % 3 <> 2 THEN RemoteUser END AS RemoteUser) FROM access) t""")
+def csv_by_name(spark, sf):
+    """SRC6 by header: CSV files with all columns, with reordered and foreign
+    ones, and with some missing, in one folder."""
+    from rampart.session import shared_dir
+    from rampart.sources.files import read_normalized_csv
+    path = shared_dir(spark, "named-csv")
+    names = SC.NORMALIZED.names
+    rows = access(spark, sf).withColumn("Note", F.lit('a "note", quoted'))
+    _write_layouts(rows, [names, ["Note", *reversed(names)],
+                          [c for c in names[5:] + names[:5] if c not in ("token", "Referer", "RemoteUser")]], path)
+    return plain(read_normalized_csv(spark, path).select(*names))
+
+
+@register("block_files_csv", O.with_ctes(O.ACCESS, CL_ACCESS, ERR, BLOCKED_SQL, WL_SQL) + """
+SELECT RemoteAddress FROM blocked UNION
+SELECT RemoteAddress FROM errors WHERE RemoteAddress NOT IN (SELECT RemoteAddress FROM wl)""")
+def block_files_csv(spark, sf):
+    """E4 with SRC9: the classified table as CSV files of several layouts, its
+    addresses read by name; the block list read back."""
+    from rampart.plans import jobs
+    from rampart.session import shared_dir
+    from rampart.sources.files import read_blocklist
+    lst, wl, cls = (shared_dir(spark, x) for x in ("blocklist", "whitelist", "classified-csv"))
+    blocked_list(spark, sf).write.text(lst)
+    whitelist_df(spark).write.text(wl)
+    rows = classified_export(spark, sf).where(F.col("attack_types") != U.NO_ATTACK)
+    _write_layouts(rows, [SC.CLASSIFIED.names, ["id", "URL", "RemoteAddress", "Status"], ["attack_types", "RemoteAddress"]], cls)
+    jobs.block_job(spark, cls, lst, wl, csv=True)
+    return read_blocklist(spark, lst)
+
+
 @register("parse_files", O.with_ctes(O.ACCESS) + f"SELECT {NORM_COLS_SQL} FROM access WHERE token IS NOT NULL")
 def parse_files(spark, sf):
     """SRC1 → P1–P8 → SNK2 / SNK5: log files through the parser job, its table read back."""
     from rampart.plans import jobs
     from rampart.session import shared_dir
-    logs = _write_log_files(spark, sf)
+    logs, _ = _write_log_files(spark, sf)
     return plain(jobs.normalize_log(spark, logs, shared_dir(spark, "normalized"), shared_dir(spark, "rejects")))
 
 
@@ -908,6 +1044,113 @@ def merge_files_written(spark, sf):
     return read_lines(spark, out, numbered=True).select("id", F.regexp_extract("value", r"(event \d+)$", 1).alias("event"))
 
 
+@register("reject_files", O.with_ctes(O.ACCESS) + "SELECT id, 'too_few' AS reason FROM access WHERE token IS NULL")
+def reject_files(spark, sf):
+    """SRC1 → P1–P8 → SNK5: the rejects that the parser job wrote, read back."""
+    from rampart.plans import jobs
+    from rampart.session import shared_dir
+    logs, _ = _write_log_files(spark, sf)
+    rejects = shared_dir(spark, "rejects")
+    jobs.normalize_log(spark, logs, shared_dir(spark, "normalized"), rejects)
+    return spark.read.parquet(rejects).select("id", "reason")
+
+
+@register("legacy_files", SQL["combined_parse"])
+def legacy_files(spark, sf):
+    """SRC4 → P11–P19 → SNK7: a combined log in files through the legacy
+    converter; a second run leaves its table alone."""
+    from rampart.plans import jobs
+    from rampart.session import shared_dir
+    log, out = shared_dir(spark, "combined"), shared_dir(spark, "legacy")
+    lines = TD.combined_lines(spark, sf)
+    lines.repartitionByRange(4, "id").sortWithinPartitions("id").select("value").write.text(log)
+    jobs.legacy_convert(spark, log, out)
+    jobs.legacy_convert(spark, log, out)
+    return plain(spark.read.parquet(out).drop("runtime"))
+
+
+FILE_LINES = 1000             # lines of one file of the whole-file merge
+
+FILES_SQL = O.with_ctes(O.ACCESS) + f"""
+SELECT part, {O.ts_text("ts")} AS ts, lines, CAST(row_number() OVER (ORDER BY ts, part) AS BIGINT) AS pos
+FROM (SELECT id // {FILE_LINES} AS part, arg_min(date_trunc('hour', TimeLocal), id) FILTER (WHERE k >= 5) AS ts,
+             count(*) AS lines FROM access GROUP BY 1) t WHERE ts IS NOT NULL"""
+
+
+def _write_whole_files(lines: DataFrame, folder: str) -> None:
+    """Lines (line_no, value) as files of ``FILE_LINES`` consecutive lines, named by their part."""
+    part = F.floor(F.col("line_no") / FILE_LINES)
+    dealt = lines.withColumn("part", F.format_string("%012d", part)).repartition("part").sortWithinPartitions("part", "line_no")
+    dealt.select("value", "part").write.mode("append").partitionBy("part").text(folder)
+
+
+def _file_rows(merged: DataFrame) -> DataFrame:
+    """part, ts and number of lines of merged files, with their place."""
+    rows = merged.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint").alias("part"), "path", "ts",
+                         F.regexp_count(F.col("content").cast("string"), F.lit("\n")).cast("bigint").alias("lines"))
+    return plain(index_sorted(rows, ["ts", "path"], out="pos", base=1).drop("path"))
+
+
+@register("merge_whole_files", FILES_SQL)
+def merge_whole_files(spark, sf):
+    """SRC5 → O1–O3: whole files as records, by the first timestamp in each."""
+    from rampart.session import shared_dir
+    from rampart.sources.files import read_binary
+    folder = shared_dir(spark, "whole-files")
+    odd, even = merge_sources(spark, sf)
+    _write_whole_files(odd.unionByName(even), folder)
+    return _file_rows(M.merge_files([read_binary(spark, folder + "/*/*")]))
+
+
+@register("merge_files_stream", FILES_SQL)
+def merge_files_stream(spark, sf):
+    """SRC5 on a stream: files of the log added in two runs of one
+    checkpoint, merged as in batch."""
+    from rampart.session import shared_dir
+    from rampart.streaming.files import merged_files, start_merge_files
+    folder, out, ckpt = (shared_dir(spark, x) for x in ("watched-files", "file-records", "files-ckpt"))
+    odd, even = merge_sources(spark, sf)
+    lines = odd.unionByName(even)
+    for i in range(2):
+        _write_whole_files(lines.where(F.floor(F.col("line_no") / FILE_LINES) % 2 == i), folder)
+        start_merge_files(spark, folder, out, ckpt, available_now=True).awaitTermination()
+    return _file_rows(merged_files(spark, out))
+
+
+def _bucket_stream(spark, sf, count) -> DataFrame:
+    """Time buckets of the streamed log: the last state that each bucket was written with."""
+    from rampart.session import shared_dir
+    from rampart.sinks import write_batch
+    logs, n = _write_log_files(spark, sf, shuffled=True)
+    out = shared_dir(spark, "buckets")
+    lines = spark.readStream.schema("value STRING").option("maxFilesPerTrigger", -(-n // 2)).text(logs)
+    rows = count(C.classify(P.normalize(lines.select(F.xxhash64("value").alias("id"), "value"))))
+    (rows.writeStream.outputMode("update").option("checkpointLocation", shared_dir(spark, "buckets-ckpt"))
+     .foreachBatch(lambda df, i: write_batch(df, out, i)).trigger(availableNow=True).start().awaitTermination())
+    got = spark.read.parquet(out)
+    last = F.max_by(F.struct(*[c for c in got.columns if c not in ("bucket", "batch_id")]), "batch_id")
+    return plain(got.groupBy("bucket").agg(last.alias("v")).select("bucket", "v.*"))
+
+
+@register("stream_over_time", O.with_ctes(O.ACCESS) + f"""
+SELECT {O.ts_text("date_trunc('hour', TimeLocal)")} AS bucket, count(*) AS count FROM access WHERE token IS NOT NULL GROUP BY 1""")
+def stream_over_time(spark, sf):
+    """V4 on a stream of log files."""
+    from rampart.streaming import windows as W
+    return _bucket_stream(spark, sf, lambda rows: W.logs_over_time(rows, lateness="3650 days"))
+
+
+@register("stream_error_vs_access", O.with_ctes(O.ACCESS, CL_ACCESS) + f"""
+SELECT {O.ts_text("date_trunc('hour', TimeLocal)")} AS bucket,
+       count(*) FILTER (WHERE attack_types = '{U.NO_ATTACK}') AS access,
+       count(*) FILTER (WHERE attack_types <> '{U.NO_ATTACK}') AS error
+FROM classified WHERE token IS NOT NULL GROUP BY 1""")
+def stream_error_vs_access(spark, sf):
+    """V6 on a stream of log files, tagged by the classifier."""
+    from rampart.streaming import windows as W
+    return _bucket_stream(spark, sf, lambda rows: W.error_vs_access(W.access_or_error(rows), lateness="3650 days"))
+
+
 @register("model_store", O.with_ctes(O.ACCESS) + """
 SELECT id, CAST(dense_rank() OVER (ORDER BY URL) - 1 AS BIGINT) AS code FROM access""")
 def model_store(spark, sf):

@@ -170,3 +170,50 @@ def write_table(df, name: str = "table"):
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a few characters of bookkeeping (a count, a position) to a file of shared storage."""
+    fs, p = _hadoop(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """What ``put_text`` wrote, None if there is no such file."""
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return None
+    f = fs.open(p)
+    try:
+        return bytes(f.readAllBytes()).decode()
+    finally:
+        f.close()
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def rename_path(spark: SparkSession, old: str, new: str) -> bool:
+    """Move a file; false if it is not there."""
+    fs, p = _hadoop(spark, old)
+    return bool(fs.exists(p) and fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(new)))
+
+
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """Paths directly under a folder in name order, without hidden ones; empty if it is absent."""
+    fs, p = _hadoop(spark, folder)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return [f"{folder.rstrip('/')}/{n}" for n in sorted(names) if not n.startswith(("_", "."))]

@@ -14,7 +14,8 @@ byte offset instead:
   still writing waits for the next micro-batch;
 * ``partitions`` cuts the new byte range into chunks that executors read;
   each chunk owns the lines that *start* inside it (as Hadoop's line reader
-  does), so nothing is read twice and nothing goes through the driver;
+  does), so nothing is read twice and nothing goes through the driver; rows
+  carry their chunk's start, from which ``live.LineBatches`` numbers lines;
 * ``startingPosition`` is ``latest`` (skip what is there, as a live tail
   does) or ``earliest``.
 
@@ -42,7 +43,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 STREAM_SCHEMA = StructType([StructField("value", StringType()), StructField("epoch", LongType()),
-                            StructField("offset", LongType())])
+                            StructField("offset", LongType()), StructField("range_start", LongType())])
 BATCH_SCHEMA = StructType([StructField("value", StringType()), StructField("file_path", StringType()),
                            StructField("block_start", LongType()), StructField("offset", LongType())])
 
@@ -251,8 +252,8 @@ class LogTailStreamReader(DataSourceStreamReader):
     def read(self, part: _Range):
         for lines, at in read_range(part.path, part.start, part.end, part.first, part.encoding, part.final):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lines, pa.string()), pa.array(np.full(len(at), part.epoch, np.int64)), pa.array(at, pa.int64())],
-                ["value", "epoch", "offset"])
+                [pa.array(lines, pa.string()), pa.array(np.full(len(at), part.epoch, np.int64)), pa.array(at, pa.int64()),
+                 pa.array(np.full(len(at), part.start, np.int64))], ["value", "epoch", "offset", "range_start"])
 
     def commit(self, end: dict) -> None:
         pass

@@ -19,10 +19,10 @@ from rampart import sinks
 from rampart.operators import classify as C
 from rampart.operators import parse as P
 from rampart.operators import threshold as TH
-from rampart.operators.numbering import number_lines
+from rampart.operators.numbering import mark_lines, number_lines
 from rampart.plans import detect as DT
 from rampart.schemas import NORMALIZED_COLUMNS
-from rampart.session import write_table
+from rampart.session import delete_path, get_text, put_text
 from rampart.sources.files import path_exists
 from rampart.sources.tail import tail
 
@@ -92,14 +92,17 @@ def process_batch(batch: DataFrame, batch_id: int, model: DT.Model | None, out:
 
 
 class LineBatches:
-    """S3 on a stream of files: batches of ``size`` lines, however the engine
-    cuts micro-batches.
-
-    Lines are numbered on from the lines before; those of an unfinished batch
-    wait in a table for the next micro-batch.  The count and the waiting
-    lines of micro-batch b are written under b and read by b + 1, so a
-    replayed micro-batch starts from the same state.  ``flush`` takes the
-    last, shorter batch.
+    """S3 / S5 on a stream of lines: running line numbers, and batches of
+    ``size`` lines, however the engine cuts micro-batches.
+
+    Lines are numbered on from the lines before, in the order of their file
+    (or of the tailed log's epoch) and place.  A micro-batch's lines are
+    written once, so a source is read once, and are numbered from their
+    counts a range; those of an unfinished batch wait for the next
+    micro-batch.  What micro-batch b leaves (its waiting lines, and the number
+    of lines so far) is written under b and read by b + 1, so a replayed
+    micro-batch, or a restarted stream, starts from the same state; older
+    state is dropped.  ``flush`` takes the last, shorter batch.
     """
 
     def __init__(self, spark: SparkSession, size: int, state: str):
@@ -107,28 +110,40 @@ class LineBatches:
 
     def _before(self, batch_id: int) -> tuple[DataFrame | None, int]:
         path = f"{self.state}/{batch_id - 1}"
-        if not path_exists(self.spark, path + "/count"):
+        done = get_text(self.spark, path + "/count")
+        if done is None:
             return None, 0
-        return self.spark.read.parquet(path + "/lines"), self.spark.read.parquet(path + "/count").first()["n"]
+        return (self.spark.read.parquet(path + "/waiting") if int(done) % self.size else None), int(done)
 
-    def take(self, lines: DataFrame, batch_id: int) -> DataFrame:
-        """Whole batches of (id, value, line_batch) from the waiting and the new lines."""
+    def _batched(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("line_batch", F.floor((F.col("id") - 1) / self.size).cast("bigint"))
+
+    def take(self, lines: DataFrame, batch_id: int) -> DataFrame | None:
+        """Whole batches of (id, value, line_batch) from the waiting and the
+        new lines (value, file_path, block_start); None if there is none."""
         waiting, done = self._before(batch_id)
-        new = write_table(number_lines(lines, base=done + 1).select("id", "value"), "stream-lines")
-        every = new if waiting is None else waiting.unionByName(new)
+        here = f"{self.state}/{batch_id}"
+        mark_lines(lines.select("value", "file_path", "block_start")).write.mode("overwrite").parquet(here + "/lines")
+        new = self.spark.read.parquet(here + "/lines")
         total = done + new.count()
-        every = every.withColumn("line_batch", F.floor((F.col("id") - 1) / self.size).cast("bigint"))
+        every = number_lines(new, base=done + 1).select("id", "value")
+        every = self._batched(every if waiting is None else waiting.unionByName(every))
         whole = F.col("line_batch") < total // self.size
-        here = f"{self.state}/{batch_id}"
-        every.where(~whole).drop("line_batch").write.mode("overwrite").parquet(here + "/lines")
-        self.spark.createDataFrame([(total,)], "n bigint").write.mode("overwrite").parquet(here + "/count")
-        return every.where(whole)
+        if total % self.size:
+            every.where(~whole).drop("line_batch").write.mode("overwrite").parquet(here + "/waiting")
+        put_text(self.spark, here + "/count", str(total))
+        delete_path(self.spark, f"{self.state}/{batch_id - 2}")
+        return every.where(whole) if total // self.size > done // self.size else None
 
     def flush(self, last_batch: int) -> DataFrame | None:
         waiting, _ = self._before(last_batch + 1)
-        if waiting is None:
-            return None
-        return waiting.withColumn("line_batch", F.floor((F.col("id") - 1) / self.size).cast("bigint"))
+        return None if waiting is None else self._batched(waiting)
+
+    def run(self, lines: DataFrame, batch_id: int, model: DT.Model | None, out: LiveOutputs) -> None:
+        """Take one micro-batch's whole batches through ``process_batch``."""
+        rows = self.take(lines, batch_id)
+        if rows is not None:
+            process_batch(P.parse_marker(rows, keep=("line_batch",)), batch_id, model, out, "line_batch")
 
 
 def start_live(spark: SparkSession, log_path: str, out_dir: str, checkpoint: str,
@@ -137,16 +152,41 @@ def start_live(spark: SparkSession, log_path: str, out_dir: str, checkpoint: str
     """Start the live query; returns the ``StreamingQuery``.
 
     ``starting='latest'`` skips what the log already holds (S1); the
-    trigger polls the file every ``trigger_seconds`` (S2); the engine's
-    micro-batch replaces the fixed five-line buffer (S3).
+    trigger polls the file every ``trigger_seconds`` (S2).  Here a micro-batch
+    of the engine is a batch, so that no line waits, and ``id`` is a byte
+    offset; ``start_tail`` has batches of a fixed number of lines instead.
     """
     model = DT.load_model(spark, model_path) if model_path else None
     out = outputs_under(out_dir)
     stream = parsed_stream(tail(spark, log_path, encoding, starting))
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
          .foreachBatch(lambda df, bid: process_batch(df, bid, model, out)))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{trigger_seconds} seconds")
-    return w.start()
+    return _triggered(w, trigger_seconds, available_now)
+
+
+def _triggered(writer, trigger_seconds: float, available_now: bool):
+    if available_now:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=f"{trigger_seconds} seconds").start()
+
+
+def start_tail(spark: SparkSession, log_path: str, out_dir: str, checkpoint: str, model: DT.Model | None = None,
+               encoding: str = "utf-16le", starting: str = "latest", batch_lines: int = LINE_BATCH,
+               trigger_seconds: float = 1.0, available_now: bool = False):
+    """S1–S6 in batches of ``batch_lines`` lines of the tailed log.
+
+    ``id`` is the number of the line among all lines delivered, rejected ones
+    included, without gaps over restarts and rotations; a batch is scored,
+    cut and written when its last line is there, whatever micro-batches or
+    restarts cut it.
+    """
+    out = outputs_under(out_dir)
+    batches = LineBatches(spark, batch_lines, out_dir.rstrip("/") + "/lines")
+    lines = tail(spark, log_path, encoding, starting).select(
+        "value", F.lpad(F.col("epoch").cast("string"), 20, "0").alias("file_path"), F.col("range_start").alias("block_start"))
+    w = lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda df, bid: batches.run(df, bid, model, out))
+    return _triggered(w, trigger_seconds, available_now)
 
 
 def start_file_stream(spark: SparkSession, lines_dir: str, out_dir: str, checkpoint: str,
@@ -167,17 +207,14 @@ def start_file_stream(spark: SparkSession, lines_dir: str, out_dir: str, checkpo
     batches = LineBatches(spark, batch_lines, out_dir.rstrip("/") + "/lines")
     last = [-1]
 
-    def run(rows: DataFrame | None, batch_id: int) -> None:
-        if rows is not None:
-            process_batch(P.parse_marker(rows, keep=("line_batch",)), batch_id, model, out, "line_batch")
-
     def one(df: DataFrame, batch_id: int) -> None:
-        run(batches.take(df, batch_id), batch_id)
+        batches.run(df, batch_id, model, out)
         last[0] = batch_id
 
     q = (lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(one)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    if last[0] >= 0:
-        run(batches.flush(last[0]), last[0] + 1)
+    rest = batches.flush(last[0]) if last[0] >= 0 else None
+    if rest is not None:
+        process_batch(P.parse_marker(rest, keep=("line_batch",)), last[0] + 1, model, out, "line_batch")
     return q

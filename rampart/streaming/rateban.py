@@ -1,79 +1,116 @@
 """B2 on a stream: the batch rate ban's answer, whatever order rows come in.
 
-As in batch, a failure belongs to its (address, findtime bucket) and, as
-context, to the next bucket, so a group's state is the failure counts per
-second of two buckets at most, and a hot address is dealt over its buckets.
-A second is banned if the failures in ``[t - findtime, t]`` reach
-``maxretry``; later seconds never count for an earlier one.  A group emits its
-first banned second, and again if a late row makes that earlier; the ban of an
-address is the least emitted second.  Rows later than ``lateness`` are
-dropped, and a group's state goes once no row can reach it.
+Failures are counted per (address, second), as in batch, and those counts are
+the state: a table partitioned by spans of findtime buckets, to which each
+micro-batch adds its own counts.  A second is banned if the failures in
+``[t - findtime, t]`` reach ``maxretry``; that window lies in two buckets, so
+a micro-batch reads only the buckets next to its own, of the addresses it
+touches, and runs the batch window over them.  It emits the first banned second
+it finds for an address; the ban is the least emitted one, so a late row can
+move it back.  Counts go in and out by partition folders, never by rewriting
+a group, and all of it runs in Spark's own operators.
+
+Rows more than ``lateness`` behind the latest time seen before their
+micro-batch are dropped, and spans that no row can reach any more are
+deleted.  Everything micro-batch n writes lies under n, so a replayed
+micro-batch replaces its own counts and events.  Every ``MERGE`` micro-batches
+the counts so far become one table, so that files stay few.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from rampart.operators.blocking import FINDTIME_SEC, MAXRETRY
-
-OUTPUT_SCHEMA = "RemoteAddress STRING, bucket BIGINT, ban_sec BIGINT"
-STATE_SCHEMA = "secs ARRAY<BIGINT>, counts ARRAY<BIGINT>, ban BIGINT"
-
-
-def first_ban(secs: np.ndarray, counts: np.ndarray, start: int, findtime: int, maxretry: int) -> int | None:
-    """First second from ``start`` on whose window ``[t - findtime, t]`` holds
-    ``maxretry`` failures; ``secs`` ascend."""
-    total = np.r_[0, np.cumsum(counts)]
-    low = np.searchsorted(secs, secs - findtime, side="left")
-    hit = np.flatnonzero((total[1:] - total[low] >= maxretry) & (secs >= start))
-    return int(secs[hit[0]]) if len(hit) else None
-
-
-def _ban_fn(findtime: int, maxretry: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        addr, bucket = key
-        if state.hasTimedOut:
-            state.remove()
-            return
-        secs, counts, ban = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-        if state.exists:
-            s, c, ban = state.get
-            secs, counts = np.array(s, np.int64), np.array(c, np.int64)
-        for pdf in pdfs:                      # one Arrow chunk at a time, reduced at once
-            s, c = np.unique(pdf["sec"].to_numpy(np.int64), return_counts=True)
-            secs, at = np.unique(np.r_[secs, s], return_inverse=True)
-            counts = np.bincount(at, weights=np.r_[counts, c]).astype(np.int64)
-        found = first_ban(secs, counts, bucket * findtime, findtime, maxretry)
-        earlier = found is not None and (ban is None or found < ban)
-        state.update((secs.tolist(), counts.tolist(), found if earlier else ban))
-        end = int(bucket + 1) * findtime * 1000
-        if end > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(end)
-        if earlier:
-            yield pd.DataFrame({"RemoteAddress": [addr], "bucket": [bucket], "ban_sec": [found]})
-    return fn
-
-
-def stream_rate_ban(rows: DataFrame, failure=None, findtime: int = FINDTIME_SEC, maxretry: int = MAXRETRY,
-                    ts: str = "TimeLocal", col: str = "RemoteAddress", lateness: str = "1 hour") -> DataFrame:
-    """Ban events ``(RemoteAddress, bucket, ban_sec)`` of a stream of requests
-    (update mode); ``ban_times`` reduces them to one ban an address."""
-    f = rows if failure is None else rows.where(failure)
-    f = f.where(F.col(col).isNotNull() & F.col(ts).isNotNull())
-    timed = f.select(F.col(col), F.col(ts).cast("timestamp").alias("_evt")).withWatermark("_evt", lateness)
-    sec = F.unix_timestamp("_evt")
-    b = F.floor(sec / findtime)
-    keyed = timed.select(col, "_evt", sec.alias("sec"), F.explode(F.array(b, b + 1)).alias("bucket"))
-    return keyed.groupBy(col, "bucket").applyInPandasWithState(
-        _ban_fn(findtime, maxretry), OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def ban_times(events: DataFrame, col: str = "RemoteAddress") -> DataFrame:
-    """``(RemoteAddress, ban_time)``: the least emitted second of each address."""
-    return events.groupBy(col).agg(F.timestamp_seconds(F.min("ban_sec")).cast("timestamp_ntz").alias("ban_time"))
+
+from rampart.operators.blocking import ADDR, FINDTIME_SEC, MAXRETRY, ban_times, failures_per_second, first_bans
+from rampart.session import delete_path, file_names, get_text, put_text
+from rampart.sinks import write_batch
+
+SPAN = 16                   # buckets of one partition folder
+MERGE = 32                  # micro-batches whose counts are merged into one table
+
+__all__ = ["RateBans", "ban_times", "start_rate_ban"]
+
+
+class RateBans:
+    """The counts of a stream's failures, kept under ``state``."""
+
+    def __init__(self, spark: SparkSession, out: str, state: str, failure: Column | None = None, findtime: int = FINDTIME_SEC,
+                 maxretry: int = MAXRETRY, lateness: int = 3600, ts: str = "TimeLocal", col: str = ADDR):
+        self.spark, self.out, self.state = spark, out, state.rstrip("/")
+        self.failure, self.findtime, self.maxretry, self.lateness, self.ts, self.col = failure, findtime, maxretry, lateness, ts, col
+        self.schema = f"`{col}` STRING, sec BIGINT, n BIGINT, bucket BIGINT, span BIGINT"
+
+    def _bucket(self, counts: DataFrame) -> DataFrame:
+        return counts.withColumn("bucket", F.floor(F.col("sec") / self.findtime).cast("bigint"))
+
+    def _write(self, counts: DataFrame, path: str) -> None:
+        counts.withColumn("span", F.floor(F.col("bucket") / SPAN)).write.mode("overwrite").partitionBy("span").parquet(path)
+
+    def _counts(self, batch_id: int, low: int, high: int) -> DataFrame:
+        """Counts of the buckets low .. high: the last merged table and every micro-batch since."""
+        merged = batch_id // MERGE * MERGE
+        paths = [p for p in [f"{self.state}/merged/{merged}", *(f"{self.state}/counts/{i}" for i in range(merged, batch_id + 1))]
+                 if file_names(self.spark, p)]
+        parts = [self.spark.read.schema(self.schema).parquet(p) for p in paths]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out.where(F.col("span").between(low // SPAN, high // SPAN) & F.col("bucket").between(low, high)).drop("span")
+
+    def _merge(self, batch_id: int, low: int) -> None:
+        """Counts before ``batch_id`` as one table; what the merge before that one replaced goes."""
+        done = batch_id - MERGE
+        got = self._counts(batch_id - 1, low, 1 << 62).groupBy(self.col, "sec", "bucket").agg(F.sum("n").alias("n"))
+        self._write(got, f"{self.state}/merged/{batch_id}")
+        delete_path(self.spark, f"{self.state}/merged/{done}")
+        for i in range(done - MERGE, done):
+            delete_path(self.spark, f"{self.state}/counts/{i}")
+
+    def take(self, rows: DataFrame, batch_id: int) -> None:
+        """One micro-batch: add its counts, emit the bans of the addresses it touches."""
+        latest = get_text(self.spark, f"{self.state}/latest/{batch_id - 1}")
+        floor = None if not latest else int(latest) - self.lateness
+        if batch_id and batch_id % MERGE == 0:
+            self._merge(batch_id, -(1 << 62) if floor is None else floor // self.findtime - 1)
+        here = f"{self.state}/counts/{batch_id}"
+        new = failures_per_second(rows, self.failure, self.ts, self.col)
+        self._write(self._bucket(new if floor is None else new.where(F.col("sec") >= floor)), here)
+        delta = self.spark.read.schema(self.schema).parquet(here)
+        seen = delta.agg(F.min("sec").alias("low"), F.max("sec").alias("high")).first()
+        if seen["low"] is not None:
+            low, high = (int(seen[k]) // self.findtime for k in ("low", "high"))
+            near = self._counts(batch_id, low - 1, high + 1)
+            near = near.join(delta.select(self.col).distinct(), self.col, "left_semi")
+            per_sec = near.groupBy(self.col, "sec").agg(F.sum("n").alias("n"))
+            write_batch(first_bans(per_sec, self.findtime, self.maxretry, self.col), self.out, batch_id)
+        now = [int(x) for x in (latest, seen["high"]) if x is not None and x != ""]
+        put_text(self.spark, f"{self.state}/latest/{batch_id}", str(max(now)) if now else "")
+        delete_path(self.spark, f"{self.state}/latest/{batch_id - 2}")
+        if floor is not None:
+            self._drop_old(batch_id, floor // self.findtime - 1)
+
+    def _drop_old(self, batch_id: int, low: int) -> None:
+        """Delete spans below bucket ``low``: a row from now on needs its bucket and the one before."""
+        merged = batch_id // MERGE * MERGE
+        for path in [f"{self.state}/merged/{merged}", *(f"{self.state}/counts/{i}" for i in range(merged, batch_id))]:
+            for folder in file_names(self.spark, path):
+                name = folder.rsplit("/", 1)[1]
+                if name.startswith("span=") and int(name[5:]) < low // SPAN:
+                    delete_path(self.spark, folder)
+
+
+def start_rate_ban(rows: DataFrame, out: str, state: str, checkpoint: str, failure: Column | None = None,
+                   findtime: int = FINDTIME_SEC, maxretry: int = MAXRETRY, lateness: int = 3600, ts: str = "TimeLocal",
+                   col: str = ADDR, available_now: bool = False, trigger_seconds: float = 1.0):
+    """Bans of a stream of requests, written to ``out`` as ``(address, ban_sec,
+    batch_id)``; ``ban_times`` reduces them to one ban an address.
+
+    ``lateness`` is in seconds; the state under ``state`` (shared storage)
+    belongs to the checkpoint.  Returns the ``StreamingQuery``.
+    """
+    bans = RateBans(rows.sparkSession, out, state, failure, findtime, maxretry, lateness, ts, col)
+    w = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(bans.take)
+    if available_now:
+        return w.trigger(availableNow=True).start()
+    return w.trigger(processingTime=f"{trigger_seconds} seconds").start()

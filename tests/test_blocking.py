@@ -62,14 +62,11 @@ def test_new_addresses_once_and_not_blocked(spark):
     assert sorted(r[0] for r in B.new_addresses(rows, blocked, critical_only=True).collect()) == ["a"]
 
 
-def _stream_bans(spark, schema, path, where, findtime=600, maxretry=5):
-    from rampart.sinks import write_batch
-    from rampart.streaming.rateban import ban_times, stream_rate_ban
+def _stream_bans(spark, schema, path, where, findtime=600, maxretry=5, lateness=10 * 86400):
+    from rampart.streaming.rateban import ban_times, start_rate_ban
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    q = (stream_rate_ban(stream, None, findtime, maxretry, lateness="10 days").writeStream.outputMode("update")
-         .option("checkpointLocation", where + "/ck").trigger(availableNow=True)
-         .foreachBatch(lambda df, i: write_batch(df, where + "/out", i)).start())
-    q.awaitTermination()
+    start_rate_ban(stream, where + "/out", where + "/state", where + "/ck", None, findtime, maxretry, lateness,
+                   available_now=True).awaitTermination()
     return {r[0]: r[1] for r in ban_times(spark.read.parquet(where + "/out")).collect()}
 
 
@@ -99,3 +96,75 @@ def test_stream_rate_ban_counts_only_its_window(spark, tmpdir_path):
     got = _stream_bans(spark, df.schema, path, tmpdir_path)
     assert got == {"b": t0 + timedelta(seconds=1003)}
     assert got == {r[0]: r[1] for r in B.rate_ban(df, None, 600, 5).collect()}
+
+
+def _failures(rnd, n, t0, span):
+    return [(f"ip{rnd.randint(0, 7)}", t0 + timedelta(seconds=rnd.randint(0, span))) for _ in range(n)]
+
+
+def test_rate_ban_state_is_merged_dropped_and_replayed(spark, tmpdir_path, monkeypatch):
+    """Many micro-batches in time order: same bans as batch, old buckets gone, a replay changes nothing."""
+    from rampart.session import file_names
+    from rampart.streaming import rateban
+    monkeypatch.setattr(rateban, "MERGE", 3)
+    monkeypatch.setattr(rateban, "SPAN", 2)
+    rnd = random.Random(4)
+    t0 = datetime(2024, 1, 1)
+    schema = "RemoteAddress STRING, TimeLocal TIMESTAMP_NTZ"
+    steps = [_failures(rnd, 12, t0 + timedelta(seconds=700 * i), 900) for i in range(11)]
+    bans = rateban.RateBans(spark, tmpdir_path + "/out", tmpdir_path + "/state", None, 600, 4, lateness=1800)
+    for i, rows in enumerate(steps):
+        df = spark.createDataFrame(rows, schema)
+        bans.take(df, i)
+        if i in (3, 5, 6):
+            bans.take(df, i)                                  # replayed after a failure
+    every = spark.createDataFrame([r for s in steps for r in s], schema)
+    got = {r[0]: r[1] for r in rateban.ban_times(spark.read.parquet(tmpdir_path + "/out")).collect()}
+    assert got and got == {r[0]: r[1] for r in B.rate_ban(every, None, 600, 4).collect()}
+    kept = [f for d in ("merged", "counts") for b in file_names(spark, f"{tmpdir_path}/state/{d}") for f in file_names(spark, b)]
+    spans = [int(f.rsplit("=", 1)[1]) for f in kept if "span=" in f]
+    last = max(int(r[1].timestamp()) for r in steps[9]) - 1800
+    assert min(spans) >= (last // 600 - 3) // 2 and len(file_names(spark, tmpdir_path + "/state/merged")) <= 2
+
+
+def test_rate_ban_drops_rows_that_are_too_late(spark, tmpdir_path):
+    from rampart.streaming.rateban import RateBans, ban_times
+    t0 = datetime(2024, 1, 1)
+    schema = "RemoteAddress STRING, TimeLocal TIMESTAMP_NTZ"
+    bans = RateBans(spark, tmpdir_path + "/out", tmpdir_path + "/state", None, 600, 2, lateness=3600)
+    at = lambda a, s: (a, t0 + timedelta(seconds=s))
+    for i, rows in enumerate([[at("a", 0), at("b", 9000)], [], [at("a", 1), at("b", 5400), at("c", 5400)], [at("c", 5401), (None, t0), ("d", None)]]):
+        bans.take(spark.createDataFrame(rows, schema), i)
+    got = {r[0]: r[1] for r in ban_times(spark.read.parquet(tmpdir_path + "/out")).collect()}
+    assert got == {"c": t0 + timedelta(seconds=5401)}         # a's second row came behind the watermark
+
+
+def test_block_stream_adds_each_address_once(spark, tmpdir_path):
+    """Several micro-batches, a restart, repeated rows, null addresses, a whitelist with networks."""
+    from rampart.sources.files import read_blocklist
+    from rampart.streaming.blocking import start_block_stream
+    lst, src, ck = (f"{tmpdir_path}/{x}" for x in ("list", "rows", "ck"))
+    spark.createDataFrame([("10.0.0.1",)], "value STRING").write.text(lst)
+    wl = spark.createDataFrame([("10.1.0.0/16",), ("10.0.0.9",), ("name",)], "entry STRING")
+    schema = "RemoteAddress STRING, critical_alert BOOLEAN"
+    runs = [[["10.0.0.1", "10.0.0.2", "10.0.0.2", None], ["10.0.0.2", "10.0.0.9", "10.1.3.4", "name"]],
+            [["10.0.0.2", "10.0.0.3"], ["10.0.0.3", "10.0.0.1", "10.2.0.1", "x"]]]
+    for files in runs:
+        for rows in files:
+            spark.createDataFrame([(a, True) for a in rows], schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        start_block_stream(stream, lst, ck, wl, available_now=True).awaitTermination()
+    lines = sorted(r[0] for r in spark.read.option("recursiveFileLookup", True).text(lst).collect())
+    assert lines == ["10.0.0.1", "10.0.0.2", "10.0.0.3", "10.2.0.1", "x"]
+    assert sorted(r[0] for r in read_blocklist(spark, lst).collect()) == lines
+    batch = B.refresh_blocklist(spark.read.parquet(src), spark.createDataFrame([("10.0.0.1",)], "RemoteAddress STRING"), wl)
+    assert sorted(r[0] for r in batch.collect()) == lines[1:]
+
+
+def test_outside_whitelist_equals_batch(spark):
+    rnd = random.Random(2)
+    rows = [(f"10.{rnd.randint(0, 3)}.{rnd.randint(0, 3)}.{rnd.randint(0, 255)}",) for _ in range(500)] + [("name",), ("::1",), ("10.0.0",)]
+    df = spark.createDataFrame(rows, "RemoteAddress STRING")
+    wl = spark.createDataFrame([("10.0.0.0/14",), ("10.2.1.0/24",), ("10.3.3.128/25",), ("::1",), ("10.3.0.7",), ("bad/99",)], "entry STRING")
+    got = sorted(r[0] for r in B.outside_whitelist(df, wl).collect())
+    assert got == sorted(r[0] for r in B.exclude_whitelisted(df, wl).collect()) and got

@@ -1,6 +1,8 @@
 import random
 
 import reference_model as RM
+from pyspark.sql import functions as F
+
 from rampart.operators import classify as C
 
 # One URL per class plus the edge cases of the fixtures.
@@ -41,3 +43,25 @@ def test_attack_map_has_all_classes(spark):
     m = C.classify(df, with_map=True).collect()[0]["attacks"]
     assert sorted(m.keys()) == sorted(n for n, _ in RM.ATTACKS)
     assert m["LFI"] and not m["XSS"]
+
+
+def test_percent_decode_equals_unquote_on_hostile_bytes(spark):
+    from urllib.parse import unquote
+
+    from rampart.functions.urls import percent_decode
+    rnd = random.Random(8)
+    edges = [0x41, 0x7F, 0x80, 0x8F, 0x90, 0x9F, 0xA0, 0xBF, 0xC0, 0xC1, 0xC2, 0xDF, 0xE0, 0xE1, 0xEC, 0xED, 0xEE, 0xEF,
+             0xF0, 0xF1, 0xF3, 0xF4, 0xF5, 0xFF]
+
+    def text():
+        parts = [rnd.choice(["%{:02X}", "%{:02x}"]).format(rnd.choice(edges)) for _ in range(rnd.randint(1, 12))]
+        for extra in ("%", "+", "é", "%8", "%g1", "".join(f"%{b:02X}" for b in "漢😀".encode())):
+            if rnd.random() < 0.2:
+                parts.insert(rnd.randint(0, len(parts)), extra)
+        return "".join(parts)
+
+    urls = [text() for _ in range(8000)] + ["%ED%A0%80", "%C3" * 20_000, "%E6%BC%A2" * 20_000, "a" * 100_000 + "%ff", ""]
+    df = spark.createDataFrame(list(enumerate(urls)), "i int, u string")
+    for r in df.select("i", percent_decode("u").alias("d")).collect():
+        assert r["d"] == unquote(urls[r["i"]]), urls[r["i"]][:80]
+    assert df.limit(1).select(percent_decode(F.lit(None).cast("string"))).first()[0] is None

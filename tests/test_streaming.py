@@ -182,9 +182,62 @@ def test_line_batches_do_not_depend_on_files(spark, tmpdir_path):
     model, _ = DT.train(spark, access(spark, SF_SMALL), n_trees=20, psi=64)
     got = []
     for n in (1, 6):
-        logs = _write_log_files(spark, SF_SMALL, n_files=n)
+        logs, _ = _write_log_files(spark, SF_SMALL, n_files=n)
         out = f"{tmpdir_path}/out{n}"
         start_file_stream(spark, logs, out, f"{tmpdir_path}/ck{n}", model=model, max_files=2, batch_lines=7)
         got.append(sorted((r["id"], round(r["anomaly_score"], 9), r["line_batch"])
                           for r in spark.read.parquet(outputs_under(out).anomalies).collect()))
     assert got[0] and got[0] == got[1]
+
+
+def _tail_run(spark, log, out, ck, model, size):
+    from rampart.streaming.live import start_tail
+    start_tail(spark, log, out, ck, model, starting="earliest", batch_lines=size, available_now=True).awaitTermination()
+
+
+def test_tail_batches_survive_restarts_and_rotation(spark, tmpdir_path):
+    """Lines fed in pieces, the stream stopped and started inside batches, the
+    log rotated: ids 1..n without gaps and the batches of the batch replay."""
+    from rampart.operators import parse as P
+    from rampart.operators import threshold as TH
+    lines = [_line(i) if i % 11 else f"garbage {i}" for i in range(64)]
+    numbered = spark.createDataFrame([(i + 1, v) for i, v in enumerate(lines)], "id BIGINT, value STRING")
+    model, _ = DT.train(spark, P.normalize(numbered), n_trees=20, psi=32)
+    log, out, ck = (os.path.join(tmpdir_path, x) for x in ("live.log", "out", "ck"))
+    at = 0
+    for step, n in enumerate((3, 1, 5, 7, 0, 13, 2, 20, 13)):
+        if step == 5:
+            os.rename(log, log + ".1")                       # rotated between two runs
+        _append(log, lines[at:at + n], partial="half" if step == 2 else "")
+        at += n
+        _tail_run(spark, log, out, ck, model, 5)
+        if step == 2:                                        # the half line ends before the next run
+            with open(log, "rb+") as f:
+                f.seek(-len("half".encode("utf-16-le")), os.SEEK_END)
+                f.truncate()
+    assert at == len(lines)
+    o = outputs_under(out)
+    whole = len(lines) // 5 * 5
+    good = P.normalize(numbered).where(F.col("id") <= whole)
+    norm = sorted((r["id"], r["line_batch"], r["URL"]) for r in spark.read.parquet(o.normalized).collect())
+    assert norm == sorted((r["id"], (r["id"] - 1) // 5, r["URL"]) for r in good.collect())
+    bad = sorted(r["id"] for r in spark.read.parquet(o.rejects).collect())
+    assert sorted([r[0] for r in norm] + bad) == list(range(1, whole + 1))
+    key = lambda r: (r["id"], round(r["anomaly_score"], 9))
+    batch = TH.adaptive_filter(DT.score(TH.with_batches(good, 5), model), "anomaly_score", "batch_id")
+    assert sorted(map(key, spark.read.parquet(o.anomalies).collect())) == sorted(map(key, batch.collect()))
+
+
+def test_line_batches_replay(spark, tmpdir_path):
+    """A micro-batch taken twice gives the same rows and leaves the same state."""
+    from rampart.streaming.live import LineBatches
+    b = LineBatches(spark, 4, tmpdir_path + "/state")
+    df = lambda vals, name: spark.createDataFrame([(v, name, 0) for v in vals], "value STRING, file_path STRING, block_start BIGINT").coalesce(1)
+    rows = lambda got: [] if got is None else sorted((r["id"], r["value"], r["line_batch"]) for r in got.collect())
+    assert rows(b.take(df("ab", "0"), 0)) == []
+    first = rows(b.take(df("cde", "1"), 1))
+    assert first == rows(b.take(df("cde", "1"), 1)) == [(1, "a", 0), (2, "b", 0), (3, "c", 0), (4, "d", 0)]
+    assert rows(b.take(df("", "2"), 2)) == []
+    assert rows(b.take(df("fghijkl", "3"), 3)) == [(i + 1, v, i // 4) for i, v in enumerate("abcdefghijkl") if i >= 4]
+    assert b.flush(3) is None
+    assert rows(b.take(df("m", "4"), 4)) == [] and rows(b.flush(4)) == [(13, "m", 3)]
