@@ -697,9 +697,9 @@ def tail_batches(spark, sf):
     """SRC2 / S1–S6: the tailed log in batches of five lines with running
     line numbers, over rotations and restarts.
 
-    The log is written as files of consecutive lines; each becomes the tailed
-    file in turn (the one before it is rotated away), and the stream is
-    started anew for it from its checkpoint.
+    The log is written as files of consecutive lines, which become the tailed
+    file in turn (the one before is rotated away); the stream is started anew
+    from its checkpoint four times, with rotations in between.
     """
     from rampart.session import delete_path, file_names, rename_path, shared_dir
     from rampart.streaming.live import outputs_under, start_tail
@@ -708,11 +708,16 @@ def tail_batches(spark, sf):
     log, ckpt = folder + "/access.log", shared_dir(spark, "tail-ckpt")
     spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(
         spark._jvm.org.apache.hadoop.fs.Path(folder))
-    for part in file_names(spark, parts):
-        delete_path(spark, log + ".1")
-        rename_path(spark, log, log + ".1")
-        rename_path(spark, part, log)
+    names = file_names(spark, parts)
+    step = -(-max(len(names) - 1, 1) // 3)
+    runs = [names[:1], *(names[i:i + step] for i in range(1, len(names), step))]
+    for group in runs:
+        # the file before and all but the last of the group end up as .k, ..., .1
+        for n, name in zip(range(len(group), -1, -1), [log, *group]):
+            rename_path(spark, name, f"{log}.{n}" if n else log)
         start_tail(spark, log, out, ckpt, encoding="utf-8", starting="earliest", available_now=True).awaitTermination()
+        for n in range(1, len(group) + 1):
+            delete_path(spark, f"{log}.{n}")
     rows = spark.read.parquet(outputs_under(out).classified)
     return plain(rows.select("id", "RemoteAddress", "TimeLocal", "URL", "attack_types", "line_batch"))
 

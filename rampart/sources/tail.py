@@ -7,9 +7,10 @@ byte offset instead:
 * the offset is ``{"epoch": e, "pos": p, "head": h, "crc": c}``: ``p`` is the
   byte after the last complete line delivered; ``c`` is the checksum of the
   file's first ``h`` bytes, which tells a replaced file from a grown one; ``e``
-  counts replacements, after which the rest of the old file is read from
-  ``rotatedPath`` (default: the path with ``.1``) if it is there, and the new
-  file from byte 0;
+  counts replacements, after which the rest of the old file, and every whole
+  file rotated away since, are read from ``rotatedPath`` (default: the path
+  with ``.1``, ``.2``, ..., newest first) if they are there, and the new file
+  from byte 0;
 * ``latestOffset`` ends at the last complete line, so a line the writer is
   still writing waits for the next micro-batch;
 * ``partitions`` cuts the new byte range into chunks that executors read;
@@ -190,7 +191,7 @@ class LogTailStreamReader(DataSourceStreamReader):
         self.encoding = options.get("encoding", "utf-8")
         self.nl = _newline(self.encoding)
         self.starting = options.get("startingPosition", "latest").lower()
-        self.rotated = options.get("rotatedPath", self.path + ".1")
+        self.rotated = options.get("rotatedPath", self.path.replace("{", "{{").replace("}", "}}") + ".{n}")
         self.chunk = int(options.get("maxBytesPerPartition", 64 << 20))
         self._last = None
 
@@ -238,16 +239,31 @@ class LogTailStreamReader(DataSourceStreamReader):
         width = len(self.nl)
         if not rotated:
             return _chunks(self.path, start["pos"], end["pos"], self.chunk, width, epoch, self.encoding, final=False)
-        return (self._rest_of_old(start, width)
-                + _chunks(self.path, 0, end["pos"], self.chunk, width, epoch, self.encoding, final=False))
-
-    def _rest_of_old(self, start: dict, width: int) -> list:
-        """What the rotated file still holds after the committed start, if it
-        is found under ``rotatedPath``; its last line is complete."""
-        size = _size(self.rotated)
-        if size <= start["pos"] or not start.get("head") or not self._same_file(self.rotated, size, start):
-            return []
-        return _chunks(self.rotated, start["pos"], size, self.chunk, width, start["epoch"], self.encoding, final=True)
+        old = self._rotated_files(start)
+        out = []
+        for i, (path, pos) in enumerate(old):
+            out += _chunks(path, pos, _size(path), self.chunk, width, start["epoch"] + i, self.encoding, final=True)
+        epoch = max(epoch, start["epoch"] + len(old))
+        if self._last is not None and self._last["epoch"] < epoch:
+            self._last = {**self._last, "epoch": epoch}
+        return out + _chunks(self.path, 0, end["pos"], self.chunk, width, epoch, self.encoding, final=False)
+
+    def _rotated_files(self, start: dict) -> list[tuple[str, int]]:
+        """The rotated files not yet delivered, oldest first: the rest of the
+        one that the committed start lies in, and whole ones since.  Without
+        that one nothing says which of the others are new, so there are none.
+        """
+        newer: list[tuple[str, int]] = []
+        path = self.rotated.format(n=1)
+        while start.get("head") and (size := _size(path)):
+            if size >= start["pos"] and self._same_file(path, size, start):
+                return [(path, start["pos"]), *reversed(newer)]
+            newer.append((path, 0))
+            after = self.rotated.format(n=len(newer) + 1)
+            if after == path:
+                break
+            path = after
+        return []
 
     def read(self, part: _Range):
         for lines, at in read_range(part.path, part.start, part.end, part.first, part.encoding, part.final):

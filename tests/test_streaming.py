@@ -241,3 +241,30 @@ def test_line_batches_replay(spark, tmpdir_path):
     assert rows(b.take(df("fghijkl", "3"), 3)) == [(i + 1, v, i // 4) for i, v in enumerate("abcdefghijkl") if i >= 4]
     assert b.flush(3) is None
     assert rows(b.take(df("m", "4"), 4)) == [] and rows(b.flush(4)) == [(13, "m", 3)]
+
+
+def test_tail_reader_several_rotations_between_polls(tmpdir_path):
+    p = os.path.join(tmpdir_path, "log{x}")
+
+    def write(path, *lines):
+        with open(path, "w") as f:
+            f.write("".join(x + "\n" for x in lines))
+
+    r = LogTailStreamReader({"path": p, "startingPosition": "earliest"})
+    write(p, "a1", "a2")
+    start = r.latestOffset()
+    write(p + ".5", "too old")
+    write(p + ".3", "a1", "a2", "a3")                # the committed file, rotated three times
+    write(p + ".2", "b1")
+    write(p + ".1", "c1", "c2")
+    write(p, "d1")
+    end = r.latestOffset()
+    rows = _rows(r, start, end)
+    assert [x[0] for x in rows] == ["a3", "b1", "c1", "c2", "d1"]
+    assert [x[1] for x in rows] == [0, 1, 2, 2, 3]
+    with open(p, "a") as f:
+        f.write("d2\n")
+    assert [x[:2] for x in _rows(r, end, r.latestOffset())] == [("d2", 3)]
+    fresh = LogTailStreamReader({"path": p})
+    write(p, "e1")                                   # replaced; the file before it is gone
+    assert [x[0] for x in _rows(fresh, end, fresh.latestOffset())] == ["e1"]
