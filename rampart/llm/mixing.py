@@ -8,25 +8,28 @@ calibrated probability (weight by tokens), decided by a hash of its id.  Only
 the cell table goes through the rounds; its size is the number of distinct
 combinations, not of documents.
 
-Everything on documents is Spark column functions.  Rounds until the weights
-settle may be hundreds, so a cell table of bounded size goes through them on
-the driver, a larger one as Spark tables by the same rule.
+Everything is Spark column functions.  Rounds until the weights settle may be
+hundreds, so a cell table of bounded size becomes one row of arrays, on which
+one expression makes a burst of rounds; a larger one goes through them as
+Spark tables by the same rule.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rampart.llm.common import bounded_broadcast
+from rampart.llm.minhash import let
 from rampart.session import write_table
 
 DIMS = ("source", "lang", "topic")
 ROUNDS = 100_000    # rounds after which weights that still move are an error
 SETTLED = 1e-9      # settled: no cell's rate moves by more than this in a round
-LOCAL_CELLS = 200_000       # cells that go through the rounds on the driver
+LOCAL_CELLS = 200_000       # cells that go through the rounds as one row of arrays
+BURST = 64                  # rounds of the first burst; each further one is twice as long
 TEMPER = 0.7        # a value's target is its token share to this power
 SHARE = 0.5         # tokens to sample, of all tokens
 
@@ -62,21 +65,71 @@ def spark_round(cells: DataFrame, dims: tuple) -> DataFrame:
     return write_table(cells, "cells")
 
 
-def settle_local(cells: DataFrame, dims: tuple) -> DataFrame:
-    """Cells with settled weights; the rounds run on the gathered table."""
-    got = cells.toArrow()
-    tokens, m = (got[c].to_numpy().astype(np.float64) for c in ("tokens", "m"))
-    index = [got[d].combine_chunks().dictionary_encode().indices.to_numpy() for d in dims]
-    goals = [got[f"t_{d}"].to_numpy() for d in dims]
-    for _ in range(ROUNDS):
-        before = m
-        for at, goal in zip(index, goals):
-            s = np.bincount(at, m)[at]
-            m = np.minimum(tokens, np.divide(m * goal, s, out=np.zeros_like(m), where=s > 0))
-        if not len(m) or np.max(np.abs(m - before) / np.maximum(tokens, 1)) <= SETTLED:
-            done = got.set_column(got.column_names.index("m"), "m", pa.array(m))
-            return write_table(cells.sparkSession.createDataFrame(done, cells.schema), "cells")
-    raise RuntimeError(f"weights still move after {ROUNDS} rounds")
+def cell_arrays(cells: DataFrame, dims: tuple) -> DataFrame:
+    """All cells as one row: ``cell`` (dims, tokens and targets in the order of
+    the dims), ``tokens`` and ``m`` by place; for each dim the value number of
+    each place, each value's places and each value's target."""
+    row = cells.withColumn("pos", F.row_number().over(Window.orderBy(*dims)))
+    fields = [F.struct("pos", *dims, "tokens", *[f"t_{d}" for d in dims]).alias("cell"),
+              F.struct("pos", F.col("tokens").cast("double").alias("v")).alias("tokens"), F.struct("pos", F.col("m").alias("v")).alias("m")]
+    for d in dims:
+        row = (row.withColumn(f"value_{d}", F.dense_rank().over(Window.orderBy(d)))
+               .withColumn(f"order_{d}", F.row_number().over(Window.orderBy(d, "pos")))
+               .withColumn(f"first_{d}", F.min(f"order_{d}").over(Window.partitionBy(d)))
+               .withColumn(f"n_{d}", F.count(F.lit(1)).over(Window.partitionBy(d))))
+        fields += [F.struct("pos", F.col(f"value_{d}").alias("v")).alias(f"value_{d}"),
+                   F.struct(F.col(f"order_{d}").alias("pos"), F.col("pos").alias("v")).alias(f"order_{d}"),
+                   F.struct(f"value_{d}", f"first_{d}", f"n_{d}", F.col(f"t_{d}").alias("t")).alias(f"span_{d}")]
+    names = ["cell", "tokens", "m", *[f"{k}_{d}" for d in dims for k in ("value", "order")]]
+    one = row.select(*fields).agg(*[F.array_sort(F.collect_list(n)).alias(n) for n in names],
+                                  *[F.array_sort(F.collect_set(f"span_{d}")).alias(f"span_{d}") for d in dims])
+    values = [F.transform(n, lambda x: x["v"]).alias(n) for n in names if n != "cell"]
+    one = one.select("cell", *values, *[f"span_{d}" for d in dims])
+
+    def places(d: str) -> Column:
+        return F.transform(f"span_{d}", lambda s: F.slice(F.col(f"order_{d}"), s[f"first_{d}"], s[f"n_{d}"]))
+
+    return one.select("cell", "tokens", "m", *[f"value_{d}" for d in dims], *[places(d).alias(f"places_{d}") for d in dims],
+                      *[F.transform(f"span_{d}", lambda s: s["t"]).alias(f"goal_{d}") for d in dims])
+
+
+def array_round(m: Column, dims: tuple) -> Column:
+    """The weights ``m`` (by place) after one round."""
+    def scaled(m: Column, d: str) -> Column:
+        sums = F.transform(F.col(f"places_{d}"), lambda at: F.aggregate(at, F.lit(0.0), lambda acc, i: acc + F.get(m, i - 1)))
+
+        def one(s: Column, i: Column) -> Column:
+            v = F.get(F.col(f"value_{d}"), i) - 1
+            whole = F.get(s, v)
+            return F.least(F.get(F.col("tokens"), i), F.when(whole > 0, F.get(m, i) * F.get(F.col(f"goal_{d}"), v) / whole)
+                           .otherwise(F.lit(0.0)))
+        return let(sums, lambda s: F.transform(m, lambda _, i: one(s, i)))
+
+    def chain(m: Column, left: tuple) -> Column:
+        return let(scaled(m, left[0]), lambda x: chain(x, left[1:])) if left else m
+    return chain(m, dims)
+
+
+def settle_arrays(cells: DataFrame, dims: tuple) -> DataFrame:
+    """Cells with settled weights; a burst of rounds is one expression over one row."""
+    state = write_table(cell_arrays(cells, dims), "cell-arrays")
+    fixed = [c for c in state.columns if c != "m"]
+    done, burst = 0, BURST
+    while done < ROUNDS:
+        before = F.aggregate(F.sequence(F.lit(1), F.lit(burst - 1)), F.col("m"), lambda m, _: array_round(m, dims))
+        # the burst's last round apart, to see how far it moves
+        state = state.select(*fixed, before.alias("before")).select(*fixed, "before", array_round(F.col("before"), dims).alias("m"))
+        state = write_table(state, "cell-arrays")
+        moved = F.array_max(F.zip_with(F.zip_with("m", "before", lambda x, y: F.abs(x - y)), "tokens",
+                                       lambda x, t: x / F.greatest(t, F.lit(1.0))))
+        most = state.select(moved.alias("moved")).first()["moved"]
+        state = state.drop("before")
+        done, burst = done + burst, 2 * burst
+        if (most or 0.0) <= SETTLED:
+            rows = state.select(F.inline(F.zip_with("cell", "m", lambda c, m: F.struct(
+                *[c[k].alias(k) for k in (*dims, "tokens", *[f"t_{d}" for d in dims])], m.alias("m")))))
+            return write_table(rows, "cells")
+    raise RuntimeError(f"weights still move after {done} rounds")
 
 
 def settle_spark(cells: DataFrame, dims: tuple) -> DataFrame:
@@ -106,12 +159,18 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], share: float, rounds:
         cells = cells.join(t, dim, "left").withColumn(f"t_{dim}", F.coalesce(f"t_{dim}", F.lit(0.0)))
     cells = write_table(cells.withColumn("m", F.col("tokens") * F.lit(share)), "cells")
     if rounds is None:
-        return (settle_local if cells.count() <= local_cells else settle_spark)(cells, dims)
+        return (settle_arrays if 0 < cells.count() <= local_cells else settle_spark)(cells, dims)
     for _ in range(rounds):
         cells = spark_round(cells, dims)
     return cells
 
 
+def residual(dims: tuple) -> Column:
+    """How far a cell's marginals are off their targets, as a share of the target, at most."""
+    gaps = [F.abs(F.sum("m").over(Window.partitionBy(d)) - F.col(f"t_{d}")) / F.col(f"t_{d}") for d in dims]
+    return reduce(lambda a, b: F.greatest(a, b), [F.when(F.col(f"t_{d}") > 0, g).otherwise(F.lit(0.0)) for d, g in zip(dims, gaps)])
+
+
 def unit_hash(doc_id: Column) -> Column:
     """A number in [0, 1) from the id's text; a null id counts as empty text."""
     text = F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("")))
@@ -124,8 +183,9 @@ def mix(docs: DataFrame, topic: Column | None = None, dims: tuple = DIMS, target
 
     ``topic`` is an expression over ``docs`` (default: the form of the text);
     targets default to tempered token shares; ``rounds`` as in ``rake``.  Returns the columns of
-    ``keep`` with the dims, n_tokens, rate (the cell's probability) and
-    sampled.  Null sources, languages and topics are the category ''; a
+    ``keep`` with the dims, n_tokens, rate (the cell's probability), residual
+    (the largest relative gap between the cell's marginals and their targets,
+    0 where all hold) and sampled.  Null sources, languages and topics are the category ''; a
     document without words weighs nothing and is sampled at its cell's rate,
     which is 0 in a cell without tokens.  Repeated rows are decided alike; an
     empty table gives an empty result.
@@ -142,7 +202,7 @@ def mix(docs: DataFrame, topic: Column | None = None, dims: tuple = DIMS, target
         targets = {d: tempered_targets(cells, d, F.lit(share * total), temper) for d in dims}
     weighed = rake(cells, targets, share, rounds)
     rates = write_table(weighed.select(*[F.col(d).alias(names[d]) for d in dims], F.when(
-        F.col("tokens") > 0, F.col("m") / F.col("tokens")).otherwise(F.lit(0.0)).alias("rate")), "rates")
+        F.col("tokens") > 0, F.col("m") / F.col("tokens")).otherwise(F.lit(0.0)).alias("rate"), residual(dims).alias("residual")), "rates")
     out = rows.join(bounded_broadcast(rates), list(names.values()))
     return out.select(*keep, *[F.col(names[d]).alias(d) for d in dims if d not in keep],
-                      F.col("_tokens").alias("n_tokens"), "rate", (unit_hash(F.col("_id")) < F.col("rate")).alias("sampled"))
+                      F.col("_tokens").alias("n_tokens"), "rate", "residual", (unit_hash(F.col("_id")) < F.col("rate")).alias("sampled"))

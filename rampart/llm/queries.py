@@ -157,24 +157,26 @@ def op4_preference_pairs(spark, sf_dir):
 
 # --- op1 ----------------------------------------------------------------------------
 
-# The SQL states this many rounds, with no test of the marginals; the query does the same.
-SQL_ROUNDS = 8
-
-
 def mixing_sql() -> str:
-    steps, last = [], "c0"
-    for r in range(SQL_ROUNDS):
-        for d in mixing.DIMS:
-            name = f"r{r}_{d}"
-            steps.append(f"{name} AS (SELECT * REPLACE (least(CAST(tokens AS DOUBLE), CASE WHEN sum(m) OVER (PARTITION BY {d}) > 0 "
-                         f"THEN m * t_{d} / sum(m) OVER (PARTITION BY {d}) ELSE 0 END) AS m) FROM {last})")
-            last = name
-    raised = ", ".join(f"pow(CAST(sum(tokens) OVER (PARTITION BY {d}) AS DOUBLE), {mixing.TEMPER}) AS p_{d}" for d in mixing.DIMS)
+    """The cells as lists in one row, scaled again and again until no rate moves by more than ``SETTLED``."""
+    dims = mixing.DIMS
+    order = ", ".join(dims)
+    raised = ", ".join(f"pow(CAST(sum(tokens) OVER (PARTITION BY {d}) AS DOUBLE), {mixing.TEMPER}) AS p_{d}" for d in dims)
+    number = ", ".join(f"count(*) OVER (PARTITION BY {d}) AS n_{d}, dense_rank() OVER (ORDER BY {d}) AS v_{d}" for d in dims)
     # a value's power counts once, however many cells it has
-    target = ", ".join(f"p_{d} / sum(p_{d} / n_{d}) OVER () * {mixing.SHARE} * sum(tokens) OVER () AS t_{d}" for d in mixing.DIMS)
-    number = ", ".join(f"count(*) OVER (PARTITION BY {d}) AS n_{d}" for d in mixing.DIMS)
+    target = ", ".join(f"p_{d} / sum(p_{d} / n_{d}) OVER () * {mixing.SHARE} * sum(tokens) OVER () AS t_{d}" for d in dims)
+    lists = ", ".join(f"list(v_{d} ORDER BY {order}) AS v_{d}, list(t_{d} ORDER BY {order}) AS t_{d}" for d in dims)
+    keep = ", ".join(f"v_{d}, t_{d}" for d in dims)
+    steps, m = "", "m"
+    for k, d in enumerate(dims):
+        steps = (f"SELECT *, list_transform(range(1, len({m}) + 1), lambda i: least(tokens[i], CASE WHEN s{k}[v_{d}[i]] > 0 "
+                 f"THEN {m}[i] * t_{d}[i] / s{k}[v_{d}[i]] ELSE 0 END)) AS m{k} FROM (SELECT *, list_transform(range(1, list_max(v_{d}) + 1), "
+                 f"lambda v: list_sum(list_transform(range(1, len({m}) + 1), lambda i: CASE WHEN v_{d}[i] = v THEN {m}[i] ELSE 0 END))) AS s{k} "
+                 f"FROM ({steps or f'SELECT * FROM r WHERE moved > {mixing.SETTLED}'}))")
+        m = f"m{k}"
+    gaps = ", ".join(f"CASE WHEN t_{d} > 0 THEN abs(sum(m) OVER (PARTITION BY {d}) - t_{d}) / t_{d} ELSE 0 END" for d in dims)
     return f"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
          CASE WHEN contains(text, ' | ') THEN 'table'
               WHEN contains(text, 'icense') OR contains(text, 'ights reserved') THEN 'notice'
@@ -182,18 +184,25 @@ WITH d AS (
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
 c AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL),
 p AS (SELECT *, {raised}, {number} FROM c),
-c0 AS (SELECT source, lang, topic, tokens, {target}, tokens * {mixing.SHARE} AS m FROM p),
-{', '.join(steps)},
-rates AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN m / tokens ELSE 0 END AS rate FROM {last})
-SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(rate, 6) AS rate,
+q AS (SELECT {order}, tokens, {", ".join(f"v_{d}" for d in dims)}, {target}, row_number() OVER (ORDER BY {order}) AS place FROM p),
+r AS (
+  SELECT list(CAST(tokens AS DOUBLE) ORDER BY {order}) AS tokens, {lists}, list(tokens * CAST({mixing.SHARE} AS DOUBLE) ORDER BY {order}) AS m,
+         CAST(1 AS DOUBLE) AS moved, 0 AS round FROM q
+  UNION ALL
+  SELECT tokens, {keep}, {m} AS m, list_max(list_transform(range(1, len(m) + 1), lambda i: abs({m}[i] - m[i]) / greatest(tokens[i], 1))) AS moved,
+         round + 1 FROM ({steps})),
+w AS (SELECT q.*, (SELECT arg_max(m, round) FROM r)[place] AS m FROM q),
+rates AS (SELECT {order}, CASE WHEN tokens > 0 THEN m / tokens ELSE 0 END AS rate, greatest({gaps}) AS residual FROM w)
+SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(rate, 6) AS rate, round(residual, 6) AS residual,
        CAST('0x' || substr(md5('mix:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < rate AS sampled
 FROM d JOIN rates USING (source, lang, topic)"""
 
 
 @register("op1_raked_mixture", mixing_sql())
 def op1_raked_mixture(spark, sf_dir):
-    """Sampling decisions of all documents by token weights after the SQL's rounds of raking (see ``mixing``)."""
-    return mixing.mix(table(spark, sf_dir, "documents"), rounds=SQL_ROUNDS).withColumn("rate", F.round("rate", 6))
+    """Sampling decisions of all documents by token weights raked until they settle (see ``mixing``)."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.withColumn("rate", F.round("rate", 6)).withColumn("residual", F.round("residual", 6))
 
 
 # --- op11, op13: rounds of assigning and moving, spelled out -----------------------------
