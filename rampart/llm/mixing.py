@@ -111,21 +111,23 @@ def array_round(m: Column, dims: tuple) -> Column:
 
 
 def settle_arrays(cells: DataFrame, dims: tuple) -> DataFrame:
-    """Cells with settled weights; a burst of rounds is one expression over one row."""
-    state = write_table(cell_arrays(cells, dims), "cell-arrays")
-    fixed = [c for c in state.columns if c != "m"]
+    """Cells with settled weights; a burst of rounds, up to the one that
+    settles them, is one expression over one row."""
+    def step(acc: Column, _) -> Column:
+        def moved(m: Column) -> Column:
+            way = F.zip_with(F.zip_with(m, acc["m"], lambda x, y: F.abs(x - y)), "tokens", lambda x, t: x / F.greatest(t, F.lit(1.0)))
+            return F.struct(m.alias("m"), F.array_max(way).alias("moved"))
+        return F.when(acc["moved"] <= SETTLED, acc).otherwise(let(array_round(acc["m"], dims), moved))
+
+    state = write_table(cell_arrays(cells, dims).withColumn("moved", F.lit(float("inf"))), "cell-arrays")
+    fixed = [c for c in state.columns if c not in ("m", "moved")]
     done, burst = 0, BURST
     while done < ROUNDS:
-        before = F.aggregate(F.sequence(F.lit(1), F.lit(burst - 1)), F.col("m"), lambda m, _: array_round(m, dims))
-        # the burst's last round apart, to see how far it moves
-        state = state.select(*fixed, before.alias("before")).select(*fixed, "before", array_round(F.col("before"), dims).alias("m"))
-        state = write_table(state, "cell-arrays")
-        moved = F.array_max(F.zip_with(F.zip_with("m", "before", lambda x, y: F.abs(x - y)), "tokens",
-                                       lambda x, t: x / F.greatest(t, F.lit(1.0))))
-        most = state.select(moved.alias("moved")).first()["moved"]
-        state = state.drop("before")
+        zero = F.struct(F.col("m").alias("m"), F.col("moved").alias("moved"))
+        got = F.aggregate(F.sequence(F.lit(1), F.lit(burst)), zero, step)
+        state = write_table(state.select(*fixed, got.alias("got")).select(*fixed, "got.m", "got.moved"), "cell-arrays")
         done, burst = done + burst, 2 * burst
-        if (most or 0.0) <= SETTLED:
+        if state.select("moved").first()["moved"] <= SETTLED:
             rows = state.select(F.inline(F.zip_with("cell", "m", lambda c, m: F.struct(
                 *[c[k].alias(k) for k in (*dims, "tokens", *[f"t_{d}" for d in dims])], m.alias("m")))))
             return write_table(rows, "cells")

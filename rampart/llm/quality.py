@@ -4,11 +4,12 @@ A text is read as a sequence of units: letter runs, number runs, runs of
 other signs and line breaks.  A unit counts as a word (a hash of its bytes)
 and as a shape (kind, length, letter case, whether it repeats one of the two
 letter runs before).  Every word and shape has a sparse random index vector;
-its context vector is the sum of its neighbours' index vectors over the
-training sample.  A document is the frequency-damped mean of its units'
-context vectors, once for words and once for shapes.  A two-layer network
-scores it, and a temperature fitted on rows the network has not seen turns
-scores into probabilities.
+its context vector is the sum of its neighbours' index vectors over all
+documents, labelled or not: tasks sum over their texts, and the sums merge by
+key.  A document is the frequency-damped mean of its units' context vectors,
+once for words and once for shapes.  A two-layer network, fitted on a bounded
+sample of the labelled documents' vectors, scores it, and a temperature fitted
+on rows the network has not seen turns scores into probabilities.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ HIDDEN = 32
 THRESHOLD = 0.7
 BLOCK = 1 << 18             # bytes cut into units at once
 GATHER = 1 << 14            # units pooled at once
+PIECE = 1 << 17             # units whose neighbours are summed at once
 GRAIN = 2.0 ** -20          # step of the values in the tables
 
 
@@ -148,18 +151,66 @@ def index_vectors(n: int, seed: int) -> np.ndarray:
     return place, rng.choice([-1.0, 1.0], (n, SPARSE))
 
 
-def context_vectors(number: np.ndarray, doc: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """Unit-length context vectors of ``n`` types from one long unit sequence."""
+def context_sums(number: np.ndarray, begin: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Sums of the index vectors of the units within ``WINDOW`` of each type's
+    units in the same document, as n rows of integers."""
     place, sign = index_vectors(n, seed)
     c = np.zeros(n * WIDTH)
-    for step in range(1, WINDOW + 1):
-        ok = doc[step:] == doc[:-step]
-        a, b = number[:-step][ok], number[step:][ok]
-        for own, other in ((a, b), (b, a)):
-            for k in range(SPARSE):
-                c += np.bincount(own.astype(np.int64) * WIDTH + place[other, k], weights=sign[other, k], minlength=len(c))
-    c = c.reshape(n, WIDTH)
-    return (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    for lo in range(0, len(number), PIECE):
+        part = number[lo:lo + PIECE + WINDOW].astype(np.int64)
+        doc = np.searchsorted(begin, np.arange(lo, lo + len(part)), "right")
+        for step in range(1, WINDOW + 1):
+            left = min(PIECE, len(part) - step)
+            if left <= 0:
+                continue
+            ok = doc[:left] == doc[step:step + left]
+            a, b = part[:left][ok], part[step:step + left][ok]
+            for own, other in ((a, b), (b, a)):
+                for k in range(SPARSE):
+                    c += np.bincount(own * WIDTH + place[other, k], weights=sign[other, k], minlength=len(c))
+    return c.reshape(n, WIDTH).astype(np.int64)
+
+
+KINDS = (("word", WORDS, 1), ("shape", SHAPES, 2))
+
+
+def corpus_tables(docs: DataFrame) -> dict:
+    """Damped context vectors of all words and shapes, from the texts of all documents.
+
+    A task sums over its texts and emits a row for each type it met; only the
+    merged table, ``WORDS`` + ``SHAPES`` rows at most, reaches the driver.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        sums = {k: np.zeros((n, WIDTH), np.int64) for k, n, _ in KINDS}
+        counts = {k: np.zeros(n, np.int64) for k, n, _ in KINDS}
+        for b in text_chunks(batches):
+            word, shape, begin = units(b.column("text"))
+            for (k, n, seed), number in zip(KINDS, (word, shape)):
+                sums[k] += context_sums(number, begin, n, seed)
+                counts[k] += np.bincount(number, minlength=n)
+        for k, _, _ in KINDS:
+            at = np.flatnonzero(counts[k])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[k][at]),
+                 *[pa.array(np.ascontiguousarray(sums[k][at, i])) for i in range(WIDTH)]], names)
+
+    names = ["kind", "number", "n", *[f"v{i}" for i in range(WIDTH)]]
+    schema = "kind string, " + ", ".join(f"{c} bigint" for c in names[1:])
+    merged = docs.select("text").mapInArrow(run, schema).groupBy("kind", "number").agg(*[F.sum(c).alias(c) for c in names[2:]])
+    got = merged.toArrow()
+    model = {}
+    for k, n, _ in KINDS:
+        own = got.filter(pc.equal(got["kind"], k))
+        at = own["number"].to_numpy()
+        c, count = np.zeros((n, WIDTH)), np.zeros(n)
+        c[at] = np.stack([own[f"v{i}"].to_numpy() for i in range(WIDTH)], 1) if len(at) else 0
+        count[at] = own["n"].to_numpy()
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+        # frequent words say little: a word's weight falls with its share of all units
+        damp = 1e-3 / (1e-3 + count / max(count.sum(), 1)) if k == "word" else np.ones(n)
+        model[k] = np.round(c * damp[:, None] / GRAIN) * GRAIN
+    return model
 
 
 def pool(word: np.ndarray, shape: np.ndarray, begin: np.ndarray, model: dict) -> np.ndarray:
@@ -233,7 +284,8 @@ def held_out(doc_id="doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict | None:
-    """Train on a hash sample of the labelled rows that are not held out.
+    """Word vectors of all documents, and a network trained on a hash sample
+    of the labelled rows that are not held out.
 
     ``labels`` has doc_id and quality (0 or 1; null rows are left out, of
     several labels of one document the smallest counts).  Returns None if no
@@ -249,33 +301,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> d
     chosen = F.broadcast(known.where(u < min(1.0, sample_docs / n)))
     rows = docs.select("doc_id", "text").join(chosen, "doc_id")
 
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tables = corpus_tables(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in text_chunks(batches):
-            word, shape, begin = units(b.column("text"))
-            cut = lambda a: pa.array([a[i:j].astype("<u2").tobytes() for i, j in zip(begin, begin[1:])], pa.binary())
+            x = pool(*units(b.column("text")), shared.value)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("quality"), cut(word), cut(shape)], ["doc_id", "quality", "word", "shape"])
+                [b.column("doc_id"), b.column("quality"), pa.array([v.astype("<f8").tobytes() for v in x], pa.binary())],
+                ["doc_id", "quality", "x"])
 
     got = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"),
-                      "text").mapInArrow(sequences, "doc_id bigint, quality int, word binary, shape binary").toArrow()
+                      "text").mapInArrow(vectors, "doc_id bigint, quality int, x binary").toArrow()
+    shared.unpersist()
     if got.num_rows == 0:
         return None
-    got = got.sort_by([("doc_id", "ascending"), ("word", "ascending")])
-    # the sequences stay 16 bits wide; only the pieces at work are widened
-    size = np.array([len(v.as_py()) // 2 for v in got["word"]])
-    flat = {k: np.concatenate([np.frombuffer(v.as_py(), "<u2") for v in got[k]]) for k in ("word", "shape")}
+    got = got.sort_by([("doc_id", "ascending"), ("x", "ascending")])
     y = np.array(got["quality"].to_pylist(), float)
-    del got
-    begin = np.r_[0, np.cumsum(size)]
-    doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    model: dict = {}
-    for k, n, seed in (("word", WORDS, 1), ("shape", SHAPES, 2)):
-        c = context_vectors(flat[k], doc, n, seed) if len(doc) else np.zeros((n, WIDTH), np.float32)
-        share = np.bincount(flat[k], minlength=n) / max(len(doc), 1)
-        damp = 1e-3 / (1e-3 + share) if k == "word" else np.ones(n)
-        model[k] = np.round(c * damp[:, None] / GRAIN) * GRAIN
-    x = pool(flat["word"], flat["shape"], begin, model)
-    return {**model, **train_network(x, y)}
+    x = np.stack([np.frombuffer(v.as_py(), "<f8") for v in got["x"]])
+    return {**tables, **train_network(x, y)}
 
 
 def predict(docs: DataFrame, model: dict | None, keep: tuple = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
