@@ -123,6 +123,17 @@ def joined_bigrams(words: Column) -> Column:
         " ", F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<string>")))
 
 
+def places_before(items: Column) -> Column:
+    """For each item the place (from 1) of the last equal one before it, 0 if there is none."""
+    def of(by_item: Column) -> Column:
+        pairs = F.transform(by_item, lambda x, j: F.struct(x["i"].alias("i"), F.when(
+            (j > 0) & (F.get(by_item, F.greatest(j - 1, F.lit(0)))["x"] == x["x"]), F.get(by_item, F.greatest(j - 1, F.lit(0)))["i"])
+            .otherwise(F.lit(0)).alias("last")))
+        return F.transform(F.array_sort(pairs), lambda p: p["last"])
+
+    return let(F.array_sort(F.transform(items, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))), of)
+
+
 def key_words(bigram_set: list[str], need: int) -> set[str]:
     """Words, long ones first, of which every text with ``need`` of the bigrams has one."""
     left, out = set(bigram_set), set()
@@ -144,8 +155,9 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, dice: t
     """Licence notices in the whole text of every document.
 
     A window starts and ends with a bigram of the template and is at most as
-    many times longer than the template as its set may be larger.  Windows
-    that share words are one notice: taken from the left, the one with the
+    many times longer than the template as its set may be larger; of those
+    with one start the one with the highest coefficient counts (the shortest
+    of equal ones).  Time is in proportion to the text.  Windows that share words are one notice: taken from the left, the one with the
     higher coefficient stays (of two templates, the one that shares more
     bigrams with its window).
 
@@ -166,27 +178,41 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, dice: t
     every = literal(sorted({b for _, s in sets for b in s}))
     kind = "array<struct<start:int,end:int,minus:double,less:int,license:string,template:int>>"
 
-    def windows(b: Column, k: int, name: str, s: list[str], length: int) -> Column:
-        """Windows of bigrams ``b`` that reach the threshold with template ``k``."""
-        size, (need, _) = len(s), bounds(len(s), num, den)
+    def windows(b: Column, before: Column, k: int, name: str, s: list[str], length: int) -> Column:
+        """For each start, the best window of bigrams ``b`` that reaches the threshold with template ``k``.
+
+        The window grows bigram by bigram: one counts if it does not stand in
+        the window already, which its place ``before`` tells.
+        """
+        size = len(s)
+        need, _ = bounds(size, num, den)
         most = bounds(max(size, length), num, den)[1]
         own = literal(s)
 
-        def hit(start: Column, end: Column) -> Column:
-            part = F.slice(b, start, end - start + 1)
-            return let(F.struct(F.size(F.array_intersect(part, own)).alias("k"), F.size(F.array_distinct(part)).alias("n")),
-                       lambda x: F.when(2 * den * x["k"] >= num * (x["n"] + size), F.struct(
-                           start.alias("start"), end.alias("end"), (-(2 * x["k"] / (x["n"] + size))).alias("minus"),
-                           (-x["k"]).alias("less"), F.lit(name).alias("license"), F.lit(k).alias("template"))))
+        def grow(p: Column, start: Column) -> Column:
+            def step(acc: Column, i: Column) -> Column:
+                new = F.get(before, i - 1) < start
+                ours = F.get(p, i - 1)
+                n = acc["n"] + F.when(new, 1).otherwise(0)
+                k_ = acc["k"] + F.when(new & ours, 1).otherwise(0)
+                hit = F.struct(start.alias("start"), i.alias("end"), (-(2 * k_ / (n + size))).alias("minus"), (-k_).alias("less"),
+                               F.lit(name).alias("license"), F.lit(k).alias("template"))
+                reach = ours & (2 * den * k_ >= num * (n + size))
+                best = acc["best"]
+                better = reach & (best.isNull() | (-(2 * k_ / (n + size)) < best["minus"]))
+                return F.struct(n.alias("n"), k_.alias("k"), F.when(better, hit).otherwise(best).alias("best"))
+
+            zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(None).cast(kind[6:-1]).alias("best"))
+            ends = F.sequence(start, F.least(start + (most - 1), F.size(p)))
+            return F.aggregate(ends, zero, step, lambda acc: acc["best"])
 
-        def starting(p: Column, i: Column) -> Column:
-            start = F.element_at(p, i)
-            ends = F.filter(F.slice(p, i + (need - 1), max(1, most - need + 1)), lambda e: e - start < most)
-            return F.filter(F.transform(ends, lambda e: hit(start, e)), lambda x: x.isNotNull())
+        def of(p: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(1), F.size(p)), lambda i: F.get(p, i - 1))
+            # a window holds ``need`` different bigrams of the template, so as many places
+            last = F.greatest(F.lit(0), F.size(starts) - (need - 1))
+            return let(starts, lambda at: F.filter(F.transform(F.slice(at, F.lit(1), last), lambda i: grow(p, i)), lambda w: w.isNotNull()))
 
-        places = F.filter(F.sequence(F.lit(1), F.size(b)), lambda i: F.array_contains(own, F.element_at(b, i)))
-        return let(places, lambda p: F.when(F.size(p) >= need, F.flatten(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(p) - (need - 1))), lambda i: starting(p, i))))).cast(kind)
+        return let(F.transform(b, lambda x: F.array_contains(own, x)), of).cast(kind)
 
     def better(w: Column, now: Column) -> Column:
         return F.when(w["template"] == now["template"], w["minus"] < now["minus"]).otherwise(
@@ -212,8 +238,11 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, dice: t
     b = maybe.select(*keep, "_lines", F.when(F.col("_lines").isNotNull(), joined_bigrams(F.flatten("_lines"))).alias("_b"))
     hits = b.select(*keep, "_lines", "_b", F.array_intersect("_b", every).alias("_hits"))
     none = F.array().cast(kind)
+    # a row of its own, so that the places before are found once for all templates
+    hits = hits.select(*keep, "_lines", "_b", "_hits", F.inline(F.array(F.struct(
+        F.when(F.size("_hits") > 0, places_before(F.col("_b"))).alias("_before")))))
     tests = [F.when(F.size(F.array_intersect("_hits", literal(s))) >= bounds(len(s), num, den)[0],
-                    F.coalesce(windows(F.col("_b"), k, name, s, length), none)).otherwise(none)
+                    F.coalesce(windows(F.col("_b"), F.col("_before"), k, name, s, length), none)).otherwise(none)
              for k, ((name, s), length) in enumerate(zip(sets, lengths))]
     found = hits.select(*keep, "_lines", F.when(F.size("_hits") > 0, F.array_sort(F.flatten(F.array(*tests)))).alias("_found"))
     folded = found.select(*keep, "_lines", F.aggregate("_found", zero, step, lambda acc: F.struct(

@@ -91,31 +91,7 @@ def op3_minhash_fingerprints(spark, sf_dir):
 
 # --- op9 ----------------------------------------------------------------------------
 
-def _quote(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def licence_sql() -> str:
-    num, den = licenses.DICE
-    sets = ", ".join(f"({_quote(n)}, [{', '.join(map(_quote, s))}])" for n, s in licenses.template_sets())
-    return f"""
-WITH t(license, s) AS (VALUES {sets}),
-l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x,
-             generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents),
-w AS (SELECT doc_id, line, string_split(trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM l),
-b AS (SELECT doc_id, line, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
-                                ELSE w END AS b FROM w),
-m AS (SELECT doc_id, line, license, 2 * len(list_intersect(b, s)) AS twice, len(b) + len(s) AS total
-      FROM b, t WHERE {den} * 2 * len(list_intersect(b, s)) >= {num} * (len(b) + len(s))),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY twice / total DESC, line, license) AS k,
-             row_number() OVER (PARTITION BY doc_id, line ORDER BY license) AS j FROM m),
-n AS (SELECT doc_id, count(*) FILTER (WHERE j = 1) AS n FROM r GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_notices, r.license, coalesce(r.twice / r.total, 0.0) AS dice,
-       CAST(r.line AS BIGINT) AS line
-FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.doc_id = d.doc_id AND r.k = 1"""
-
-
-@register("op9_licence_dice", licence_sql())
+@register("op9_licence_dice")
 def op9_licence_dice(spark, sf_dir):
     """Licence notices of all documents (see ``licenses``)."""
     return licenses.scan(table(spark, sf_dir, "documents"))

@@ -36,6 +36,7 @@ END_ID = 2
 MEMO_PIECES = 1 << 19         # encoded pieces a worker remembers between chunks
 MAGIC = b"RTOKEF01"
 SAMPLE = 512                    # one select sample for so many values
+READ_DOCS = 1 << 12           # documents whose boundaries are decoded at once
 
 
 def default_path() -> str:
@@ -87,8 +88,8 @@ class EliasFano:
             at += -(-s // 8) * 8
         return cls(n, universe, width, parts[0], parts[1], parts[2].view(np.uint32)), at
 
-    def select(self, i: int) -> int:
-        """Value ``i`` without decoding the others."""
+    def _place(self, i: int) -> int:
+        """Bit number of the one of value ``i``, from the nearest sample."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         pos = int(self.samples[i // SAMPLE])
@@ -100,10 +101,30 @@ class EliasFano:
             bits[:skip] = 0
             ones = np.flatnonzero(bits)
             if want < len(ones):
-                return (byte * 8 + int(ones[want]) - i) << self.width | self._low(i)
+                return byte * 8 + int(ones[want])
             want -= len(ones)
             byte, skip = byte + 256, 0
 
+    def select(self, i: int) -> int:
+        """Value ``i`` without decoding the others."""
+        return (self._place(i) - i) << self.width | self._low(i)
+
+    def block(self, lo: int, hi: int) -> np.ndarray:
+        """Values ``lo`` .. ``hi`` - 1 as int64, decoding no others: select
+        finds the first and the last, and the bits between hold the rest."""
+        if hi <= lo:
+            return np.zeros(0, np.int64)
+        first, last = self._place(lo), self._place(hi - 1)
+        bits = np.unpackbits(self.high[first >> 3:(last >> 3) + 1], bitorder="little")
+        bits[:first & 7] = 0
+        ones = np.flatnonzero(bits)[:hi - lo] + (first >> 3) * 8
+        high = (ones - np.arange(lo, hi)).astype(np.int64) << self.width
+        if not self.width:
+            return high
+        a, z = lo * self.width, hi * self.width
+        low = np.unpackbits(self.low[a >> 3:(z + 7) >> 3], bitorder="little")[a & 7:][:z - a].reshape(hi - lo, self.width)
+        return high | low.astype(np.int64) @ (np.int64(1) << np.arange(self.width, dtype=np.int64))
+
     def _low(self, i: int) -> int:
         if not self.width:
             return 0
@@ -113,12 +134,7 @@ class EliasFano:
 
     def values(self) -> np.ndarray:
         """All values as int64."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n]
-        high = (ones - np.arange(self.n)).astype(np.int64) << self.width
-        if not self.width:
-            return high
-        bits = np.unpackbits(self.low, bitorder="little")[:self.n * self.width].reshape(self.n, self.width)
-        return high | bits.astype(np.int64) @ (np.int64(1) << np.arange(self.width, dtype=np.int64))
+        return self.block(0, self.n)
 
 
 # --- byte-level pieces ---------------------------------------------------------------
@@ -286,9 +302,11 @@ class Shard:
     def __getitem__(self, i: int) -> np.ndarray:
         return self.ids[self.bounds.select(i):self.bounds.select(i + 1)]
 
-    def doc_ids(self) -> list:
-        given = self.docs.values().view(np.uint64) + np.uint64(self.first % (1 << 64))
-        return [None] * self.nulls + given.view(np.int64).tolist()
+    def doc_ids(self, lo: int = 0, hi: int | None = None) -> list:
+        """Ids of the documents ``lo`` .. ``hi`` - 1; null ones come first."""
+        hi = self.n_docs if hi is None else hi
+        given = self.docs.block(max(lo - self.nulls, 0), max(hi - self.nulls, 0)).view(np.uint64) + np.uint64(self.first % (1 << 64))
+        return [None] * (min(hi, self.nulls) - min(lo, self.nulls)) + given.view(np.int64).tolist()
 
 
 # --- Spark operators -------------------------------------------------------------------
@@ -361,14 +379,13 @@ def read_tokens(folder: str, index: DataFrame) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 s = Shard(folder, row["name"])
-                at = s.bounds.values()
-                ids = s.doc_ids()
-                for lo in range(0, s.n_docs, 1 << 14):
-                    hi = min(lo + (1 << 14), s.n_docs)
-                    crc = [zlib.crc32(s.ids[at[i]:at[i + 1]].astype("<u4")) for i in range(lo, hi)]
+                for lo in range(0, s.n_docs, READ_DOCS):
+                    hi = min(lo + READ_DOCS, s.n_docs)
+                    at = s.bounds.block(lo, hi + 1)
+                    crc = [zlib.crc32(s.ids[i:j].astype("<u4")) for i, j in zip(at[:-1], at[1:])]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[lo:hi], pa.int64()), pa.array(at[lo:hi] + row["base"], pa.int64()),
-                         pa.array(np.diff(at[lo:hi + 1]), pa.int64()), pa.array(crc, pa.int64())],
+                        [pa.array(s.doc_ids(lo, hi), pa.int64()), pa.array(at[:-1] + row["base"], pa.int64()),
+                         pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = partitions(index.sparkSession)

@@ -1,4 +1,4 @@
-"""op1, op4 and op9: against DuckDB on the tables, and by hand on edge rows."""
+"""op1 and op4 against DuckDB on the tables; op1, op4 and op9 by hand on edge rows."""
 import math
 
 import duckdb
@@ -13,7 +13,7 @@ from rampart.llm import preference as P
 from rampart.llm import queries as Q
 
 
-@pytest.mark.parametrize("name", ["op1_raked_mixture", "op4_preference_pairs", "op8_tiled_topk", "op9_licence_dice"])
+@pytest.mark.parametrize("name", ["op1_raked_mixture", "op4_preference_pairs", "op8_tiled_topk"])
 def test_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "conversations"):

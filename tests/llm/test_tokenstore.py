@@ -18,6 +18,9 @@ def test_elias_fano_round_trip(values):
     assert e.values().tolist() == v
     for i in range(0, len(v), 37):
         assert e.select(i) == v[i]
+    for lo, hi in ((0, 0), (0, 1), (5, 40), (len(v) // 3, len(v)), (len(v) - 1, len(v))):
+        lo, hi = max(min(lo, len(v)), 0), min(hi, len(v))
+        assert e.block(lo, hi).tolist() == v[lo:hi]
     with pytest.raises(IndexError):
         e.select(len(v))
 
@@ -28,6 +31,13 @@ def test_elias_fano_is_small():
     assert size * 8 < len(v) * (2 + np.ceil(np.log2(v[-1] / len(v))) + 0.2)
 
 
+def test_files_are_read_in_blocks(spark, docs, rows, monkeypatch):
+    folder, index = T.write_tokens(docs)
+    whole = sorted(map(str, T.read_tokens(folder, index).collect()))
+    monkeypatch.setattr(T, "READ_DOCS", 3)
+    assert sorted(map(str, T.read_tokens(folder, index).collect())) == whole and len(whole) == len(rows)
+
+
 def check(spark, docs, rows):
     enc = T.Encoder(open(T.default_path()).read()).tok
     folder, index = T.write_tokens(docs)
