@@ -65,8 +65,7 @@ def percent_decode(url) -> Column:
     """
     u = _c(url)
     esc = F.regexp_replace(F.regexp_replace(u, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
-    high = esc.rlike("%[89A-Fa-f][0-9A-Fa-f]")      # few URLs have such bytes
-    return F.try_url_decode(F.when(high, F.regexp_replace(esc, ILL_FORMED, "$1" + REPLACEMENT)).otherwise(esc))
+    return F.try_url_decode(F.regexp_replace(esc, ILL_FORMED, "$1" + REPLACEMENT))
 
 
 def attack_flag(decoded, name: str) -> Column:
