@@ -24,6 +24,14 @@ triangle inequality to test as few pairs as possible:
     to every region whose pivot is at most twice the threshold farther away.
 
 Nothing is capped: a cell that no longer shrinks is joined in blocks.
+
+The number of links of a document needs all pairs that link, so it is counted
+once the components are known, each of which holds its links whole.  A
+component is a cell around its best linked node, and a large one splits into
+Voronoi regions as above.  A node is at home in one region, which holds all it
+links with.  There its links are the members in its window: two whose distances
+to the pivot add up to the threshold at most link without a test, the others
+are tested exactly.  Pairs are counted where they meet and never written.
 """
 
 from __future__ import annotations
@@ -44,6 +52,7 @@ CELL = 4096           # nodes of a cell that are joined in one task
 SPLIT = 16            # pivots of one split
 CHUNK = 1 << 20       # bytes of text shingled at once, about 40 times that in memory
 SPARE = 20            # one extra prefix shingle for so many in the set
+ITEMS = 1 << 21       # shingles of a side of a block whose links are counted in one task
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -302,11 +311,119 @@ def links(sets: DataFrame, num: int, den: int, cell: int = CELL) -> DataFrame:
     return found.union(rest).distinct()
 
 
-def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, cell: int = CELL) -> DataFrame:
+def split_homes(cells: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Voronoi regions of cells whose links are counted: (regions, cells that stay whole).
+
+    The pivots are the best linked member of each of ``SPLIT`` hash lanes.  A
+    member is at home in its nearest pivot's region if it was at home in the
+    cell, and a guest wherever the distance is within twice the threshold of
+    that.  A cell whose regions do not halve the pairs to look at stays whole.
+    """
+    lane = F.pmod(F.xxhash64("node", F.lit("split")), F.lit(SPLIT))
+    fresh = cells.groupBy("cell", lane.alias("lane")).agg(F.max_by("node", F.struct("degree", "node")).alias("b")).select("cell", "b")
+    pairs = cells.withColumnRenamed("node", "a").drop("d").join(fresh, "cell")
+    got = distances(pairs, sets).withColumn("d", distance())
+    nearest = F.min(F.struct("d", "b")).over(Window.partitionBy("cell", "a"))
+    regions = write_table(
+        got.withColumn("nearest", nearest).where(F.col("d") <= F.col("nearest.d") + 2 * (1 - num / den) + 1e-9)
+        .select("cell", F.concat_ws("/", "cell", "b").alias("region"), F.col("a").alias("node"), "n", "degree", "weight", "d",
+                (F.col("home") & (F.col("b") == F.col("nearest.b"))).alias("home")), "regions")
+    work = regions.groupBy("cell", "region").agg((F.count_if("home") * F.count(F.lit(1))).alias("pairs"))
+    work = work.groupBy("cell").agg(F.sum("pairs").alias("after"))
+    was = cells.groupBy("cell").agg((F.count_if("home") * F.count(F.lit(1))).alias("before"))
+    halved = write_table(was.join(work, "cell").where("2 * after <= before").select("cell"), "halved")
+    return (regions.join(halved, "cell", "left_semi").drop("cell").withColumnRenamed("region", "cell").select(*cells.columns),
+            cells.join(halved, "cell", "left_anti"))
+
+
+def block_counts(home: pd.DataFrame, members: pd.DataFrame, num: int, den: int) -> np.ndarray:
+    """Documents among ``members`` that each row of ``home`` links with; a node
+    that is its own member counts there too.
+
+    Members are sorted by distance to the pivot, so that a window is one run
+    of rows, and so is its part that needs no test.
+    """
+    t = 1 - num / den
+    b = members.sort_values(["d", "node"], ignore_index=True)
+    d, n, weight = (b[c].to_numpy() for c in ("d", "n", "weight"))
+    before, at = np.r_[0, np.cumsum(weight)], np.r_[0, np.cumsum(n)]
+    known, code = np.unique(np.concatenate(b["items"].to_list()), return_inverse=True)
+    mark = np.zeros(len(known), np.int32)
+    out = np.zeros(len(home), np.int64)
+    for i, r in enumerate(home.itertuples(index=False)):
+        lo, hi = np.searchsorted(d, [r.d - t - 1e-9, r.d + t + 1e-9])
+        sure = min(max(np.searchsorted(d, t - r.d - 1e-9), lo), hi)
+        out[i] = before[sure] - before[lo]
+        if sure < hi:
+            place = np.minimum(np.searchsorted(known, r.items), len(known) - 1)
+            place = place[known[place] == r.items]
+            mark[place] = 1
+            both = np.add.reduceat(mark[code[at[sure]:at[hi]]], at[sure:hi] - at[sure], dtype=np.int64)
+            mark[place] = 0
+            out[i] += weight[sure:hi][den * both >= num * (r.n + n[sure:hi] - both)].sum()
+    return out
+
+
+def home_counts(cells: DataFrame, sets: DataFrame, num: int, den: int, cell: int) -> DataFrame:
+    """(node, found): linked documents of each node at home, itself included.
+
+    A cell is dealt to blocks of about ``cell`` rows and ``ITEMS`` shingles at
+    most on either side; each task counts one block of homes in one of members.
+    """
+    def blocks(rows, items):
+        return F.greatest(F.lit(1), F.ceil(rows / F.lit(cell)), F.ceil(items / F.lit(ITEMS))).cast("int")
+
+    sizes = cells.groupBy("cell").agg(blocks(F.count_if("home"), F.sum(F.when(F.col("home"), F.col("n")).otherwise(0))).alias("us"),
+                                      blocks(F.count(F.lit(1)), F.sum("n")).alias("vs"))
+    rows = cells.join(sizes, "cell").join(sets.select("node", "items"), "node")
+    h = F.xxhash64("node", F.lit("block"))
+    every = {"us": F.sequence(F.lit(0), F.col("us") - 1), "vs": F.sequence(F.lit(0), F.col("vs") - 1)}
+    homes = rows.where("home").withColumn("u", F.pmod(h, F.col("us")).cast("int")).withColumn("v", F.explode(every["vs"]))
+    guests = rows.withColumn("v", F.pmod(h, F.col("vs")).cast("int")).withColumn("u", F.explode(every["us"]))
+    cols = ["cell", "u", "v", "node", "n", "weight", "d", "items"]
+    both = homes.select(*cols, F.lit(True).alias("asks")).union(guests.select(*cols, F.lit(False).alias("asks")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        home, members = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        if home.empty or members.empty:
+            return pd.DataFrame({"node": [], "found": []}, dtype="int64")
+        return pd.DataFrame({"node": home["node"].to_numpy(), "found": block_counts(home, members, num, den)})
+
+    both = both.repartition(partitions(cells.sparkSession), "cell", "u", "v")
+    got = both.groupBy("cell", "u", "v").applyInPandas(run, "node bigint, found bigint")
+    return got.groupBy("node").agg(F.sum("found").alias("found"))
+
+
+def link_counts(sets: DataFrame, edges: DataFrame, comps: DataFrame, weights: DataFrame, num: int, den: int,
+                cell: int = CELL) -> DataFrame:
+    """(node, found): documents that a document of the node links with, itself
+    included, for all nodes of ``comps``; ``weights`` has the documents of each node."""
+    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    nodes = write_table(comps.join(degree, "node").join(weights, "node"), "linked")
+    centre = nodes.groupBy("component").agg(F.max_by("node", F.struct("degree", "node")).alias("b"))
+    cells = write_table(distances(nodes.withColumnRenamed("node", "a").join(centre, "component"), sets)
+                        .select(F.col("component").cast("string").alias("cell"), F.col("a").alias("node"), F.col("na").alias("n"),
+                                "degree", "weight", distance().alias("d"), F.lit(True).alias("home")), "homes")
+    done = []
+    while True:
+        large = write_table(cells.groupBy("cell").count().where(F.col("count") > cell).select("cell"), "large")
+        if large.isEmpty():
+            break
+        done.append(cells.join(large, "cell", "left_anti"))
+        regions, whole = split_homes(cells.join(large, "cell", "left_semi"), sets, num, den)
+        done.append(whole)
+        cells = write_table(regions, "homes")
+    for more in done:
+        cells = cells.union(more)
+    return home_counts(cells, sets, num, den, cell)
+
+
+def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, cell: int = CELL, count: bool = False) -> DataFrame:
     """Link documents whose shingle sets have a Jaccard similarity of at least num/den.
 
     Returns doc_id, n_shingles and component_id (the smallest doc_id
-    reachable by links) for every row with an id.  A null or empty text, or
+    reachable by links) for every row with an id, and with ``count`` also
+    links, the number of other rows that the row links with.  A null or empty text, or
     one without words, has no shingles and links with nothing; equal sets
     link; repeated rows are returned as often as they come; rows without an
     id are left out; other columns are ignored; an empty table gives an empty
@@ -316,11 +433,19 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, cell: i
     sigs = write_table(signatures(docs, words, num, den), "signatures")
     alive = write_table(survivors(sigs, num, den), "survivors")
     sets = write_table(full_sets(docs.join(bounded_broadcast(alive), "doc_id"), words).dropDuplicates(["node"]), "sets")
-    comps = connected_components(links(sets, num, den, cell))
-    plain = sigs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
+    edges = links(sets, num, den, cell)
+    if count:
+        edges = write_table(edges, "links")
+    comps = connected_components(edges)
+    plain = sigs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("weight"))
     group = plain.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     label = group.groupBy("component").agg(F.min("first").alias("component_id"))
-    label = group.join(label, "component").select("node", "component_id")
-    return (sigs.select("doc_id", "n", "node").join(label, "node", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    label = group.join(label, "component").select("node", "component_id", "weight")
+    cols = [F.col("n").alias("n_shingles"),
+            F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    if count:
+        # a node without links to other nodes has its own documents only
+        found = link_counts(sets, edges, comps, plain.select("node", "weight"), num, den, cell)
+        label = label.join(found, "node", "left")
+        cols.append(F.when(F.col("n") > 0, F.coalesce("found", "weight") - 1).otherwise(0).cast("bigint").alias("links"))
+    return sigs.select("doc_id", "n", "node").join(label, "node", "left").select("doc_id", *cols)

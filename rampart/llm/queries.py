@@ -79,8 +79,8 @@ def op6_quality_network(spark, sf_dir):
 
 @register("op7_jaccard_regions")
 def op7_jaccard_regions(spark, sf_dir):
-    """Documents linked at a Jaccard similarity of 0.85 over 4-word shingles (see ``jaccard``)."""
-    return jaccard.join(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+    """Documents linked at a Jaccard similarity of 0.85 over 4-word shingles, and their links (see ``jaccard``)."""
+    return jaccard.join(table(spark, sf_dir, "documents"), words=4, num=85, den=100, count=True)
 
 
 @register("op3_minhash_fingerprints")

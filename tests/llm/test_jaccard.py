@@ -19,6 +19,7 @@ def shingles(text, k):
 def brute(rows, k, num, den):
     sets = [shingles(t, k) for _, t in rows]
     parent = list(range(len(rows)))
+    links = [0] * len(rows)
 
     def find(x):
         while parent[x] != x:
@@ -31,10 +32,12 @@ def brute(rows, k, num, den):
                 both = len(sets[i] & sets[j])
                 if both * den >= num * (len(sets[i]) + len(sets[j]) - both):
                     parent[find(i)] = find(j)
+                    links[i] += 1
+                    links[j] += 1
     least = {}
     for i, (d, _) in enumerate(rows):
         least[find(i)] = min(d, least.get(find(i), d))
-    return sorted((d, len(sets[i]), least[find(i)] if sets[i] else d) for i, (d, _) in enumerate(rows))
+    return sorted((d, len(sets[i]), least[find(i)] if sets[i] else d, links[i]) for i, (d, _) in enumerate(rows))
 
 
 def corpus(seed):
@@ -70,17 +73,28 @@ def corpus(seed):
 def test_equals_brute_force(spark, seed, words, num, cell):
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    got = sorted(map(tuple, J.join(df, words, num, 100, cell).collect()))
+    got = sorted(map(tuple, J.join(df, words, num, 100, cell, count=True).collect()))
     assert got == brute(rows, words, num, 100)
 
 
+def test_link_counts_over_blocks_of_items(spark, monkeypatch):
+    """Blocks cut by shingles and by rows, repeated rows, and no count unless asked for."""
+    monkeypatch.setattr(J, "ITEMS", 300)
+    rows = corpus(3)
+    rows += rows[90:100] * 4
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = brute(rows, 4, 85, 100)
+    assert sorted(map(tuple, J.join(df, 4, 85, 100, 20, count=True).collect())) == want
+    assert J.join(df, 4, 85, 100).columns == ["doc_id", "n_shingles", "component_id"]
+
+
 def test_messy_rows(spark, docs, rows):
-    got = sorted(map(tuple, J.join(docs).collect()))
+    got = sorted(map(tuple, J.join(docs, count=True).collect()))
     assert got == brute([(r[0], r[1]) for r in rows if r[0] is not None], 4, 85, 100)
 
 
 def test_empty_table(no_docs):
-    assert J.join(no_docs).collect() == []
+    assert J.join(no_docs, count=True).collect() == []
 
 
 def test_components_of_chains_and_stars(spark):
