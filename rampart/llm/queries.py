@@ -43,16 +43,16 @@ def op10_token_files(spark, sf_dir):
 
 OP8_SQL = """
 WITH c AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS code
-  FROM (SELECT vec_id, min(embedding) AS embedding FROM embeddings
-        WHERE vec_id IS NOT NULL AND len(embedding) > 0
-          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-        GROUP BY vec_id) t),
+  SELECT row_number() OVER () AS id, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS code
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.id, q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_sum(list_transform(list_zip(q.code, c.code), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM c AS q, c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  FROM c AS q, c WHERE q.vec_id % 50 = 0 AND c.id <> q.id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 

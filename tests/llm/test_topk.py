@@ -9,17 +9,13 @@ from rampart.llm import topk as K
 
 
 def brute(rows, k=5):
-    ok = {}
-    for i, v in rows:
-        if i is None or not v or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        ok[i] = min(ok.get(i, v), v)
-    code = {i: [math.floor(256 * x) for x in v] for i, v in ok.items()}
+    code = [(i, [math.floor(256 * x) for x in v]) for i, v in rows
+            if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in code:
+    for at, (q, own) in enumerate(code):
         if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(code[q], code[c])), c) for c in code
-                          if c != q and len(code[c]) == len(code[q]))[:k]
+            best = sorted((-sum(a * b for a, b in zip(own, v)), c) for j, (c, v) in enumerate(code)
+                          if j != at and len(v) == len(own))[:k]
             out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
     return sorted(out)
 
@@ -32,7 +28,8 @@ def rows():
     out += [(1000 + i, same) for i in range(60)]                       # ties
     out += [(500, None), (550, [1.0, None] + [0.0] * 6), (600, [float("nan")] + [0.0] * 7), (650, [float("inf")] + [0.0] * 7),
             (700, []), (None, same), (750, [1.0, 2.0]), (751, [0.5, 0.5]), (800, [1e6] * 8), (801, [-1e6] * 8)]
-    return out + out[5:9] + [(50, [9.0] * 8)]                          # repeated rows, one id with two vectors
+    # repeated rows, one id with two vectors, a query that comes three times, a vector that comes often
+    return out + out[5:9] + [(50, [9.0] * 8)] + [out[100]] * 2 + [(50, [9.0] * 8)] + [(77, [8.0] * 8)] * 9
 
 
 def test_equals_full_sort(spark, rows, monkeypatch):
