@@ -77,21 +77,28 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
                        *[c for k in side for c in (render(F.col(k)).alias(k), mask(F.col(k)).alias(f"{k}_mask"))])
 
 
-def swapped_replies(conversations: DataFrame) -> DataFrame:
-    """Pairs from plain conversations: each conversation up to its last
-    assistant turn is chosen; the rejected one ends with the last assistant
-    turn of the next conversation (by conv_id; the first follows the last).
-
+def crossed_replies(conversations: DataFrame) -> DataFrame:
+    """Pairs from plain conversations: each whole conversation is chosen; in
+    the rejected one the assistant says from some turn on what it says in the
+    next conversation (by conv_id; the first follows the last).
+
+    Replies are numbered from 0, and those from number ``conv_id`` modulo
+    their count on are replaced by the next conversation's of the same number,
+    taken around if it has fewer.  All other turns stay, later ones included.
     Conversations without an assistant turn make no pair.
     """
-    at = F.array_max(F.transform(F.col("turns"), lambda t, i: F.when(t["role"] == TRAINED, i + 1)))
-    rows = turns(conversations).withColumn("at", at).where("at IS NOT NULL")
-    rows = rows.select("conv_id", F.slice("turns", F.lit(1), F.col("at")).alias("chosen"),
-                       F.element_at("turns", F.col("at")).alias("reply"))
-    near = with_next(rows, "conv_id", [], ["reply"])
-    before = F.slice("chosen", F.lit(1), F.size("chosen") - 1)
-    return near.select(F.col("conv_id").alias("pair_id"), "chosen",
-                       F.concat(before, F.array("next_reply")).alias("rejected"))
+    rows = turns(conversations).withColumn("places", F.filter(
+        F.transform("turns", lambda t, i: F.when(t["role"] == TRAINED, i)), lambda i: i.isNotNull()))
+    rows = rows.where(F.size("places") > 0).withColumn("replies", F.transform("places", lambda i: F.get("turns", i)["text"]))
+    near = with_next(rows, "conv_id", [], ["replies"])
+    start = F.pmod("conv_id", F.size("replies"))
+
+    def other(t: Column, i: Column) -> Column:
+        number = F.array_position("places", i) - 1                  # -1: not the assistant's
+        text = F.get("next_replies", F.pmod(number, F.size("next_replies")).cast("int"))
+        return F.when(number >= start, F.struct(t["role"].alias("role"), text.alias("text"))).otherwise(t)
+
+    return near.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.transform("turns", other).alias("rejected"))
 
 
 def mask_text(spans: Column) -> Column:

@@ -104,28 +104,36 @@ def preference_sql() -> str:
         return (f"array_to_string(list_transform({ts}, lambda t: '{preference.START}' || t.role || chr(10) || t.text || "
                 f"'{preference.END}' || chr(10)), '')")
 
-    # a pair's sides differ in their last turn at most, so a completion is that one reply
-    head = len(preference.START) + 1 + len(preference.TRAINED)
+    start, end, who = len(preference.START) + 1, len(preference.END), preference.TRAINED
+
+    def mask(side):
+        at = (f"coalesce(list_sum(list_transform(range(k + 1, i), lambda j: {start + end + 1} + length({side}[j].role) + "
+              f"length({side}[j].text))), 0) + {start} + length({side}[i].role)")
+        return (f"array_to_string(list_transform(list_filter(range(k + 1, len({side}) + 1), lambda i: {side}[i].role = '{who}'), "
+                f"lambda i: CAST(CAST({at} AS BIGINT) AS VARCHAR) || '-' || CAST(CAST({at} + length({side}[i].text) + {end} AS BIGINT) AS VARCHAR)), ',')")
+
     return f"""
 WITH c AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS turns
            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-p AS (SELECT conv_id, turns, list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = '{preference.TRAINED}')) AS k FROM c),
-q AS (SELECT conv_id, turns[1:k] AS chosen, turns[k].text AS reply FROM p WHERE k IS NOT NULL),
-n AS (SELECT *, coalesce(lead(reply) OVER (ORDER BY conv_id), first(reply) OVER (ORDER BY conv_id)) AS next_reply FROM q),
-s AS (SELECT *, reply = next_reply AS same FROM n)
-SELECT conv_id AS pair_id, CAST(len(chosen) - CASE WHEN same THEN 0 ELSE 1 END AS INTEGER) AS n_prefix,
-       {render('chosen[1:len(chosen) - CASE WHEN same THEN 0 ELSE 1 END]')} AS prompt,
-       CASE WHEN same THEN '' ELSE '{preference.START}{preference.TRAINED}' || chr(10) || reply || '{preference.END}' || chr(10) END AS chosen,
-       CASE WHEN same THEN '' ELSE '{head}-' || CAST({head + len(preference.END)} + length(reply) AS VARCHAR) END AS chosen_mask,
-       CASE WHEN same THEN '' ELSE '{preference.START}{preference.TRAINED}' || chr(10) || next_reply || '{preference.END}' || chr(10) END AS rejected,
-       CASE WHEN same THEN '' ELSE '{head}-' || CAST({head + len(preference.END)} + length(next_reply) AS VARCHAR) END AS rejected_mask
+p AS (SELECT *, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = '{who}') AS places FROM c),
+q AS (SELECT *, list_transform(places, lambda i: turns[i].text) AS replies FROM p WHERE len(places) > 0),
+n AS (SELECT *, coalesce(lead(replies) OVER (ORDER BY conv_id), first(replies) OVER (ORDER BY conv_id)) AS next_replies,
+             (conv_id % len(replies) + len(replies)) % len(replies) AS start FROM q),
+r AS (SELECT conv_id, turns AS chosen, list_transform(range(1, len(turns) + 1), lambda i:
+        CASE WHEN coalesce(list_position(places, i), 0) > start
+             THEN {{'role': turns[i].role, 'text': next_replies[(list_position(places, i) - 1) % len(next_replies) + 1]}}
+             ELSE turns[i] END) AS rejected FROM n),
+s AS (SELECT *, coalesce(list_min(list_filter(range(1, len(chosen) + 1), lambda i: chosen[i].text <> rejected[i].text)), len(chosen) + 1) - 1 AS k FROM r)
+SELECT conv_id AS pair_id, CAST(k AS INTEGER) AS n_prefix, {render('chosen[1:k]')} AS prompt,
+       {render('chosen[k + 1:]')} AS chosen, {mask('chosen')} AS chosen_mask,
+       {render('rejected[k + 1:]')} AS rejected, {mask('rejected')} AS rejected_mask
 FROM s"""
 
 
 @register("op4_preference_pairs", preference_sql())
 def op4_preference_pairs(spark, sf_dir):
-    """All conversations as chosen, each against the next one's reply (see ``preference``)."""
-    pairs = preference.swapped_replies(table(spark, sf_dir, "conversations"))
+    """All conversations as chosen, each against one that parts from it at some reply (see ``preference``)."""
+    pairs = preference.crossed_replies(table(spark, sf_dir, "conversations"))
     done = preference.format_pairs(pairs)
     return done.select("pair_id", "n_prefix", "prompt", "chosen", preference.mask_text(F.col("chosen_mask")).alias("chosen_mask"),
                        "rejected", preference.mask_text(F.col("rejected_mask")).alias("rejected_mask"))

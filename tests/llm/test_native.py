@@ -116,7 +116,18 @@ def test_conversations_with_nulls_and_ties(spark):
     got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in P.turns(df).collect()}
     assert got == {1: [("system", ""), ("user", "a"), ("assistant", "b")], 2: [("", "q"), ("assistant", "r")],
                    3: [("user", "only")], 4: [("assistant", "b")] * 2}
-    pairs = {r["pair_id"]: r["rejected"][-1]["text"] for r in P.swapped_replies(df).collect()}
+    pairs = {r["pair_id"]: r["rejected"][-1]["text"] for r in P.crossed_replies(df).collect()}
     assert pairs == {1: "r", 2: "b", 4: "b"}
-    assert P.swapped_replies(df.limit(0)).collect() == []
+    assert P.crossed_replies(df.limit(0)).collect() == []
     assert math.isfinite(len(P.START))
+
+
+def test_sides_part_at_any_reply_and_keep_later_turns(spark):
+    rows = [(c, i, "assistant" if i % 2 else "user", f"{c}:{i}") for c, n in ((5, 7), (6, 6), (7, 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r["pair_id"]: [t["text"] for t in r["rejected"]] for r in P.crossed_replies(df).collect()}
+    assert got == {5: ["5:0", "5:1", "5:2", "5:3", "5:4", "6:5", "5:6"], 6: ["6:0", "7:1", "6:2", "7:1", "6:4", "7:1"],
+                   7: ["7:0", "5:1", "7:2"]}
+    done = {r["pair_id"]: r for r in P.format_pairs(P.crossed_replies(df)).collect()}
+    assert {i: r["n_prefix"] for i, r in done.items()} == {5: 5, 6: 1, 7: 1}
+    assert [done[6]["rejected"][m["start"]:m["end"]] for m in done[6]["rejected_mask"]] == ["7:1" + P.END] * 3
