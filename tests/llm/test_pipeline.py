@@ -43,7 +43,7 @@ def test_quality_and_language_stages(spark, stages):
 
 def test_dedup_stage(stages):
     rows = [(r["doc_id"], r["text"]) for r in stages[2].collect()]
-    want = sorted(d for d, _, c in brute(rows, 5, 80, 100) if d == c)
+    want = sorted(d for d, _, c, _ in brute(rows, 5, 80, 100) if d == c)
     assert ids(stages[3]) == want
 
 
