@@ -39,6 +39,17 @@ def codes(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
             .groupBy("vec_id", "code").agg(F.count(F.lit(1)).alias("copies")))
 
 
+def packed_ints(mat: np.ndarray) -> bytes:
+    """Integers in the narrowest type that holds them all; ``unpacked`` reads them back."""
+    low, high = int(mat.min()), int(mat.max())
+    width = next(w for w in (1, 2, 4, 8) if -1 << 8 * w - 1 <= low and high < 1 << 8 * w - 1)
+    return bytes([width]) + mat.astype(f"<i{width}").tobytes()
+
+
+def unpacked(buf: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(buf, f"<i{buf[0]}", offset=1).reshape(rows, -1).astype(np.int64)
+
+
 def tiles(coded: DataFrame, rows: int, out: str, n: int) -> DataFrame:
     """Pack codes into tiles of at most ``rows`` rows of one dimension; ids and
     copies are the two columns of a tile's ``ids``."""
@@ -51,7 +62,7 @@ def tiles(coded: DataFrame, rows: int, out: str, n: int) -> DataFrame:
             ids, mat = np.concatenate(ids), np.concatenate(mats)
             return pa.RecordBatch.from_arrays(
                 [pa.array([dim], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()),
-                 pa.array([mat.astype("<i8").tobytes()], pa.binary())], ["dim", f"{out}_ids", out])
+                 pa.array([packed_ints(mat)], pa.binary())], ["dim", f"{out}_ids", out])
 
         for b in batches:
             ids = np.stack([b.column("vec_id").to_numpy(), b.column("copies").to_numpy()], 1)
@@ -131,14 +142,15 @@ def search(vectors: DataFrame, is_query, k: int = TOP, vec_id: str = "vec_id", v
             for i in range(b.num_rows):
                 row = {name: b.column(j)[i].as_py() for j, name in enumerate(b.schema.names)}
                 q_ids, c_ids = (np.frombuffer(row[x], "<i8").reshape(-1, 2) for x in ("q_ids", "c_ids"))
-                a, x, s = best_of_tile(q_ids, np.frombuffer(row["q"], "<i8").reshape(len(q_ids), -1),
-                                       c_ids, np.frombuffer(row["c"], "<i8").reshape(len(c_ids), -1), k)
+                a, x, s = best_of_tile(q_ids, unpacked(row["q"], len(q_ids)), c_ids, unpacked(row["c"], len(c_ids)), k)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(a), row["q_tile"], np.int64)), pa.array(a, pa.int64()), pa.array(q_ids[a, 0]),
                      pa.array(q_ids[a, 1]), pa.array(np.full(len(a), row["c_tile"], np.int64)), pa.array(x), pa.array(s)],
                     ["q_tile", "place", "query_id", "copies", "node", "vec_id", "score"])
 
-    blocks = lanes.join(copies, ["dim", "lane"]).select("q_tile", "q_ids", "q", "c_tile", "c_ids", "c")
+    # a merge join: the planner sees the size of the query tiles before they are
+    # copied to the lanes, and would broadcast all copies through the driver
+    blocks = lanes.hint("merge").join(copies, ["dim", "lane"]).select("q_tile", "q_ids", "q", "c_tile", "c_ids", "c")
     best = blocks.mapInArrow(product, "q_tile bigint, place bigint, query_id bigint, copies bigint, node bigint, "
                                       "vec_id bigint, score bigint")
     return merge_tree(best, k, n)

@@ -43,3 +43,20 @@ def test_equals_full_sort(spark, rows, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert K.search(df, F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_query_tiles_are_not_broadcast(spark, rows):
+    """The copies of the query tiles go to the lanes by a shuffle, never through the driver."""
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    found = K.search(df, F.pmod("vec_id", F.lit(50)) == 0)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("values, width", [([-128, 127], 1), ([-129, 0], 2), ([0, 128], 2), ([40000, -1], 4), ([2 ** 31, 0], 8),
+                                           ([2 ** 63 - 1, -2 ** 63], 8)])
+def test_tiles_keep_every_integer(values, width):
+    mat = np.array([values, values[::-1]], np.int64)
+    buf = K.packed_ints(mat)
+    assert len(buf) == 1 + 4 * width and (K.unpacked(buf, 2) == mat).all()
