@@ -149,14 +149,21 @@ def failures_per_second(rows: DataFrame, failure: Column | None, ts: str = "Time
             .groupBy(col, sec.alias("sec")).agg(F.count(F.lit(1)).alias("n")))
 
 
-def first_bans(per_sec: DataFrame, findtime: int, maxretry: int, col: str = ADDR) -> DataFrame:
+def first_bans(per_sec: DataFrame, findtime: int, maxretry: int, col: str = ADDR, parts: int | None = None) -> DataFrame:
     """``(address, ban_sec)``: the first second whose window of ``findtime``
-    holds ``maxretry`` of the counted failures."""
+    holds ``maxretry`` of the counted failures.
+
+    ``parts`` is the number of tasks that share the (address, bucket) windows;
+    without it the planner takes one.  An input dealt by address would
+    otherwise keep all buckets of its addresses in their tasks.
+    """
     b = F.floor(F.col("sec") / findtime)
     # each per-second row goes to its own bucket and, as context, to the next
     copies = F.array(F.struct(b.alias("b"), F.lit(True).alias("own")),
                      F.struct((b + 1).alias("b"), F.lit(False).alias("own")))
     both = per_sec.select(col, "sec", "n", F.inline(copies))
+    if parts:
+        both = both.repartition(parts, col, "b")
     w = Window.partitionBy(col, "b").orderBy("sec").rangeBetween(-findtime, 0)
     counted = both.withColumn("cnt", F.sum("n").over(w))
     return counted.where(F.col("own") & (F.col("cnt") >= maxretry)).groupBy(col).agg(F.min("sec").alias("ban_sec"))

@@ -28,6 +28,7 @@ from rampart.sinks import write_batch
 
 SPAN = 16                   # buckets of one partition folder
 MERGE = 32                  # micro-batches whose counts are merged into one table
+TASK_ROWS = 100_000         # counts that one task holds, about
 
 __all__ = ["RateBans", "ban_times", "start_rate_ban"]
 
@@ -81,9 +82,12 @@ class RateBans:
         if seen["low"] is not None:
             low, high = (int(seen[k]) // self.findtime for k in ("low", "high"))
             near = self._counts(batch_id, low - 1, high + 1)
-            near = near.join(delta.select(self.col).distinct(), self.col, "left_semi")
-            per_sec = near.groupBy(self.col, "sec").agg(F.sum("n").alias("n"))
-            write_batch(first_bans(per_sec, self.findtime, self.maxretry, self.col), self.out, batch_id)
+            # dealt by (address, bucket), to as many tasks as the counts need:
+            # the join deals by address, which would hold all its buckets
+            parts = 1 + near.count() // TASK_ROWS
+            near = near.join(delta.select(self.col).distinct(), self.col, "left_semi").repartition(parts, self.col, "bucket")
+            per_sec = near.groupBy(self.col, "bucket", "sec").agg(F.sum("n").alias("n"))
+            write_batch(first_bans(per_sec, self.findtime, self.maxretry, self.col, parts), self.out, batch_id)
         now = [int(x) for x in (latest, seen["high"]) if x is not None and x != ""]
         put_text(self.spark, f"{self.state}/latest/{batch_id}", str(max(now)) if now else "")
         delete_path(self.spark, f"{self.state}/latest/{batch_id - 2}")

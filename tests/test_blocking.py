@@ -168,3 +168,22 @@ def test_outside_whitelist_equals_batch(spark):
     wl = spark.createDataFrame([("10.0.0.0/14",), ("10.2.1.0/24",), ("10.3.3.128/25",), ("::1",), ("10.3.0.7",), ("bad/99",)], "entry STRING")
     got = sorted(r[0] for r in B.outside_whitelist(df, wl).collect())
     assert got == sorted(r[0] for r in B.exclude_whitelisted(df, wl).collect()) and got
+
+
+def test_rate_ban_windows_are_dealt_by_bucket(spark, tmpdir_path, monkeypatch):
+    """Counts that come dealt by address do not keep all buckets of an address
+    in one task, and the stream deals its counts to as many tasks as they need."""
+    from rampart.streaming import rateban
+    per_sec = spark.range(0, 4000, 10).select(F.lit("hot").alias("RemoteAddress"), F.col("id").alias("sec"), F.lit(1).alias("n"))
+    bans = B.first_bans(per_sec.repartition(3, "RemoteAddress"), 60, 5, parts=7)
+    assert [tuple(r) for r in bans.collect()] == [("hot", 40)]
+    assert "REPARTITION_BY_NUM" in bans._jdf.queryExecution().executedPlan().toString().split("Window")[-1]
+    dealt = []
+    first = rateban.first_bans
+    monkeypatch.setattr(rateban, "TASK_ROWS", 50)
+    monkeypatch.setattr(rateban, "first_bans", lambda *a: dealt.append(a[4]) or first(*a))
+    rows = spark.createDataFrame(_failures(random.Random(2), 400, datetime(2024, 1, 1), 4000), "RemoteAddress STRING, TimeLocal TIMESTAMP_NTZ")
+    rows.repartition(2).write.parquet(tmpdir_path + "/in")
+    got = _stream_bans(spark, rows.schema, tmpdir_path + "/in", tmpdir_path)
+    assert got == {r[0]: r[1] for r in B.rate_ban(rows, None, 600, 5).collect()}
+    assert len(dealt) == 2 and dealt[0] >= 4 and dealt[1] > dealt[0]
