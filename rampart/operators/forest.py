@@ -111,6 +111,10 @@ def _build_one(pdf: pd.DataFrame, fcols: list[str], psi: int, seed: int) -> pd.D
     return out.astype({"tree": "int32", "node": "int32", "feat": "int32", "l": "int32", "r": "int32"})
 
 
+# Rows that walk all trees at once: their places fit the processor's cache.
+SCORE_ROWS = 256
+
+
 @dataclass
 class Forest:
     """Node arrays ``(T, max_nodes)`` plus the fit parameters."""
@@ -163,6 +167,7 @@ class Forest:
     def __getstate__(self):
         state = dict(self.__dict__)
         state.pop("_bc", None)
+        state.pop("_flat", None)
         state.pop("nodes", None)          # executors need only the arrays
         return state
 
@@ -170,21 +175,37 @@ class Forest:
         state.setdefault("nodes", pd.DataFrame())
         self.__dict__.update(state)
 
+    def _flat_nodes(self) -> tuple:
+        """Features, thresholds, children, paths over all trees in one array each,
+        and the depth; a leaf is its own child, ``kids`` are (right, left) pairs."""
+        flat = self.__dict__.get("_flat")
+        if flat is None:
+            inner = self.feat >= 0
+            here = np.arange(self.feat.size).reshape(self.feat.shape)
+            first = here[:, :1]
+            kids = np.stack([np.where(inner, first + self.right, here), np.where(inner, first + self.left, here)], -1).ravel()
+            depth, node = 0, here[:, 0]
+            while inner.ravel()[node].any():
+                depth, node = depth + 1, np.unique(kids.reshape(-1, 2)[node])
+            flat = (np.where(inner, self.feat, 0).ravel(), self.thr.ravel(), kids, self.path.ravel(), depth)
+            self.__dict__["_flat"] = flat
+        return flat
+
     def raw_scores(self, X: np.ndarray) -> np.ndarray:
         """``-2 ** (-mean path / c(psi))`` for the rows of ``X``."""
-        n = X.shape[0]
-        trees = np.arange(self.n_trees)[:, None]
-        node = np.zeros((self.n_trees, n), dtype=np.int64)
-        cols = np.arange(n)[None, :]
-        for _ in range(self.feat.shape[1]):
-            f = self.feat[trees, node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            xv = X[cols, np.maximum(f, 0)]
-            nxt = np.where(xv <= self.thr[trees, node], self.left[trees, node], self.right[trees, node])
-            node = np.where(inner, nxt, node)
-        mean_path = self.path[trees, node].mean(axis=0)
+        feat, thr, kids, path, depth = self._flat_nodes()
+        n, width = X.shape
+        values = np.ascontiguousarray(X).ravel()
+        roots = (np.arange(self.n_trees) * self.feat.shape[1])[:, None]
+        paths = np.empty((self.n_trees, n))
+        for lo in range(0, n, SCORE_ROWS):
+            row = (np.arange(lo, min(n, lo + SCORE_ROWS)) * width)[None, :]
+            node = np.repeat(roots, row.shape[1], axis=1)
+            for _ in range(depth):
+                down = values.take(row + feat.take(node)) <= thr.take(node)
+                node = kids.take(2 * node + down)
+            paths[:, lo:lo + SCORE_ROWS] = path.take(node)
+        mean_path = paths.mean(axis=0)
         return -np.power(2.0, -mean_path / c_factor(self.psi))
 
 

@@ -102,3 +102,29 @@ def test_score_checks_features_and_refit_options(spark):
     assert refit.count() == 300
     with pytest.raises(ValueError):
         DT.score(df.drop("token", "URL"), model)
+
+
+def test_scores_walk_every_tree_in_blocks_of_rows(monkeypatch):
+    """Rows in blocks, NaN and single-leaf trees: the scores of a walk node by node."""
+    rng = np.random.default_rng(4)
+    feat, thr, left, right, path = (np.zeros((3, 5), t) for t in ("i4", "f8", "i4", "i4", "f8"))
+    feat[:] = -1
+    feat[0, 0], left[0, 0], right[0, 0], path[0, 1:3] = 1, 1, 2, (1.5, 2.5)
+    feat[1, [0, 2]], thr[1, [0, 2]], left[1, [0, 2]], right[1, [0, 2]], path[1] = (0, 1), (0.3, -0.2), (1, 3), (2, 4), (0, 1, 0, 4, 2)
+    path[2, 0] = 3.25
+    forest = FR.Forest(feat, thr, left, right, path, 150, 0, ["a", "b"])
+    X = rng.normal(size=(10, 2))
+    X[3, 1] = np.nan
+
+    def leaf(tree, x):
+        node = 0
+        while feat[tree, node] >= 0:
+            node = (left if x[feat[tree, node]] <= thr[tree, node] else right)[tree, node]
+        return path[tree, node]
+
+    want = [-2.0 ** (-np.mean([leaf(t, x) for t in range(3)]) / FR.c_factor(150)) for x in X]
+    walked = []
+    monkeypatch.setattr(FR, "SCORE_ROWS", 4)
+    monkeypatch.setattr(FR.np, "repeat", lambda a, k, axis: walked.append(k) or np.tile(a, (1, k)))
+    assert np.allclose(forest.raw_scores(X), want, rtol=1e-14, atol=0)
+    assert walked == [4, 4, 2]
