@@ -649,7 +649,7 @@ def forest_anomalies(spark, sf):
 
 # --- streaming (SRC2-style file stream, S3–S6, stateful B2) ----------------------
 
-ROWS_PER_FILE = 4_000_000
+ROWS_PER_FILE = 250_000
 
 
 def _write_log_files(spark, sf, n_files: int = 4, shuffled: bool = False, rows: DataFrame | None = None,
